@@ -1,0 +1,158 @@
+"""Secret scans: multipart credentials by interval joins within scopes.
+
+Strong patterns (assignments, access ids, long hex runs) are reported wherever they
+stand. Weak candidates - plain user or client ids, unnamed token-like strings,
+service addresses - mean nothing alone. They are intervals of three roles (access
+identifier, secret, endpoint) that are joined within a scope: the paragraph, and at
+most ``reach`` code points between two spans. A weak secret is reported beside an
+access identifier or an endpoint, a weak access identifier beside a secret, an
+endpoint beside both. The join sweeps each role's sorted intervals, so that its cost
+is linear in the candidates of a text whatever their number, and as no scope
+crosses documents it needs no shuffle.
+
+Null texts count as empty and give no spans. Every input row gives one output row.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import doc_rows, load
+
+BASE_KINDS = ("assign", "access", "hex")
+KINDS = (*BASE_KINDS, "link_access", "link_secret", "link_endpoint")
+REACH = 300
+SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
+
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as shorter ones fail
+WEAK_ACCESS = re.compile(r"""(?ai:access[_-]?key(?:[_-]?id)?|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+ENDPOINT = re.compile(r"""(?ai:https?|wss?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+""")
+SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
+Span = tuple[int, int]
+
+
+def base_spans(text: str) -> dict[str, list[Span]]:
+    """The strong spans of a text by kind, leftmost and non-overlapping within a kind."""
+    low = text.lower()
+    named = "passw" in low or "secret" in low or "token" in low or "api" in low
+    return {
+        "assign": [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if named else [],
+        "access": [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 20] if "AKIA" in text else [],
+        "hex": [m.span() for m in HEX.finditer(text)],
+    }
+
+
+def _token_like(s: str) -> bool:
+    """Mixed digits and letters, as generated secrets are and words are not."""
+    digits = sum(map(str.isdigit, s))
+    if digits < 3 or digits == len(s):
+        return False
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        return True
+    return len(s) >= 20 and s.lower() != s != s.upper()
+
+
+def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that touch none of taken; both ascend."""
+    starts = [s for s, _ in taken]
+    reach, top = [], 0
+    for _, e in taken:
+        top = max(top, e)
+        reach.append(top)
+    return [x for x in spans if not ((i := bisect_left(starts, x[1])) and reach[i - 1] > x[0])]
+
+
+def _beside(span: Span, others: list[Span], starts: list[int], ends: list[int], lo: int, hi: int, reach: int) -> bool:
+    """Whether another interval lies in the scope [lo, hi), within reach of the span and apart from it."""
+    i = bisect_left(starts, span[1])
+    if i < len(others) and starts[i] - span[1] <= reach and starts[i] < hi:
+        return True
+    i = bisect_right(ends, span[0])
+    return i > 0 and span[0] - ends[i - 1] <= reach and ends[i - 1] > lo
+
+
+def find_spans(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
+    """All spans of a text: (kind, start, end), in code points, by start and then by kind."""
+    base = base_spans(text)
+    out = [(kind, s, e) for kind, spans in base.items() for s, e in spans]
+    strong_secret = sorted(base["assign"] + base["hex"])
+    taken = sorted(strong_secret + base["access"])
+    low = text.lower()
+    weak = {
+        "link_access": [m.span() for m in WEAK_ACCESS.finditer(text)] if any(w in low for w in ("key", "client", "account", "user", "login")) else [],
+        "link_endpoint": [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else [],
+    }
+    outside = sorted(taken + weak["link_access"] + weak["link_endpoint"])
+    weak["link_secret"] = _free([m.span() for m in WEAK_SECRET.finditer(text) if _token_like(m[0])], outside)
+    weak["link_access"] = _free(weak["link_access"], taken)
+    if any(weak.values()):
+        cuts = [m.start() for m in SCOPE_END.finditer(text)]
+        roles = {}
+        for role, spans in (("access", base["access"] + weak["link_access"]), ("secret", strong_secret + weak["link_secret"]), ("endpoint", weak["link_endpoint"])):
+            spans = sorted(spans)
+            roles[role] = (spans, [s for s, _ in spans], sorted(e for _, e in spans))
+        for kind, spans in weak.items():
+            for span in spans:
+                k = bisect_right(cuts, span[0])
+                lo, hi = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text) + 1
+                near = {role: _beside(span, *x, lo, hi, reach) for role, x in roles.items()}
+                linked = {"link_access": near["secret"], "link_secret": near["access"] or near["endpoint"], "link_endpoint": near["access"] and near["secret"]}
+                if linked[kind]:
+                    out.append((kind, *span))
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def _span_array(found: list[list[tuple[str, int, int]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in found], kind)
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """doc_id and its spans, a row for each input row, repeated rows too; texts are scanned whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [find_spans(t or "", reach) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _span_array(found)], ["doc_id", "spans"])
+
+    return doc_rows(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
+
+
+def masked(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """The text with a mark in place of each run of overlapping spans."""
+    out, at = [], 0
+    for _, s, e in spans:
+        if s >= at:
+            out += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+    """The same rows and columns, with a mark in place of every secret span; a null text stays null."""
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t and masked(t, find_spans(t, reach), mark) for t in b.column(at).to_pylist()]
+            columns = [*b.columns[:at], pa.array(texts, b.column(at).type), *b.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter(spans, lambda x: x["kind"].isin(*BASE_KINDS))
+    return secret_spans(load(spark, sf_dir, "documents")).select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
