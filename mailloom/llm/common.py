@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOC_COLUMNS = ("doc_id", "text")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends the package to executors, unless their search path has it."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_mailloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="mailloom-")) / "mailloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (root / "mailloom").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._mailloom_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -66,3 +87,25 @@ def word_bpe_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def with_columns(df: DataFrame, text_col: str, fields: dict[str, tuple[pa.DataType, str]], compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The same rows and columns, and new ones that a function makes from a batch of texts, in the order of fields (name: Arrow type, DDL type)."""
+    names, at = df.columns, df.columns.index(text_col)
+    if taken := {n.lower() for n in names} & {n.lower() for n in fields}:
+        raise ValueError(f"columns are there already: {sorted(taken)}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [x.cast(kind) if x.type != kind else x for x, (kind, _) in zip(compute(b.column(at)), fields.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*names, *fields])
+
+    schema = T.StructType([*df.schema.fields, *(f for name, (_, ddl) in fields.items() for f in T.StructType.fromDDL(f"`{name}` {ddl}").fields)])
+    return df.mapInArrow(run, schema)
+
+
+def labelled_sample(labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and label of at most so many labelled ids, chosen by a hash of the id: the bound that lets it be broadcast."""
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    one = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return one.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
