@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality, secretscan, tokencount, topk, toxicity
+from . import bpe, chat, jaccard, packing, quality, secretscan, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secretscan.op1_secret_scan,
     "op2_topk": topk.op2_topk,
     "op3_packing": packing.op3_packing,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_format": chat.op7_chat_format,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
-SQL = {"op2_topk": topk.SQL, "op7_chat_format": chat.SQL}
+SQL = {"op5_jaccard_join": jaccard.SQL, "op2_topk": topk.SQL, "op7_chat_format": chat.SQL}
