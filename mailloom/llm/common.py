@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +110,18 @@ def labelled_sample(labels: DataFrame, label: str, most: int, id_col: str = "doc
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     one = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     return one.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
+
+
+def merge_tree(parts: DataFrame, combine: Callable[[list[bytes]], bytes], fan: int = 32, levels: int = 3) -> list[tuple[int, bytes]]:
+    """Merges what tasks have made - rows (task int, part int, data binary), of a fixed size each - to one row per part, in a tree, and gives these few to the driver."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"task": [key[1]], "part": [key[0]], "data": [combine(list(pdf["data"]))]})
+
+    level = parts.select("task", "part", "data")
+    for _ in range(levels):
+        level = level.withColumn("task", F.floor(F.col("task") / fan).cast("int")).groupBy("part", "task").applyInPandas(run, "task int, part int, data binary")
+    found: dict[int, list[bytes]] = {}
+    for r in level.select("part", "data").toLocalIterator():
+        found.setdefault(r[0], []).append(r[1])
+    return [(part, combine(data)) for part, data in sorted(found.items())]

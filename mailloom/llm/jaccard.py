@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
-from .common import doc_rows, load, stored
+from .common import doc_rows, load, merge_tree, stored
 from .components import components
 
 SHINGLE = 4
@@ -116,17 +116,17 @@ def _dedupe(seen: set, fp: np.ndarray) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, size: int = SHINGLE, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n, fp of every document; and, marked by a block number, each task's count sketch in byte planes."""
+    """doc_id, n, fp of every document; and, marked by a part number, each task's count sketch in byte planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "fp", "task", "block", "plane", "counts"]
+        names = ["doc_id", "n", "fp", "task", "part", "data"]
         for b in batches:
             ids = b.column(0)
             for i, j, x, ptr in shingle_sets(b.column(1), size):
                 np.add.at(counts, (x >> _U(64 - bits)).astype(np.int64), 1)
                 m = j - i
-                nothing = [pa.nulls(m, pa.int32())] * 3 + [pa.nulls(m, pa.binary())]
+                nothing = [pa.nulls(m, pa.int32())] * 2 + [pa.nulls(m, pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, m), pa.array(np.diff(ptr)), pa.array(fingerprints(x, ptr)), *nothing], names)
         task, rows = TaskContext.get().partitionId(), []
         step = min(SKETCH_BLOCK, 1 << bits)
@@ -135,42 +135,30 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE, bits: int = SKETCH_BITS) ->
             for plane in range(4):
                 bytes_ = (part >> np.uint32(8 * plane)).astype(np.uint8)
                 if bytes_.any():
-                    rows.append((task, k // step, plane, bytes_.tobytes()))
+                    rows.append((task, k // step, bytes([plane]) + bytes_.tobytes()))
         if rows:
-            t, k, p, c = zip(*rows, strict=True)
+            t, k, c = zip(*rows, strict=True)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(c, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(c, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, task int, block int, plane int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, fp long, task int, part int, data binary")
 
 
-def _wide(counts: bytes, width: int, plane: int) -> np.ndarray:
-    return np.frombuffer(counts, np.uint8 if width == 1 else "<i8").astype(np.int64) << (8 * plane)
+def _add(parts: list[bytes]) -> bytes:
+    """The sum of sketch blocks; each begins with the plane of its bytes, or 255 for whole sums."""
+    total: np.ndarray | int = 0
+    for p in parts:
+        x = np.frombuffer(p, np.uint8, offset=1) if p[0] < 255 else np.frombuffer(p, "<i8", offset=1)
+        total = total + (x.astype(np.int64) << (8 * p[0] if p[0] < 255 else 0))
+    return b"\xff" + np.asarray(total, "<i8").tobytes()
 
 
-def merged_sketch(planes: DataFrame, tasks: int, bits: int = SKETCH_BITS, fan: int = 64) -> np.ndarray:
-    """The sum of all tasks' sketches, merged in a tree of bounded fan-in; 2**bits counters, whatever the input."""
+def merged_sketch(planes: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The sum of all tasks' sketches; 2**bits counters, whatever the input."""
     step = min(SKETCH_BLOCK, 1 << bits)
-
-    def add(width: int):
-        def run(key: tuple, pdf):
-            total = np.zeros(step, np.int64)
-            for c, p in zip(pdf["counts"], pdf["plane"], strict=True):
-                total += _wide(c, width, int(p))
-            return pdf.head(1).assign(task=key[1], plane=0, counts=[total.astype("<i8").tobytes()])[["task", "block", "plane", "counts"]]
-
-        return run
-
-    level, width = planes.select("task", "block", "plane", "counts"), 1
-    while True:
-        level = level.withColumn("task", F.floor(F.col("task") / fan).cast("int"))
-        level = level.groupBy("block", "task").applyInPandas(add(width), "task int, block int, plane int, counts binary")
-        tasks, width = -(-tasks // fan), 8
-        if tasks <= 1:
-            break
     out = np.zeros(1 << bits, np.int64)
-    for r in level.select("block", "counts").toLocalIterator():
-        out[r[0] * step : r[0] * step + step] += np.frombuffer(r[1], "<i8")
+    for block, data in merge_tree(planes, _add):
+        out[block * step : block * step + step] = np.frombuffer(data, "<i8", offset=1)
     return out
 
 
@@ -221,31 +209,20 @@ def postings(docs: DataFrame, order: np.ndarray, light: int, size: int = SHINGLE
     return docs.mapInArrow(run, "key long, fp long, n long, pos long")
 
 
-def bloom(fps: DataFrame, bits: int = BLOOM_BITS, fan: int = 64) -> np.ndarray:
-    """A Bloom filter of a column fp: 2**bits bits, whatever the input, merged in a tree."""
-
-    def places(fp: np.ndarray) -> np.ndarray:
-        return _bloom_places(fp, bits)
+def bloom(fps: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of a column fp, packed: 2**bits bits, whatever the input."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(1 << bits, bool)
         for b in batches:
-            have[places(b.column(0).to_numpy())] = True
+            have[_bloom_places(b.column(0).to_numpy(), bits)] = True
         if have.any():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.packbits(have).tobytes()], pa.binary())], ["task", "filter"])
-
-    def join(key: tuple, pdf):
-        total = np.zeros((1 << bits) // 8, np.uint8)
-        for f in pdf["filter"]:
-            total |= np.frombuffer(f, np.uint8)
-        return pdf.head(1).assign(task=key[0], filter=[total.tobytes()])
-
-    level = fps.select("fp").coalesce(fan).mapInArrow(fill, "task int, filter binary")
-    level = level.groupBy(F.lit(0).alias("task0")).applyInPandas(lambda key, pdf: join(key, pdf)[["task", "filter"]], "task int, filter binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in level.select("filter").collect():
-        out |= np.frombuffer(r[0], np.uint8)
-    return out
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([np.packbits(have).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["task", "part", "data"])
+
+    either = lambda parts: np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in parts]).tobytes()
+    merged = merge_tree(fps.select("fp").mapInArrow(fill, "task int, part int, data binary"), either, 16)
+    return np.frombuffer(merged[0][1], np.uint8) if merged else np.zeros((1 << bits) // 8, np.uint8)
 
 
 def _bloom_places(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -308,10 +285,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     """
     d = doc_rows(docs, id_col, text_col)
     first = stored(set_sizes(d, size), "sets")
-    stats = first.filter("block is null").select("doc_id", "n", "fp")
-    planes = first.filter("block is not null")
-    tasks = planes.agg(F.coalesce(F.max("task"), F.lit(0)) + 1).first()[0]
-    sketch = merged_sketch(planes, tasks)
+    stats = first.filter("part is null").select("doc_id", "n", "fp")
+    planes = first.filter("part is not null")
+    sketch = merged_sketch(planes)
     total = max(1, int(sketch.sum()))
     mean_list = float((sketch.astype(float) ** 2).sum()) / total
     order = np.minimum(np.floor(np.log2(np.maximum(sketch, 1)) * 2), 127).astype(np.int8)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, packing, quality, secretscan, tokencount, topk, toxicity
+from . import bpe, chat, jaccard, packing, quality, recurrent, secretscan, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secretscan.op1_secret_scan,
     "op2_topk": topk.op2_topk,
     "op3_packing": packing.op3_packing,
+    "op4_lm_score": recurrent.op4_lm_score,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_format": chat.op7_chat_format,
