@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Which ASCII letters stand in for look-alikes. Small letters follow their capitals unless they are listed.
-ARMENIAN_CAPITALS = "ABGDEZEETZILXCKHDGCMYSOCPJRSVTRCUPKOF"  # U+0531 to U+0556
+ARMENIAN_CAPITALS = "ABGDEZEETZILXCKHDGCMYNSOCPJRSVTRCUPKOF"  # U+0531 to U+0556
 ARMENIAN_SMALL = {0x0578: "n", 0x057A: "u", 0x057D: "u", 0x0582: "u", 0x058C: "l", 0x058E: "u"}
-ARMENIAN_MISSING = 0x0552  # its capital maps to U
 CYRILLIC_CAPITALS = ("A", "B", "B", "F", "D", "E", "ZH", "3", "N", "Y", "K", "L", "M", "H", "O", "N", "P", "C", "T", "Y", "F", "X", "C", "CH", "W", "W", "b", "bl", "b", "E", "IO", "R")  # U+0410 to U+042F
 CYRILLIC_SMALL = {"в": "v", "г": "r", "з": "z", "и": "u", "й": "i", "п": "n", "ч": "h"}
 CYRILLIC_OTHERS = {"Ё": "E", "ё": "e", "І": "I", "і": "i", "Ј": "J", "ј": "j", "Ѕ": "S", "ѕ": "s", "Ў": "U", "ў": "u", "һ": "h", "ԁ": "d", "ԛ": "q", "Ԝ": "W", "ԝ": "w"}

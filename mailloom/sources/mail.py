@@ -109,7 +109,9 @@ def json_lines(spark: SparkSession, path: str, schema=None, strict: bool = False
     schema = schema or RECORD
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(schema.add(BAD_ROW, "string") if BAD_ROW not in schema.names else schema).option("columnNameOfCorruptRecord", BAD_ROW).json(path)
+    full = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType())])
+    lines = spark.read.option("recursiveFileLookup", True).text(path).filter(F.col("value").rlike(r"\S"))
+    rows = lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": BAD_ROW}).alias("r")).select("r.*")
     return rows.filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
 
 
@@ -117,7 +119,7 @@ def cohort_lines(spark: SparkSession, path: str, cohort: int) -> DataFrame:
     """id, subject, body, cohort, text, metadata of a cohort file; id is the record's own, or the file's stem and the physical line number from 0. A bad line fails the read."""
     from mailloom.functions.text import classifier_text
 
-    whole = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\n")).alias("line", "value"))
+    whole = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "value"))
     lines = whole.filter(F.col("value").rlike(r"\S"))
     rec = F.from_json("value", "id string, subject string, body string", {"mode": "FAILFAST"})
     all_ = F.from_json("value", "map<string,string>")
