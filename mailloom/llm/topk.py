@@ -16,7 +16,7 @@ Vectors may differ in length; a component that is missing counts as 0.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,13 @@ K = 5
 EVERY = 50
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
-LEVELS = 16
+LEVELS = 64
+BATCH = 64
+"""Queries whose accumulators are filled together."""
+CHECKS = 4
+"""Times that the proof is tried."""
 RESCORE = 64
-"""Candidates of a block that are few enough to be rescored."""
+"""Candidates of a block that are few enough to be rescored before all segments are done; or a 64th of it."""
 
 
 class ImpactIndex:
@@ -45,74 +49,74 @@ class ImpactIndex:
         self.low, self.high = (self.x.min(0), self.x.max(0)) if n else (np.zeros(d), np.zeros(d))
         step = np.maximum((self.high - self.low) / levels, 1e-9)
         level = np.minimum(((self.x - self.low) / step).astype(np.int64), levels - 1)
-        self.postings, self.segments = [], []  # per dimension: rows by falling impact; (from, to, least, greatest)
+        self.postings, segments = [], []  # rows of each dimension by falling impact; (dimension, from, to, least, greatest)
         for j in range(d):
             rows = np.argsort(-level[:, j], kind="stable").astype(np.int32)
-            cuts = np.flatnonzero(np.diff(level[rows, j])) + 1
-            edges = np.concatenate([[0], cuts, [n]]) if n else np.zeros(1, np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(level[rows, j])) + 1, [n]]) if n else np.zeros(1, np.int64)
             values = self.x[rows, j]
             self.postings.append(rows)
-            self.segments.append([(a, b, values[a:b].min(), values[a:b].max()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
-
-    def plan(self, q: np.ndarray) -> tuple[list[tuple[float, int, int, int, float, float]], float]:
-        """Segments by falling gain over their dimension's floor: (gain bound, dimension, from, to, least gain, width); and the sum of the floors."""
-        out, floors = [], 0.0
-        for j in np.flatnonzero(q):
-            w = float(q[j])
-            floor = min(w * self.low[j], w * self.high[j])
-            floors += floor
-            for a, b, least, most in self.segments[j]:
-                lo, hi = sorted((w * least, w * most))
-                out.append((hi - floor, int(j), a, b, lo - floor, hi - lo))
-        out.sort(key=lambda s: (-s[0], s[1]))
-        return out, floors
-
-    def search(self, q: np.ndarray, own: int, k: int = K) -> list[tuple[int, int, int]]:
-        """The k best (score, id, uid) for an integer query, its own row left out; ties to smaller ids."""
+            segments += [(j, a, b, values[a:b].min(), values[a:b].max()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        s = np.array(segments).reshape(-1, 5)
+        self.dim, self.begin, self.end = (s[:, k].astype(np.int64) for k in range(3))
+        self.least, self.most = s[:, 3], s[:, 4]
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int = K) -> list[list[tuple[int, int, int]]]:
+        """For each of some integer queries the k best (score, id, uid), its own row left out; ties to smaller ids.
+
+        A segment adds, over its dimension's floor, what it gives a query at least;
+        the most that it may give orders the segments, by the query that gains most.
+        """
         n, d = self.x.shape
-        if not n:
-            return []
-        query = np.zeros(d)
-        query[: min(d, len(q))] = q[:d]
-        plan, _ = self.plan(query)
-        acc = np.zeros(n)
-        acc[self.uids == own] = -np.inf
-        todo: dict[int, list[float]] = {}
-        for s in reversed(plan):
-            todo.setdefault(s[1], []).append(s[0])  # the largest is last
-        left = sum(x[-1] for x in todo.values())
-        slack: dict[int, float] = {}
-        check, done = max(8, len(plan) // 8), 0
-        possible = np.arange(n)
-        for gain, j, a, b, least, width in plan:
-            acc[self.postings[j][a:b]] += least
-            rest = todo[j]
-            rest.pop()
-            slack[j] = max(slack.get(j, 0.0), width)
-            left += (rest[-1] if rest else 0.0) - gain
-            done += 1
-            if done % check == 0 and n > RESCORE:
-                bound = left + sum(slack.values())
-                kth = np.partition(acc, n - k)[n - k] if n > k else -np.inf
-                possible = np.flatnonzero(acc >= kth - bound)
-                if len(possible) <= RESCORE:
-                    break
-        else:
-            bound = sum(slack.values())
-            kth = np.partition(acc, n - k)[n - k] if n > k else -np.inf
-            possible = np.flatnonzero(acc >= kth - bound)
-        possible = possible[self.uids[possible] != own]
-        scores = exact(self.x[possible], query)
-        best = sorted(zip((-s for s in scores), self.ids[possible].tolist(), self.uids[possible].tolist(), strict=True))[:k]
-        return [(-s, i, u) for s, i, u in best]
-
-
-def exact(x: np.ndarray, q: np.ndarray) -> list[int]:
+        m = len(q)
+        if not n or not m:
+            return [[] for _ in range(m)]
+        w = np.zeros((d, m))
+        w[: min(d, q.shape[1])] = q.T[:d]
+        floor = np.minimum(w * self.low[:, None], w * self.high[:, None])
+        a, b = w[self.dim] * self.least[:, None], w[self.dim] * self.most[:, None]
+        low, high = np.minimum(a, b) - floor[self.dim], np.maximum(a, b) - floor[self.dim]
+        order = np.argsort(-high.max(1), kind="stable")
+        acc = np.zeros((n, m))
+        row = {u: i for i, u in enumerate(self.uids.tolist())}
+        mine = [row.get(u) for u in own.tolist()]
+        for c, r in enumerate(mine):
+            if r is not None:
+                acc[r, c] = -np.inf
+        todo = np.ones(len(order), bool)
+        every = -(-len(order) // CHECKS)
+        for start in range(0, len(order), every):
+            part = order[start : start + every]
+            for s in part:
+                acc[self.postings[self.dim[s]][self.begin[s] : self.end[s]]] += low[s]
+            todo[part] = False
+            # what a vector may have beyond its accumulator: in each dimension, an open segment or a done one's width
+            beyond = np.zeros((d, m))
+            np.maximum.at(beyond, self.dim, np.where(todo[:, None], high, high - low))
+            bound = beyond.sum(0)
+            kth = np.partition(acc, n - k, axis=0)[n - k] if n > k else np.full(m, -np.inf)
+            possible = acc >= kth - bound
+            if (possible.sum(0) <= max(RESCORE, n // 64)).all():
+                break
+        out = []
+        for c in range(m):
+            rows = np.flatnonzero(possible[:, c])
+            if mine[c] is not None:
+                rows = rows[rows != mine[c]]
+            scores = exact(self.x[rows], w[:, c])
+            if len(rows) > k and isinstance(scores, np.ndarray):  # the k-th best score is known; ties stay
+                keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[keep], scores[keep]
+            found = sorted(zip((-int(s) for s in scores), self.ids[rows].tolist(), self.uids[rows].tolist(), strict=True))[:k]
+            out.append([(-s, i, u) for s, i, u in found])
+        return out
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray | list[int]:
     """Integer inner products; in whole doubles as long as these are exact, else in Python's integers."""
     if not len(x):
         return []
     if float(np.abs(x).max()) * float(np.abs(q).max()) * max(1, len(q)) < 2**53:
-        return (x @ q).astype(np.int64).tolist()
+        return (x @ q).astype(np.int64)
     whole = [int(v) for v in q]
     return [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x]
 
@@ -125,7 +129,7 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     return v.select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.transform("x", floor).alias("x"))
 
 
-def _matrix(x: pd.Series) -> np.ndarray:
+def _matrix(x: Sequence[np.ndarray]) -> np.ndarray:
     d = max(map(len, x), default=0)
     out = np.zeros((len(x), d))
     for i, row in enumerate(x):
@@ -155,7 +159,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
         for pdf in parts:
             for idx, queries in zip(pdf["idx"], pdf["queries"], strict=True):
                 index = pickle.loads(idx)
-                rows = [(uid, q, vec, score, other) for uid, q, x in zip(*pickle.loads(queries), strict=True) for score, vec, other in index.search(x, uid, k)]
+                uids, ids, xs = pickle.loads(queries)
+                rows = []
+                for i in range(0, len(uids), BATCH):
+                    found = index.search(_matrix(xs[i : i + BATCH]), np.array(uids[i : i + BATCH]), k)
+                    rows += [(uid, q, vec, score, other) for uid, q, best in zip(uids[i : i + BATCH], ids[i : i + BATCH], found, strict=True) for score, vec, other in best]
                 out = pd.DataFrame(rows, columns=["quid", "query_id", "vec_id", "score", "uid"])
                 out["score"] = [min(max(s, -(2**63)), 2**63 - 1) for s in out["score"]]
                 yield out.astype("int64")
