@@ -33,7 +33,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near duplicates: the one with the smallest id; texts without words are no duplicates."""
     groups = jaccard.similar_components(docs, PERCENT, SHINGLE)
     keep = groups.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__mailloom_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__mailloom_id")), "left_semi").select(*docs.columns)
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__mailloom_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)  # rows that repeat the document that stays
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,26 +175,26 @@ def _grow(x: np.ndarray, bad: np.ndarray, most: int, steps: int) -> tuple[Condit
         p, n = int(bad[inside].sum()), int((~bad[inside]).sum())
         if p == 0 or n == 0:
             break
-        before, best, choice = np.log2(p / (p + n)), 1e-9, None
+        before, best, choice = np.log2(p / (p + n)), (1e-9, 0.0), None
         y = bad[inside]
         for f in range(x.shape[1]):
             v = x[inside, f]
-            values = np.unique(np.concatenate([np.quantile(v, np.linspace(0.01, 0.99, steps)), np.quantile(v[y], np.linspace(0, 1, steps))]))
+            values = np.unique(np.concatenate([np.quantile(v, np.linspace(0.01, 0.99, steps)), np.quantile(v[y], np.linspace(0, 1, steps)), np.quantile(v[~y], np.linspace(0, 1, steps))]))
             order = np.argsort(v, kind="stable")
-            at = np.searchsorted(v[order], values, "right")
+            ranked, spread = v[order], v.std() + 1e-12
+            at = np.searchsorted(ranked, values, "right")
             bad_to = np.concatenate([[0], np.cumsum(y[order])])[at]
+            # each threshold stands in the middle of the gap that it lies in; of equal gains the widest gap wins
+            low, high = ranked[np.maximum(at - 1, 0)], ranked[np.minimum(at, len(v) - 1)]
+            margin = np.where((at > 0) & (at < len(v)), (high - low) / spread, 0.0)
             for above, pp, tt in ((False, bad_to, at), (True, p - bad_to, len(v) - at)):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(pp > 0, pp * (np.log2(pp / np.maximum(tt, 1)) - before), -1)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, choice = float(gain[k]), Condition(f, above, float(values[k]))
+                k = max(range(len(values)), key=lambda k: (round(gain[k], 6), margin[k]))
+                if (round(gain[k], 6), margin[k]) > best:
+                    best, choice = (round(gain[k], 6), margin[k]), Condition(f, above, float(low[k] + high[k]) / 2 if margin[k] else float(values[k]))
         if choice is None:
             break
-        v = x[inside, choice.feature]  # the threshold moves to the middle of the gap that it lies in
-        below, beyond = v[v <= choice.threshold], v[v > choice.threshold]
-        if len(below) and len(beyond):
-            choice = Condition(choice.feature, choice.above, float(below.max() + beyond.min()) / 2)
         rule.append(choice)
         inside &= choice.test(x)
     return tuple(rule)
