@@ -15,6 +15,8 @@ _FIELDS = (
 RECORD = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split(" ") for f in _FIELDS.split(", "))])
 MINIMAL = ("subject", "body", "label", "source")
 BAD_ROW = "_corrupt_record"
+CHECKED = T.StructType([*RECORD.fields, T.StructField(BAD_ROW, T.StringType())])
+"""The schema with a column for lines that don't parse."""
 
 
 def is_valid() -> Column:

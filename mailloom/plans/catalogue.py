@@ -47,6 +47,8 @@ def mask_sql(c: str, name: str) -> str:
     _, flags, body, token = mk.RULES[mk.NAMES.index(name)]
     rewritten = {
         "url": (r"((?:https?://|ftp://|www\.)[^\s<>\"'\\]*[^\s<>\"'\\.,;:!?)\]}])", token),
+        "bare_url": (r"(^|[^\w@])" + body.removeprefix(r"(?<![\w@])").replace(r"(?:/[^\s<>\"'\\]*)(?<![.,;:!?)\]}])", r"/(?:[^\s<>\"'\\]*[^\s<>\"'\\.,;:!?)\]}])?"), r"\1" + token),
+        "phone": (r"(^|[^\d])" + body.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)") + r"($|[^\d])", r"\1" + token + r"\2"),
         "unix_path": (r"(^|[^\w])" + body.removeprefix(r"(?<!\w)"), r"\1" + token),
     }
     body, token = rewritten.get(name, (body, token))
@@ -356,7 +358,7 @@ def json_input(spark, d):
 # ---- masking -------------------------------------------------------------------------
 
 for _name in mk.NAMES:
-    _sql = None if _name in ("bare_url", "reference", "phone") else f"SELECT doc_id, {mask_sql('body', _name)} AS body FROM emails"
+    _sql = None if _name == "reference" else f"SELECT doc_id, {mask_sql('body', _name)} AS body FROM emails"
     query(f"mask_{_name}", _sql, E if _sql else "")(lambda spark, d, name=_name: bodies(spark, d).select("doc_id", mk.mask_one(F.col("body"), name, unicode=False).alias("body")))
 
 
