@@ -52,7 +52,7 @@ def train(df: DataFrame, name: str, **parameters) -> Model:
 
 def compare(train_df: DataFrame, test_df: DataFrame, names: list[str], parameters: dict[str, dict] | None = None) -> DataFrame:
     """A row for each head: the four-class summary, the phishing scores and the time to fit and to predict."""
-    rows = None
+    rows = []
     for name in names:
         t0 = time.perf_counter()
         model = train(train_df, name, **(parameters or {}).get(name, {}))
@@ -60,7 +60,7 @@ def compare(train_df: DataFrame, test_df: DataFrame, names: list[str], parameter
         scored = model.transform(test_df).select(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")).cache()
         n = scored.count()
         t2 = time.perf_counter()
-        row = metrics.summary(scored).join(F.broadcast(metrics.binary_metrics(scored).select(F.col("f1").alias("phishing_f1"), F.col("fpr").alias("phishing_fpr"))), F.lit(True))  # one row each
-        row = row.select(F.lit(name).alias("head"), "*", F.lit(t1 - t0).alias("fit_s"), F.lit(n / max(t2 - t1, 1e-9)).alias("rows_per_s"))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        four, two = metrics.summary(scored).first().asDict(), metrics.binary_metrics(scored).first()
+        rows.append({"head": name, **four, "phishing_f1": two["f1"], "phishing_fpr": two["fpr"], "fit_s": t1 - t0, "rows_per_s": n / max(t2 - t1, 1e-9)})
+        scored.unpersist()
+    return train_df.sparkSession.createDataFrame(rows)

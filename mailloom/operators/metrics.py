@@ -60,12 +60,17 @@ def cohort_rates(df: DataFrame) -> DataFrame:
 def auc_one_vs_rest(df: DataFrame, probs: tuple[str, ...] = ("p0", "p1", "p2", "p3")) -> DataFrame:
     """class, auc by rank sums, ties at their mean rank; null where a class or its rest is empty.
 
-    Ranks are counted from one row per distinct score, so that ties cost nothing.
+    Scores from 0 to 1 are counted by value, so that ties cost nothing, and summed up in
+    blocks, so that no task sorts all of them.
     """
     long = df.select("y_true", F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(p).alias("score")) for c, p in enumerate(probs)))).alias("x")).select("x.*", (F.col("x.class") == F.col("y_true")).alias("hit"))
     per = long.groupBy("class", "score").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("class").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    per = per.withColumn("block", F.floor(F.col("score") * 4096))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy("class", "block").agg(F.sum("neg").alias("neg"))
+    blocks = blocks.select("class", "block", F.coalesce(F.sum("neg").over(before("class").orderBy("block")), F.lit(0)).alias("below"))
+    inside = F.coalesce(F.sum("neg").over(before("class", "block").orderBy("score")), F.lit(0))
+    won = per.join(blocks, ["class", "block"]).withColumn("won", F.col("pos") * (F.col("below") + inside + F.col("neg") / 2))
     out = won.groupBy("class").agg(F.sum("won").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select("class", F.expr("try_divide(w, p * n)").alias("auc"))
 

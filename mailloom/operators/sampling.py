@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from mailloom.functions.features import model_hash
 
+from .ranking import md5_block, ranked
+
 
 def hash_order(seed: int, key: str = "doc_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
@@ -16,8 +18,8 @@ def hash_order(seed: int, key: str = "doc_id") -> Column:
 
 def sample_per_group(df: DataFrame, group: str, k: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """k rows of each group, by the order of a seeded hash; all, if it has fewer."""
-    w = Window.partitionBy(group).orderBy(hash_order(seed, key), key)
-    return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
+    h = hash_order(seed, key)
+    return ranked(df, [group], md5_block(h), [h, key]).filter(F.col("__n") <= k).drop("__n", "__total")
 
 
 def stratified_split(df: DataFrame, group: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -26,9 +28,8 @@ def stratified_split(df: DataFrame, group: str, ratios: tuple[float, float, floa
         raise ValueError("ratios must sum to 1")
     n, i = F.col("__total"), F.col("__n") - 1
     train, val = F.floor(n * ratios[0]), F.floor(n * ratios[1])
-    w = Window.partitionBy(group).orderBy(hash_order(seed, key), key)
-    totals = df.groupBy(group).agg(F.count("*").alias("__total"))
-    out = df.withColumn("__n", F.row_number().over(w)).join(totals, group)
+    h = hash_order(seed, key)
+    out = ranked(df, [group], md5_block(h), [h, key])
     return out.withColumn("split", F.when(i < train, "train").when(i < train + val, "val").otherwise("test")).drop("__n", "__total")
 
 

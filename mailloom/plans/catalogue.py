@@ -13,6 +13,7 @@ from mailloom.functions import lookalikes as la
 from mailloom.functions import masking as mk
 from mailloom.functions import text as tx
 from mailloom.operators import dedup, heads, metrics, records, sampling, tfidf
+from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
 from mailloom.sources import mail
 from mailloom.streaming import ingest
@@ -180,11 +181,8 @@ def seed_blocks(spark, d):
 
 
 def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """Rows with their place in the order of an integer key: blocks of keys are counted, their few sums give offsets, and each block is numbered on its own."""
-    b = df.withColumn("__b", F.floor(F.col(key) / 4096))
-    offsets = b.groupBy("__b").agg(F.count("*").alias("__c"))
-    offsets = offsets.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__o"))
-    return b.join(offsets, "__b").withColumn("n", F.col("__o") + F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1).drop("__b", "__o")
+    """Rows with their place n, from 0, in the order of an integer key."""
+    return ranked(df, [], F.floor(F.col(key) / 4096), [key]).withColumn("n", F.col("__n") - 1).drop("__n", "__total")
 
 
 # ---- filters ----------------------------------------------------------------------
@@ -464,16 +462,13 @@ def pipeline_counters(spark, d):
 @query("distinct_counts", "SELECT count(DISTINCT md5(text)) AS texts, count(DISTINCT source) AS sources, count(*) AS n FROM documents")
 def distinct_counts(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    a = docs.select(F.md5("text").alias("h")).distinct().agg(F.count("h").alias("texts"))
-    b = docs.groupBy("source").agg(F.count("*").alias("c")).agg(F.count("source").alias("sources"), F.sum("c").alias("n"))
-    return a.join(F.broadcast(b), F.lit(True))  # one row each
+    return docs.agg(F.count_distinct(F.md5("text")).alias("texts"), F.count_distinct("source").alias("sources"), F.count("*").alias("n"))
 
 
-@query("union_sources", "SELECT 'a' AS part, doc_id FROM documents WHERE source = 'src1' UNION ALL SELECT 'b' AS part, doc_id FROM documents WHERE source = 'src2'")
+@query("union_sources", "SELECT 'documents' AS part, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark' AS part, item_id AS id, text FROM benchmark")
 def union_sources(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    part = lambda p, s: docs.filter(F.col("source") == s).select(F.lit(p).alias("part"), "doc_id")
-    return part("a", "src1").unionByName(part("b", "src2"))
+    part = lambda t, key: spark.read.parquet(f"{d}/{t}.parquet").select(F.lit(t).alias("part"), F.col(key).alias("id"), "text")
+    return part("documents", "doc_id").unionByName(part("benchmark", "item_id"))
 
 
 # ---- sampling, provenance -------------------------------------------------------------------
@@ -522,9 +517,9 @@ def resume_anti(spark, d):
     return sampling.not_done(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), spark.read.parquet(f"{d}/labels.parquet"), ["doc_id"])
 
 
-@query("resume_positions", "SELECT source AS model, CAST((max(doc_id) // 10 + 1) * 10 AS BIGINT) AS position FROM documents WHERE doc_id % 3 = 0 GROUP BY source")
+@query("resume_positions", "SELECT source AS model, CAST((max(doc_id) // 10 + 1) * 10 AS BIGINT) AS position FROM documents GROUP BY source")
 def resume_positions(spark, d):
-    done = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 3 = 0").select(F.col("source").alias("model"), F.col("doc_id").alias("seed_idx"))
+    done = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("model"), F.col("doc_id").alias("seed_idx"))
     return sampling.resume_at(done, 10).select("model", F.col("position").cast("long").alias("position"))
 
 
@@ -534,11 +529,12 @@ def batch_atomic(spark, d):
     return sampling.whole_batches(docs, 10, [], "doc_id").select("doc_id")
 
 
-@query("split_lookup_join", ", s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM emails) SELECT s.n AS position, e.doc_id, e.label FROM s JOIN emails e ON e.doc_id = s.doc_id WHERE s.n % 10 = 9", E)
+@query("split_lookup_join", ", r AS (SELECT doc_id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM emails) SELECT r.doc_id, e.label, e.source FROM r JOIN emails e ON e.doc_id = r.doc_id WHERE r.i >= floor(r.n * 0.8) + floor(r.n * 0.1)", E)
 def split_lookup_join(spark, d):
+    """The test split's unmasked rows, by id."""
     e = emails(spark, d)
-    test = _numbered(e.select("doc_id"), "doc_id").filter("n % 10 = 9").select("doc_id", F.col("n").alias("position"))
-    return test.join(e.select("doc_id", "label"), "doc_id").select("position", "doc_id", "label")
+    test = sampling.stratified_split(e.select("doc_id", "cohort"), "cohort").filter("split = 'test'").select("doc_id")
+    return test.join(e.select("doc_id", "label", "source"), "doc_id")
 
 
 @query("first_n", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100")
