@@ -590,9 +590,10 @@ def four_class_report(spark, d):
     return metrics.class_report(predictions(spark, d))
 
 
-@query("four_class_summary", _REPORT + "SELECT sum(recall * support) / sum(support) AS accuracy, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1 FROM report", P)
+@query("four_class_summary", _REPORT + "SELECT round(sum(recall * support) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM report", P)
 def four_class_summary(spark, d):
-    return metrics.summary(predictions(spark, d))
+    s = metrics.summary(predictions(spark, d))
+    return s.select(*(F.round(c, 9).alias(c) for c in s.columns))
 
 
 def _binary_sql(classes: str) -> str:
@@ -619,15 +620,16 @@ def roc_auc_ovr(spark, d):
     return metrics.auc_one_vs_rest(predictions(spark, d))
 
 
-@query("latency_stats", "SELECT avg(latency_ms) AS mean_ms, median(latency_ms) AS median_ms, quantile_cont(latency_ms, 0.95) AS p95_ms, 1000 / avg(latency_ms) AS per_second FROM predictions WHERE latency_ms > 0", P)
+@query("latency_stats", "SELECT round(avg(latency_ms), 6) AS mean_ms, round(median(latency_ms), 6) AS median_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(1000 / avg(latency_ms), 6) AS per_second FROM predictions WHERE latency_ms > 0", P)
 def latency_stats(spark, d):
-    return metrics.latency_stats(predictions(spark, d))
+    s = metrics.latency_stats(predictions(spark, d))
+    return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
 
 
-@query("event_latency", "SELECT event_type, avg(value) AS mean_ms, median(value) AS median_ms, quantile_cont(value, 0.95) AS p95_ms FROM events WHERE value > 0 GROUP BY event_type")
+@query("event_latency", "SELECT event_type, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events WHERE value > 0 GROUP BY event_type")
 def event_latency(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet").filter("value > 0")
-    return ev.groupBy("event_type").agg(F.avg("value").alias("mean_ms"), F.median("value").alias("median_ms"), F.percentile("value", 0.95).alias("p95_ms"))
+    return ev.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.median("value"), 6).alias("median_ms"), F.round(F.percentile("value", 0.95), 6).alias("p95_ms"))
 
 
 _CLASS = "CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END"
@@ -653,7 +655,7 @@ def spamd_parse(spark, d):
     return e.select("doc_id", *(c.alias(k) for k, c in metrics.daemon_verdict(F.col("reply")).items()))
 
 
-@query("rspamd_parse", ", r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reject' WHEN 1 THEN 'add header' WHEN 2 THEN 'no action' END AS a FROM emails) SELECT doc_id, coalesce(doc_id % 5 = 0, false) OR coalesce(a, 'no action') IN ('reject', 'add header') AS is_spam, CAST(doc_id % 30 AS DOUBLE) / 2 AS score, CASE WHEN doc_id % 2 = 0 THEN 12.0 ELSE 15.0 END AS threshold, coalesce(a, 'no action') AS action, CASE WHEN doc_id % 3 = 0 THEN ['A', 'B'] ELSE CAST([] AS VARCHAR[]) END AS symbols FROM r", E)
+@query("rspamd_parse", ", r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reject' WHEN 1 THEN 'add header' WHEN 2 THEN 'no action' END AS a FROM emails) SELECT doc_id, coalesce(doc_id % 5 = 0, false) OR coalesce(a, 'no action') IN ('reject', 'add header') AS is_spam, CAST(doc_id % 30 AS DOUBLE) / 2 AS score, CAST(CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 15 END AS DOUBLE) AS threshold, coalesce(a, 'no action') AS action, CASE WHEN doc_id % 3 = 0 THEN ['A', 'B'] ELSE CAST([] AS VARCHAR[]) END AS symbols FROM r", E)
 def rspamd_parse(spark, d):
     reply = """concat('{"score": ', cast(cast(doc_id % 30 as double) / 2 as string), CASE WHEN doc_id % 2 = 0 THEN ', "required_score": 12' ELSE '' END,
     CASE doc_id % 4 WHEN 0 THEN ', "action": "reject"' WHEN 1 THEN ', "action": "add header"' WHEN 2 THEN ', "action": "no action"' ELSE '' END,
