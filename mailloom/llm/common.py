@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -16,25 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailloom.ship import shipped
+
 DOC_COLUMNS = ("doc_id", "text")
 
 
-def shipped(spark: SparkSession) -> None:
-    """Sends the package to executors, unless their search path has it."""
-    root = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_mailloom_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="mailloom-")) / "mailloom.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in (root / "mailloom").rglob("*.py"):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(archive))
-    sc._mailloom_shipped = True
+BATCH_BYTES = "8m"
+"""Texts that a Python worker gets at a time; the default of 64 MB is too much beside what is made of them."""
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     shipped(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -13,9 +13,14 @@ The boundary is chosen by cost: subsets to write against postings to write and l
 scan, whose mean length comes from a count sketch of all shingles. The sketch, of fixed
 size, also gives the frequency order; any order is exact.
 
+A shared shingle counts only where it stands early enough in both sets for what this pair
+must share (the first shingle that two sets share has i and j others before it, which
+then are not shared, so that they share at most a - i and b - j).
+
 Candidates are verified on whole sets in two rounds. First each set meets one hub of
-the lists that it is in, which joins most groups of copies by as many checks as there are
-sets. Then only pairs of different components that still share a list are
+the lists that it is in: the set with the fewest shingles before the shared one, which in a
+group of copies is the one least edited. That joins most groups by as many checks as
+there are sets. Then only pairs of different components that still share a list are
 checked. Components of all verified links are exact: what is skipped is only between sets
 that are joined already.
 """
@@ -29,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
@@ -40,7 +45,7 @@ SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 21
 SKETCH_BLOCK = 1 << 15
-BLOOM_BITS = 25
+BLOOM_BITS = 24
 SEEN = 100_000
 MAX_SUBSETS = 4096
 _U = np.uint64
@@ -209,46 +214,52 @@ def postings(docs: DataFrame, order: np.ndarray, light: int, size: int = SHINGLE
     return docs.mapInArrow(run, "key long, fp long, n long, pos long")
 
 
-def bloom(fps: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of a column fp, packed: 2**bits bits, whatever the input."""
+def _keys(fp: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return ws.mix(fp.view(np.uint64) ^ ws.mix(doc_id.view(np.uint64)))
+
+
+def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([(ws.mix(keys ^ _U(k)) >> _U(64 - bits)).astype(np.int64) for k in (1, 2)])
+
+
+def bloom(wanted: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of rows (fp, doc_id), packed: 2**bits bits, whatever the input."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(1 << bits, bool)
         for b in batches:
-            have[_bloom_places(b.column(0).to_numpy(), bits)] = True
+            have[_bloom_places(_keys(b.column(0).to_numpy(), b.column(1).to_numpy()), bits)] = True
         if have.any():
             columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([np.packbits(have).tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["task", "part", "data"])
 
     either = lambda parts: np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in parts]).tobytes()
-    merged = merge_tree(fps.select("fp").mapInArrow(fill, "task int, part int, data binary"), either, 16)
+    merged = merge_tree(wanted.select("fp", "doc_id").mapInArrow(fill, "task int, part int, data binary"), either, 16)
     return np.frombuffer(merged[0][1], np.uint8) if merged else np.zeros((1 << bits) // 8, np.uint8)
 
 
-def _bloom_places(fp: np.ndarray, bits: int) -> np.ndarray:
-    h = fp.view(np.uint64)
-    return np.concatenate([(ws.mix(h ^ _U(k)) >> _U(64 - bits)).astype(np.int64) for k in (1, 2)])
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """fp, n, items (hashes as bytes) of the sets whose fp is in wanted: rescanned, and kept where a Bloom filter has them."""
+    """fp, items (hashes as bytes) of the sets in wanted (fp, doc_id): rescanned, and kept where a Bloom filter has the row.
+
+    ``wanted`` names one document of each set, so that copies stay where they are. Rows
+    that repeat that document, and rare false hits, may give a set twice or needlessly;
+    neither changes which pairs link.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = shared.value, set()
         for b in batches:
-            for _, _, x, ptr in shingle_sets(b.column(1), size):
+            ids = b.column(0).to_numpy()
+            for i, j, x, ptr in shingle_sets(b.column(1), size):
                 fp, n = fingerprints(x, ptr), np.diff(ptr)
-                at = _bloom_places(fp, BLOOM_BITS).reshape(2, -1)
-                hit = ((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0) & (n > 0)
-                hit = np.flatnonzero(hit)
+                at = _bloom_places(_keys(fp, ids[i:j]), BLOOM_BITS)
+                hit = np.flatnonzero(((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0) & (n > 0))
                 hit = hit[_dedupe(seen, fp[hit])]
                 if len(hit):
-                    items = [x[ptr[d] : ptr[d + 1]].tobytes() for d in hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[hit]), pa.array(n[hit]), pa.array(items, pa.binary())], ["fp", "n", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[hit]), pa.array([x[ptr[d] : ptr[d + 1]].tobytes() for d in hit], pa.binary())], ["fp", "items"])
 
-    found = docs.mapInArrow(run, "fp long, n long, items binary")
-    return found.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp", "n"])
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(run, "fp long, items binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -266,14 +277,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 ok[k] = 100 * both >= percent * (len(a) + len(c) - both)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
 
-    s = sets.select("fp", "items")
+    s = sets
     left = pairs.join(s.withColumnsRenamed({"fp": "u", "items": "a"}), "u")
     both = left.join(s.withColumnsRenamed({"fp": "v", "items": "b"}), "v").select("u", "v", "a", "b")
     return both.mapInArrow(run, "u long, v long")
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(n: str, pos: str, n2: str, pos2: str, percent: int) -> Column:
+    """Whether two sets may link for all that their sizes and the places of a shared shingle say; the place is null in a subset key."""
+    share = F.ceil(percent * (F.col(n) + F.col(n2)) / (100 + percent))  # what a link needs
+    sizes = 100 * F.least(n, n2) >= percent * F.greatest(n, n2)
+    return sizes & (F.col(pos).isNull() | F.col(pos2).isNull() | ((F.col(n) - F.col(pos) >= share) & (F.col(n2) - F.col(pos2) >= share)))
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,13 +308,18 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     light = boundary(mean_list, percent)
 
     post = stored(postings(d, order, light, size, percent), "postings")
-    hubs = post.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("top")).filter("hub.fp <> top").select("key", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = post.groupBy("key").agg(F.min(F.struct("pos", "fp", "n")).alias("hub"), F.min("fp").alias("low"), F.max("fp").alias("top")).filter("low <> top")
+    hubs = hubs.select("key", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     lists = stored(post.join(hubs, "key"), "lists")
-    beside = lists.filter((F.col("fp") != F.col("hub")) & _sizes_fit("n", "hub_n", percent))
+    beside = lists.filter((F.col("fp") != F.col("hub")) & _may_link("n", "pos", "hub_n", "hub_pos", percent))
     votes = beside.groupBy("fp", "hub").agg(F.count("*").alias("c"))
     one = votes.groupBy("fp").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("fp").alias("u"), F.col("x.hub").alias("v"))
     one = stored(one, "pairs")
-    sets = stored(whole_sets(d, one.select(F.col("u").alias("fp")).unionByName(one.select(F.col("v").alias("fp"))), size), "whole")
+    classes = stats.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least_id"))
+    rep = classes.select("fp", F.coalesce("least_id", F.lit(-1)).alias("doc_id"))
+    named_in = lambda pairs: pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    wanted = stored(rep.join(named_in(one), "fp", "left_semi"), "wanted")
+    sets = stored(whole_sets(d, wanted, size), "whole")
     links = stored(verified(one, sets, percent), "links")
     roots = components(links)
 
@@ -309,20 +328,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_ = stored(labelled.join(mixed, "key", "left_semi").distinct(), "open")
     other = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "comp")))
-    share = F.least("pos", "pos2") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2"))
-    fits = _sizes_fit("n", "n2", percent) & (F.col("pos").isNull() | F.col("pos2").isNull() | ((100 + percent) * share >= percent * (F.col("n") + F.col("n2"))))
-    pairs = open_.join(other, "key").filter((F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & fits).select(F.col("fp").alias("u"), F.col("fp2").alias("v")).distinct()
+    apart = (F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & _may_link("n", "pos", "n2", "pos2", percent)
+    pairs = open_.join(other, "key").filter(apart).select(F.col("fp").alias("u"), F.col("fp2").alias("v")).distinct()
     tried = one.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-    more = rest.select(F.col("u").alias("fp")).unionByName(rest.select(F.col("v").alias("fp"))).distinct()
-    missing = stored(more.join(sets.select("fp"), "fp", "left_anti"), "missing")
+    missing = stored(rep.join(named_in(rest), "fp", "left_semi").join(wanted.select("fp"), "fp", "left_anti"), "wanted")
     if missing.head(1):
         sets = sets.unionByName(stored(whole_sets(d, missing, size), "whole"))
     late = stored(verified(rest, sets, percent), "links")
     if late.head(1):
         roots = components(links.unionByName(late))
 
-    classes = stats.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least_id"))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = named.join(least, "root").select("fp", "n", "component_id")
