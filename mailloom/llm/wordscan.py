@@ -9,6 +9,7 @@ n^2 / 2^65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ import pyarrow as pa
 
 SLICE = 1 << 20
 """Bytes that are hashed at a time; bounds the temporary arrays, not the text."""
+RUN = 1 << 19
+"""Bytes of documents that are scanned together; a longer document is alone."""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -157,7 +161,14 @@ def windows(h: np.ndarray, ptr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(out[at]), at
 
 
-def batches(offsets: np.ndarray, most: int = 2 * SLICE) -> Iterator[tuple[int, int]]:
+def released() -> None:
+    """Gives the allocators' free memory back to the system: a worker lives on between tasks and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def batches(offsets: np.ndarray, most: int = RUN) -> Iterator[tuple[int, int]]:
     """Runs of documents [i, j) of about so many bytes at most; a longer document is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -166,12 +177,13 @@ def batches(offsets: np.ndarray, most: int = 2 * SLICE) -> Iterator[tuple[int, i
         i = j
 
 
-def scan(column: pa.Array, lower: bool, most: int = 2 * SLICE) -> Iterator[tuple[int, int, Words]]:
+def scan(column: pa.Array, lower: bool, most: int = RUN) -> Iterator[tuple[int, int, Words]]:
     """Words of a column's texts, a run of documents [i, j) at a time."""
     data, offsets = buffers(column)
     for i, j in batches(offsets, most):
         part = data[offsets[i] : offsets[j]]
         yield i, j, Words(LOWER[part] if lower else part, offsets[i : j + 1] - offsets[i])
+    released()
 
 
 def signed(h: np.ndarray) -> np.ndarray:
