@@ -23,6 +23,10 @@ group of copies is the one least edited. That joins most groups by as many check
 there are sets. Then only pairs of different components that still share a list are
 checked. Components of all verified links are exact: what is skipped is only between sets
 that are joined already.
+
+The number of links needs every pair. All links lie within components, so that each
+component's sets, in blocks of a bounded size, meet block by block; what two blocks share
+is counted whole, and only sums leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ SKETCH_BLOCK = 1 << 15
 BLOOM_BITS = 24
 SEEN = 100_000
 MAX_SUBSETS = 4096
+BLOCK_SETS, BLOCK_ITEMS = 2048, 1 << 20
+"""Sets and shingles of a component that meet others at a time."""
+SHORT_LIST = 32
+DENSE_COLUMNS = 2048
 _U = np.uint64
 
 
@@ -290,12 +298,105 @@ def _may_link(n: str, pos: str, n2: str, pos2: str, percent: int) -> Column:
     return sizes & (F.col(pos).isNull() | F.col(pos2).isNull() | ((F.col(n) - F.col(pos) >= share) & (F.col(n2) - F.col(pos2) >= share)))
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, a row for each input row.
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many items each set of a shares with each of b; without b, with each later one of a (the rest is not filled)."""
+    sets = a + (b or [])
+    n = np.array([len(x) for x in sets])
+    items, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(items, kind="stable")  # within an item by set, so that those of a come first
+    items, who = items[order], who[order]
+    starts = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+    lengths = np.diff(np.append(starts, len(items)))
+    column, length = np.repeat(np.arange(len(starts)), lengths), np.repeat(lengths, lengths)
+    low, wide = (len(a), len(b)) if b else (0, len(a))
+    out = np.zeros((len(a), wide), np.int64)
+    few = (length > 1) & (length <= SHORT_LIST)
+    c, w = column[few], who[few]
+    for k in range(1, min(SHORT_LIST, int(length[few].max(initial=0)))):
+        at = np.flatnonzero(c[k:] == c[:-k])
+        u, v = w[at], w[at + k]
+        if b:
+            across = (u < low) & (v >= low)
+            u, v = u[across], v[across]
+        np.add.at(out, (u, v - low), 1)
+    many = length > SHORT_LIST
+    if many.any():
+        c, w = np.unique(column[many], return_inverse=True)[1], who[many]
+        for k in range(0, int(c[-1]) + 1, DENSE_COLUMNS):
+            part = slice(*np.searchsorted(c, [k, k + DENSE_COLUMNS]))
+            has = np.zeros((len(sets), DENSE_COLUMNS), np.float32)
+            has[w[part], c[part] - k] = 1
+            out += (has[: len(a)] @ has[low:].T).astype(np.int64)
+    return out
+
+
+def _linked(rows: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a pair of blocks, rows (fp, copies, in the first, items): fp and how many documents its set links with in the other block, or in the same one."""
+    rows = list({r[0]: r for r in rows}.values())  # a set may have come twice
+    first, second = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    both = first + second
+    fp, copies = np.array([r[0] for r in both], np.int64), np.array([r[1] for r in both], np.int64)
+    a, b = ([np.frombuffer(r[3], np.uint64) for r in x] for x in (first, second))
+    n = np.array([len(x) for x in a + b])
+    low, high = (len(a), len(both)) if b else (0, len(a))
+    if not a:
+        return fp, np.zeros(len(fp), np.int64)
+    o = shared_counts(a, b)
+    link = 100 * o >= percent * (n[: len(a), None] + n[None, low:high] - o)
+    if not b:
+        link = np.triu(link, 1)
+    out = np.zeros(len(both), np.int64)
+    out[: len(a)] += link @ copies[low:high]
+    out[low:high] += copies[: len(a)] @ link
+    return fp, out
+
+
+def link_counts(sets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """fp, links of each set that has any: how many documents with another set link with it.
+
+    ``classes`` has fp, n, copies. Every pair of sets of a component is checked, in one
+    task for each pair of the component's blocks.
+    """
+    members = roots.withColumnRenamed("node", "fp").join(classes.select("fp", "n", "copies"), "fp")
+    blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).alias("k"))
+    own = members.join(blocks, "root").select("fp", "root", "copies", "k", F.pmod(F.xxhash64("fp", F.lit(31)), "k").alias("own"))
+    meets = own.join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    pairs = meets.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "copies", (F.col("own") <= F.col("other")).alias("first"), "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, done, held = None, [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            fp, links = (np.concatenate(x) for x in zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(fp[links > 0]), pa.array(links[links > 0])], ["fp", "links"])
+
+        for b in batches:
+            keys, rest = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), zip(*(b.column(k).to_pylist() for k in range(3, 7)), strict=True)
+            for now, row in zip(keys, rest, strict=True):
+                if now != key and rows:
+                    done.append(_linked(rows, percent))
+                    rows, held = [], held + len(done[-1][0])
+                    if held > 1 << 16:
+                        yield batch()
+                        done, held = [], 0
+                key = now
+                rows.append(row)
+        if rows:
+            done.append(_linked(rows, percent))
+        if done:
+            yield batch()
+
+    dealt = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(run, "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and, on demand, n_links, a row for each input row.
 
     A component's id is its smallest doc_id. Null and empty texts have no shingles and
     are their own component; rows with a null id take part in links, and their
-    component has a null id only if no row in it has one.
+    component has a null id only if no row in it has one. n_links counts the other rows
+    that a row links with, those with an equal set among them.
     """
     d = doc_rows(docs, id_col, text_col)
     first = stored(set_sizes(d, size), "sets")
@@ -315,7 +416,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     votes = beside.groupBy("fp", "hub").agg(F.count("*").alias("c"))
     one = votes.groupBy("fp").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("fp").alias("u"), F.col("x.hub").alias("v"))
     one = stored(one, "pairs")
-    classes = stats.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least_id"))
+    classes = stats.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     rep = classes.select("fp", F.coalesce("least_id", F.lit(-1)).alias("doc_id"))
     named_in = lambda pairs: pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     wanted = stored(rep.join(named_in(one), "fp", "left_semi"), "wanted")
@@ -341,15 +442,25 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "n", "component_id")
-    linked = stats.filter("n > 0").join(ids, ["fp", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(stats.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    ids = named.join(least, "root").select("fp", "n", "component_id", "copies")
+    extra, none = [], []
+    if with_links:
+        counted = stored(link_counts(sets, roots, classes, percent), "counts")
+        ids = ids.join(counted, "fp", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        extra, none = ["n_links"], [F.lit(0).cast("long").alias("n_links")]
+    linked = stats.filter("n > 0").join(ids, ["fp", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *extra)
+    return linked.unionByName(stats.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(load(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with the number of links; the SQL, which has none, compares op5_jaccard_join."""
+    return similar_components(load(spark, sf_dir, "documents"), with_links=True)
+
+
 SQL = r"""
 WITH w AS (
   SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w

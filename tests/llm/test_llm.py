@@ -274,6 +274,37 @@ def test_jaccard(spark, percent, size):
     assert got == want
 
 
+@pytest.mark.parametrize(("percent", "block"), [(85, 2048), (80, 7)])
+def test_jaccard_links(spark, monkeypatch, percent, block):
+    """Every pair counts: a large group of differing near copies, exact copies and a chain, in one block and in many."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    base, tail, texts = prose(5, 240).split(), prose(6, 90, 10**6).split(), []
+    for k in range(60):
+        copy = list(base)
+        for e in range(k % 5):
+            copy[(7 * k + 48 * e) % 240] = f"new{k}"
+        texts += [" ".join(copy)] * (1 + k % 3)
+    texts += [" ".join(tail[k : k + 60]) for k in range(0, 30, 3)]
+    df = frame(spark, AWKWARD + texts)
+    sets = {}
+    for row in df.collect():
+        w = WORD.findall(lower(row["text"]))
+        sets[row["doc_id"]] = {tuple(w)} if 0 < len(w) < 4 else {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    want = {i: sum(i != j and bool(a & b) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = {row["doc_id"]: row["n_links"] for row in jaccard.similar_components(df, percent, with_links=True).collect()}
+    assert got == want and max(want.values()) > 50 and len(set(want.values())) > 5
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(2)
+    for short, columns in ((32, 2048), (3, 16)):
+        monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+        monkeypatch.setattr(jaccard, "DENSE_COLUMNS", columns)
+        a, b = ([np.unique(rng.integers(0, 90, rng.integers(1, 60))).astype(np.uint64) for _ in range(n)] for n in (50, 40))
+        assert (jaccard.shared_counts(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+        assert (np.triu(jaccard.shared_counts(a, None), 1) == np.triu([[len(np.intersect1d(x, y)) for y in a] for x in a], 1)).all()
+
+
 def test_jaccard_rows(empty, docs):
     assert jaccard.similar_components(empty).count() == 0
     twice = docs.unionByName(docs)
