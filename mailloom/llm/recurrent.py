@@ -8,8 +8,9 @@ discounts, as one unknown word. At the start the output biases are those frequen
 training begins from a unigram model.
 
 Training is data-parallel: in each round every task runs truncated backpropagation
-(windows of BPTT steps, state carried from window to window) over its share of a fixed
-fraction of the training documents, and the weights are averaged by tokens, in a tree.
+(windows of BPTT steps, state carried from window to window) over its share of the round's
+part of the training documents, and the weights are averaged by tokens, in a tree. The
+parts of all rounds together are all training documents.
 
 Scoring runs all documents of a batch side by side, longest first, window by window,
 the state carried to the document's end. Of rare words it needs only the counts: the
@@ -41,8 +42,8 @@ LEXICON = 1 << 18
 EMBED, HIDDEN = 24, 32
 BPTT, STREAMS = 20, 64
 ROUNDS = ((0, 0.01), (1, 0.005), (2, 0.002))
-SHARE = 12
-"""Each round trains on one of so many parts of the training documents."""
+SHARE = 3
+"""Each round trains on another one of so many parts of the training documents; the rounds cover all of them."""
 WINDOW = 64
 RUN_BYTES = 4 << 20
 COUNT_LIMIT = 1 << 20
@@ -152,6 +153,12 @@ def lexicon(counts: DataFrame, most: int = LEXICON) -> Lexicon:
     return Lexicon(h[order], c[order], symbols[order], head, head_counts, tail_total, tail_words, tokens, distinct, discount)
 
 
+def layout(n: int) -> tuple[int, int]:
+    """How many parallel streams a run of n symbols is cut into, and their length; fewer symbols than streams are left over."""
+    b = max(1, min(STREAMS, n // (4 * BPTT)))
+    return b, (n - 1) // b
+
+
 class Network:
     """The gated recurrent network: symbols in (head words, tail classes), classes and their words out."""
 
@@ -266,8 +273,7 @@ class Network:
 
     def train(self, symbols: np.ndarray, rate: float, moments: dict, done: int) -> int:
         """Truncated backpropagation over a run of whole documents, cut into parallel streams; the state is carried over windows."""
-        b = int(max(1, min(STREAMS, len(symbols) // (4 * BPTT))))
-        length = (len(symbols) - 1) // b
+        b, length = layout(len(symbols))
         if length < 1:
             return done
         x = symbols[: b * length].reshape(b, length)
@@ -334,7 +340,7 @@ def _symbols(w: ws.Words, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def trained(docs: DataFrame, lex: Lexicon, rounds: tuple[tuple[int, float], ...] = ROUNDS, share: int = SHARE) -> Network:
-    """Rounds of local training and averaging; each round sees another fixed share of the training documents."""
+    """Rounds of local training and averaging; each round sees another part of the training documents, dealt by id and text."""
     net = Network(lex)
     sc = docs.sparkSession.sparkContext
     training = docs.filter(crc_remainder(FOLDS) != HELD_OUT)
@@ -344,18 +350,22 @@ def trained(docs: DataFrame, lex: Lexicon, rounds: tuple[tuple[int, float], ...]
         def run(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             start, lex = now.value
             own, moments, done, seen = pickle.loads(pickle.dumps(start)), {}, 0, 0
+            left = np.array([lex.end], np.int32)
             for b in batches:
                 for _, _, w in ws.scan(b.column(1), lower=True):
                     *_, symbols, _ = _symbols(w, lex)
-                    symbols = np.append(np.int32(lex.end), symbols)
-                    done = own.train(symbols, rate, moments, done)
                     seen += len(symbols)
+                    symbols = np.concatenate([left, symbols])
+                    done = own.train(symbols, rate, moments, done)
+                    streams, length = layout(len(symbols))
+                    left = symbols[streams * length :]
+            done = own.train(left, rate, moments, done)
             if seen:
                 weights = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64) * seen
                 data = np.append(weights, seen).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["task", "part", "data"])
 
-        shard = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(share)) == part).select("doc_id", "text")
+        shard = training.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(share)) == part).select("doc_id", "text")
         add = lambda parts: np.sum([np.frombuffer(x) for x in parts], 0).tobytes()
         merged = merge_tree(shard.mapInArrow(run, "task int, part int, data binary"), add)
         if merged:

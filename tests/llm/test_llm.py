@@ -190,6 +190,24 @@ def test_language_model(spark, docs, empty):
     assert recurrent.lm_scores(empty).count() == 0
 
 
+def test_network_sees_every_document(spark):
+    """Each text has a word of its own, whose input vector moves only if that text is trained on; one id, and none, for many texts."""
+    rows = [(i if i < 40 else 7 if i < 50 else None, f"own{i} " * 60) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lex = recurrent.lexicon(common.stored(recurrent.word_counts(d), "counts"))
+    net, start = recurrent.trained(d, lex), recurrent.Network(lex)
+    moved = np.abs(net.p["emb"] - start.p["emb"]).max(1)[: len(lex.head)] > 0
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows]
+    assert len(lex.head) == len(rows) - sum(held) + 1 and moved.all()
+
+
+def test_training_leaves_no_symbol_over():
+    for n in (1, 2, 79, 160, 5000, 90_001):
+        b, length = recurrent.layout(n)
+        left = n - b * length
+        assert 1 <= left <= recurrent.STREAMS and recurrent.layout(left) == (1, left - 1)
+
+
 def test_network_gradients():
     lex = recurrent.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.append(np.arange(1, 40, dtype=np.uint64), recurrent.END), np.arange(40, 0, -1), np.ones(recurrent.TAIL_CLASSES), np.ones(recurrent.TAIL_CLASSES), 100, 50, 0.5)
     net, rng = recurrent.Network(lex), np.random.default_rng(0)
