@@ -682,14 +682,14 @@ def _vectors(spark, d):
 @query("head_logistic")
 def head_logistic(spark, d):
     v = _vectors(spark, d)
-    model = heads.train(v.filter("split = 'train'"), "logistic", maxIter=20)
+    model = heads.train(v.filter("split = 'train'"), "logistic")
     return model.transform(v.filter("split = 'test'")).select("vec_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
 
 
 @query("head_random_forest")
 def head_random_forest(spark, d):
     v = _vectors(spark, d)
-    model = heads.train(v.filter("split = 'train'"), "rf", numTrees=20, maxDepth=8)
+    model = heads.train(v.filter("split = 'train'"), "rf")
     out = flows.predict(v.filter("split = 'test'").withColumn("text", F.lit("")), model)
     return out.select("vec_id", "predicted_class", "is_phishing", F.round(F.element_at("probabilities", "human_benign"), 6).alias("human_benign"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.operators import heads, metrics, sampling
-from mailloom.operators.tfidf import Stylometric
+from mailloom.operators.tfidf import MAX_TERMS, Stylometric
 
 
 @dataclass(frozen=True)
@@ -21,8 +21,8 @@ class Training:
     per_cohort: int = 16_000
     ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)
     seed: int = 42
-    word_terms: int = 5_000
-    char_terms: int = 5_000
+    word_terms: int = MAX_TERMS
+    char_terms: int = MAX_TERMS
     head: str = "rf"
 
     def key(self, *names: str) -> str:

@@ -275,3 +275,23 @@ def test_event_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("w").collect()) == [3, 3]
+
+
+def test_training_is_not_reduced(spark, monkeypatch):
+    from mailloom.plans import catalogue, training
+
+    t = training.Training()
+    assert (t.word_terms, t.char_terms) == (tfidf.MAX_TERMS, tfidf.MAX_TERMS)
+    given = []
+
+    def train(df, name, **parameters):
+        given.append((name, parameters))
+        raise InterruptedError
+
+    monkeypatch.setattr(heads, "train", train)
+    rows = spark.createDataFrame([(0, [0.0])], "vec_id long, features array<double>").selectExpr("*", "'train' as split")
+    monkeypatch.setattr(catalogue, "_vectors", lambda spark, d: rows)
+    for name in ("head_logistic", "head_random_forest"):
+        with pytest.raises(InterruptedError):
+            catalogue.QUERIES[name](spark, "")
+    assert given == [("logistic", {}), ("rf", {})]
