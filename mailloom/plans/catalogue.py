@@ -491,11 +491,11 @@ def quotas(spark, d):
     return sampling.quota_column(14_007, spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("model")).distinct())
 
 
-_MODELS = {"m-one": 40, "m-two": 35}
+_MODELS = sampling.quotas(14_007, ["m-one", "m-two"])
 
 
 def _seeds(spark, d):
-    return _numbered(spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'de'").select("doc_id", "source"), "doc_id").withColumnRenamed("n", "position").withColumnRenamed("source", "seed_source")
+    return _numbered(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id").withColumnRenamed("n", "position").withColumnRenamed("source", "seed_source")
 
 
 @query("seed_pool_lookup")
@@ -508,7 +508,7 @@ def seed_pool_lookup(spark, d):
 def trace_join(spark, d):
     seeds = _seeds(spark, d)
     pool = sampling.seed_pool(spark, seeds, seeds.count(), _MODELS)
-    made = spark.createDataFrame([(m, i) for m in _MODELS for i in range(0, 30, 3)], "source string, seed_idx int")
+    made = pool.select(F.col("model").alias("source"), "seed_idx")
     return sampling.trace(made, pool).select("source", F.col("doc_id").alias("seed_doc_id"))
 
 

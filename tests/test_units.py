@@ -295,3 +295,15 @@ def test_training_is_not_reduced(spark, monkeypatch):
         with pytest.raises(InterruptedError):
             catalogue.QUERIES[name](spark, "")
     assert given == [("logistic", {}), ("rf", {})]
+
+
+def test_pool_is_drawn_from_all_documents(spark, tmp_path):
+    from mailloom.plans import catalogue
+
+    langs = ["de", "en", "fr"]
+    spark.createDataFrame([(3 * i, langs[i % 3], "src0") for i in range(50)], "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(m, k): 3 * p for m, quota in (("m-one", 7004), ("m-two", 7003)) for k, p in enumerate(sampling.pool_positions(50, quota, m))}
+    got = {(r["model"], r["seed_idx"]): r["doc_id"] for r in catalogue.QUERIES["seed_pool_lookup"](spark, str(tmp_path)).collect()}
+    assert got == want
+    traced = sorted((r["source"], r["seed_doc_id"]) for r in catalogue.QUERIES["trace_join"](spark, str(tmp_path)).collect())
+    assert traced == sorted((m, d) for (m, _), d in want.items())
