@@ -5,12 +5,17 @@ turn is hashed with its position, and a running XOR over a conversation's turns
 a 128-bit hash of each of its prefixes. A conversation whose whole hash is a proper
 prefix of another one is anti-joined away; of identical ones the smallest id stays.
 Only hashes take part in this, grouped by value before they are joined, so that one
-conversation or first turn that is logged very often weighs no more than any other;
-the texts move once, to be rendered.
-
-Turns are ordered by turn, role and text. A null role counts as ``unknown``, a null
-text or turn as empty or first; rows without a conversation id belong to none and are
-left out.
+conversation or first turn that is logged very often weighs no more than any other.
+The texts move once, by conversation: turns are put in order there, and rendered from
+the same exchange.
+
+Turns are ordered by turn, role and text, in the hashes as in the rendering, so that
+turns of one number and role have one order everywhere; turns equal in all three are
+repeated turns and all stay. A null role counts as ``unknown``, a null text as empty, a
+null turn as before the first; rows without a conversation id belong to none and are
+left out, other columns are ignored whatever their names, and an empty table gives no
+rows. Conversation ids are compared as they are; of identical conversations the
+smallest id stays.
 """
 
 from __future__ import annotations
@@ -30,11 +35,12 @@ def turn_rows(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, k, n, a, b: the hash (a, b) of each conversation's first k turns, of n."""
-    hashed = turns.select("conv_id", "turn", F.xxhash64("role", "text").alias("x"), F.xxhash64(F.lit(7), F.reverse("text"), "role").alias("y"), "role", F.xxhash64("text").alias("t"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "t", "y")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = hashed.withColumn("k", F.row_number().over(order))
-    return at.select("conv_id", "k", F.count("*").over(Window.partitionBy("conv_id")).alias("n"), F.bit_xor(F.xxhash64("k", "x", "y")).over(upto).alias("a"), F.bit_xor(F.xxhash64("y", "k", "x")).over(upto).alias("b"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    placed = turns.withColumn("k", F.row_number().over(order))
+    hashed = placed.select("conv_id", "k", F.xxhash64("role", "text").alias("x"), F.xxhash64(F.lit(7), F.reverse("text"), "role").alias("y"))
+    whole = Window.partitionBy("conv_id")
+    upto = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return hashed.select("conv_id", "k", F.count("*").over(whole).alias("n"), F.bit_xor(F.xxhash64("k", "x", "y")).over(upto).alias("a"), F.bit_xor(F.xxhash64("y", "k", "x")).over(upto).alias("b"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
