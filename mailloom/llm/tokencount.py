@@ -1,10 +1,14 @@
 """Token counts from an exact length histogram.
 
 Texts are encoded whole; only their lengths are kept, and aggregated to one row per
-distinct length. Suffix sums over that histogram answer, for every context limit, how
-many documents reach it, how many tokens survive truncation and how many are lost.
-The sums run in two levels (blocks of lengths, then the blocks), so that no task
-reads the whole histogram.
+distinct length, which is written once. Suffix sums over that histogram answer, for every
+context limit, how many documents reach it, how many tokens survive truncation and how
+many are lost: each row also names the limits between the next shorter length and its
+own, over which these figures are linear in the limit. The sums run in two levels (blocks
+of lengths, then the blocks), so that no task reads the whole histogram.
+
+Every row counts, repeated rows too; a null text counts as empty and has no tokens; ids,
+which may be null, and other columns take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_bpe_path, byte_tokenizer, doc_rows, load
+from .common import byte_bpe_path, byte_tokenizer, doc_rows, load, stored
 
 BLOCK = 1024
 
@@ -42,20 +46,27 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds, for a limit equal to each length: docs and tokens at or above it, tokens kept and lost by truncation, and the share of documents up to it.
 
-    An empty histogram gives no rows. The blocks' own sums, one row per ``block``
-    lengths, are the only thing that is summed in one place.
+    Any limit from limit_from to length truncates the same documents, the docs_at_least
+    ones, except those of just that length: it keeps tokens_below + limit * docs_at_least
+    tokens. A limit beyond the longest text keeps everything. An empty histogram gives no
+    rows. The blocks' own sums, one row per ``block`` lengths, are the only thing that is
+    summed in one place.
     """
-    h = histogram.withColumn("blk", F.floor(F.col("length") / block))
-    blocks = h.groupBy("blk").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
-    above = Window.orderBy(F.col("blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.col("blk").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = stored(histogram.select("length", "n_docs"), "histogram").withColumn("blk", F.floor(F.col("length") / block))
+    blocks = h.groupBy("blk").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"), F.max("length").alias("longest"))
+    falling = Window.orderBy(F.col("blk").desc())
+    above = falling.rowsBetween(Window.unboundedPreceding, -1)
+    everything = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    blocks = blocks.select("blk", zero(F.sum("d").over(above)).alias("docs_above"), zero(F.sum("t").over(above)).alias("tokens_above"), F.sum("d").over(everything).alias("total_docs"), F.sum("t").over(everything).alias("total_tokens"))
-    inside = Window.partitionBy("blk").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = h.join(blocks, "blk").withColumns({"docs_at_least": F.sum("n_docs").over(inside) + F.col("docs_above"), "tokens_at_least": F.sum(F.col("n_docs") * F.col("length")).over(inside) + F.col("tokens_above")})
-    kept = F.col("total_tokens") - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least")
+    blocks = blocks.select("blk", zero(F.sum("d").over(above)).alias("docs_above"), zero(F.sum("t").over(above)).alias("tokens_above"), F.sum("d").over(everything).alias("total_docs"), F.sum("t").over(everything).alias("total_tokens"), F.lead("longest").over(falling).alias("shorter"))
+    order = Window.partitionBy("blk").orderBy(F.col("length").desc())
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = h.join(blocks, "blk").withColumns({"docs_at_least": F.sum("n_docs").over(inside) + F.col("docs_above"), "tokens_at_least": F.sum(F.col("n_docs") * F.col("length")).over(inside) + F.col("tokens_above"), "shorter": F.coalesce(F.lead("length").over(order), "shorter")})
+    below = F.col("total_tokens") - F.col("tokens_at_least")
+    kept = below + F.col("length") * F.col("docs_at_least")
     up_to = F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")
-    return out.select("length", "n_docs", "docs_at_least", "tokens_at_least", kept.alias("tokens_kept"), (F.col("total_tokens") - kept).alias("tokens_lost"), up_to.alias("docs_up_to"), (up_to / F.col("total_docs")).alias("quantile"), "total_docs", "total_tokens")
+    sums = ("length", "n_docs", "docs_at_least", "tokens_at_least", kept.alias("tokens_kept"), (F.col("total_tokens") - kept).alias("tokens_lost"), up_to.alias("docs_up_to"), (up_to / F.col("total_docs")).alias("quantile"))
+    return out.select(*sums, "total_docs", "total_tokens", zero(F.col("shorter") + 1).alias("limit_from"), below.alias("tokens_below"))
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
