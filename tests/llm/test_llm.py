@@ -384,6 +384,32 @@ def test_chat(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def brute_chats(rows):
+    """conv_id of the maximal conversations, from whole lists of turns."""
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((-1 if turn is None else turn, role, text))
+    by = {c: sorted(x) for c, x in by.items()}
+    longer = [x for x in by.values()]
+    keep = {c for c, x in by.items() if not any(len(o) > len(x) and o[: len(x)] == x for o in longer)}
+    first = {}
+    for c in sorted(keep):
+        first.setdefault(tuple(by[c]), c)
+    return set(first.values())
+
+
+def test_chat_tied_turns(spark):
+    """Two turns of one number and role: hashes and rendering must put them in one order."""
+    r, rows = random.Random(3), []
+    for c in range(66):
+        a, b = sorted([f"first {r.random()}", f"second {r.random()}"], key=lambda _: r.random())
+        rows += [(2 * c, 0, "user", a), (2 * c, 0, "user", b), (2 * c + 1, 0, "user", max(a, b))]
+    assert brute_chats(rows) == set(range(132))
+    rows += [(1000 + c, t, "user", r.choice("xyz")) for c in range(200) for t in [0, 0, 1, 1, 2][: r.randint(1, 5)]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {x["conv_id"] for x in chat.format_chats(df).collect()} == brute_chats(rows)
+
+
 # ---- 8 ---------------------------------------------------------------------------
 
 
@@ -393,6 +419,11 @@ def test_token_counts(docs, empty):
     for r in sums.collect():
         x = r["length"]
         assert (r["n_docs"], r["docs_at_least"], r["tokens_at_least"], r["tokens_kept"], r["tokens_lost"], r["docs_up_to"]) == (n.count(x), sum(k >= x for k in n), sum(k for k in n if k >= x), sum(min(k, x) for k in n), sum(max(k - x, 0) for k in n), sum(k <= x for k in n))
+    edges = sorted((r["limit_from"], r["length"], r["tokens_below"], r["docs_at_least"]) for r in sums.collect())
+    assert edges[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(edges, edges[1:]))
+    for limit in [*range(200), 1000, 2999, max(n)]:
+        low, high, below, docs_ = next(e for e in edges if e[0] <= limit <= e[1])
+        assert below + limit * docs_ == sum(min(k, limit) for k in n)
     for r in tokencount.at_limits(sums, [0, 7, 10**6]).collect():
         assert (r["docs_truncated"], r["tokens_kept"], r["tokens_lost"]) == (sum(k > r["limit"] for k in n), sum(min(k, r["limit"]) for k in n), sum(max(k - r["limit"], 0) for k in n))
     assert tokencount.quantile(sums, 0.5).first()[0] == sorted(n)[math.ceil(len(n) / 2) - 1]
@@ -466,14 +497,66 @@ def test_bpe(docs, empty, library):
     assert bpe.encode_digests(empty).count() == 0
 
 
-def test_bpe_streams(library):
+def fed(enc, text, size):
+    machine, out = bpe.Transducer(enc, 4), []
+    data = text.encode()
+    for k in range(0, len(data), size):
+        out += machine.feed(data[k : k + size])
+        assert len(machine.held) <= machine.limit
+    return out + machine.finish()
+
+
+def test_bpe_transducer(library):
     enc, r = bpe.encoder(common.word_bpe_path()), random.Random(8)
-    for _ in range(30):
-        w = "".join(r.choice(r.choice(["ab", "thein", "aeiouy", "abcdefghijklmnopqrstuvwxyz"])) for _ in range(700))
-        ids = list(enc.stream(enc.symbols(w), 4))
-        assert ids == enc.merge(list(enc.symbols(w))) == library.encode(w, add_special_tokens=False).ids
+    for k in range(30):
+        w = "".join(r.choice(r.choice(["ab", "thein", "aeiouy", "abcdefghijklmnopqrstuvwxyz"])) for _ in range(700 if k else 3))
+        whole = enc.merge([*(enc.inner[b] for b in w.encode()[:-1]), enc.last[w.encode()[-1]]])
+        assert fed(enc, w, 50) == fed(enc, w, 1) == whole == library.encode(w, add_special_tokens=False).ids
     for t in ["a é日本 🙂 12", "x" * 3000, "plain words here"]:
-        assert "".join(enc.text(enc.encode(t).tolist())).split() == t.replace("12", "1 2").split()
+        machine = bpe.Decoder(enc, False)
+        assert "".join([*(machine.feed([i]) for i in enc.encode(t).tolist()), machine.finish()]).split() == t.replace("12", "1 2").split()
+
+
+HARD = [
+    "don't we'll I'RE it" + "'" * 3 + "s !!'s 'r 're 'll",
+    "<|endoftext|>a<|startoftext|><|endof|><|endoftext",
+    "e\u0301e\u0323\u0302 A\u030a \u1112\u1161\u11ab \u212b",
+    "ΑΣ Σας ẞİ ǅ",
+    "x" * 90 + "!?" * 60 + "é" * 40,
+    "٣४5½Ⅷ",
+    "\u00a0\u2003\x85\x1c-\u200b",
+    "日本語" * 50 + "'s" + "z" * 70,
+    "a\u0300\u0301\u0302" * 40,
+]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 64])
+def test_bpe_blocks(library, monkeypatch, size):
+    """Whatever the blocks a text comes in, ids and decoded text are the library's."""
+    monkeypatch.setattr(bpe, "LONG_RUN", 16)
+    enc = bpe.encoder(common.word_bpe_path())
+    for t in [*AWKWARD[:8], *HARD, " ".join(HARD), "".join(HARD)]:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        blocks = list(bpe.text_blocks(memoryview((t or "").encode()), size))
+        assert "".join(blocks) == (t or "")
+        assert np.frombuffer(b"".join(enc.encode_blocks(blocks)), "<u4").tolist() == ids
+        want = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert bpe.digests(enc, blocks)[::2] == (len(ids), want)
+
+
+@pytest.mark.parametrize("word", ["word ", "z", "日", "!"])
+def test_bpe_memory(word):
+    """A long text, of words or of one pre-token, needs no more memory than a short one."""
+    import tracemalloc
+
+    enc = bpe.encoder(common.word_bpe_path())
+    size = 20 << 20 if word == "word " else 1 << 18
+    bpe.digests(enc, [word * 100])
+    tracemalloc.start()
+    bpe.digests(enc, (word * (1 << 13) for _ in range(size // (len(word) << 13))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
 
 
 def test_byte_vocabularies_agree():
