@@ -34,6 +34,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ MEMO_WORDS, MEMO_CHARS = 150_000, 64
 """Pre-tokens of at most so many characters whose ids a worker remembers; beyond their number the memory is begun anew."""
 LONG_RUN = 1024
 """Characters of a pre-token without an end from which on its symbols are handed over as they come."""
+NO_MERGE = 1 << 60
 
 
 @lru_cache(maxsize=1)
@@ -179,8 +181,8 @@ class Encoder:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.lookahead = sufficient_lookahead(merges)
-        # a rank for each pair of ids, and the id it makes
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.special_starts = {s[:n] for s in self.specials for n in range(1, len(s))}
@@ -204,26 +206,20 @@ class Encoder:
         self.memo = Memo(self)
 
     def merge(self, ids: list[int]) -> list[int]:
-        """All merges within a list of symbol ids, by rank, then from the left."""
-        ranks = self.ranks
-        while len(ids) > 1:
-            best, made, at = 1 << 60, 0, -1
-            for i in range(len(ids) - 1):
-                r = ranks.get((ids[i], ids[i + 1]))
-                if r is not None and r[0] < best:
-                    (best, made), at = r, i
-            if at < 0:
+        """All merges within a list of symbol ids, which is changed: by rank, then from the left."""
+        get = self.ranks.get
+        pairs = [get(p, NO_MERGE) for p in pairwise(ids)]
+        while pairs:
+            best = min(pairs)
+            if best == NO_MERGE:
                 break
-            a, b = ids[at], ids[at + 1]
-            out, i, n = ids[:at], at, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = pairs.index(best)
+            ids[i : i + 2] = (self.made[best],)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
+            if i < len(pairs):
+                pairs[i] = get((ids[i], ids[i + 1]), NO_MERGE)
         return ids
 
     def sections(self, blocks: Iterable[str]) -> Iterator[tuple[str, bool] | int]:
