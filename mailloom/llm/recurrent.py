@@ -7,16 +7,22 @@ which a word's share is its discounted count, and words never seen share the
 discounts, as one unknown word. At the start the output biases are those frequencies, so that
 training begins from a unigram model.
 
-Training is data-parallel: in each round every task runs truncated backpropagation
-(windows of BPTT steps, state carried from window to window) over its share of the round's
-part of the training documents, and the weights are averaged by tokens, in a tree. The
-parts of all rounds together are all training documents.
+Texts are read twice, for the counts and to be coded as symbols of the head and the tail
+classes; training and scoring read the symbols. Training is data-parallel. A number of
+workers that follows from the number of training tokens, and not from partitions, shares
+the documents by hash; in each round every worker runs truncated backpropagation (windows
+of BPTT steps, state carried from window to window) over its documents of the round, and the
+weights are averaged by tokens, in a tree. The rounds together see all training documents,
+each once.
 
 Scoring runs all documents of a batch side by side, longest first, window by window,
 the state carried to the document's end. Of rare words it needs only the counts: the
 most frequent ones come with the model, the rest by a join on the word's hash.
 
-A null text counts as empty: one token, the end. Words are keyed by 64-bit hashes.
+A null text counts as empty: one token, the end. Every input row is scored, repeated rows
+too, and counts once in training if its id is a training id; a null id counts as an empty
+text in the choice of the fold. Equal rows have equal scores. Other columns take no part. An
+empty table gives no rows. Words are keyed by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,12 +46,16 @@ TAIL_CLASSES = 32
 LEXICON = 1 << 18
 """Words whose counts every worker holds; the rest are joined."""
 EMBED, HIDDEN = 24, 32
-BPTT, STREAMS = 20, 64
-ROUNDS = ((0, 0.01), (1, 0.005), (2, 0.002))
-SHARE = 3
-"""Each round trains on another one of so many parts of the training documents; the rounds cover all of them."""
+BPTT = 20
+ROUNDS = (0.01, 0.005, 0.002)
+"""Learning rates; each round trains on another one of so many parts of the training documents, and the rounds cover all of them."""
+WORKER_TOKENS, MAX_WORKERS = 4 << 20, 8192
+"""Training tokens for one worker; from so many workers on, each gets more."""
+STREAMS, UPDATES = (16, 512), 800
+"""A worker's parallel streams, within these bounds so many that it makes about UPDATES updates."""
 WINDOW = 64
 RUN_BYTES = 4 << 20
+RUN_SYMBOLS = 1 << 19
 COUNT_LIMIT = 1 << 20
 _U = np.uint64
 END = np.array([0x2545F4914F6CDD1D], np.uint64)
@@ -129,13 +139,16 @@ def lexicon(counts: DataFrame, most: int = LEXICON) -> Lexicon:
     """From word counts; the driver gets at most so many words, and totals."""
     n = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     tokens, distinct, ones, twos = (int(x or 0) for x in n)
-    step = F.floor(F.log2("c") * 16)  # some hundred steps of frequency: whole ones go in as long as they fit
-    room, floor = most - 1, 1 << 20
+    step = F.floor(F.log2("c") * 16)  # some hundred steps of frequency: whole ones go in as long as they fit, and of the next one a share by hash
+    room, floor, share = most - 1, 1 << 20, 0
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():
+        floor = r["step"]
         if r["n"] > room:
+            share = int(0.95 * room / r["n"] * (1 << 30))
             break
-        room, floor = room - r["n"], r["step"]
-    top = counts.filter((step >= floor) | (F.col("word") == ws.signed(END).tolist()[0])).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])
+        room, share = room - r["n"], 1 << 30
+    taken = (step > floor) | ((step == floor) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share))
+    top = counts.filter(taken | (F.col("word") == ws.signed(END).tolist()[0])).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])
     h, c = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     head = h[: CLASSES * CLASS_WORDS]
     if END[0] not in head:
@@ -153,12 +166,18 @@ def lexicon(counts: DataFrame, most: int = LEXICON) -> Lexicon:
     return Lexicon(h[order], c[order], symbols[order], head, head_counts, tail_total, tail_words, tokens, distinct, discount)
 
 
-def layout(n: int) -> tuple[int, int]:
+def layout(n: int, streams: int) -> tuple[int, int]:
     """How many parallel streams a run of n symbols is cut into, and their length; fewer symbols than streams are left over."""
-    b = max(1, min(STREAMS, n // (4 * BPTT)))
+    b = max(1, min(streams, n // (4 * BPTT)))
     return b, (n - 1) // b
 
 
+def falling_exp(s: np.ndarray) -> np.ndarray:
+    """exp of s [kinds, rows], in place, each row's largest moved to 1; the kinds come first because numpy adds up rows faster than within them."""
+    s -= s.max(0)
+    return np.exp(s, out=s)
+
+
 class Network:
     """The gated recurrent network: symbols in (head words, tail classes), classes and their words out."""
 
@@ -203,17 +222,17 @@ class Network:
         p = self.p
         tail = y >= self.k
         cls = np.where(tail, self.classes + y - self.k, y // CLASS_WORDS)
-        s = h @ p["wc"] + p["bc"]
-        s -= s.max(1, keepdims=True)
-        out = s[np.arange(len(y)), cls] - np.log(np.exp(s).sum(1))
+        s = p["wc"].T @ h.T + p["bc"][:, None]
+        s -= s.max(0)
+        out = s[cls, np.arange(len(y))] - np.log(np.exp(s).sum(0))
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
         for c in range(self.classes):
             at = order[edges[c] : edges[c + 1]]
             if len(at):
-                s = h[at] @ p["ww"][c] + p["bw"][c]
-                s -= s.max(1, keepdims=True)
-                out[at] += s[np.arange(len(at)), y[at] % CLASS_WORDS] - np.log(np.exp(s).sum(1))
+                s = p["ww"][c].T @ h[at].T + p["bw"][c][:, None]
+                s -= s.max(0)
+                out[at] += s[y[at] % CLASS_WORDS, np.arange(len(at))] - np.log(np.exp(s).sum(0))
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -234,25 +253,22 @@ class Network:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         tail = target >= self.k
         cls = np.where(tail, self.classes + target - self.k, target // CLASS_WORDS)
-        s = flat @ p["wc"] + p["bc"]
-        s = np.exp(s - s.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
-        s[np.arange(m), cls] -= 1
-        s /= m
-        g["wc"], g["bc"] = flat.T @ s, s.sum(0)
-        dh = s @ p["wc"].T
+        s = falling_exp(p["wc"].T @ flat.T + p["bc"][:, None])
+        s *= (1 / m) / s.sum(0)
+        s[cls, np.arange(m)] -= 1 / m
+        g["wc"], g["bc"] = flat.T @ s.T, s.sum(1)
+        dh = s.T @ p["wc"].T
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
         for c in range(self.classes):
             at = order[edges[c] : edges[c + 1]]
             if len(at):
-                s = flat[at] @ p["ww"][c] + p["bw"][c]
-                s = np.exp(s - s.max(1, keepdims=True))
-                s /= s.sum(1, keepdims=True)
-                s[np.arange(len(at)), target[at] % CLASS_WORDS] -= 1
-                s /= m
-                g["ww"][c], g["bw"][c] = flat[at].T @ s, s.sum(0)
-                dh[at] += s @ p["ww"][c].T
+                own = flat[at]
+                s = falling_exp(p["ww"][c].T @ own.T + p["bw"][c][:, None])
+                s *= (1 / m) / s.sum(0)
+                s[target[at] % CLASS_WORDS, np.arange(len(at))] -= 1 / m
+                g["ww"][c], g["bw"][c] = own.T @ s.T, s.sum(1)
+                dh[at] += s.T @ p["ww"][c].T
         dx = np.zeros((t, b, 3 * HIDDEN), np.float32)
         back = np.zeros((b, HIDDEN), np.float32)
         for i in range(t - 1, -1, -1):
@@ -268,12 +284,15 @@ class Network:
         dx, inputs = dx.reshape(-1, 3 * HIDDEN), x.T.ravel()
         g["bx"] = dx.sum(0)
         g["wx"] = p["emb"][inputs].T @ dx
-        np.add.at(g["emb"], inputs, dx @ p["wx"].T)
+        order = np.argsort(inputs, kind="stable")
+        ranked = inputs[order]
+        new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        g["emb"][ranked[new]] = np.add.reduceat((dx @ p["wx"].T)[order], new, axis=0)
         return g, h
 
-    def train(self, symbols: np.ndarray, rate: float, moments: dict, done: int) -> int:
+    def train(self, symbols: np.ndarray, streams: int, rate: float, moments: dict, done: int) -> int:
         """Truncated backpropagation over a run of whole documents, cut into parallel streams; the state is carried over windows."""
-        b, length = layout(len(symbols))
+        b, length = layout(len(symbols), streams)
         if length < 1:
             return done
         x = symbols[: b * length].reshape(b, length)
@@ -339,33 +358,101 @@ def _symbols(w: ws.Words, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, g, at, out, ptr
 
 
-def trained(docs: DataFrame, lex: Lexicon, rounds: tuple[tuple[int, float], ...] = ROUNDS, share: int = SHARE) -> Network:
-    """Rounds of local training and averaging; each round sees another part of the training documents, dealt by id and text."""
+def coded(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """What a second scan of the texts gives, written once, in rows of two kinds.
+
+    One for each input row: uid, doc_id, held_out, n_tokens, n_known and base (log10 sum) of
+    the words in the lexicon, tail (log10 of their shares in their tail classes), and its
+    symbols as 16-bit integers. And, with the rest null, one for each word of it that is
+    not in the lexicon: uid, word, g (its tail class), times.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(lex)
+    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail", "symbols", "word", "g", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        uid, k = TaskContext.get().partitionId() << 32, len(lex.head)
+        end_count = int(lex.head_counts[lex.end])
+        for b in batches:
+            ids, held = b.column(0), b.column(2)
+            for i, j, w in ws.scan(b.column(1), True, RUN_BYTES):
+                m = j - i
+                h, g, at, symbols, ptr = _symbols(w, lex)
+                doc, known = w.docs(), at >= 0
+                base = np.bincount(doc[known], lex.base(lex.counts[at[known]]), m) + lex.base(np.array(end_count))
+                tail = known & (symbols[np.arange(len(h)) + doc] >= k)
+                inside = np.bincount(doc[tail], lex.inside_tail(lex.counts[at[tail]], g[tail]), m).astype(float)
+                n_known = np.bincount(doc[known], minlength=m) + (end_count > 0)
+                data = pa.Array.from_buffers(pa.large_binary(), m, [None, pa.py_buffer((2 * ptr).astype(np.int64)), pa.py_buffer(symbols.astype("<i2"))]).cast(pa.binary())
+                uids = uid + np.arange(m)
+                uid += m
+                none = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(uids), ids.slice(i, m), held.slice(i, m), pa.array(w.counts + 1), pa.array(n_known), pa.array(base), pa.array(inside), data, *none], names)
+                rare = np.flatnonzero(~known)
+                if len(rare):
+                    order = rare[np.lexsort((h[rare], doc[rare]))]
+                    new = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
+                    times = np.diff(np.append(new, len(order)))
+                    o = order[new]
+                    none = [pa.nulls(len(o), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[doc[o]]), *none, pa.array(ws.signed(h[o])), pa.array(g[o].astype(np.int32)), pa.array(times)], names)
+
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, symbols binary, word long, g int, times long"
+    return stored(docs.select("doc_id", "text", (crc_remainder(FOLDS) == HELD_OUT).alias("held_out")).mapInArrow(run, schema), "coded")
+
+
+def trained(code: DataFrame, lex: Lexicon, rates: tuple[float, ...] = ROUNDS, worker_tokens: int = WORKER_TOKENS) -> Network:
+    """Rounds of local training and averaging.
+
+    Documents are dealt to rounds, and put in order, by what they are, but to workers by the row, so that
+    no id or text that many rows repeat weighs on one worker.
+    """
     net = Network(lex)
-    sc = docs.sparkSession.sparkContext
-    training = docs.filter(crc_remainder(FOLDS) != HELD_OUT)
-    for part, rate in rounds:
-        now = sc.broadcast((net, lex))
+    sc = code.sparkSession.sparkContext
+    workers = min(MAX_WORKERS, max(1, -(-lex.tokens // worker_tokens)))
+    streams = int(np.clip(lex.tokens // workers // (BPTT * UPDATES), *STREAMS))
+    dealt = lambda n, c: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(n)).cast("int")
+    training = code.filter("word is null and not held_out").select("uid", "symbols", F.xxhash64("doc_id", "symbols").alias("key")).select("*", dealt(len(rates), "key").alias("round"), dealt(workers, "uid").alias("worker"))
+    for part, rate in enumerate(rates):
+        now = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
-            start, lex = now.value
-            own, moments, done, seen = pickle.loads(pickle.dumps(start)), {}, 0, 0
-            left = np.array([lex.end], np.int32)
+            start, worker, own = now.value, None, None
+            held, n, seen, moments, done = [], 0, 0, {}, 0
+
+            def step(last: bool) -> None:
+                nonlocal held, n, done
+                symbols = np.concatenate(held)
+                b, length = layout(len(symbols), streams)
+                done = own.train(symbols, streams, rate, moments, done)
+                left = symbols[b * length :]
+                if last:
+                    done = own.train(left, streams, rate, moments, done)
+                held, n = [left], len(left)
+
+            def finished() -> Iterator[pa.RecordBatch]:
+                if seen:
+                    step(True)
+                    weights = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64) * seen
+                    data = np.append(weights, seen).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([worker], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["task", "part", "data"])
+
             for b in batches:
-                for _, _, w in ws.scan(b.column(1), lower=True):
-                    *_, symbols, _ = _symbols(w, lex)
+                for who, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if who != worker:
+                        yield from finished()
+                        worker, own = who, pickle.loads(pickle.dumps(start))
+                        held, n, seen, moments, done = [np.array([start.end], np.int16)], 1, 0, {}, 0
+                    symbols = np.frombuffer(data.as_buffer(), "<i2")
+                    held.append(symbols)
+                    n += len(symbols)
                     seen += len(symbols)
-                    symbols = np.concatenate([left, symbols])
-                    done = own.train(symbols, rate, moments, done)
-                    streams, length = layout(len(symbols))
-                    left = symbols[streams * length :]
-            done = own.train(left, rate, moments, done)
-            if seen:
-                weights = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64) * seen
-                data = np.append(weights, seen).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["task", "part", "data"])
-
-        shard = training.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(share)) == part).select("doc_id", "text")
+                    if n > streams * 8 * BPTT:
+                        step(False)
+            yield from finished()
+
+        shard = training.filter(F.col("round") == part).repartition(workers, "worker").sortWithinPartitions("worker", "key", "uid").select("worker", "symbols")
         add = lambda parts: np.sum([np.frombuffer(x) for x in parts], 0).tobytes()
         merged = merge_tree(shard.mapInArrow(run, "task int, part int, data binary"), add)
         if merged:
@@ -382,51 +469,32 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     d = doc_rows(docs, id_col, text_col)
     counts = stored(word_counts(d), "counts")
     lex = lexicon(counts)
-    net = trained(d, lex)
-    shared = d.sparkSession.sparkContext.broadcast((net, lex))
+    code = coded(d, lex)
+    shared = d.sparkSession.sparkContext.broadcast(trained(code, lex))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, lex = shared.value
-        names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "g", "times"]
-        uid = TaskContext.get().partitionId() << 32
-        end_count = int(lex.head_counts[lex.end])
+        net = shared.value
         for b in batches:
-            ids, held = b.column(0), b.column(2)
-            for i, j, w in ws.scan(b.column(1), True, RUN_BYTES):
-                m = j - i
-                h, g, at, symbols, ptr = _symbols(w, lex)
-                doc, known = w.docs(), at >= 0
-                score = net.score(symbols, ptr) / np.log(10)
-                c = lex.counts[at[known]]
-                base = np.bincount(doc[known], lex.base(c), m) + lex.base(np.array(end_count))
-                tail = known & (symbols[np.arange(len(h)) + doc] >= net.k)
-                score += np.bincount(doc[tail], lex.inside_tail(lex.counts[at[tail]], g[tail]), m)
-                n_known = np.bincount(doc[known], minlength=m) + (end_count > 0)
-                uids = uid + np.arange(m)
-                uid += m
-                none = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(uids), ids.slice(i, m), held.slice(i, m), pa.array(w.counts + 1), pa.array(n_known), pa.array(base), pa.array(score), *none], names)
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    order = rare[np.lexsort((h[rare], doc[rare]))]
-                    new = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
-                    times = np.diff(np.append(new, len(order)))
-                    o = order[new]
-                    none = [pa.nulls(len(o), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[doc[o]]), *none, pa.array(ws.signed(h[o])), pa.array(g[o].astype(np.int32)), pa.array(times)], names)
+            ends = np.concatenate([[0], np.cumsum(b.column(7).to_numpy())])
+            score = np.zeros(b.num_rows)
+            for i, j in ws.batches(ends, RUN_SYMBOLS):
+                symbols = np.frombuffer(b"".join([x.as_buffer() for x in b.column(6).slice(i, j - i)]), "<i2")
+                score[i:j] = net.score(symbols, ends[i : j + 1] - ends[i]) / np.log(10)
+            total = pa.array(score + b.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], total, b.column(7)], ["uid", "doc_id", "held_out", "n_known", "base_score", "score", "n_tokens"])
 
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, g int, times long"
-    found = stored(d.withColumn("held_out", crc_remainder(FOLDS) == HELD_OUT).mapInArrow(run, schema), "scores")
+    rows = code.filter("word is null").select("uid", "doc_id", "held_out", "n_known", F.col("base").alias("base_score"), "tail", "symbols", "n_tokens")
+    scored = rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_known long, base_score double, score double, n_tokens long")
 
     c = F.coalesce("c", F.lit(0).cast("long"))
     log_tail = F.log10(F.when(c > 0, F.greatest(c - lex.discount, F.lit(1e-9))).otherwise(F.element_at(F.array(*map(F.lit, lex.unknown().tolist())), F.col("g") + 1)))
     totals = (lex.tail_total + lex.unknown() - lex.discount * lex.tail_words).tolist()
     log_tail = log_tail - F.log10(F.element_at(F.array(*map(F.lit, totals)), F.col("g") + 1))
     log_base = F.log10((c + 1) / F.lit(float(lex.tokens + lex.distinct + 1)))
-    rare = found.filter("word is not null").select("uid", "word", "g", "times").join(counts.select("word", "c"), "word", "left")
+    rare = code.filter("word is not null").select("uid", "word", "g", "times").join(counts.select("word", "c"), "word", "left")
     rare = rare.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(log_base * F.col("times")).alias("b2"), F.sum(log_tail * F.col("times")).alias("s2"))
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    out = found.filter("word is null").join(rare, "uid", "left")
+    out = scored.join(rare, "uid", "left")
     return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "k2"), F.lit(lex.tokens).cast("long").alias("train_tokens"), plus("base_score", "b2"), plus("score", "s2"))
 
 

@@ -195,7 +195,7 @@ def test_network_sees_every_document(spark):
     rows = [(i if i < 40 else 7 if i < 50 else None, f"own{i} " * 60) for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     lex = recurrent.lexicon(common.stored(recurrent.word_counts(d), "counts"))
-    net, start = recurrent.trained(d, lex), recurrent.Network(lex)
+    net, start = recurrent.trained(recurrent.coded(d, lex), lex), recurrent.Network(lex)
     moved = np.abs(net.p["emb"] - start.p["emb"]).max(1)[: len(lex.head)] > 0
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows]
     assert len(lex.head) == len(rows) - sum(held) + 1 and moved.all()
@@ -203,9 +203,67 @@ def test_network_sees_every_document(spark):
 
 def test_training_leaves_no_symbol_over():
     for n in (1, 2, 79, 160, 5000, 90_001):
-        b, length = recurrent.layout(n)
-        left = n - b * length
-        assert 1 <= left <= recurrent.STREAMS and recurrent.layout(left) == (1, left - 1)
+        for streams in (16, 512):
+            b, length = recurrent.layout(n, streams)
+            left = n - b * length
+            assert 1 <= left <= streams and recurrent.layout(left, streams)[0] * recurrent.layout(left, streams)[1] >= left - streams
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    """Held-out scores of one and of 64 partitions, and of a network that has learned nothing."""
+    chain, rows = random.Random(12), []
+    follow = {k: [chain.randrange(150) for _ in range(3)] for k in range(150)}
+    for i in range(300):
+        k, text = chain.randrange(150), []
+        for _ in range(250):
+            k = chain.choice(follow[k])
+            text.append(f"w{k}")
+        rows.append((i, " ".join(text)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    total = lambda df: sum(r["score"] for r in df.filter("held_out").collect())
+    one, many = total(recurrent.lm_scores(d.repartition(1))), total(recurrent.lm_scores(d.repartition(64, "doc_id")))
+    lex = recurrent.lexicon(common.stored(recurrent.word_counts(d), "counts"))
+    code = recurrent.coded(d, lex)
+    untrained = recurrent.Network(lex)
+    none = sum(untrained.score(np.frombuffer(r["symbols"], "<i2"), np.array([0, r["n_tokens"]]))[0] / math.log(10) + r["tail"] for r in code.filter("word is null and held_out").collect())
+    assert abs(one - many) < 0.01 * abs(one) and one > 0.95 * none
+
+
+def test_head_is_never_empty(spark):
+    """All words equally frequent, and more of them than a worker may hold."""
+    d = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(200))) for k in range(50)], "doc_id long, text string")
+    counts = common.stored(recurrent.word_counts(d), "counts")
+    lex = recurrent.lexicon(counts, 3000)
+    assert len(lex.head) == recurrent.CLASSES * recurrent.CLASS_WORDS and 2500 < len(lex.hashes) <= 3000 and lex.end >= 0
+    assert int(lex.head_counts.sum() + lex.tail_total.sum()) == lex.tokens
+
+
+def test_scores_step_by_step():
+    """The state is carried over windows: scores against a loop over single steps, around the windows' borders."""
+    lex = recurrent.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.append(np.arange(1, 40, dtype=np.uint64), recurrent.END), np.arange(40, 0, -1), np.ones(recurrent.TAIL_CLASSES), np.ones(recurrent.TAIL_CLASSES), 100, 50, 0.5)
+    net, rng = recurrent.Network(lex), np.random.default_rng(3)
+    for k, p in net.p.items():
+        net.p[k] = (p + (0 if k == "bw" else rng.normal(0, 0.3, p.shape))).astype(np.float32)
+    lens = [1, 63, 64, 65, 128, 129, 300, 2]
+    ptr = np.concatenate([[0], np.cumsum(lens)])
+    symbols = rng.integers(0, 40 + recurrent.TAIL_CLASSES, ptr[-1])
+    p, want = net.p, []
+    for a, b in zip(ptr[:-1], ptr[1:]):
+        h, last, total = np.zeros(recurrent.HIDDEN), net.end, 0.0
+        for y in symbols[a:b]:
+            gates, u = p["emb"][last] @ p["wx"] + p["bx"], h @ p["wh"]
+            r, z = (1 / (1 + np.exp(-(gates[k : k + recurrent.HIDDEN] + u[k : k + recurrent.HIDDEN]))) for k in (0, recurrent.HIDDEN))
+            n = np.tanh(gates[2 * recurrent.HIDDEN :] + r * u[2 * recurrent.HIDDEN :])
+            h = (1 - z) * n + z * h
+            s = h @ p["wc"] + p["bc"]
+            c = net.classes + y - net.k if y >= net.k else y // recurrent.CLASS_WORDS
+            total += s[c] - np.log(np.exp(s).sum())
+            if y < net.k:
+                s = h @ p["ww"][c] + p["bw"][c]
+                total += s[y % recurrent.CLASS_WORDS] - np.log(np.exp(s).sum())
+            last = y
+        want.append(total)
+    assert np.allclose(net.score(symbols, ptr), want, rtol=1e-4)
 
 
 def test_network_gradients():
