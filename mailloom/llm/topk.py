@@ -2,24 +2,36 @@
 
 Vectors are quantised to integers and dealt to blocks. A block's index holds, for
 each dimension, postings in segments of falling quantised impact (one list for positive
-query weights; read backwards it serves negative ones). A query processes segments by
-falling gain; each adds its lower bound to the accumulators of its vectors, and what is
-left to gain bounds every vector from above. Processing stops only once that bound
-proves that all but a few vectors lie below the k-th best lower bound; these few are
-rescored exactly. Query blocks meet index blocks by an equi-join on the block's number,
-and each query's best rows of every block are merged.
+query weights; read backwards it serves negative ones). Each query processes the segments
+in its own order, by falling gain; a segment adds its lower bound to the accumulators of its
+vectors, and what is left to gain bounds every vector from above. After each batch of
+segments the proof is tried: processing stops only once the bounds show that all but a few
+vectors lie below the k-th best lower bound; these few are rescored exactly.
+
+Scores are exact at any size. Components whose products could leave the whole numbers that
+a double holds are kept out of the index: their vectors are always rescored, in Python's
+integers, and a query with such a component meets all vectors that way. Blocks are merged by
+exact scores too. A score that 64 bits can't hold is given as null, at the rank that it has.
+
+Queries are shipped to the index: a block's index comes first in its task and the query
+blocks stream past it.
 
 Rows with a null id, a null vector or a null or non-finite component take no part.
-Vectors may differ in length; a component that is missing counts as 0.
+Vectors may differ in length; a component that is missing counts as 0. Rows that repeat an
+id or a vector are rows of their own: only the query's own row is left out. Ties go to the
+smaller id, then to the earlier row. Fewer than k other rows give fewer ranks, an empty
+table none; other columns take no part.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,152 +40,196 @@ from .common import load, stored
 SCALE = 256
 K = 5
 EVERY = 50
-BLOCK_ROWS = 8192
+BLOCK_ROWS, BLOCK_CELLS = 8192, 1 << 22
+"""Rows of an index block, and its rows times dimensions, at most."""
 QUERY_ROWS = 512
+QUERY_GROUP = 64
+"""Query blocks that stream past one copy of a block's index."""
 LEVELS = 64
-BATCH = 64
-"""Queries whose accumulators are filled together."""
-CHECKS = 4
+CHECKS = 16
 """Times that the proof is tried."""
 RESCORE = 64
 """Candidates of a block that are few enough to be rescored before all segments are done; or a 64th of it."""
+Best = tuple[int, int, int]
+
+
+def whole(v: float, scale: int) -> int:
+    """floor(scale * v); a double too large to be multiplied is a whole number."""
+    y = v * scale
+    return math.floor(y) if math.isfinite(y) else int(v) * scale
+
+
+def narrow_limit(d: int) -> float:
+    """Integers up to it may be multiplied and added over d dimensions within a double's whole numbers."""
+    return 2.0 ** (26 - math.ceil(math.log2(max(2, d)) / 2))
+
+
+def quantise(rows: Sequence[np.ndarray], scale: int, d: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """Whole numbers [rows, d] of narrow rows (others 0), which rows are narrow, and the integers of the wide ones."""
+    x = np.zeros((len(rows), d))
+    for i, row in enumerate(rows):
+        x[i, : len(row)] = row
+    with np.errstate(over="ignore"):
+        y = np.floor(x * scale)
+    narrow = (np.abs(y) <= narrow_limit(d)).all(1)
+    wide = {i: [whole(v, scale) for v in x[i].tolist()] for i in np.flatnonzero(~narrow).tolist()}
+    y[~narrow] = 0
+    return y, narrow, wide
 
 
 class ImpactIndex:
     """The vectors of one block by dimension and falling quantised impact."""
 
-    def __init__(self, uids: np.ndarray, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
+    def __init__(self, uids: np.ndarray, ids: np.ndarray, rows: Sequence[np.ndarray], d: int, scale: int = SCALE, levels: int = LEVELS):
         order = np.lexsort((uids, ids))
-        self.uids, self.ids, self.x = uids[order], ids[order], x[order]
-        n, d = self.x.shape
-        self.low, self.high = (self.x.min(0), self.x.max(0)) if n else (np.zeros(d), np.zeros(d))
+        self.uids, self.ids, self.row = uids[order], ids[order], {u: i for i, u in enumerate(uids[order].tolist())}
+        y, narrow, self.wide = quantise([rows[i] for i in order], scale, d)
+        self.x, self.rows = y, np.flatnonzero(narrow)  # of the index; the rest is wide
+        x = y[narrow]
+        n = len(x)
+        self.low, self.high = (x.min(0), x.max(0)) if n else (np.zeros(d), np.zeros(d))
         step = np.maximum((self.high - self.low) / levels, 1e-9)
-        level = np.minimum(((self.x - self.low) / step).astype(np.int64), levels - 1)
-        self.postings, segments = [], []  # rows of each dimension by falling impact; (dimension, from, to, least, greatest)
-        for j in range(d):
-            rows = np.argsort(-level[:, j], kind="stable").astype(np.int32)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(level[rows, j])) + 1, [n]]) if n else np.zeros(1, np.int64)
-            values = self.x[rows, j]
-            self.postings.append(rows)
-            segments += [(j, a, b, values[a:b].min(), values[a:b].max()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        s = np.array(segments).reshape(-1, 5)
-        self.dim, self.begin, self.end = (s[:, k].astype(np.int64) for k in range(3))
-        self.least, self.most = s[:, 3], s[:, 4]
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int = K) -> list[list[tuple[int, int, int]]]:
-        """For each of some integer queries the k best (score, id, uid), its own row left out; ties to smaller ids.
-
-        A segment adds, over its dimension's floor, what it gives a query at least;
-        the most that it may give orders the segments, by the query that gains most.
-        """
-        n, d = self.x.shape
-        m = len(q)
-        if not n or not m:
-            return [[] for _ in range(m)]
-        w = np.zeros((d, m))
-        w[: min(d, q.shape[1])] = q.T[:d]
-        floor = np.minimum(w * self.low[:, None], w * self.high[:, None])
-        a, b = w[self.dim] * self.least[:, None], w[self.dim] * self.most[:, None]
-        low, high = np.minimum(a, b) - floor[self.dim], np.maximum(a, b) - floor[self.dim]
-        order = np.argsort(-high.max(1), kind="stable")
-        acc = np.zeros((n, m))
-        row = {u: i for i, u in enumerate(self.uids.tolist())}
-        mine = [row.get(u) for u in own.tolist()]
-        for c, r in enumerate(mine):
-            if r is not None:
-                acc[r, c] = -np.inf
-        todo = np.ones(len(order), bool)
-        every = -(-len(order) // CHECKS)
-        for start in range(0, len(order), every):
-            part = order[start : start + every]
-            for s in part:
-                acc[self.postings[self.dim[s]][self.begin[s] : self.end[s]]] += low[s]
-            todo[part] = False
+        level = np.minimum(((x - self.low) / step).astype(np.int64), levels - 1)
+        postings, begin, least, most, dim = [], [], [], [], []
+        for j in range(d if n else 0):
+            rows_ = np.argsort(-level[:, j], kind="stable").astype(np.int32)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(level[rows_, j])) + 1])
+            values = x[rows_, j]
+            postings.append(rows_)
+            begin.append(edges + j * n)
+            least.append(np.minimum.reduceat(values, edges))
+            most.append(np.maximum.reduceat(values, edges))
+            dim.append(np.full(len(edges), j))
+        joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.postings, self.begin, self.dim = joined(postings, np.int32), joined(begin, np.int64), joined(dim, np.int64)
+        self.least, self.most = joined(least, float), joined(most, float)
+        self.size = np.diff(np.append(self.begin, len(self.postings)))
+
+    def possible(self, q: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, float]:
+        """Places in the index that may be among the query's k best, and the share of postings that this took."""
+        n = len(self.rows)
+        if n <= k + 1:
+            return np.arange(n), 0.0
+        w = q[self.dim]
+        floor = np.minimum(q * self.low, q * self.high)[self.dim]
+        a, b = w * self.least, w * self.most
+        low, high = np.minimum(a, b) - floor, np.maximum(a, b) - floor
+        order = np.argsort(-high, kind="stable")
+        size = self.size[order]
+        upto = np.cumsum(size)
+        edges = np.unique(np.searchsorted(upto, np.arange(1, CHECKS + 1) * (upto[-1] / CHECKS)) + 1)
+        starts = np.flatnonzero(np.append(True, self.dim[1:] != self.dim[:-1]))
+        acc, left, done = np.zeros(n), high.copy(), 0
+        if own is not None:
+            acc[own] = -np.inf
+        for end in edges.tolist():
+            part = order[done:end]
+            lens = self.size[part]
+            shift = np.repeat(self.begin[part] - (np.cumsum(lens) - lens), lens)
+            acc += np.bincount(self.postings[np.arange(len(shift)) + shift], np.repeat(low[part], lens), n)
             # what a vector may have beyond its accumulator: in each dimension, an open segment or a done one's width
-            beyond = np.zeros((d, m))
-            np.maximum.at(beyond, self.dim, np.where(todo[:, None], high, high - low))
-            bound = beyond.sum(0)
-            kth = np.partition(acc, n - k, axis=0)[n - k] if n > k else np.full(m, -np.inf)
-            possible = acc >= kth - bound
-            if (possible.sum(0) <= max(RESCORE, n // 64)).all():
+            left[part] -= low[part]
+            bound = np.maximum.reduceat(left, starts).sum()
+            kth = np.partition(acc, n - k)[n - k]
+            found = np.flatnonzero(acc >= kth - bound)
+            done = end
+            if len(found) <= max(RESCORE, n // 64) or bound <= 0:
                 break
-        out = []
-        for c in range(m):
-            rows = np.flatnonzero(possible[:, c])
-            if mine[c] is not None:
-                rows = rows[rows != mine[c]]
-            scores = exact(self.x[rows], w[:, c])
-            if len(rows) > k and isinstance(scores, np.ndarray):  # the k-th best score is known; ties stay
-                keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        return found, float(upto[min(done, len(upto)) - 1] / upto[-1])
+
+    def search(self, q: np.ndarray | list[int], own_uid: int, k: int = K) -> tuple[list[Best], float]:
+        """The k best (score, id, uid) for a query in whole numbers (a list: in integers of any size), its own row left out, ties to smaller ids; and the share of postings processed."""
+        own = self.row.get(own_uid)
+        found: list[Best] = []
+        share = 1.0
+        if isinstance(q, list):
+            whole_q = q
+            scored = [(sum(a * b for a, b in zip(map(int, self.x[i].tolist()), q, strict=True)), i) for i in self.rows.tolist()]
+        else:
+            whole_q = [int(v) for v in q] if self.wide else []
+            place = None
+            if own is not None and own not in self.wide:
+                place = int(np.searchsorted(self.rows, own))
+            some, share = self.possible(q, place, k)
+            rows = self.rows[some]
+            scores = self.x[rows] @ q
+            if len(rows) > k + 1:  # ties with the k-th best stay, and one more for the query's own row
+                keep = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
                 rows, scores = rows[keep], scores[keep]
-            found = sorted(zip((-int(s) for s in scores), self.ids[rows].tolist(), self.uids[rows].tolist(), strict=True))[:k]
-            out.append([(-s, i, u) for s, i, u in found])
-        return out
+            scored = list(zip(map(int, scores.tolist()), rows.tolist(), strict=True))
+        scored += [(sum(a * b for a, b in zip(row, whole_q, strict=True)), i) for i, row in self.wide.items()]
+        found = sorted((-s, self.ids[i].item(), self.uids[i].item()) for s, i in scored if i != own)[:k]
+        return [(-s, i, u) for s, i, u in found], share
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray | list[int]:
-    """Integer inner products; in whole doubles as long as these are exact, else in Python's integers."""
-    if not len(x):
-        return []
-    if float(np.abs(x).max()) * float(np.abs(q).max()) * max(1, len(q)) < 2**53:
-        return (x @ q).astype(np.int64)
-    whole = [int(v) for v in q]
-    return [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x]
+def order_key(s: int) -> bytes:
+    """Bytes that sort as integers do, of any size: sign, length and digits, turned round below 0."""
+    m = abs(s)
+    data = ((m.bit_length() + 7) // 8).to_bytes(4, "big") + m.to_bytes((m.bit_length() + 7) // 8, "big")
+    return b"\x01" + data if s >= 0 else b"\x00" + bytes(255 - c for c in data)
 
 
-def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """uid, vec_id, x (whole doubles) of the rows that take part."""
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """uid, vec_id, x of the rows that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).filter("vec_id is not null and x is not null")
     v = v.filter(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-    floor = lambda c: F.when(F.abs(c) < 2.0**40, F.floor(c * scale).cast("double")).otherwise(c * scale)  # noqa: E731  doubles that large are whole
-    return v.select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.transform("x", floor).alias("x"))
-
+    return v.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "x")
 
-def _matrix(x: Sequence[np.ndarray]) -> np.ndarray:
-    d = max(map(len, x), default=0)
-    out = np.zeros((len(x), d))
-    for i, row in enumerate(x):
-        out[i, : len(row)] = row
-    return out
 
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", with_share: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score for each query, that is each row whose id is divisible by ``every``; with_share adds the share of postings that it processed.
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score for each query, that is each row whose id is divisible by ``every``.
-
-    Blocks are bounded in rows; only their numbers, which follow from a count, are
-    known to the driver. A pair of a query block and an index block is one unit of work.
+    Blocks are bounded in rows and cells; only their numbers, which follow from counts,
+    are known to the driver.
     """
-    v = stored(quantised(vectors, scale, id_col, vector_col), "vectors")
-    n = v.count()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-v.filter(F.col("vec_id") % every == 0).count() // query_rows))
+    v = stored(taking_part(vectors, id_col, vector_col), "vectors")
+    asking = F.col("vec_id") % every == 0
+    n, asked, d = v.agg(F.count("*"), F.count_if(asking), F.max(F.size("x"))).first()
+    d = max(1, d or 0)
+    blocks = max(1, -(-n // min(block_rows, max(64, BLOCK_CELLS // d))))
+    query_blocks = max(1, -(-asked // query_rows))
+    groups = -(-query_blocks // QUERY_GROUP)
     dealt = lambda m: F.pmod(F.xxhash64("uid"), F.lit(m)).cast("int")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        index = ImpactIndex(pdf["uid"].to_numpy(np.int64), pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["x"]))
-        return pd.DataFrame({"block": [key[0]], "idx": [pickle.dumps(index, 5)]})
+        index = ImpactIndex(pdf["uid"].to_numpy(np.int64), pdf["vec_id"].to_numpy(np.int64), list(pdf["x"]), d, scale)
+        return pd.DataFrame({"block": [key[0]], "data": [pickle.dumps(index, 5)]})
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"qblock": [key[0]], "queries": [pickle.dumps((pdf["uid"].tolist(), pdf["vec_id"].tolist(), [np.asarray(x) for x in pdf["x"]]), 5)]})
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for idx, queries in zip(pdf["idx"], pdf["queries"], strict=True):
-                index = pickle.loads(idx)
-                uids, ids, xs = pickle.loads(queries)
+        x, _, wide = quantise(list(pdf["x"]), scale, d)
+        small = x.astype(np.int16) if np.abs(x).max(initial=0) < 1 << 15 else x.astype(np.int32)
+        return pd.DataFrame({"qblock": [key[0]], "data": [pickle.dumps((pdf["uid"].tolist(), pdf["vec_id"].tolist(), small, wide), 5)]})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, at = None, None
+        for b in batches:
+            for q, data, block in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                what = pickle.loads(data.as_buffer())
+                if q < 0:
+                    index, at = what, block
+                    continue
+                if block != at:  # an empty block has no index, and no vectors that could be found
+                    continue
                 rows = []
-                for i in range(0, len(uids), BATCH):
-                    found = index.search(_matrix(xs[i : i + BATCH]), np.array(uids[i : i + BATCH]), k)
-                    rows += [(uid, q, vec, score, other) for uid, q, best in zip(uids[i : i + BATCH], ids[i : i + BATCH], found, strict=True) for score, vec, other in best]
-                out = pd.DataFrame(rows, columns=["quid", "query_id", "vec_id", "score", "uid"])
-                out["score"] = [min(max(s, -(2**63)), 2**63 - 1) for s in out["score"]]
-                yield out.astype("int64")
-
-    index = v.groupBy(dealt(blocks).alias("block")).applyInPandas(build, "block int, idx binary")
-    asked = v.filter(F.col("vec_id") % every == 0).groupBy(dealt(query_blocks).alias("qblock")).applyInPandas(gather, "qblock int, queries binary")
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block").repartition(min(blocks * query_blocks, 4096), "block", "qblock")
-    found = pairs.select("idx", "queries").mapInPandas(search, "quid long, query_id long, vec_id long, score long, uid long")
-    best = Window.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id", "uid")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for i, (uid, query_id) in enumerate(zip(*what[:2], strict=True)):
+                    best, share = index.search(what[3].get(i, what[2][i].astype(float)), uid, k)
+                    rows += [(uid, query_id, vec, s if -(2**63) <= s < 2**63 else None, order_key(s), other, share) for s, vec, other in best]
+                if rows:
+                    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["quid", "query_id", "vec_id", "score", "key", "uid", "share"])
+
+    each = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    index = v.groupBy(dealt(blocks).alias("block")).applyInPandas(build, "block int, data binary").select("block", each(groups, "grp"), F.lit(-1).alias("qblock"), "data")
+    queries = v.filter(asking).groupBy(dealt(query_blocks).alias("qblock")).applyInPandas(gather, "qblock int, data binary")
+    queries = queries.select(each(blocks, "block"), F.pmod("qblock", F.lit(groups)).cast("int").alias("grp"), "qblock", "data")
+    meet = index.unionByName(queries).repartition(min(blocks * groups, 4096), "block", "grp").sortWithinPartitions("block", "grp", "qblock").select("qblock", "data", "block")
+    found = meet.mapInArrow(search, "quid long, query_id long, vec_id long, score long, key binary, uid long, share double")
+    best = Window.partitionBy("quid").orderBy(F.col("key").desc(), "vec_id", "uid")
+    out = found.withColumn("rank", F.row_number().over(best))
+    extra = []
+    if with_share:
+        out, extra = out.withColumn("share", F.avg("share").over(Window.partitionBy("quid"))), ["share"]
+    return out.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *extra)
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,15 +238,15 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  SELECT row_number() OVER () AS uid, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.uid, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  FROM v q JOIN v c ON q.uid <> c.uid WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """

@@ -120,6 +120,38 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def best_of(rows, k=5, every=50):
+    """(query_id, rank, vec_id, score) by plain integers."""
+    whole = [(u, i, [topk.whole(x, 256) for x in v]) for u, (i, v) in enumerate(rows)]
+    out = []
+    for u, q, a in whole:
+        if q % every == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, b)), i, w) for w, i, b in whole if w != u)[:k]
+            out += [(q, r, i, -x if -(2**63) <= -x < 2**63 else None) for r, (x, i, _) in enumerate(s, 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("size", [1e3, 1e7, 6e8, 1e12, 1e200, 1e306])
+def test_top_k_huge(spark, size):
+    """Components of any finite size among plain ones, as queries and as candidates; scores beyond 64 bits have no number but their rank."""
+    r = random.Random(size)
+    rows = [(i, [r.uniform(-1, 1) * (size if i % 9 == 0 else 1) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, block_rows=40, query_rows=2).collect()), key=str)
+    assert got == best_of(rows) and len(got) == 15
+
+
+def test_top_k_proof(spark):
+    """Skewed vectors are proved long before all postings are processed; the share is told."""
+    r = np.random.default_rng(1)
+    x = r.exponential(1.0, (3000, 16)) ** 4 * (r.random((3000, 16)) < 0.15)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, with_share=True).collect()
+    assert sorted((tuple(g)[:4] for g in got), key=str) == best_of([(i, v.tolist()) for i, v in enumerate(x)]) and max(g["share"] for g in got) < 0.2
+    keys = [-(10**30), -257, -256, -1, 0, 1, 255, 256, 10**30]
+    assert sorted(map(topk.order_key, keys)) == list(map(topk.order_key, keys))
+
+
 # ---- 3 ---------------------------------------------------------------------------
 
 
