@@ -21,12 +21,23 @@ Candidates are verified on whole sets in two rounds. First each set meets one hu
 the lists that it is in: the set with the fewest shingles before the shared one, which in a
 group of copies is the one least edited. That joins most groups by as many checks as
 there are sets. Then only pairs of different components that still share a list are
-checked. Components of all verified links are exact: what is skipped is only between sets
+checked. Such a pair has a member outside the list's largest component, and a member that
+could still link with a set of its own size (were both confined to smaller partners, each
+would have to be the smaller one); only these meet the rest of a list, so that neither a large
+group nor many texts of one template, which share less than a link needs, pair up with
+themselves. Components of all verified links are exact: what is skipped is only between sets
 that are joined already.
 
 The number of links needs every pair. All links lie within components, so that each
 component's sets, in blocks of a bounded size, meet block by block; what two blocks share
 is counted whole, and only sums leave a task, never pairs.
+
+Joins on keys that may be hot have written tables on both sides, so that adaptive execution
+can split them.
+
+Null and empty texts have no shingles and are their own component. Rows that repeat an id or a
+text are rows of their own. Rows with a null id take part in links, and their component has a
+null id only if no row in it has one. Other columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +60,8 @@ SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 21
 SKETCH_BLOCK = 1 << 15
-BLOOM_BITS = 24
+BLOOM_BITS = 27
+"""The largest filter of wanted sets, for up to an eighth as many of them; beyond that documents are joined with them instead."""
 SEEN = 100_000
 MAX_SUBSETS = 4096
 BLOCK_SETS, BLOCK_ITEMS = 2048, 1 << 20
@@ -129,18 +141,18 @@ def _dedupe(seen: set, fp: np.ndarray) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, size: int = SHINGLE, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n, fp of every document; and, marked by a part number, each task's count sketch in byte planes."""
+    """doc_id, th, n, fp of every document (th: a hash of the text); and, marked by a part number, each task's count sketch in byte planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "fp", "task", "part", "data"]
+        names = ["doc_id", "th", "n", "fp", "task", "part", "data"]
         for b in batches:
-            ids = b.column(0)
+            ids, hashes = b.column(0), b.column(2)
             for i, j, x, ptr in shingle_sets(b.column(1), size):
                 np.add.at(counts, (x >> _U(64 - bits)).astype(np.int64), 1)
                 m = j - i
                 nothing = [pa.nulls(m, pa.int32())] * 2 + [pa.nulls(m, pa.binary())]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, m), pa.array(np.diff(ptr)), pa.array(fingerprints(x, ptr)), *nothing], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, m), hashes.slice(i, m), pa.array(np.diff(ptr)), pa.array(fingerprints(x, ptr)), *nothing], names)
         task, rows = TaskContext.get().partitionId(), []
         step = min(SKETCH_BLOCK, 1 << bits)
         for k in range(0, len(counts), step):
@@ -152,9 +164,14 @@ def set_sizes(docs: DataFrame, size: int = SHINGLE, bits: int = SKETCH_BITS) ->
         if rows:
             t, k, c = zip(*rows, strict=True)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(c, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(t, pa.int32()), pa.array(k, pa.int32()), pa.array(c, pa.binary())], names)
+
+    return docs.select("doc_id", "text", text_hash().alias("th")).mapInArrow(run, "doc_id long, th long, n long, fp long, task int, part int, data binary")
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, task int, part int, data binary")
+
+def text_hash(text_col: str = "text") -> Column:
+    """A row's text as a number; with the id it tells rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _add(parts: list[bytes]) -> bytes:
@@ -230,15 +247,16 @@ def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(ws.mix(keys ^ _U(k)) >> _U(64 - bits)).astype(np.int64) for k in (1, 2)])
 
 
-def bloom(wanted: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of rows (fp, doc_id), packed: 2**bits bits, whatever the input."""
+def bloom(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of rows (fp, doc_id), packed: 2**bits bits."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(1 << bits, bool)
+        have = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            have[_bloom_places(_keys(b.column(0).to_numpy(), b.column(1).to_numpy()), bits)] = True
+            at = _bloom_places(_keys(b.column(0).to_numpy(), b.column(1).to_numpy()), bits).ravel()
+            np.bitwise_or.at(have, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         if have.any():
-            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([np.packbits(have).tobytes()], pa.binary())]
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([have.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["task", "part", "data"])
 
     either = lambda parts: np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in parts]).tobytes()
@@ -246,28 +264,37 @@ def bloom(wanted: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     return np.frombuffer(merged[0][1], np.uint8) if merged else np.zeros((1 << bits) // 8, np.uint8)
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, most_bits: int = BLOOM_BITS) -> DataFrame:
     """fp, items (hashes as bytes) of the sets in wanted (fp, doc_id): rescanned, and kept where a Bloom filter has the row.
 
     ``wanted`` names one document of each set, so that copies stay where they are. Rows
     that repeat that document, and rare false hits, may give a set twice or needlessly;
-    neither changes which pairs link.
+    neither changes which pairs link. The filter has 8 to 16 bits for each set; where that
+    would be more than the largest one, a semi-join by document takes its place.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+    n = wanted.count()
+    bits = max(16, (16 * n).bit_length() - 1)
+    d = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
+    small = bits <= most_bits
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, bits) if small else None)
+    if not small:
+        d = d.join(stored(wanted.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = shared.value, set()
         for b in batches:
             ids = b.column(0).to_numpy()
             for i, j, x, ptr in shingle_sets(b.column(1), size):
-                fp, n = fingerprints(x, ptr), np.diff(ptr)
-                at = _bloom_places(_keys(fp, ids[i:j]), BLOOM_BITS)
-                hit = np.flatnonzero(((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0) & (n > 0))
+                fp, hit = fingerprints(x, ptr), np.diff(ptr) > 0
+                if have is not None:
+                    at = _bloom_places(_keys(fp, ids[i:j]), bits)
+                    hit &= ((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0)
+                hit = np.flatnonzero(hit)
                 hit = hit[_dedupe(seen, fp[hit])]
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(fp[hit]), pa.array([x[ptr[d] : ptr[d + 1]].tobytes() for d in hit], pa.binary())], ["fp", "items"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(run, "fp long, items binary")
+    return d.mapInArrow(run, "fp long, items binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,11 +318,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(run, "u long, v long")
 
 
+def _reach(n: str, pos: str, percent: int) -> Column:
+    """The largest set that a set of n may still link with, as it has pos shingles before a shared one; null (any) in a subset key."""
+    return F.floor((F.col(n) - F.col(pos)) * (100 + percent) / percent) - F.col(n)
+
+
 def _may_link(n: str, pos: str, n2: str, pos2: str, percent: int) -> Column:
     """Whether two sets may link for all that their sizes and the places of a shared shingle say; the place is null in a subset key."""
-    share = F.ceil(percent * (F.col(n) + F.col(n2)) / (100 + percent))  # what a link needs
     sizes = 100 * F.least(n, n2) >= percent * F.greatest(n, n2)
-    return sizes & (F.col(pos).isNull() | F.col(pos2).isNull() | ((F.col(n) - F.col(pos) >= share) & (F.col(n2) - F.col(pos2) >= share)))
+    within = lambda n, pos, n2: F.coalesce((100 + percent) * (F.col(n) - F.col(pos)) >= percent * (F.col(n) + F.col(n2)), F.lit(True))
+    return sizes & within(n, pos, n2) & within(n2, pos2, n)
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -357,8 +389,8 @@ def link_counts(sets: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     ``classes`` has fp, n, copies. Every pair of sets of a component is checked, in one
     task for each pair of the component's blocks.
     """
-    members = roots.withColumnRenamed("node", "fp").join(classes.select("fp", "n", "copies"), "fp")
-    blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).alias("k"))
+    members = stored(roots.withColumnRenamed("node", "fp").join(classes.select("fp", "n", "copies"), "fp"), "members")
+    blocks = stored(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).alias("k")), "blocks")
     own = members.join(blocks, "root").select("fp", "root", "copies", "k", F.pmod(F.xxhash64("fp", F.lit(31)), "k").alias("own"))
     meets = own.join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     pairs = meets.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "copies", (F.col("own") <= F.col("other")).alias("first"), "items")
@@ -390,74 +422,91 @@ def link_counts(sets: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     return dealt.mapInArrow(run, "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and, on demand, n_links, a row for each input row.
-
-    A component's id is its smallest doc_id. Null and empty texts have no shingles and
-    are their own component; rows with a null id take part in links, and their
-    component has a null id only if no row in it has one. n_links counts the other rows
-    that a row links with, those with an equal set among them.
-    """
-    d = doc_rows(docs, id_col, text_col)
-    first = stored(set_sizes(d, size), "sets")
-    stats = first.filter("part is null").select("doc_id", "n", "fp")
-    planes = first.filter("part is not null")
-    sketch = merged_sketch(planes)
+def cross_pairs(labelled: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """u, v: candidates of different components that share a list; labelled has key, fp, n, pos, comp."""
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("x.comp").alias("big"))
+    reach = F.coalesce(_reach("n", "pos", percent), F.lit(1 << 40))
+    own = labelled.join(stored(mixed, "mixed"), "key").withColumn("reach", reach).filter(100 * F.col("reach") >= percent * F.col("n"))
+    open_ = stored(own.select("key", "fp", "n", "pos", "comp", (F.col("comp") != F.col("big")).alias("minor"), (F.col("reach") >= F.col("n")).alias("equal")).distinct(), "open")
+    other = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "comp", "equal")))
+    apart = (F.col("comp") != F.col("comp2")) & _may_link("n", "pos", "n2", "pos2", percent)
+    few = open_.filter("minor and equal").join(other, "key").filter(apart)
+    rest = open_.filter("minor").join(other.filter("equal2"), "key").filter(apart)
+    return few.unionByName(rest).select(F.least("fp", "fp2").alias("u"), F.greatest("fp", "fp2").alias("v")).distinct()
+
+
+def _joined(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From documents (doc_id, text): stats (doc_id, th, n, fp of each row), classes of equal sets, their components (node, root), and whole sets."""
+    first = stored(set_sizes(docs, size), "sets")
+    stats = first.filter("part is null").select("doc_id", "th", "n", "fp")
+    sketch = merged_sketch(first.filter("part is not null").select("task", "part", "data"))
     total = max(1, int(sketch.sum()))
     mean_list = float((sketch.astype(float) ** 2).sum()) / total
     order = np.minimum(np.floor(np.log2(np.maximum(sketch, 1)) * 2), 127).astype(np.int8)
     light = boundary(mean_list, percent)
 
-    post = stored(postings(d, order, light, size, percent), "postings")
+    post = stored(postings(docs, order, light, size, percent), "postings")
     hubs = post.groupBy("key").agg(F.min(F.struct("pos", "fp", "n")).alias("hub"), F.min("fp").alias("low"), F.max("fp").alias("top")).filter("low <> top")
-    hubs = hubs.select("key", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    hubs = stored(hubs.select("key", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "hubs")
     lists = stored(post.join(hubs, "key"), "lists")
     beside = lists.filter((F.col("fp") != F.col("hub")) & _may_link("n", "pos", "hub_n", "hub_pos", percent))
     votes = beside.groupBy("fp", "hub").agg(F.count("*").alias("c"))
     one = votes.groupBy("fp").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("fp").alias("u"), F.col("x.hub").alias("v"))
     one = stored(one, "pairs")
-    classes = stats.filter("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    rep = classes.select("fp", F.coalesce("least_id", F.lit(-1)).alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least")
+    classes = stored(stats.filter("n > 0").groupBy("fp", "n").agg(least, F.count("*").alias("copies")), "classes")
+    rep = classes.select("fp", F.coalesce("least.doc_id", F.lit(-1)).alias("doc_id"))
     named_in = lambda pairs: pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     wanted = stored(rep.join(named_in(one), "fp", "left_semi"), "wanted")
-    sets = stored(whole_sets(d, wanted, size), "whole")
+    sets = stored(whole_sets(docs, wanted, size), "whole")
     links = stored(verified(one, sets, percent), "links")
     roots = components(links)
 
     # what is left: pairs of different components that share a list
     labelled = lists.select("key", "fp", "n", "pos").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stored(labelled.join(mixed, "key", "left_semi").distinct(), "open")
-    other = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "pos", "comp")))
-    apart = (F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & _may_link("n", "pos", "n2", "pos2", percent)
-    pairs = open_.join(other, "key").filter(apart).select(F.col("fp").alias("u"), F.col("fp2").alias("v")).distinct()
     tried = one.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+    rest = stored(cross_pairs(stored(labelled, "labelled"), percent).join(tried, ["u", "v"], "left_anti"), "pairs")
     missing = stored(rep.join(named_in(rest), "fp", "left_semi").join(wanted.select("fp"), "fp", "left_anti"), "wanted")
     if missing.head(1):
-        sets = sets.unionByName(stored(whole_sets(d, missing, size), "whole"))
+        sets = sets.unionByName(stored(whole_sets(docs, missing, size), "whole"))
     late = stored(verified(rest, sets, percent), "links")
     if late.head(1):
         roots = components(links.unionByName(late))
+    return stats, classes, roots, sets, _named(classes, roots)
 
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "n", "component_id", "copies")
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, n, copies, root and, of the component's rows, the least one (least: no_id, doc_id, th), for each class."""
+    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "copies", F.coalesce("root", "fp").alias("root"), F.col("least").alias("own"))
+    named = stored(named, "named")
+    return named.drop("own").join(stored(named.groupBy("root").agg(F.min("own").alias("least")), "least"), "root")
+
+
+def similar_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and, on demand, n_links, a row for each input row.
+
+    A component's id is its smallest doc_id. n_links counts the other rows that a row
+    links with, those with an equal set among them.
+    """
+    stats, classes, roots, sets, named = _joined(doc_rows(docs, id_col, text_col), percent, size)
+    ids = named.select("fp", "n", F.col("least.doc_id").alias("component_id"), "copies")
     extra, none = [], []
     if with_links:
         counted = stored(link_counts(sets, roots, classes, percent), "counts")
         ids = ids.join(counted, "fp", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
         extra, none = ["n_links"], [F.lit(0).cast("long").alias("n_links")]
-    linked = stats.filter("n > 0").join(ids, ["fp", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *extra)
+    linked = stats.filter("n > 0").join(stored(ids, "ids"), ["fp", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *extra)
     return linked.unionByName(stats.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none))
 
 
-def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(load(spark, sf_dir, "documents"))
+def representatives(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (:func:`text_hash`) of the rows that stand for their components, the ones with the smallest id, null ids last, and of all rows without words; each once."""
+    stats, *_, named = _joined(doc_rows(docs, id_col, text_col), percent, size)
+    return named.select("least.doc_id", "least.th").unionByName(stats.filter("n = 0").select("doc_id", "th")).distinct()
 
 
-def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join with the number of links; the SQL, which has none, compares op5_jaccard_join."""
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(load(spark, sf_dir, "documents"), with_links=True)
 
 
@@ -475,5 +524,6 @@ e AS (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE
 r AS (
   WITH RECURSIVE reach(u, v) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v)
   SELECT u, min(v) AS component_id FROM reach GROUP BY u)
-SELECT r.u AS doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM r LEFT JOIN n ON n.doc_id = r.u
+SELECT r.u AS doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, coalesce(k.k, 0) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = r.u LEFT JOIN (SELECT u, count(*) AS k FROM e GROUP BY u) k ON k.u = r.u
 """

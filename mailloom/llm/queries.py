@@ -10,7 +10,6 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_lm_score": recurrent.op4_lm_score,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
-    "op5_jaccard_links": jaccard.op5_jaccard_links,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_format": chat.op7_chat_format,
     "op8_token_counts": tokencount.op8_token_counts,

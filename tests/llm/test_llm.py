@@ -270,8 +270,10 @@ def test_head_is_never_empty(spark):
     assert int(lex.head_counts.sum() + lex.tail_total.sum()) == lex.tokens
 
 
-def test_scores_step_by_step():
+@pytest.mark.parametrize("window", [1, 64, 1 << 14])
+def test_scores_step_by_step(monkeypatch, window):
     """The state is carried over windows: scores against a loop over single steps, around the windows' borders."""
+    monkeypatch.setattr(recurrent, "WINDOW", window)
     lex = recurrent.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.append(np.arange(1, 40, dtype=np.uint64), recurrent.END), np.arange(40, 0, -1), np.ones(recurrent.TAIL_CLASSES), np.ones(recurrent.TAIL_CLASSES), 100, 50, 0.5)
     net, rng = recurrent.Network(lex), np.random.default_rng(3)
     for k, p in net.p.items():
@@ -403,6 +405,47 @@ def test_jaccard_links(spark, monkeypatch, percent, block):
     assert got == want and max(want.values()) > 50 and len(set(want.values())) > 5
 
 
+def test_template_lists(spark):
+    """Many texts of one template that share a little less than a link needs, a few that link, and near copies: no list pairs up with itself."""
+    body = [f"t{k}" for k in range(100)]
+    texts = {i: " ".join([*body, *(f"own{i}x{j}" for j in range(10))]) for i in range(3000)}
+    texts |= {5000 + i: " ".join([*body, f"end{i}"]) for i in range(40)}
+    texts[6000] = " ".join(["x0", *body[1:], *(f"own7x{j}" for j in range(10))])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(d).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in texts.items()}
+    link = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    assert not link(0, 1) and link(5000, 5001) and link(6000, 7) and link(0, 5000)
+    assert len(set(got.values())) == 1  # each of the 3000 links with the 40, none with another one of them
+
+
+def test_template_pairs(spark):
+    """Lists of 100,000 near misses: no pair comes out, and none is tried."""
+    rows = spark.range(100_000).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("key"), F.col("id").alias("fp"), F.lit(107).cast("long").alias("n"), F.lit(11).cast("long").alias("pos"), F.col("id").alias("comp"))
+    assert jaccard.cross_pairs(rows).count() == 0
+    some = rows.withColumn("pos", F.when(F.col("fp") < 3, F.lit(2).cast("long")).otherwise(F.col("pos"))).filter("fp < 50")
+    assert jaccard.cross_pairs(some).count() == 3
+
+
+def test_whole_sets_without_filter(spark, docs):
+    d = common.doc_rows(docs)
+    wanted = jaccard.set_sizes(d).filter("part is null and n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    a, b = ({r["fp"]: r["items"] for r in jaccard.whole_sets(d, wanted, most_bits=m).collect()} for m in (27, 4))
+    assert a == b and len(a) == wanted.count()
+
+
+def test_representatives(spark):
+    """Rows stand for components: repeated ids with other texts, null ids, repeated rows."""
+    x, y, z = prose(1, 90), prose(2, 90), prose(3, 90)
+    rows = [(5, x), (5, y), (3, x), (None, y), (None, z), (None, z + " more"), (9, None), (9, ""), (None, None), (3, x)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = jaccard.representatives(d)
+    got = d.withColumn("th", jaccard.text_hash()).join(keep.withColumnRenamed("doc_id", "id"), "th").filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text").distinct()
+    kept = sorted(map(tuple, got.collect()), key=str)
+    lone = [r for r in kept if r[0] is None and r[1] and r[1].startswith(z)]
+    assert len(lone) == 1 and sorted([r for r in kept if r not in lone], key=str) == sorted([(3, x), (5, y), (9, None), (9, ""), (None, None)], key=str)
+
+
 def test_shared_counts(monkeypatch):
     rng = np.random.default_rng(2)
     for short, columns in ((32, 2048), (3, 16)):
