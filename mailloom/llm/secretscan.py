@@ -4,13 +4,19 @@ Strong patterns (assignments, access ids, long hex runs) are reported wherever t
 stand. Weak candidates - plain user or client ids, unnamed token-like strings,
 service addresses - mean nothing alone. They are intervals of three roles (access
 identifier, secret, endpoint) that are joined within a scope: the paragraph, and at
-most ``reach`` code points between two spans. A weak secret is reported beside an
-access identifier or an endpoint, a weak access identifier beside a secret, an
-endpoint beside both. The join sweeps each role's sorted intervals, so that its cost
-is linear in the candidates of a text whatever their number, and as no scope
+most ``reach`` code points between two spans. Each secret is joined with the nearest access
+identifier and the nearest endpoint of its scope, each access identifier and endpoint with
+the nearest secret. A weak secret is reported with an access identifier, or with an
+endpoint that is no plain web address; a weak access identifier with a reported secret; an
+endpoint with a reported secret that has an access identifier. The pairs that the join
+found come out as links: which access identifier, secret and endpoint make up one
+credential. The join looks up each role's sorted intervals, so that its cost is linear in
+the candidates of a text but for a logarithm, whatever their number, and as no scope
 crosses documents it needs no shuffle.
 
-Null texts count as empty and give no spans. Every input row gives one output row.
+Null texts count as empty and give no spans. Every input row gives one output row, repeated
+rows and null ids too; other columns take no part; an empty table gives no rows. Of spans
+equally near the earlier one is joined.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as shorter ones fail
 WEAK_ACCESS = re.compile(r"""(?ai:access[_-]?key(?:[_-]?id)?|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 ENDPOINT = re.compile(r"""(?ai:https?|wss?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+""")
+WEB = re.compile(r"(?ai:https?://)")
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 Span = tuple[int, int]
 
@@ -52,13 +59,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 def _token_like(s: str) -> bool:
-    """Mixed digits and letters, as generated secrets are and words are not."""
+    """Letters and some digits, as generated secrets have and words have not; what complements it decides the rest."""
     digits = sum(map(str.isdigit, s))
-    if digits < 3 or digits == len(s):
-        return False
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return True
-    return len(s) >= 20 and s.lower() != s != s.upper()
+    return digits >= 3 and any(map(str.isalpha, s))
 
 
 def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
@@ -71,44 +74,61 @@ def _free(spans: list[Span], taken: list[Span]) -> list[Span]:
     return [x for x in spans if not ((i := bisect_left(starts, x[1])) and reach[i - 1] > x[0])]
 
 
-def _beside(span: Span, others: list[Span], starts: list[int], ends: list[int], lo: int, hi: int, reach: int) -> bool:
-    """Whether another interval lies in the scope [lo, hi), within reach of the span and apart from it."""
-    i = bisect_left(starts, span[1])
-    if i < len(others) and starts[i] - span[1] <= reach and starts[i] < hi:
-        return True
-    i = bisect_right(ends, span[0])
-    return i > 0 and span[0] - ends[i - 1] <= reach and ends[i - 1] > lo
+class Role:
+    """The intervals of one role, to be joined with others by nearness; cuts are the borders of scopes."""
 
+    def __init__(self, spans: list[tuple[str, int, int]], cuts: list[int], reach: int):
+        self.spans, self.cuts, self.reach = sorted(spans, key=lambda x: (x[1], x[2], KINDS.index(x[0]))), cuts, reach
+        self.starts = [s for _, s, _ in self.spans]
+        self.by_end = sorted(range(len(self.spans)), key=lambda i: (self.spans[i][2], -i))
+        self.ends = [self.spans[i][2] for i in self.by_end]
 
-def find_spans(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
-    """All spans of a text: (kind, start, end), in code points, by start and then by kind."""
+    def nearest(self, span: tuple[str, int, int]) -> tuple[str, int, int] | None:
+        """The nearest interval apart from a span, within its scope and reach."""
+        scope, found = bisect_right(self.cuts, span[1]), []
+        i = bisect_right(self.ends, span[1])
+        if i:
+            found.append(self.spans[self.by_end[i - 1]])
+        i = bisect_left(self.starts, span[2])
+        if i < len(self.spans):
+            found.append(self.spans[i])
+        found = [(max(x[1] - span[2], span[1] - x[2]), x[1], x) for x in found if bisect_right(self.cuts, x[1]) == scope]
+        return min(found)[2] if found and min(found)[0] <= self.reach else None
+
+
+def find_credentials(text: str, reach: int = REACH) -> tuple[list[tuple[str, int, int]], list[tuple]]:
+    """All spans of a text, (kind, start, end) in code points, by start and then by kind; and the links: the access, secret and endpoint span (or None) of each credential."""
     base = base_spans(text)
-    out = [(kind, s, e) for kind, spans in base.items() for s, e in spans]
+    out = {(kind, s, e) for kind, spans in base.items() for s, e in spans}
     strong_secret = sorted(base["assign"] + base["hex"])
     taken = sorted(strong_secret + base["access"])
     low = text.lower()
-    weak = {
-        "link_access": [m.span() for m in WEAK_ACCESS.finditer(text)] if any(w in low for w in ("key", "client", "account", "user", "login")) else [],
-        "link_endpoint": [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else [],
-    }
-    outside = sorted(taken + weak["link_access"] + weak["link_endpoint"])
-    weak["link_secret"] = _free([m.span() for m in WEAK_SECRET.finditer(text) if _token_like(m[0])], outside)
-    weak["link_access"] = _free(weak["link_access"], taken)
-    if any(weak.values()):
+    access = [m.span() for m in WEAK_ACCESS.finditer(text)] if any(w in low for w in ("key", "client", "account", "user", "login")) else []
+    endpoint = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
+    links = []
+    if access or endpoint or base["access"]:  # a weak secret is nothing without them
+        outside = sorted(taken + access + endpoint)
+        named = lambda kind, spans: [(kind, s, e) for s, e in spans]
+        weak_secret = named("link_secret", _free([m.span() for m in WEAK_SECRET.finditer(text) if _token_like(m[0])], outside))
         cuts = [m.start() for m in SCOPE_END.finditer(text)]
-        roles = {}
-        for role, spans in (("access", base["access"] + weak["link_access"]), ("secret", strong_secret + weak["link_secret"]), ("endpoint", weak["link_endpoint"])):
-            spans = sorted(spans)
-            roles[role] = (spans, [s for s, _ in spans], sorted(e for _, e in spans))
-        for kind, spans in weak.items():
-            for span in spans:
-                k = bisect_right(cuts, span[0])
-                lo, hi = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text) + 1
-                near = {role: _beside(span, *x, lo, hi, reach) for role, x in roles.items()}
-                linked = {"link_access": near["secret"], "link_secret": near["access"] or near["endpoint"], "link_endpoint": near["access"] and near["secret"]}
-                if linked[kind]:
-                    out.append((kind, *span))
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+        accesses = Role(named("access", base["access"]) + named("link_access", _free(access, taken)), cuts, reach)
+        endpoints = Role(named("link_endpoint", endpoint), cuts, reach)
+        credentials = {}
+        for s in named("assign", base["assign"]) + named("hex", base["hex"]) + weak_secret:
+            a, e = accesses.nearest(s), endpoints.nearest(s)
+            if s[0] != "link_secret" or a or (e and not WEB.match(text, e[1])):
+                credentials[s] = a, e
+        secrets = Role(list(credentials), cuts, reach)
+        found = {(a, s, e if a or s[0] == "link_secret" else None) for s, (a, e) in credentials.items()}
+        found |= {(a, s, None) for a in accesses.spans if (s := secrets.nearest(a)) and credentials[s][0] != a}
+        found |= {(credentials[s][0], s, e) for e in endpoints.spans if (s := secrets.nearest(e)) and credentials[s][0] and credentials[s][1] != e}
+        links = sorted((x for x in found if x[0] or x[2]), key=lambda x: (x[1][1], x[1][2], x[0][1] if x[0] else -1, x[2][1] if x[2] else -1, str(x)))
+        out |= {x for link in links for x in link if x}
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), links
+
+
+def find_spans(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
+    return find_credentials(text, reach)[0]
 
 
 def _span_array(found: list[list[tuple[str, int, int]]]) -> pa.Array:
@@ -117,14 +137,21 @@ def _span_array(found: list[list[tuple[str, int, int]]]) -> pa.Array:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """doc_id and its spans, a row for each input row, repeated rows too; texts are scanned whole."""
+    """doc_id, its spans and its links (places in spans, from 0, of the access identifier, secret and endpoint of a credential; null: none), a row for each input row; texts are scanned whole."""
+    parts = ("access", "secret", "endpoint")
+    kind = pa.list_(pa.struct([(x, pa.int32()) for x in parts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [find_spans(t or "", reach) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _span_array(found)], ["doc_id", "spans"])
+            spans, links = [], []
+            for t in b.column(1):
+                found, linked = find_credentials(t.as_py() or "", reach)
+                place = {x: i for i, x in enumerate(found)}
+                spans.append(found)
+                links.append([{name: place[x] if x else None for name, x in zip(parts, link, strict=True)} for link in linked])
+            yield pa.RecordBatch.from_arrays([b.column(0), _span_array(spans), pa.array(links, kind)], ["doc_id", "spans", "links"])
 
-    return doc_rows(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}")
+    return doc_rows(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPAN_TYPE}, links array<struct<access:int,secret:int,endpoint:int>>")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
@@ -151,8 +178,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns and ``links``: the spans' places, access+secret+endpoint, - for none, comma-joined."""
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter(spans, lambda x: x["kind"].isin(*BASE_KINDS))
-    return secret_spans(load(spark, sf_dir, "documents")).select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    place = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("+", place(x["access"]), place(x["secret"]), place(x["endpoint"]))), ",")
+    return secret_spans(load(spark, sf_dir, "documents")).select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), links.alias("links"))

@@ -82,21 +82,52 @@ SECRETS = [
     "9f8Kd02LmQ7xWv4Tz1Bn alone",
     "https://a.b alone",
     "user: bob" + "\n\n" + "9f8Kd02LmQ7xWv4Tz1Bn",
+    "9f8Kd02LmQ7xWv4Tz1Bn see https://a.b",
+    "key d41d8cd9-8f00-b204-e980-0998ecf8427e at postgres://db.host/x",
+    "login=ann key1abcdefghij234567 and login=eve " + "k" * 400 + " 77aabbccddeeff0011223344 user=max",
 ]
 
 
+def brute_links(text, reach=secretscan.REACH):
+    """Every pair of a secret with the nearest part of another role in its paragraph, by comparing all with all."""
+    spans, links = secretscan.find_credentials(text, reach)
+    cuts = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    scope = lambda x: sum(c <= x[1] for c in cuts)
+    gap = lambda x, y: max(y[1] - x[2], x[1] - y[2])
+    by = lambda *kinds: [x for x in spans if x[0] in kinds]
+    near = lambda x, others: min(((gap(x, y), y[1], y) for y in others if scope(y) == scope(x) and 0 <= gap(x, y) <= reach), default=(0, 0, None))[2]
+    accesses, secrets = by("access", "link_access"), by("assign", "hex", "link_secret")
+    want = {(near(s, accesses), s) for s in secrets if near(s, accesses)} | {(a, near(a, secrets)) for a in accesses if near(a, secrets)}
+    return want, {(a, s) for a, s, _ in links if a}
+
+
 def test_secrets(spark):
     for t in [*SECRETS, *AWKWARD]:
         found = secretscan.find_spans(t or "")
         assert sorted(x for x in found if x[0] in secretscan.BASE_KINDS) == sorted(brute_spans(t))
     kinds = [{k for k, *_ in secretscan.find_spans(t)} for t in SECRETS]
     assert kinds[3] == set() and kinds[5] == set() and kinds[6] == set() and kinds[7] == set()
-    assert kinds[4] == {"link_access", "link_secret", "link_endpoint"}
+    assert kinds[4] == {"link_access", "link_secret", "link_endpoint"} and kinds[8] == set() and kinds[9] == {"link_secret", "link_endpoint"}
+    (link,) = secretscan.find_credentials(SECRETS[4])[1]
+    assert [SECRETS[4][s:e] for _, s, e in link] == ["client_id: abc-1", "9f8Kd02LmQ7xWv4Tz1Bn", "https://api.example.org/v1"]
+    assert [[SECRETS[10][x[1] : x[2]] for x in link[:2]] for link in secretscan.find_credentials(SECRETS[10])[1]] == [["login=ann", "key1abcdefghij234567"], ["login=eve", "key1abcdefghij234567"], ["user=max", "77aabbccddeeff0011223344"]]
     red = secretscan.redact_secrets(frame(spark, SECRETS))
     out = {r["doc_id"]: r["text"] for r in red.collect()}
     assert "9f8K" not in out[4] and "9f8K" in out[5] and red.columns == frame(spark, []).columns
 
 
+def test_links_by_brute_force():
+    r = random.Random(4)
+    parts = ["user: bob", "client_id=c-17", "AKIA" + "B7" * 9, "password = hunter2222", "9f8Kd02LmQ7xWv4Tz1Bn", "0123456789abcdef01234567", "https://a.b/c", "redis://h:1", "word " * 12, "\n\n", "x" * 60]
+    seen = 0
+    for _ in range(400):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        want, got = brute_links(text, 80)
+        assert got == want
+        seen += len(got)
+    assert seen > 300
+
+
 def test_secret_rows(docs, empty):
     assert secretscan.secret_spans(docs).count() == docs.count() and secretscan.secret_spans(empty).count() == 0
 
