@@ -8,8 +8,11 @@ is precise on both. The documents that a rule covers leave the sets and the next
 learned. The list is emitted as an ordered ``CASE WHEN`` of Spark conditions, to be
 read and run without Python.
 
-A null text counts as empty: all counts are 0, and the base rule fails it. With no
-labelled documents, or of one class, there are no rules and only the base decides.
+A null text counts as empty: all counts are 0, and the base rule fails it. Every input row
+gives one verdict, repeated rows and null ids too, and equal texts have equal ones. An id that
+several rows or labels repeat teaches as one document: its largest label, and its least row of
+statistics. With no labelled documents, or of one class, there are no rules and only the
+base decides. Other columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -231,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Learns from a bounded sample of the labelled documents; documents that the base rule fails anyway teach nothing."""
     sample = labelled_sample(labels, "quality", max_labelled)
     rows = text_counts(doc_rows(docs).join(F.broadcast(sample), "doc_id"))
-    rows = rows.filter(~base_failed()).select("label", *(ratio(r).alias(f"r{i}") for i, r in enumerate(RATIOS))).limit(2 * max_labelled).toPandas()
+    row = F.struct("label", *(ratio(r).alias(f"r{i}") for i, r in enumerate(RATIOS)))
+    rows = rows.filter(~base_failed()).groupBy("doc_id").agg(F.min(row).alias("x")).select("x.*").toPandas()  # one for each id of the sample
     if not len(rows):
         return DecisionList()
     rows = rows.sort_values(list(rows.columns))
