@@ -53,9 +53,10 @@ WORKER_TOKENS, MAX_WORKERS = 4 << 20, 8192
 """Training tokens for one worker; from so many workers on, each gets more."""
 STREAMS, UPDATES = (16, 512), 800
 """A worker's parallel streams, within these bounds so many that it makes about UPDATES updates."""
-WINDOW = 64
+WINDOW = 1 << 14
 RUN_BYTES = 4 << 20
-RUN_SYMBOLS = 1 << 19
+RUN_SYMBOLS = 1 << 21
+"""Symbols of the documents that are scored side by side, longer ones alone: the longest of them sets the number of steps."""
 COUNT_LIMIT = 1 << 20
 _U = np.uint64
 END = np.array([0x2545F4914F6CDD1D], np.uint64)
@@ -312,29 +313,29 @@ class Network:
         return done
 
     def score(self, symbols: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """Natural log probability of each document's symbols (its end included), by windows, the state carried."""
+        """Natural log probability of each document's symbols (its end included), step by step side by side, the state carried; outputs WINDOW states at a time."""
         p = self.p
         gates = (p["emb"] @ p["wx"] + p["bx"]).astype(np.float32)
         counts = np.diff(ptr)
         order = np.argsort(-counts, kind="stable")
         lens, first = counts[order], ptr[:-1][order]
         total = np.zeros(len(order))
+        steps = int(lens[0]) if len(lens) else 0
+        alive = np.searchsorted(-lens, -np.arange(steps), "left").tolist()  # documents longer than t
+        every = np.arange(len(order))
         h = np.zeros((len(order), HIDDEN), np.float32)
-        for t0 in range(0, int(lens[0]) if len(lens) else 0, WINDOW):
-            states, at, who = [], [], []
-            for t in range(t0, min(t0 + WINDOW, int(lens[0]))):
-                m = int(np.searchsorted(-lens, -t, "left"))  # documents longer than t
-                if m == 0:
-                    break
-                x = gates[symbols[first[:m] + t - 1]] if t else gates[np.full(m, self.end)]
-                h = self.step(x, h[:m])[0]
-                states.append(h)
-                at.append(first[:m] + t)
-                who.append(np.arange(m))
-            s, a, w = np.concatenate(states), np.concatenate(at), np.concatenate(who)
-            for i in range(0, len(a), 1 << 14):
-                part = slice(i, i + (1 << 14))
-                total += np.bincount(w[part], self.log_probs(s[part], symbols[a[part]]), len(total))
+        states, at, who, held = [], [], [], 0
+        for t, m in enumerate(alive):
+            x = gates[symbols[first[:m] + t - 1]] if t else gates[np.full(m, self.end)]
+            h = self.step(x, h[:m])[0]
+            states.append(h)
+            at.append(first[:m] + t)
+            who.append(every[:m])
+            held += m
+            if held >= WINDOW or t == steps - 1:
+                s, y, w = np.concatenate(states), symbols[np.concatenate(at)], np.concatenate(who)
+                total += np.bincount(w, self.log_probs(s, y), len(total))
+                states, at, who, held = [], [], [], 0
         out = np.empty(len(order))
         out[order] = total
         return out
@@ -391,7 +392,7 @@ def coded(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(uids), ids.slice(i, m), held.slice(i, m), pa.array(w.counts + 1), pa.array(n_known), pa.array(base), pa.array(inside), data, *none], names)
                 rare = np.flatnonzero(~known)
                 if len(rare):
-                    order = rare[np.lexsort((h[rare], doc[rare]))]
+                    order = rare[np.argsort(ws.mix(h[rare] ^ (doc[rare].astype(np.uint64) * _U(0x9E3779B97F4A7C15))))]
                     new = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
                     times = np.diff(np.append(new, len(order)))
                     o = order[new]
