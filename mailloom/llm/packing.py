@@ -7,7 +7,9 @@ free capacities finds in logarithmic time. Bins that stay badly filled are disso
 their pieces, cut into lengths that are powers of two, fill whole bins exactly, so that
 at most one sequence of a group is padded by more than ``slack``.
 
-Null texts count as empty: one piece, the end token. Every input row is packed.
+Null texts count as empty: one piece, the end token. Every input row is packed, repeated rows
+and null ids too; pieces of equal length are placed by doc_id, start and checksum, and pieces
+equal in all may change places. Other columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import byte_bpe_path, byte_tokenizer, doc_rows, load, stored
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
+DEALT_PIECES = 1024
+"""Pieces of one document that are dealt together; a longer document is spread over groups."""
 SLACK = 0.02
 END_ID = 1
 PIECE_SCHEMA = "doc_id long, salt long, start long, length long, ids_crc32 long, doc_tokens long, part_crcs array<long>"
@@ -111,6 +115,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
                 ids = np.array([*(encode(text, allowed_special="all") if text else ()), END_ID], "<u4")
                 salt += 1
                 for start in range(0, len(ids), capacity):
+                    salt += start > 0 and start % (DEALT_PIECES * capacity) == 0
                     piece = ids[start : start + capacity]
                     at, crcs = 0, []
                     for n in binary_parts(len(piece)):

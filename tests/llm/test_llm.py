@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -532,6 +534,11 @@ def test_quality_rules(spark, docs, empty):
     rules = quality.fit(df, labels)
     kept = {r["doc_id"] for r in quality.keep_good(df.drop("n_words"), rules).collect()}
     assert len(kept & set(range(80))) >= 75 and len(kept - set(range(80))) <= 4 and "reject" in str(rules)
+    held = [i for i in range(160) if i % 2]  # never labelled
+    assert sum((i in kept) == (i < 80) for i in held) >= 0.95 * len(held)
+    again = df.unionByName(df.withColumn("text", F.concat("text", F.lit(" ### !!")))).repartition(7)  # an id with other texts teaches once, in whatever order
+    one, two = quality.fit(again, labels), quality.fit(again.orderBy(F.rand(3)), labels.unionByName(labels))
+    assert one == two
     assert quality.fit(df, labels.limit(0)).rules == () and quality.keep_good(empty, rules).count() == 0
 
 
@@ -640,6 +647,59 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(df, labels.filter("toxic = 0")).prior == 0.0 and toxicity.fit(df, labels.limit(0)).prior == 0.0
 
 
+def test_tokens_without_punctuation():
+    texts = ["!!!!!!word.... ((((((x)))))) ... a'b, \u00e9!", "", "?" * 50 + "end" + "\"" * 9]
+    got = [[bytes(t.data[s:e]).decode() for s, e in zip(t.starts, t.ends)] for *_, t in toxicity.tokens(pa.array(texts))]
+    assert got == [["word", "x", "...", "a'b", "\u00e9", "end"]]
+
+
+def test_windows():
+    places = np.arange(10).reshape(5, 2)
+    p, y, mask = toxicity.windows_of(places, np.array([1, 0, 1, 1, 0]), np.array([2, 0, 9, 3, 1]), np.array([0, 4, 4, 5]))
+    assert mask.sum(1).tolist() == [4, 8, 2]  # two tokens; a far one and the next; the other document's
+    assert y[0, :4].tolist() == [0, 0, 1, 0] and p[1, 3].tolist() == [4, 5] and p[1, 7].tolist() == [6, 7] and (p[1, :3] == -1).all() and p[2, 1].tolist() == [8, 9]
+
+
+def test_scores_by_brute_force(spark):
+    """Whole scores: forward and backward over every token, plain ones too."""
+    r, texts, toxic = random.Random(8), [], []
+    for k in range(150):
+        words = prose(k % 4, r.randint(1, 90)).split()
+        bad = r.random() < 0.4
+        for _ in range(4 * bad):
+            words.insert(r.randrange(len(words)), r.choice(["(Grimword)", "meanword!!!!!!", "grimwords"]))
+        texts.append(" ".join(words))
+        toxic.append(int(bad))
+    texts += ["", " ", "grimword", "plain"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    assert len(model.hashes) and any(model.calibration)
+    (_, _, every), = toxicity.tokens(pa.array(["meanword grimword"]))
+    assert (model.lookup(every.features)[:, 0] >= 0).all()
+    got = {x["doc_id"]: x["score"] for x in toxicity.score_toxicity(d, model).collect()}
+    t, weights = np.exp(model.trans), np.append(model.weights, 0.0)
+    for i, text in enumerate(texts):
+        top, total = 1e-4, 0.0
+        if text.split():
+            (_, _, one), = toxicity.tokens(pa.array([text]))
+            places = model.lookup(one.features)
+            emit = [np.array([1.0, math.exp(min(60, model.bias + weights[p].sum()))]) for p in places]
+            alpha, beta = [emit[0] / emit[0].sum()], [np.ones(2)]
+            for e in emit[1:]:
+                alpha.append(alpha[-1] @ t * e)
+                alpha[-1] /= alpha[-1].sum()
+            for e in emit[:0:-1]:
+                beta.append(t @ (e * beta[-1]))
+                beta[-1] /= beta[-1].sum()
+            for a, b, p in zip(alpha, beta[::-1], places):
+                q = (a * b / (a * b).sum())[1]
+                if (p >= 0).any():
+                    top, total = max(top, q), total + q * (q > 0.05)
+        top, c = min(top, 1 - 1e-4), model.calibration
+        want = 1 / (1 + math.exp(-(c[0] + c[1] * math.log(top / (1 - top)) + c[2] * math.log1p(total))))
+        assert abs(got[i] - want) < 1e-6, (i, text)
+
+
 # ---- 10 ---------------------------------------------------------------------------
 
 
@@ -728,5 +788,16 @@ def test_byte_vocabularies_agree():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), common.byte_tokenizer(common.byte_bpe_path())
-    for s in AWKWARD:
+    texts = [*AWKWARD, *HARD]
+    if os.path.isdir("/root/testdata/sf0.01"):
+        texts += pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    for s in texts:
         assert t.encode(s or "", add_special_tokens=False).ids == e.encode(s or "", allowed_special="all")
+
+
+def test_long_documents_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DEALT_PIECES", 2)
+    d = spark.createDataFrame([(1, "word " * 200), (2, "x"), (1, "word " * 200)], "doc_id long, text string")
+    pieces = packing.token_pieces(d, 16).groupBy("doc_id", "salt").count().collect()
+    assert max(r["count"] for r in pieces) == 2 and len(pieces) > 10
+    assert packing.pack(d, 16, 4).groupBy("doc_id").agg(F.sum("length").alias("n")).filter("doc_id = 1").first()["n"] == 2 * packing.token_pieces(d).filter("doc_id = 1").first()["doc_tokens"]
