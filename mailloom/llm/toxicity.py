@@ -10,9 +10,15 @@ features need a step, the runs between them are powers of one 2 x 2 matrix in cl
 form. The marginals aggregate to a calibrated document score and to the offsets of
 offending tokens.
 
-A null or empty text scores as a text without any offending token. Without labels of
+A null or empty text scores as a text without any offending token. Every input row is
+scored, repeated rows and null ids too, and equal texts have equal scores; copies of a text
+teach once for each label. An id that several labels name has the largest. Without labels of
 both classes there is nothing to learn and every score is the share of toxic labels
-(0 without labels).
+(0 without labels). Other columns take no part; an empty table gives no rows.
+
+The field is learned from bounded samples, chosen by hashes: MAX_LABELLED documents and
+MAX_WINDOWS of their windows; and it has at most MAX_FEATURES features, the strongest ones.
+Counting, making windows and scoring the calibration sample happen on executors.
 """
 
 from __future__ import annotations
@@ -26,16 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
-from .common import crc_remainder, doc_rows, labelled_sample, load, with_columns
+from .common import crc_remainder, doc_rows, labelled_sample, load, stored, with_columns
 
 MAX_LABELLED = 20_000
 """Bound on the labelled documents that the field is learned from."""
 MAX_FEATURES = 4096
 """Bound on the features that it may use."""
-MAX_CANDIDATES = 1 << 17
+MAX_WINDOWS = 1 << 16
+"""Bound on the windows that it is trained on."""
 PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 WINDOW = 3
+LENGTH = 4 * (WINDOW + 1)
+"""Tokens of a training window."""
 THRESHOLD = 0.7
 _U = np.uint64
 _PUNCT = np.zeros(256, bool)
@@ -57,12 +66,10 @@ class Tokens:
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
     for i, j, w in ws.scan(column, lower=True):
-        s, e = w.starts.copy(), w.ends.copy()
-        for _ in range(4):
-            strip = (e - s > 1) & _PUNCT[w.data[s]] if len(s) else np.zeros(0, bool)
-            s[strip] += 1
-            strip = (e - s > 1) & _PUNCT[w.data[e - 1]] if len(s) else np.zeros(0, bool)
-            e[strip] -= 1
+        solid = np.append(np.flatnonzero(~_PUNCT[w.data]), len(w.data))  # bytes that aren't punctuation
+        first, last = solid[np.searchsorted(solid, w.starts)], solid[np.searchsorted(solid, w.ends) - 1] + 1
+        has = first < w.ends  # a token of punctuation alone stays as it is
+        s, e = np.where(has, first, w.starts), np.where(has, last, w.ends)
         f = np.empty((len(s), 1 + len(PREFIXES)), np.uint64)
         f[:, 0] = ws.mix(ws.spans_hash(w.data, s, e) ^ _KINDS[0])
         for k, n in enumerate(PREFIXES, 1):
@@ -236,11 +243,30 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Crf:
-    """Learns from a bounded sample of labelled rows outside the held-out fold. Features are counted on executors; the driver gets at most the candidates and the windows around them."""
+def windows_of(places: np.ndarray, tag: np.ndarray, gap: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training windows around active tokens: places [windows, LENGTH, kinds] (-1: none), tags and mask [windows, LENGTH]; up to WINDOW plain tokens, then an active one, and so on."""
+    near = np.minimum(gap, WINDOW)
+    starts = set(ptr[:-1].tolist())
+    line, column, fill = np.zeros(len(gap), np.int64), np.zeros(len(gap), np.int64), LENGTH
+    k = -1
+    for i, (far, g) in enumerate(zip(gap.tolist(), near.tolist(), strict=True)):
+        if i in starts or fill + g + 1 > LENGTH or far > 2 * WINDOW:
+            k, fill = k + 1, 0
+        fill += g + 1
+        line[i], column[i] = k, fill - 1
+    p = np.full((k + 1, LENGTH, places.shape[1]), -1, np.int32)
+    y = np.zeros((k + 1, LENGTH), np.int8)
+    p[line, column], y[line, column] = places, tag
+    used = np.zeros(k + 1, np.int64)
+    np.maximum.at(used, line, column + 1)
+    return p, y, np.arange(LENGTH) < used[:, None]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, max_windows: int = MAX_WINDOWS) -> Crf:
+    """Learns from a bounded sample of labelled rows outside the held-out fold. The driver gets candidate features, a bounded number of windows and two numbers for each document."""
     sample = labelled_sample(labels.filter(crc_remainder(FOLDS) != HELD_OUT), "toxic", max_labelled)
-    rows = doc_rows(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", (F.col("label") > 0).alias("toxic"))
-    rows = rows.dropDuplicates(["text", "toxic"])  # copies of one text would make its words look like evidence
+    rows = doc_rows(docs).join(F.broadcast(sample), "doc_id").select("text", (F.col("label") > 0).alias("toxic"), F.xxhash64("text").alias("h"))
+    rows = stored(rows.dropDuplicates(["h", "toxic"]), "labelled")  # copies of one text would make its words look like evidence
     n = {0: 0, 1: 0} | {int(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     prior = n[1] / max(1, n[0] + n[1])
     if not n[0] or not n[1]:
@@ -249,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     def presence(only: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                toxic = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                for i, j, t in tokens(b.column(1)):
+                toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for i, j, t in tokens(b.column(0)):
                     want = toxic[i:j] if only is None else np.ones(j - i, bool)
                     doc = np.repeat(np.arange(j - i), np.diff(t.ptr))
                     use = want[doc]
@@ -267,9 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
         return run
 
+    # a candidate is in so many toxic documents of the sample that their number is bounded by its tokens
     least = max(3, round(0.004 * n[1]))
     first = rows.filter("toxic").mapInArrow(presence(None), "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad")).filter(F.col("bad") >= least)
-    candidates = np.sort(first.orderBy(F.col("bad").desc(), "f").limit(MAX_CANDIDATES).select("f").toPandas()["f"].to_numpy(np.int64).view(np.uint64))
+    candidates = np.sort(first.select("f").toPandas()["f"].to_numpy(np.int64).view(np.uint64))
     if not len(candidates):
         return Crf(prior=prior)
     counts = rows.mapInArrow(presence(candidates), "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
@@ -284,61 +311,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     order = np.argsort(hashes)
     model = Crf(hashes=hashes[order], weights=np.zeros(len(order)), prior=prior)
     trusted = (counts["bad"].to_numpy() >= max(3, round(0.01 * n[1])))[order]
+    kinds = 1 + len(PREFIXES)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, toxic = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, t in tokens(b.column(1)):
+            toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, t in tokens(b.column(0)):
                 places = model.lookup(t.features)
-                act, gap, tail, ptr = _active(t, places)
-                doc = np.repeat(np.arange(j - i), np.diff(ptr))
-                none = np.flatnonzero(np.diff(ptr) == 0)
-                out = [pa.array(np.concatenate([ids[i:j][doc], ids[i:j][none]])), pa.array(np.concatenate([toxic[i:j][doc], toxic[i:j][none]]))]
-                out += [pa.array(np.concatenate([x, np.full(len(none), v, np.int64)])) for x, v in ((gap, 0), (tail[doc], 0), (act, -1))]
-                flat = np.concatenate([places[act], np.full((len(none), places.shape[1]), -1)])
-                out += [pa.array(flat[:, k].copy()) for k in range(flat.shape[1])]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "toxic", "gap", "tail", "act", *(f"p{k}" for k in range(flat.shape[1]))])
-
-    kinds = 1 + len(PREFIXES)
-    seen = rows.mapInArrow(windows, "doc_id long, toxic boolean, gap long, tail long, act long, " + ", ".join(f"p{k} long" for k in range(kinds))).toPandas()
-    seen = seen.sort_values(["doc_id", "act"], kind="stable").reset_index(drop=True)
-    real = seen[seen["act"] >= 0]
-    places = real[[f"p{k}" for k in range(kinds)]].to_numpy()
-    toxic = real["toxic"].to_numpy(bool)
-    tag = toxic & (np.append(trusted, False)[places]).any(1)
-    # windows: up to WINDOW plain tokens, then an active one, and so on
-    gap = np.minimum(real["gap"].to_numpy(), WINDOW)
-    length, rows_ = 4 * (WINDOW + 1), []
-    flat_places, flat_tags, line, fill = [], [], -1, length
-    doc = real["doc_id"].to_numpy()
-    lines: list[list[tuple[int, int]]] = []
-    for k in range(len(real)):
-        new = k == 0 or doc[k] != doc[k - 1] or fill + gap[k] + 1 > length or real["gap"].iat[k] > 2 * WINDOW
-        if new:
-            lines.append([])
-            fill = 0
-        lines[-1] += [(-1, 0)] * int(gap[k]) + [(k, int(tag[k]))]
-        fill += int(gap[k]) + 1
-    if not lines:
+                act, gap, _, ptr = _active(t, places)
+                if len(act):
+                    own = places[act]
+                    tag = np.repeat(toxic[i:j], np.diff(ptr)) & np.append(trusted, False)[own].any(1)
+                    p, y, mask = windows_of(own, tag, gap, ptr)
+                    data = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (p, y, mask)]
+                    yield pa.RecordBatch.from_arrays(data, ["p", "y", "mask"])
+
+    made = rows.mapInArrow(windows, "p binary, y binary, mask binary")
+    made = made.orderBy(F.xxhash64("p", "y", "mask"), "p", "y", "mask").limit(max_windows).toPandas()
+    if not len(made):
         return Crf(prior=prior)
-    p = np.full((len(lines), length, kinds), -1)
-    y, mask = np.zeros((len(lines), length), np.int64), np.zeros((len(lines), length), bool)
-    for r, items in enumerate(lines):
-        for c, (k, v) in enumerate(items):
-            if k >= 0:
-                p[r, c] = places[k]
-            y[r, c], mask[r, c] = v, True
+    whole = lambda name, kind: np.frombuffer(b"".join(made[name]), kind)
+    p = whole("p", np.int32).reshape(len(made), LENGTH, kinds).astype(np.int64)
+    y, mask = whole("y", np.int8).reshape(len(made), LENGTH).astype(np.int64), whole("mask", bool).reshape(len(made), LENGTH)
     model.weights, model.bias, model.trans = train_chain(p, y, mask, len(model.hashes))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, t in tokens(b.column(0)):
+                places = model.lookup(t.features)
+                act, gap, tail, ptr = _active(t, places)
+                a, c = evidence(chain_marginals(model.potentials(places[act]), gap, tail, ptr, model.bias, model.trans), ptr)
+                yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(a), pa.array(c)], ["h", "toxic", "a", "c"])
+
     # calibration on whole documents
-    ids = seen["doc_id"].to_numpy()
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    labels_ = seen["toxic"].to_numpy(bool)[starts]
-    has = seen["act"].to_numpy() >= 0
-    n_active = np.add.reduceat(has.astype(np.int64), starts)
-    ptr = np.concatenate([[0], np.cumsum(n_active)])
-    q = chain_marginals(model.potentials(places), real["gap"].to_numpy(), seen["tail"].to_numpy()[starts], ptr, model.bias, model.trans)
-    a, b = evidence(q, ptr)
-    model.calibration = tuple(logistic(np.stack([np.ones_like(a), a, b], 1), labels_.astype(float)).tolist())
+    seen = rows.mapInArrow(weighed, "h long, toxic boolean, a double, c double").orderBy("h", "toxic").limit(max_labelled).toPandas()
+    x = np.stack([np.ones(len(seen)), seen["a"], seen["c"]], 1)
+    model.calibration = tuple(logistic(x, seen["toxic"].to_numpy(float)).tolist())
     return model
 
 
