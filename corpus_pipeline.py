@@ -3,6 +3,11 @@
 Each stage works on all that its predecessor kept, and its decisions take effect; all
 but the last return the columns of documents. Near duplicates are texts whose sets of
 five-word shingles have a similarity of 0.8 or more.
+
+In every stage a null text counts as empty, an empty table gives an empty table, and other
+columns, whatever their names, are kept as they are (but for the last stage, which has its
+own). Rows are told apart by id and text; a row that repeats both is one document for the
+near-duplicate stage and a document of its own for the others.
 """
 
 from __future__ import annotations
@@ -20,30 +25,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor a learned rule rejects."""
+    """Documents that neither the base rule nor a learned rule rejects; null and empty texts fail the base. Rows with null or repeated ids are judged by their texts like all others."""
     return quality.keep_good(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold; null and empty texts score as texts without any offending token. Without labels of both classes every document scores the share of toxic labels."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; texts without words are no duplicates."""
-    groups = jaccard.similar_components(docs, PERCENT, SHINGLE)
-    keep = groups.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__mailloom_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__mailloom_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)  # rows that repeat the document that stays
+    """One document of each group of near duplicates: the one with the smallest id, null ids last, ties by a hash of the text.
+
+    Of rows that repeat the id and the text of the one that stays, one stays. Texts without
+    words are near duplicates of nothing: of these only repeated rows go.
+    """
+    row = {"__mailloom_id": F.coalesce("doc_id", F.lit(0)), "__mailloom_none": F.col("doc_id").isNull(), "__mailloom_th": jaccard.text_hash()}
+    keep = jaccard.representatives(docs, PERCENT, SHINGLE).select(F.coalesce("doc_id", F.lit(0)).alias("__mailloom_id"), F.col("doc_id").isNull().alias("__mailloom_none"), F.col("th").alias("__mailloom_th"))
+    return docs.withColumns(row).join(keep, list(row), "left_semi").dropDuplicates(list(row)).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of every secret."""
-    return secretscan.redact_secrets(docs)
+    """All documents, with a mark in place of every secret, and n_chars of the text as it is then; a null text stays null, and so does its n_chars."""
+    out = secretscan.redact_secrets(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences; a null or empty text is one piece, the end token, and repeated rows are packed each."""
     return packing.pack(docs)
 
 
