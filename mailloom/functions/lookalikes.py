@@ -9,28 +9,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Which ASCII letters stand in for look-alikes. Small letters follow their capitals unless they are listed.
-ARMENIAN_CAPITALS = "ABGDEZEETZILXCKHDGCMYNSOCPJRSVTRCUPKOF"  # U+0531 to U+0556
-ARMENIAN_SMALL = {0x0578: "n", 0x057A: "u", 0x057D: "u", 0x0582: "u", 0x058C: "l", 0x058E: "u"}
-CYRILLIC_CAPITALS = ("A", "B", "B", "F", "D", "E", "ZH", "3", "N", "Y", "K", "L", "M", "H", "O", "N", "P", "C", "T", "Y", "F", "X", "C", "CH", "W", "W", "b", "bl", "b", "E", "IO", "R")  # U+0410 to U+042F
-CYRILLIC_SMALL = {"в": "v", "г": "r", "з": "z", "и": "u", "й": "i", "п": "n", "ч": "h"}
-CYRILLIC_OTHERS = {"Ё": "E", "ё": "e", "І": "I", "і": "i", "Ј": "J", "ј": "j", "Ѕ": "S", "ѕ": "s", "Ў": "U", "ў": "u", "һ": "h", "ԁ": "d", "ԛ": "q", "Ԝ": "W", "ԝ": "w"}
-GREEK = {"Α": "A", "α": "a", "Β": "B", "Ε": "E", "ε": "e", "Ζ": "Z", "Η": "H", "η": "n", "Ι": "I", "ι": "i", "Κ": "K", "κ": "k", "Μ": "M", "Ν": "N", "ν": "v", "Ο": "O", "ο": "o", "Ρ": "P", "ρ": "p", "Τ": "T", "τ": "t", "Χ": "X", "χ": "x", "Υ": "Y", "υ": "u", "ϲ": "c", "Ϲ": "C"}
-PHONETIC = {"ɑ": "a", "ɒ": "o", "ɔ": "c", "ɡ": "g", "ɩ": "i", "ɴ": "N", "ɵ": "o", "ʀ": "R", "ʏ": "Y"}
-CHEROKEE = {"Ꭰ": "T", "Ꭱ": "A", "Ꭴ": "y", "Ꭵ": "E", "Ꭹ": "H", "Ꭻ": "M", "Ꮍ": "Y", "Ꮗ": "Z", "Ꮞ": "S", "Ꮟ": "b", "Ꮥ": "W"}
+# Which ASCII letters stand in for look-alike characters, by code point.
+LOOKALIKES = {
+    "ɑ": "a", "ɒ": "o", "ɔ": "c", "ɡ": "g", "ɩ": "i", "ɴ": "N", "ɵ": "o", "ʀ": "R", "ʏ": "Y", "Α": "A", "Β": "B", "Ε": "E",
+    "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a",
+    "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ϲ": "c", "Ϲ": "C",
+    "Ё": "E", "Ѕ": "S", "І": "I", "Ј": "J", "Ў": "U", "А": "A", "Б": "B", "В": "B", "Г": "F", "Д": "D", "Е": "E", "Ж": "ZH",
+    "З": "3", "И": "N", "Й": "Y", "К": "K", "Л": "L", "М": "M", "Н": "H", "О": "O", "П": "N", "Р": "P", "С": "C", "Т": "T",
+    "У": "Y", "Ф": "F", "Х": "X", "Ц": "C", "Ч": "CH", "Ш": "W", "Щ": "W", "Ъ": "b", "Ы": "bl", "Ь": "b", "Э": "E", "Ю": "IO",
+    "Я": "R", "а": "a", "б": "b", "в": "v", "г": "r", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "u", "й": "i", "к": "k",
+    "л": "l", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "ф": "f", "х": "x", "ц": "c",
+    "ч": "h", "ш": "w", "щ": "w", "ъ": "b", "ы": "bl", "ь": "b", "э": "e", "ю": "io", "я": "r", "ё": "e", "ѕ": "s", "і": "i",
+    "ј": "j", "ў": "u", "һ": "h", "ԁ": "d", "ԛ": "q", "Ԝ": "W", "ԝ": "w", "Ա": "A", "Բ": "B", "Գ": "G", "Դ": "D", "Ե": "E",
+    "Զ": "Z", "Է": "E", "Ը": "E", "Թ": "T", "Ժ": "Z", "Ի": "I", "Լ": "L", "Խ": "X", "Ծ": "C", "Կ": "K", "Հ": "H", "Ձ": "D",
+    "Ղ": "G", "Ճ": "C", "Մ": "M", "Յ": "Y", "Ն": "N", "Շ": "S", "Ո": "O", "Չ": "C", "Պ": "P", "Ջ": "J", "Ռ": "R", "Ս": "S",
+    "Վ": "V", "Տ": "T", "Ր": "R", "Ց": "C", "Ւ": "U", "Փ": "P", "Ք": "K", "Օ": "O", "Ֆ": "F", "ա": "a", "բ": "b", "գ": "g",
+    "դ": "d", "ե": "e", "զ": "z", "է": "e", "ը": "e", "թ": "t", "ժ": "z", "ի": "i", "լ": "l", "խ": "x", "ծ": "c", "կ": "k",
+    "հ": "h", "ձ": "d", "ղ": "g", "ճ": "c", "մ": "m", "յ": "y", "ն": "n", "շ": "s", "ո": "n", "չ": "c", "պ": "u", "ջ": "j",
+    "ռ": "r", "ս": "u", "վ": "v", "տ": "t", "ր": "r", "ց": "c", "ւ": "u", "փ": "p", "ք": "k", "օ": "o", "ֆ": "f", "֌": "l",
+    "֎": "u", "Ꭰ": "T", "Ꭱ": "A", "Ꭴ": "y", "Ꭵ": "E", "Ꭹ": "H", "Ꭻ": "M", "Ꮍ": "Y", "Ꮗ": "Z", "Ꮞ": "S", "Ꮟ": "b", "Ꮥ": "W",
+}
 
 
 def lookalikes() -> dict[str, str]:
     """Character to its ASCII stand-in of one or two letters."""
-    out = {}
-    for k, ascii_letter in enumerate(ARMENIAN_CAPITALS):
-        out[chr(0x0531 + k)] = ascii_letter
-        out[chr(0x0561 + k)] = ascii_letter.lower()
-    out |= {chr(k): v for k, v in ARMENIAN_SMALL.items()}
-    for k, letters in enumerate(CYRILLIC_CAPITALS):
-        out[chr(0x0410 + k)] = letters
-        out[chr(0x0430 + k)] = letters.lower()
-    return out | CYRILLIC_SMALL | CYRILLIC_OTHERS | GREEK | PHONETIC | CHEROKEE
+    return LOOKALIKES
 
 
 def replace_lookalikes(c: Column) -> Column:

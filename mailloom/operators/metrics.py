@@ -75,10 +75,43 @@ def auc_one_vs_rest(df: DataFrame, probs: tuple[str, ...] = ("p0", "p1", "p2", "
     return out.select("class", F.expr("try_divide(w, p * n)").alias("auc"))
 
 
+def macro_auc(df: DataFrame, probs: tuple[str, ...] = ("p0", "p1", "p2", "p3")) -> DataFrame:
+    """auc: the mean of the classes' one-vs-rest areas; null if a class or its rest is empty."""
+    per = auc_one_vs_rest(df, probs)
+    return per.agg(F.when(F.count("auc") == len(probs), F.avg("auc")).alias("auc"))
+
+
+def quantiles(df: DataFrame, col: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """keys and a column for each share: exact quantiles, interpolated, of a number's distinct values and their counts.
+
+    Values are counted first and summed up in blocks of their order, so that no task holds a
+    group's values and none sorts more than a block's.
+    """
+    keys = keys or []
+    x = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__x"))
+    per = x.groupBy(*keys, "__x").agg(F.count("*").alias("__c")).withColumn("__all", F.lit(0))
+    # doubles in their order: the exponent and the first bits of the fraction
+    low = F.log2(F.greatest(F.abs("__x"), F.lit(2.0**-60)))
+    per = per.withColumn("__b", F.floor(F.signum("__x") * (low + 61) * 64))
+    group = [*keys, "__all"]
+    blocks = per.groupBy(*group, "__b").agg(F.sum("__c").alias("__n"))
+    whole = Window.partitionBy(*group)
+    blocks = blocks.select(*group, "__b", (F.sum("__n").over(whole.orderBy("__b")) - F.col("__n")).alias("__o"), F.sum("__n").over(whole).alias("__total"))
+    upto = F.col("__o") + F.sum("__c").over(Window.partitionBy(*group, "__b").orderBy("__x"))
+    r = per.join(blocks, [*group, "__b"]).withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c"))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("__total") - 1)
+        value = lambda k: F.max(F.when((F.col("__from") <= k) & (k < F.col("__to")), F.col("__x")))
+        low, high, part = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return r.groupBy(*keys).agg(*out) if keys else r.agg(*out)
+
+
 def latency_stats(df: DataFrame, col: str = "latency_ms") -> DataFrame:
-    """mean, median and 95th percentile (interpolated) of positive latencies, and messages a second."""
+    """mean, median and 95th percentile (interpolated) of positive latencies, and messages a second; zeros without any."""
     ok = df.filter(F.col(col) > 0)
-    out = ok.agg(F.avg(col).alias("mean_ms"), F.median(col).alias("median_ms"), F.percentile(col, 0.95).alias("p95_ms"))
+    out = ok.agg(F.avg(col).alias("mean_ms")).crossJoin(quantiles(ok, col, {"median_ms": 0.5, "p95_ms": 0.95}))  # one row each
     return out.na.fill(0.0).withColumn("per_second", ratio(F.lit(1000.0), F.col("mean_ms")))
 
 

@@ -365,18 +365,9 @@ def mask_chain(spark, d):
     return bodies(spark, d).select("doc_id", mk.mask(F.col("subject")).alias("subject"), mk.mask(F.col("body")).alias("body"))
 
 
-_NATIVE_CHAIN = tuple(n for n in mk.NAMES if n not in ("bare_url", "reference", "phone", "unix_path"))
-
-
-def _chain_sql(c: str) -> str:
-    for name in _NATIVE_CHAIN:
-        c = mask_sql(c, name)
-    return c
-
-
-@query("mask_token_histogram", f", m AS (SELECT {_chain_sql('body')} AS body FROM emails) SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(body, '{mk.TOKEN}')) AS token FROM m) GROUP BY token", E)
+@query("mask_token_histogram")
 def mask_token_histogram(spark, d):
-    m = bodies(spark, d).select(mk.mask(F.col("body"), _NATIVE_CHAIN, unicode=False).alias("body"))
+    m = bodies(spark, d).select(mk.mask(F.col("body"), unicode=False).alias("body"))
     return m.select(F.explode(F.regexp_extract_all("body", F.lit(mk.TOKEN), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -545,11 +536,17 @@ def first_n(spark, d):
 # ---- terms -------------------------------------------------------------------------------------
 
 _ASCII_WORD = "[A-Za-z0-9_]+"
-_WORDS = f", w AS (SELECT doc_id, regexp_extract_all(subject, '{_ASCII_WORD}') AS ws FROM emails), g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term) "
+_TEXT = "'Subject: ' || " + _STRIP.format("subject") + " || '. Body: ' || " + _STRIP.format("body")
+_WORDS = f", w AS (SELECT doc_id, regexp_extract_all({_TEXT}, '{_ASCII_WORD}') AS ws FROM emails), g AS (SELECT doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term) "
+
+
+def _texts(spark, d):
+    """doc_id, text: what a classifier reads, subject and whole body."""
+    return bodies(spark, d).select("doc_id", tx.classifier_text(F.col("subject"), F.col("body"), unicode=False).alias("text"))
 
 
 def _tf(spark, d):
-    return tfidf.term_counts(bodies(spark, d), tfidf.word_ngrams(F.col("subject"), pattern=_ASCII_WORD))
+    return tfidf.term_counts(_texts(spark, d), tfidf.word_ngrams(F.col("text"), pattern=_ASCII_WORD))
 
 
 @query("tf_word", _WORDS + "SELECT * FROM tf", E)
@@ -569,9 +566,12 @@ def tfidf_weight(spark, d):
     return tfidf.weights(tf, tfidf.document_counts(tf), n).withColumn("weight", F.round("weight", 9))
 
 
-@query("tf_char", ", g AS (SELECT doc_id, unnest(list_concat([substr(subject, i, 3) FOR i IN range(1, length(subject) - 1)], [substr(subject, i, 4) FOR i IN range(1, length(subject) - 2)], [substr(subject, i, 5) FOR i IN range(1, length(subject) - 3)])) AS term FROM emails) SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term", E)
+_GRAMS = ", t AS (SELECT doc_id, " + _TEXT + " AS text FROM emails), c AS (SELECT doc_id, string_split(text, '') AS cs FROM t), g AS (" + " UNION ALL ".join(f"SELECT doc_id, unnest([array_to_string(cs[i : i + {n - 1}], '') FOR i IN range(1, len(cs) - {n - 2})]) AS term FROM c" for n in (3, 4, 5)) + ") "
+
+
+@query("tf_char", _GRAMS + "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM g GROUP BY term", E)
 def tf_char(spark, d):
-    return tfidf.term_counts(bodies(spark, d), tfidf.char_ngrams(F.col("subject")))
+    return tfidf.document_counts(tfidf.term_counts(_texts(spark, d), tfidf.char_ngrams(F.col("text"))))
 
 
 # ---- evaluation ----------------------------------------------------------------------------------
@@ -615,11 +615,19 @@ def cohort_fpr(spark, d):
     return metrics.cohort_rates(predictions(spark, d))
 
 
-@query("roc_auc_ovr", ", l AS (" + " UNION ALL ".join(f"SELECT {k} AS class, p{k} AS score, y_true = {k} AS hit FROM predictions" for k in range(4)) + "), r AS (SELECT class, hit, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS rk FROM l), s AS (SELECT class, sum(rk) FILTER (WHERE hit) AS w, count(*) FILTER (WHERE hit) AS p, count(*) FILTER (WHERE NOT hit) AS n FROM r GROUP BY class) SELECT class, (w - p * (p + 1) / 2.0) / (p * n) AS auc FROM s", P)
+_AREAS = ", l AS (" + " UNION ALL ".join(f"SELECT {k} AS class, p{k} AS score, y_true = {k} AS hit FROM predictions" for k in range(4)) + "), r AS (SELECT class, hit, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS rk FROM l), s AS (SELECT class, sum(rk) FILTER (WHERE hit) AS w, count(*) FILTER (WHERE hit) AS p, count(*) FILTER (WHERE NOT hit) AS n FROM r GROUP BY class)"
+
+
+@query("roc_auc_ovr", _AREAS + " SELECT class, (w - p * (p + 1) / 2.0) / (p * n) AS auc FROM s", P)
 def roc_auc_ovr(spark, d):
     return metrics.auc_one_vs_rest(predictions(spark, d))
 
 
+@query("roc_auc_macro", _AREAS + " SELECT round(avg((w - p * (p + 1) / 2.0) / (p * n)), 9) AS auc FROM s", P)
+def roc_auc_macro(spark, d):
+    return metrics.macro_auc(predictions(spark, d)).select(F.round("auc", 9).alias("auc"))
+
+
 @query("latency_stats", "SELECT round(avg(latency_ms), 6) AS mean_ms, round(median(latency_ms), 6) AS median_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(1000 / avg(latency_ms), 6) AS per_second FROM predictions WHERE latency_ms > 0", P)
 def latency_stats(spark, d):
     s = metrics.latency_stats(predictions(spark, d))
@@ -629,7 +637,8 @@ def latency_stats(spark, d):
 @query("event_latency", "SELECT event_type, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events WHERE value > 0 GROUP BY event_type")
 def event_latency(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet").filter("value > 0")
-    return ev.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.median("value"), 6).alias("median_ms"), F.round(F.percentile("value", 0.95), 6).alias("p95_ms"))
+    both = ev.groupBy("event_type").agg(F.avg("value").alias("mean_ms")).join(metrics.quantiles(ev, "value", {"median_ms": 0.5, "p95_ms": 0.95}, ["event_type"]), "event_type")
+    return both.select("event_type", *(F.round(c, 6).alias(c) for c in ("mean_ms", "median_ms", "p95_ms")))
 
 
 _CLASS = "CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0 WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END"

@@ -1,7 +1,8 @@
 """The message view that the queries run over, made from the documents table.
 
-A document's number chooses one of sixteen forms. The expressions are written once and
-mean the same in Spark and in standard SQL.
+A document's number chooses one of sixteen forms; each keeps the whole text and adds to it
+what some operator looks for. The expressions are written once and mean the same in Spark
+and in standard SQL.
 """
 
 from __future__ import annotations
@@ -11,25 +12,24 @@ from pyspark.sql import functions as F
 
 BODY = """CASE doc_id % 16
 WHEN 0 THEN concat(text, chr(10), '-----Original Message-----', chr(10), 'From: a@b.example')
-WHEN 1 THEN concat(substr(text, 1, 400), chr(10), 'On Mon, Jan 1, 2001 at 12:00 PM, Jane Roe wrote:', chr(10), '> quoted')
-WHEN 2 THEN concat(substr(text, 1, 400), chr(10), '________________', chr(10), 'footer')
-WHEN 3 THEN concat(substr(text, 1, 300), chr(10), 'Visit https://login.example', cast(doc_id % 7 as string), '.co.uk/p?id=', cast(doc_id as string), ').')
-WHEN 4 THEN concat(substr(text, 1, 300), chr(10), 'see www.sub.host-', cast(doc_id as string), '.example.org, or evil-corp.ru/verify.')
-WHEN 5 THEN concat(substr(text, 1, 300), chr(10), 'Ref: TKT-', cast(10000 + doc_id as string), ' IBAN DE44500105175407324931 by J.R.R. @user', cast(doc_id as string))
-WHEN 6 THEN concat(substr(text, 1, 300), chr(10), 'attachment: x', cast(doc_id as string), ' report.pdf C:', chr(92), 'tmp', chr(92), 'a.txt /usr/local/a.sh')
-WHEN 7 THEN concat(substr(text, 1, 300), chr(10), '==========', chr(10), 'Dear [RECEIVER], click [ACTION_LINK]', chr(10), '[SENDER]')
-WHEN 8 THEN concat('-----BEGIN PGP SIGNATURE-----', chr(10), 'iQEz', chr(10), '-----END PGP SIGNATURE-----', chr(10), substr(text, 1, 300))
-WHEN 9 THEN concat(substr(text, 1, 300), ' 😀😀 ☺')
-WHEN 10 THEN concat('pаypаl \u200b\u00a0ж', substr(text, 1, 300))
-WHEN 11 THEN concat('<html><head><title>Title ', cast(doc_id as string), '</title></head><body><p>', substr(text, 1, 300), '</p><a href="http://a.b.example.com/x">go</a></body></html>')
-WHEN 12 THEN concat('mv 00001.0123456789abcdef0123456789abcdef 00001.0123456789abcdef0123456789abcdef', chr(10), substr(text, 1, 200))
-WHEN 13 THEN substr(text, 1, 30)
-WHEN 14 THEN concat(substr(text, 1, 200), '   ', chr(10), chr(10), chr(10), chr(10), '+1-800-555-01', cast(10 + doc_id % 90 as string), chr(13), chr(10), 'end')
+WHEN 1 THEN concat(text, chr(10), 'On Mon, Jan 1, 2001 at 12:00 PM, Jane Roe wrote:', chr(10), '> quoted')
+WHEN 2 THEN concat(text, chr(10), '________________', chr(10), 'footer')
+WHEN 3 THEN concat(text, chr(10), 'Visit https://login.example', cast(doc_id % 7 as string), '.co.uk/p?id=', cast(doc_id as string), ').')
+WHEN 4 THEN concat(text, chr(10), 'see www.sub.host-', cast(doc_id as string), '.example.org, or evil-corp.ru/verify.')
+WHEN 5 THEN concat(text, chr(10), 'Ref: TKT-', cast(10000 + doc_id as string), ' IBAN DE44500105175407324931 by J.R.R. @user', cast(doc_id as string))
+WHEN 6 THEN concat(text, chr(10), 'attachment: x', cast(doc_id as string), ' report.pdf C:', chr(92), 'tmp', chr(92), 'a.txt /usr/local/a.sh')
+WHEN 7 THEN concat(text, chr(10), '==========', chr(10), 'Dear [RECEIVER], click [ACTION_LINK]', chr(10), '[SENDER]')
+WHEN 8 THEN concat('-----BEGIN PGP SIGNATURE-----', chr(10), 'iQEz', chr(10), '-----END PGP SIGNATURE-----', chr(10), text)
+WHEN 9 THEN concat(text, ' 😀😀 ☺')
+WHEN 10 THEN concat('pаypаl \u200b\u00a0ж', text)
+WHEN 11 THEN concat('<html><head><title>Title ', cast(doc_id as string), '</title></head><body><p>', text, '</p><a href="http://a.b.example.com/x">go</a></body></html>')
+WHEN 12 THEN concat('mv 00001.0123456789abcdef0123456789abcdef 00001.0123456789abcdef0123456789abcdef', chr(10), text)
+WHEN 14 THEN concat(text, '   ', chr(10), chr(10), chr(10), chr(10), '+1-800-555-01', cast(10 + doc_id % 90 as string), chr(13), chr(10), 'end')
 ELSE text END"""
 SUBJECT = """concat(CASE doc_id % 8 WHEN 0 THEN 'Returned mail: ' WHEN 1 THEN 'Out of Office: ' WHEN 2 THEN '' WHEN 3 THEN 'Re: ' WHEN 4 THEN 'Undeliverable: '
-WHEN 5 THEN 'Automatic reply: ' WHEN 6 THEN 'Fwd:  ' ELSE 'Hello ' END, substr(text, 1, 40))"""
+WHEN 5 THEN 'Automatic reply: ' WHEN 6 THEN 'Fwd:  ' ELSE 'Hello ' END, coalesce(source, 'someone'), ' about ', cast(n_chars as string), ' things in ', coalesce(lang, 'any'))"""
 SENDER = "concat('User ', cast(doc_id % 50 as string), ' <User', cast(doc_id % 50 as string), '@Mail', cast(doc_id % 9 as string), '.Example.COM>')"
-PATH = "concat('/box/', CASE doc_id % 4 WHEN 0 THEN 'spam' WHEN 1 THEN 'easy_ham' WHEN 2 THEN 'hard_ham' ELSE 'other' END, '/', lpad(cast(doc_id % 300 as string), 5, '0'), '.', md5(substr(text, 1, 60)))"
+PATH = "concat('/box/', CASE doc_id % 4 WHEN 0 THEN 'spam' WHEN 1 THEN 'easy_ham' WHEN 2 THEN 'hard_ham' ELSE 'other' END, '/', lpad(cast(doc_id % 300 as string), 5, '0'), '.', md5(text))"
 BOX = "concat('/mail/', CASE doc_id % 4 WHEN 0 THEN 'phishing' WHEN 1 THEN 'private-phishing4' WHEN 2 THEN 'a-b' ELSE 'phishing' END, CASE WHEN doc_id % 4 = 1 THEN '' ELSE concat('-', cast(2015 + doc_id % 10 as string)) END, '.mbox')"
 LABEL = "cast(coalesce(toxic, doc_id % 2) as int)"
 COHORT = f"({LABEL} + 2 * (cast(substr(source, 4) as int) % 2))"

@@ -86,6 +86,126 @@ def test_mask_chain_keeps_tokens(spark):
     assert one(spark, mk.mask(F.col("s"), enabled=False), s) == s
 
 
+def python_rule(name, s):
+    """A rule as Python's own expressions have it."""
+    import re
+
+    _, flags, body, token = mk.RULES[mk.NAMES.index(name)]
+    body = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), body)
+    return re.sub(body, lambda m: token, s, flags=sum(getattr(re, f.upper()) for f in flags))
+
+
+@pytest.fixture(scope="module")
+def whole_bodies(spark):
+    from mailloom.plans import fixtures
+
+    extra = ["-----BEGIN PGP SIGNED MESSAGE-----\nHash: SHA1\nhi", "WWW.x.org FTP://a.b/c", "order # A1B2C3 case: 99x77", "1.2.3.4 5 ١.٢.٣.٤", "see a.zip, b.COM/x?y.", "=====\n  *****  ", "A.B. c.D.", "é@ü.de ☃️ 12 34 567 8901", "", None]
+    have = fixtures.bodies(spark, "/root/testdata/sf0.001").select("doc_id", "subject", "body")
+    return have.unionByName(spark.createDataFrame([(10**6 + i, "Ref: ABC-12345", t) for i, t in enumerate(extra)], have.schema)).cache()
+
+
+def test_mask_chain_on_whole_texts(whole_bodies):
+    rows = whole_bodies.select("body", mk.mask(F.col("body")).alias("all"), mk.mask_one(F.col("body"), "reference").alias("reference")).collect()
+    changed = 0
+    for r in rows:
+        want = r["body"] or ""
+        for name in mk.NAMES:
+            want = python_rule(name, want)
+        assert r["all"] == want
+        assert r["reference"] == (None if r["body"] is None else python_rule("reference", r["body"]))
+        changed += want != r["body"]
+    assert changed > 100
+
+
+def test_mask_queries_on_whole_texts(spark, whole_bodies):
+    from collections import Counter
+    import re
+
+    from mailloom.plans import catalogue
+
+    got = {r["token"]: r["n"] for r in catalogue.QUERIES["mask_token_histogram"](spark, "/root/testdata/sf0.001").collect()}
+    want = Counter()
+    for r in whole_bodies.filter("doc_id < 1000000").collect():
+        s = r["body"]
+        for name in mk.NAMES:
+            s = python_rule(name, s)
+        want.update(re.findall(mk.TOKEN, s))
+    assert got == want and {"[PHONE_NUMBER]", "[URL]", "[FILE_PATH]"} <= set(got)
+
+
+def test_entity_masks_on_whole_texts(spark, whole_bodies):
+    import re
+
+    from mailloom.plans import catalogue
+
+    got = {r["doc_id"]: r["body"] for r in catalogue.QUERIES["mask_entities"](spark, "/root/testdata/sf0.001").collect()}
+    for r in whole_bodies.filter("doc_id < 1000000").collect():
+        assert got[r["doc_id"]] == mk.replace_entities(r["body"], [(m.start(1), m.end(1), "PERSON") for m in re.finditer(r"\bThe\s+(\w+)", r["body"])])
+
+
+def test_normal_texts(spark, whole_bodies):
+    """Normalisation, the service's chain and MIME, on whole texts against plain Python."""
+    import email
+    import email.policy
+
+    from mailloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["subject"], r["body"]) for r in whole_bodies.filter("doc_id < 1000000").collect()}
+    normal = {r["doc_id"]: r["body"] for r in catalogue.QUERIES["unicode_normal"](spark, sf).collect()}
+    assert normal == {i: la.normal_text(b) for i, (_, b) in texts.items()}
+    served = {r["doc_id"]: r for r in catalogue.QUERIES["serve_clean"](spark, sf).collect()}
+    sliced = {r["doc_id"]: r["b"] for r in whole_bodies.select("doc_id", tx.slice_thread(F.when(tx.is_html(F.col("body")), html.clean_payload("body")).otherwise(F.col("body"))).alias("b")).collect()}
+    for i, (subject, _) in texts.items():
+        masked, title = la.normal_text(sliced[i]), la.normal_text(subject)
+        for name in mk.NAMES:
+            masked, title = python_rule(name, masked), python_rule(name, title)
+        r = served[i]
+        assert (r["clean_body"], r["masked_body"], r["text"]) == (sliced[i], masked, f"Subject: {title.strip()}. Body: {masked.strip()}")
+    read = {r["doc_id"]: (r["subject"], r["body"]) for r in catalogue.QUERIES["mime_round_trip"](spark, sf).collect()}
+    parsed = {r["doc_id"]: r for r in catalogue.QUERIES["mime_parse"](spark, sf).collect()}
+    for i, (subject, body) in texts.items():
+        m = email.message_from_bytes(mail.build_message(str(i), subject, body), policy=email.policy.default)
+        assert read[i] == (" ".join(subject.split()), m.get_content()) and read[i][1].split() == body.split()
+        assert (parsed[i]["subject"], parsed[i]["content_types"], parsed[i]["attachment_count"], parsed[i]["parse_error"]) == (" ".join(subject.split()), ["text/plain"], 0, None)
+        if body.isascii():  # text that a string holds beyond ASCII is escaped, as Python's parser has it
+            assert parsed[i]["plain"].split() == body.split()
+
+
+def test_pages_parsed(spark):
+    from mailloom.plans import catalogue
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = {r["page_id"]: r["body"] for r in catalogue.QUERIES["html_text_parsed"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: html.clean(h) for i, h in pages.items()}
+    assert html.clean("<p>a</p><style>x{}</style><p>b<br>c") == "a\nb\nc"
+
+
+def test_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    rows = [(g, r.choice([r.gauss(0, 10), r.expovariate(0.001), 0.0, -3.5, 7.0, 1e-30, 1e18])) for g in "ab" for _ in range(400)] + [("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {x["g"]: x for x in metrics.quantiles(df, "x", {"q0": 0.0, "q5": 0.5, "q95": 0.95, "q1": 1.0}, ["g"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, x in got.items():
+        want = np.quantile([v for k, v in rows if k == g and v is not None], [0, 0.5, 0.95, 1])
+        assert np.allclose([x["q0"], x["q5"], x["q95"], x["q1"]], want, rtol=1e-12)
+    assert metrics.latency_stats(df.limit(0).withColumnRenamed("x", "latency_ms")).first().asDict() == {"mean_ms": 0.0, "median_ms": 0.0, "p95_ms": 0.0, "per_second": 0.0}
+
+
+def test_ngrams(spark):
+    s = "a bb  c a é日x"
+    words = ["a", "bb", "c", "a", "é日x"]
+    assert one(spark, tfidf.word_ngrams(F.col("s")), s) == words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    assert one(spark, tfidf.char_ngrams(F.col("s")), s) == [s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)]
+    for short in ("", "a", None):
+        assert one(spark, tfidf.char_ngrams(F.col("s")), short) == [] and one(spark, tfidf.word_ngrams(F.col("s")), short) == ([short] if short else [])
+
+
 def test_entities():
     assert mk.replace_entities("Bob saw [URL] in Rome", [(0, 3, "PERSON"), (8, 13, "ORG"), (17, 21, "GPE"), (4, 7, "XX")]) == "[NAME] saw [URL] in [ADDRESS]"
 
