@@ -566,10 +566,14 @@ def tfidf_weight(spark, d):
     return tfidf.weights(tf, tfidf.document_counts(tf), n).withColumn("weight", F.round("weight", 9))
 
 
-_GRAMS = ", t AS (SELECT doc_id, " + _TEXT + " AS text FROM emails), c AS (SELECT doc_id, string_split(text, '') AS cs FROM t), g AS (" + " UNION ALL ".join(f"SELECT doc_id, unnest([array_to_string(cs[i : i + {n - 1}], '') FOR i IN range(1, len(cs) - {n - 2})]) AS term FROM c" for n in (3, 4, 5)) + ") "
+_GRAMS = ", t AS (SELECT doc_id, " + _TEXT + """ AS text FROM emails), a AS (SELECT doc_id, string_split(text, '') AS cs FROM t),
+c AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM a),
+w AS (SELECT doc_id, c || lead(c, 1) OVER x || lead(c, 2) OVER x AS g, lead(c, 3) OVER x AS d, lead(c, 4) OVER x AS e FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, unnest([g, g || d, g || d || e]) AS term FROM w),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY doc_id, term) """
 
 
-@query("tf_char", _GRAMS + "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM g GROUP BY term", E)
+@query("tf_char", _GRAMS + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term", E)
 def tf_char(spark, d):
     return tfidf.document_counts(tfidf.term_counts(_texts(spark, d), tfidf.char_ngrams(F.col("text"))))
 
