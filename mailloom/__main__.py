@@ -1,4 +1,4 @@
-"""Command line: preprocess, mask, validate, stats, trace, train, predict, baseline."""
+"""Command line: preprocess, mask, validate, stats, generate, trace, train, compare, export, predict, baseline, serve."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import masking as mk
-from mailloom.functions.text import classifier_text
-from mailloom.operators import metrics, records, sampling
+from mailloom.operators import heads, metrics, records, sampling
+from mailloom.operators.generation import VERSIONS
 from mailloom.operators.tfidf import Stylometric
 from mailloom.plans import flows, training
 from mailloom.sources import mail, sinks
@@ -55,7 +55,8 @@ def trace(spark: SparkSession, a: argparse.Namespace) -> int:
     seeds = mail.cohort_lines(spark, a.seeds, 0).select("id", "subject", "body")
     seeds = seeds.withColumn("position", F.regexp_extract("id", r"_(\d+)$", 1).try_cast("int"))
     made = mail.json_lines(spark, a.input).select("source", "seed_idx")
-    share = sampling.quotas(a.samples, sorted(r["source"] for r in made.select("source").distinct().limit(1000).collect()))
+    models = sorted(r["source"] for r in made.select("source").distinct().collect())
+    share = sampling.quotas(a.samples, models)
     sampling.trace(made, sampling.seed_pool(spark, seeds, seeds.count(), share, a.seed)).show(a.show, False)
     return 0
 
@@ -75,14 +76,81 @@ def train(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-def predict(spark: SparkSession, a: argparse.Namespace) -> int:
+def compare(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Heads side by side on the split that training left."""
+    t = training.Training(per_cohort=a.samples)
+    vectors = training.vectors(_cohorts(spark, a.cohorts), t, a.out, resume=not a.fresh)[0].persist()
+    found = heads.compare(vectors.filter("split = 'train'"), vectors.filter("split = 'test'"), a.head)
+    sinks.write_report(found, f"{a.out}/comparison")
+    found.show(100, False)
+    return 0
+
+
+def export(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A trained head as an ONNX file."""
     from pyspark.ml import PipelineModel
 
-    rows = mail.cohort_lines(spark, a.input, 0).select(F.col("id").alias("doc_id"), "subject", "body")
-    rows = rows.withColumn("text", classifier_text(mk.mask(F.col("subject")), mk.mask(F.col("body"))))
-    vectors = Stylometric.load(spark, a.stylo).transform(rows, "text", "features")
-    out = flows.predict(vectors, PipelineModel.load(a.model), a.rule)
-    out.select("doc_id", "predicted_class", "is_phishing", "probabilities", "preview").write.mode("overwrite").json(a.out)
+    from mailloom.operators import portable
+
+    with open(a.out, "wb") as f:
+        f.write(portable.to_onnx(PipelineModel.load(a.model).stages[-1]))
+    return 0
+
+
+def generate(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A cohort from seeds; --provider is module:class, or a registered name."""
+    import importlib
+
+    from mailloom.operators import generation
+
+    if ":" in a.provider:
+        module, cls = a.provider.split(":")
+        generation.register_provider(a.provider, getattr(importlib.import_module(module), cls))
+    client = generation.provider(a.provider)
+    seeds = [r.asDict() for r in mail.cohort_lines(spark, a.seeds, 0).select("subject", "body").collect()]  # the seeds of one job
+    done = mail.json_lines(spark, a.out).filter(F.col("source") == a.model) if mail.count_lines(spark, a.out) else None
+    written = done.count() if done is not None else 0
+    start = sampling.resume_at(done, a.batch, "source").first() if written else None
+    job = generation.Job(a.model, a.samples, a.kind, a.version, a.batch, a.seed)
+    with open(a.out, "a", encoding="utf-8") as f:  # whole batches, so that a run that stops can go on
+        for rows in generation.generate(job, seeds, client, int(a.kind == "phishing"), int(start["position"]) if start else 0, written):
+            f.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
+            f.flush()
+            written += len(rows)
+    print(json.dumps({"model": a.model, "written": written}))
+    return int(written < a.samples)
+
+
+def _models(a: argparse.Namespace):
+    from pyspark.ml import PipelineModel
+
+    spark = SparkSession.getActiveSession()
+    stylo = Stylometric.load(spark, a.stylo)
+    return lambda df: stylo.transform(df, "text", "features"), PipelineModel.load(a.model)
+
+
+def predict(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Messages of a JSON-lines cohort, of one JSON object, of plain text or of raw mail to predictions."""
+    if a.subject or a.body:
+        rows = spark.createDataFrame([("message", a.subject, a.body)], "id string, subject string, body string")
+    elif not a.input:
+        raise ValueError("give --input, --subject or --body")
+    elif a.form == "lines":
+        rows = mail.cohort_lines(spark, a.input, 0).select("id", "subject", "body")
+    else:
+        rows = mail.one_message(spark, a.input) if a.form == "one" else mail.raw_messages(mail.files(spark, a.input))
+    out = flows.predict_messages(rows, *_models(a), a.rule)
+    out.withColumnRenamed("id", "doc_id").write.mode("overwrite").json(a.out)
+    return 0
+
+
+def serve(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Raw messages that arrive in a folder to predictions, each once; run again, it takes what is new."""
+    from mailloom.streaming import ingest
+
+    vectors, model = _models(a)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(a.input)
+    ingest.predictions(raw, a.out, f"{a.out}/_checkpoint", lambda part: flows.predict_messages(mail.raw_messages(part), vectors, model, a.rule)).awaitTermination()
     return 0
 
 
@@ -112,7 +180,12 @@ def main(argv: list[str] | None = None) -> int:
     verb(stats, ("--input", needed))
     verb(trace, ("--input", needed), ("--seeds", needed), ("--samples", {"type": int, "default": 14_000}), ("--seed", {"type": int, "default": 42}), ("--show", {"type": int, "default": 20}))
     verb(train, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
-    verb(predict, ("--input", needed), ("--stylo", needed), ("--model", needed), ("--rule", {"default": "service", "choices": ["service", "baseline", "exported"]}), ("--out", needed))
+    rule = ("--rule", {"default": "service", "choices": ["service", "baseline", "exported"]})
+    verb(compare, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf", "logistic"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
+    verb(export, ("--model", needed), ("--out", needed))
+    verb(generate, ("--seeds", needed), ("--provider", needed), ("--model", needed), ("--samples", {"type": int, "default": 14_000}), ("--kind", {"default": "benign", "choices": ["benign", "phishing"]}), ("--version", {"default": "v2", "choices": list(VERSIONS)}), ("--batch", {"type": int, "default": 10}), ("--seed", {"type": int, "default": 42}), ("--out", needed))
+    verb(predict, ("--input", {}), ("--form", {"default": "lines", "choices": ["lines", "one", "raw"]}), ("--subject", {"default": ""}), ("--body", {"default": ""}), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
+    verb(serve, ("--input", needed), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
     verb(baseline, ("--input", needed), ("--engine", {"default": "spamd", "choices": ["spamd", "rspamd"]}))
     a = top.parse_args(argv)
     return a.run(SparkSession.builder.appName("mailloom").getOrCreate(), a)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections import Counter
 
 import pandas as pd
@@ -53,6 +55,21 @@ def urls(plain: Column, html: Column | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda u: u != "")))
 
 
+def urls_in(s: str | None) -> list[str]:
+    """The same of one plain text, in Python."""
+    return sorted({u for m in re.finditer("(?i)" + URL, s or "") if (u := m[0].rstrip(".,;)>'\"]"))})
+
+
+def url_numbers(links: list[str]) -> dict[str, int | float]:
+    """The metrics of one message's links, in Python."""
+    lengths, depths = [len(u) for u in links], []
+    for u in links:
+        host = re.match(r"(?:https?://)?(?:[^/?#@]*@)?([^/?#:]*)", u)[1].lower()
+        depths.append(0 if re.fullmatch(r"[0-9]*", host.replace(".", "")) else max(0, host.count(".") - 1))
+    mean = lambda x: math.floor(100 * sum(x) / len(x) + 0.5) / 100 if x else 0.0
+    return {"url_count": len(links), "url_length_max": max(lengths, default=0), "url_length_avg": mean(lengths), "url_subdom_max": max(depths, default=0), "url_subdom_avg": mean(depths)}
+
+
 def hostname(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:https?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
 

@@ -12,7 +12,7 @@ from mailloom.functions import features as fx
 from mailloom.functions import lookalikes as la
 from mailloom.functions import masking as mk
 from mailloom.functions import text as tx
-from mailloom.operators import dedup, heads, metrics, records, sampling, tfidf
+from mailloom.operators import dedup, heads, metrics, portable, records, sampling, semantic, tfidf
 from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
 from mailloom.sources import mail
@@ -686,6 +686,34 @@ def serve_clean(spark, d):
     return e.select("doc_id", *(c.alias(k) for k, c in flows.served(F.col("subject"), F.col("body")).items()))
 
 
+_COUNTS = ", e AS (SELECT doc_id, " + ", ".join(f"CAST(length(body) - length(replace(body, '{v}', '')) AS DOUBLE) AS e{k}" for k, v in enumerate("aeiou")) + " FROM emails)"
+
+
+def _embedded(spark, d):
+    """Bodies as vectors of a stand-in encoder: how often each vowel stands in them."""
+
+    def make():
+        return lambda texts: [[t.count(v) for v in "aeiou"] for t in texts]
+
+    e = semantic.embed(bodies(spark, d).select("doc_id", "body"), make, "body", "sem")
+    return e.select("doc_id", *(F.col("sem")[k].cast("double").alias(f"e{k}") for k in range(5)))
+
+
+@query("semantic_embed", _COUNTS + " SELECT * FROM e", E)
+def semantic_embed(spark, d):
+    return _embedded(spark, d)
+
+
+_LOGITS = tuple("(" + " + ".join(f"{(3 * c + 7 * k) % 11 - 5} * e{k}" for k in range(5)) + ") / (e0 + e1 + e2 + e3 + e4 + 1)" for c in range(4))
+
+
+@query("semantic_proba", _COUNTS + ", l AS (SELECT doc_id, " + ", ".join(f"{x} AS l{c}" for c, x in enumerate(_LOGITS)) + " FROM e), x AS (SELECT doc_id, " + ", ".join(f"exp(l{c} - greatest(l0, l1, l2, l3)) AS x{c}" for c in range(4)) + " FROM l) SELECT doc_id, " + ", ".join(f"round(x{c} / (x0 + x1 + x2 + x3), 9) AS p{c}" for c in range(4)) + " FROM x", E)
+def semantic_proba(spark, d):
+    """Class probabilities of a linear softmax head on the embedding."""
+    probs = semantic.softmax([F.expr(x) for x in _LOGITS])
+    return _embedded(spark, d).select("doc_id", *(F.round(p, 9).alias(f"p{c}") for c, p in enumerate(probs)))
+
+
 def _vectors(spark, d):
     """Dense vectors with classes, from the embeddings."""
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") % 4).alias("label"))
@@ -707,6 +735,15 @@ def head_random_forest(spark, d):
     return out.select("vec_id", "predicted_class", "is_phishing", F.round(F.element_at("probabilities", "human_benign"), 6).alias("human_benign"))
 
 
+@query("head_portable")
+def head_portable(spark, d):
+    """The logistic head's probabilities as its ONNX file gives them."""
+    v = _vectors(spark, d)
+    model = heads.train(v.filter("split = 'train'"), "logistic")
+    out = portable.score(v.filter("split = 'test'"), portable.to_onnx(model))
+    return out.select("vec_id", *(F.round(F.col("probs")[c].cast("double"), 4).alias(f"p{c}") for c in range(4)))
+
+
 # ---- streams -----------------------------------------------------------------------------------------
 
 

@@ -44,8 +44,8 @@ def splits(records: DataFrame, t: Training, folder: str, key: str = "doc_id", re
     return spark.read.parquet(path)
 
 
-def train(records: DataFrame, t: Training, folder: str, key: str = "doc_id", resume: bool = True) -> tuple[PipelineModel, DataFrame]:
-    """(model on column features, metrics on the test split) of records with text and cohort."""
+def vectors(records: DataFrame, t: Training, folder: str, key: str = "doc_id", resume: bool = True) -> tuple[DataFrame, Stylometric]:
+    """Records with split, features and label; blocks fitted on the training split are read again if a run with these parameters has left them."""
     spark = records.sparkSession
     s = splits(records, t, folder, key, resume)
     style = f"{folder}/stylo-{t.key('per_cohort', 'ratios', 'seed', 'word_terms', 'char_terms')}"
@@ -54,12 +54,19 @@ def train(records: DataFrame, t: Training, folder: str, key: str = "doc_id", res
     else:
         stylo = Stylometric(t.word_terms, t.char_terms).fit(s.filter("split = 'train'"), "text", key)
         stylo.save(style)
-    vectors = stylo.transform(s, "text", "features", key).withColumn("label", F.col("cohort"))
+        stylo = Stylometric.load(spark, style)
+    return stylo.transform(s, "text", "features", key).withColumn("label", F.col("cohort")), stylo
+
+
+def train(records: DataFrame, t: Training, folder: str, key: str = "doc_id", resume: bool = True) -> tuple[PipelineModel, DataFrame]:
+    """(model on column features, metrics on the test split) of records with text and cohort."""
+    spark = records.sparkSession
+    rows, _ = vectors(records, t, folder, key, resume)
     path = f"{folder}/head-{t.key()}"
     if resume and _exists(spark, f"{path}/metadata/_SUCCESS"):
         model = PipelineModel.load(path)
     else:
-        model = PipelineModel([heads.train(vectors.filter("split = 'train'"), t.head)])
+        model = PipelineModel([heads.train(rows.filter("split = 'train'"), t.head)])
         model.write().overwrite().save(path)
-    scored = model.transform(vectors.filter("split = 'test'")).select(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+    scored = model.transform(rows.filter("split = 'test'")).select(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
     return model, metrics.summary(scored)

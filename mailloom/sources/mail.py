@@ -115,6 +115,29 @@ def json_lines(spark: SparkSession, path: str, schema=None, strict: bool = False
     return rows.filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines that aren't blank; 0 if there is no such file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return 0
+    return spark.read.text(path).filter(F.col("value").rlike(r"\S")).count()
+
+
+def one_message(spark: SparkSession, path: str) -> DataFrame:
+    """id, subject, body of a file that holds one JSON object, or else plain text, which is the body."""
+    whole = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), F.regexp_replace(F.decode("content", "UTF-8"), r"\A\s+|\s+\z", "").alias("value"))
+    rec = F.from_json("value", "subject string, body string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    whole = whole.withColumn("r", F.when(F.col("value").startswith("{"), rec))
+    plain = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    return whole.select("id", F.when(plain, "").otherwise(F.coalesce("r.subject", F.lit(""))).alias("subject"), F.when(plain, F.col("value")).otherwise(F.coalesce("r.body", F.lit(""))).alias("body"))
+
+
+def raw_messages(files_: DataFrame) -> DataFrame:
+    """id, subject, body of raw messages (path, content), as the prediction service reads them."""
+    read = files_.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), read_message("content").alias("m"))
+    return read.select("id", "m.subject", "m.body")
+
+
 def cohort_lines(spark: SparkSession, path: str, cohort: int) -> DataFrame:
     """id, subject, body, cohort, text, metadata of a cohort file; id is the record's own, or the file's stem and the physical line number from 0. A bad line fails the read."""
     from mailloom.functions.text import classifier_text

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_json_lines(df: DataFrame, path: str, mode: str = "append", keep_nulls: bool = False) -> None:
-    """One JSON object a line; null fields are left out unless they are kept."""
-    df.write.mode(mode).option("ignoreNullFields", not keep_nulls).json(path)
+def write_json_lines(df: DataFrame, path: str, mode: str = "append", keep_nulls: bool = False) -> int:
+    """One JSON object a line; null fields are left out unless they are kept. The number of rows, counted as they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", not keep_nulls).json(path)
+    return int(seen.get["n"])
 
 
 def write_by_label(df: DataFrame, path: str, mode: str = "append") -> None:

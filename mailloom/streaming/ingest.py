@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mailloom.functions.masking import mask
 from mailloom.operators.records import RECORD
+from mailloom.operators.sampling import whole_batches
 
 
 def read_records(spark: SparkSession, path: str, schema=RECORD) -> DataFrame:
@@ -24,16 +25,33 @@ def mask_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
     return rows.writeStream.format("json").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def atomic_batches(rows: DataFrame, target: str, checkpoint: str, ok: str = "is_valid") -> StreamingQuery:
-    """Writes a micro-batch only if all of its rows are valid."""
+def atomic_batches(rows: DataFrame, target: str, checkpoint: str, ok: str = "is_valid", batch: int | None = None, keys: tuple[str, ...] = ("source",), index: str = "seed_idx") -> StreamingQuery:
+    """Writes only whole batches: with ``batch``, those of so many seeds of one model in which every row is valid, whatever micro-batches they share; else a micro-batch if all of its rows are valid.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        if not batch.filter(~F.coalesce(F.col(ok), F.lit(False))).head(1):
-            batch.drop(ok).write.mode("overwrite").json(f"{target}/batch={epoch}")
+    A micro-batch that is run again replaces what it wrote. A model's batch must arrive in
+    one micro-batch, as files written batch by batch do.
+    """
+
+    def write(part: DataFrame, epoch: int) -> None:
+        valid = F.coalesce(F.col(ok), F.lit(False))
+        if batch is not None:
+            part = whole_batches(part.withColumn(ok, valid), batch, list(keys), index, ok)
+        elif part.filter(~valid).head(1):
+            return
+        part.drop(ok).write.mode("overwrite").json(f"{target}/batch={epoch}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def predictions(raw: DataFrame, target: str, checkpoint: str, predict) -> StreamingQuery:
+    """Raw messages of new files (path, content) to predictions, each file once; ``predict`` is a function of a frame."""
+
+    def write(part: DataFrame, epoch: int) -> None:
+        predict(part).write.mode("overwrite").json(f"{target}/batch={epoch}")
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_events(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; on a stream, rows later than ``late`` are dropped."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

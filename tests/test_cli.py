@@ -46,6 +46,50 @@ def test_train_predict(spark, tmp_path, capsys):
     assert main(["predict", "--input", files[1], "--stylo", stylo, "--model", head, "--out", str(tmp_path / "p")]) == 0
     got = spark.read.json(str(tmp_path / "p"))
     assert got.filter("predicted_class = 1 and is_phishing").count() == 20
+    models = ["--stylo", stylo, "--model", head, "--out"]
+    (tmp_path / "one.json").write_text(json.dumps({"subject": "charlie", "body": "charlie text 3"}))
+    (tmp_path / "plain.txt").write_text("  delta text 4\n")
+    for name, want in (("one.json", 2), ("plain.txt", 3)):
+        assert main(["predict", "--form", "one", "--input", str(tmp_path / name), *models, str(tmp_path / f"p-{name}")]) == 0
+        assert [r["predicted_class"] for r in spark.read.json(str(tmp_path / f"p-{name}")).collect()] == [want]
+    assert main(["predict", "--subject", "bravo", *models, str(tmp_path / "ps")]) == 0
+    assert spark.read.json(str(tmp_path / "ps")).first()["predicted_class"] == 1
+    with pytest.raises(ValueError):
+        main(["predict", *models, str(tmp_path / "px")])
+    (tmp_path / "inbox").mkdir()
+    for k, text in enumerate(["Subject: bravo\n\nbravo text 1", "Subject:\n\n", "Subject: alpha\nContent-Type: text/html\n\n<p>alpha <b>text</b></p>"]):
+        (tmp_path / "inbox" / f"{k}.eml").write_text(text)
+        assert main(["serve", "--input", str(tmp_path / "inbox"), *models, str(tmp_path / "served")]) == 0
+    rows = {r["id"]: r for r in spark.read.json(str(tmp_path / "served")).collect()}
+    assert len(rows) == 3 and rows["0.eml"]["predicted_class"] == 1 and rows["2.eml"]["predicted_class"] == 0 and rows["1.eml"]["error"]
+    assert main(["export", "--model", head, "--out", str(tmp_path / "head.onnx")]) == 0 and (tmp_path / "head.onnx").stat().st_size > 100
+    assert main(["compare", "--cohorts", *files, "--head", "logistic", "--out", str(tmp_path / "t")]) == 0
+    assert spark.read.json(str(tmp_path / "t" / "comparison")).first()["accuracy"] == 1.0
+
+
+class Echo:
+    """A provider that answers with as many messages as it is asked for; every fifth reply is short."""
+
+    calls = 0
+
+    def complete(self, system, user):
+        Echo.calls += 1
+        n = user.count("--- Email ") - (Echo.calls % 5 == 0)
+        return json.dumps([{"subject": f"s{i}", "body": f"text {Echo.calls} {i}"} for i in range(n)])
+
+
+def test_generate_and_trace(spark, tmp_path, capsys):
+    seeds = lines(tmp_path / "seeds.jsonl", [{"subject": f"a{k}", "body": f"b{k}"} for k in range(9)])
+    args = ["generate", "--seeds", seeds, "--provider", f"{Echo.__module__}:Echo", "--model", "m", "--batch", "4", "--out", str(tmp_path / "g.jsonl")]
+    assert main([*args, "--samples", "12"]) == 0
+    first = (tmp_path / "g.jsonl").read_text()
+    assert main([*args, "--samples", "40", "--version", "v3"]) == 0  # goes on
+    text = (tmp_path / "g.jsonl").read_text()
+    rows = [json.loads(x) for x in text.splitlines()]
+    assert text.startswith(first) and len(first.splitlines()) == 12 and len(rows) == 40 and len({r["seed_idx"] for r in rows}) == 40
+    assert main(["validate", "--input", str(tmp_path / "g.jsonl")]) == 0
+    assert main(["trace", "--input", str(tmp_path / "g.jsonl"), "--seeds", seeds, "--samples", "40", "--show", "100"]) == 0
+    assert "seeds_" in capsys.readouterr().out
 
 
 def test_baseline(spark, tmp_path, capsys):

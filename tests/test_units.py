@@ -346,9 +346,80 @@ class Fake:
         return "Sure:\n```json\n" + json.dumps(rows) + "\n```"
 
 
+def test_records_of_generated_rows(spark):
+    row = {"subject": "Hi", "body": "see http://a.b.example.com/x, or www.c.org. " + "the and of " * 5}
+    r = generation.enriched(row, "m", 1, 4, 42)
+    df = spark.createDataFrame([(r["body"],)], "body string").withColumn("urls", fx.urls(F.col("body")))
+    same = df.select("urls", *(c.alias(k) for k, c in fx.url_metrics(F.col("urls")).items()), fx.language_native(F.col("body")).alias("language")).first().asDict()
+    assert {k: r[k] for k in same} == same and set(r) == set(records.RECORD.names)
+    assert generation.enriched({"subject": " ", "body": "x"}, "m", 1, 0, 1) is None and generation.enriched("x", "m", 1, 0, 1) is None and generation.enriched(row, "m", 2, 0, 1) is None
+    want = {"source": "m", "label": 1}
+    assert generation.parsed_record(want) == generation.parsed_record(json.dumps(want)) == generation.parsed_record("source: m\nlabel: 1") == generation.parsed_record("{'source': 'm', 'label': 1,}") == want
+    with pytest.raises(ValueError):
+        generation.parsed_record("[1, 2]")
+    with pytest.raises(TypeError):
+        generation.parsed_record(3)
+    assert generation.prompt("benign", [row], "v2") != generation.prompt("benign", [row], "v3")
+
+
+def test_semantic(spark, tmp_path):
+    from mailloom.operators import semantic
+
+    rows = [(i, f"{w} {w} number{i}", c) for c, w in enumerate(["alpha", "bravo", "charlie", "delta"]) for i in range(20)] + [(99, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    e = semantic.as_vectors(semantic.embed(df, semantic.hashed_encoder(64)))
+    assert all(abs(r["sem"].norm(2) - 1) < 1e-6 for r in e.filter("text is not null").collect()) and e.filter("text is null").first()["sem"].norm(2) == 0
+    model = semantic.fit(e.filter("text is not null"))
+    got = semantic.probabilities(e, model).filter("text is not null").collect()
+    assert all(max(range(4), key=r["probs"].__getitem__) == r["label"] and abs(sum(r["probs"]) - 1) < 1e-9 for r in got)
+    for n in (5, 40, 7):
+        (tmp_path / f"checkpoint-{n}").mkdir()
+    assert semantic.latest_checkpoint(spark, str(tmp_path)).endswith("checkpoint-40") and semantic.latest_checkpoint(spark, str(tmp_path / "no")) is None
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9), (4, None)], "step int, macro_f1 double")
+    assert semantic.best_checkpoint(scores).first()["step"] == 2
+
+
+@pytest.mark.parametrize("name", ["logistic", "mlp", "rf"])
+def test_portable_heads(spark, name):
+    """What an ONNX file gives is what the head gives."""
+    import random
+
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from mailloom.operators import portable
+
+    r = random.Random(2)
+    df = spark.createDataFrame([(Vectors.dense([round(c + r.gauss(0, 0.8), 3) if k == 0 else round(r.gauss(0, 1), 3) for k in range(5)]), c) for c in range(4) for _ in range(40)], ["features", "label"])
+    model = heads.train(df, name, **{"rf": {"numTrees": 7, "maxDepth": 6}, "mlp": {"layers": (8, 6), "maxIter": 20}}.get(name, {}))
+    both = portable.score(model.transform(df), portable.to_onnx(model), out="onnx").select(vector_to_array("probability").alias("a"), "onnx").collect()
+    assert len(both) == 160 and all(abs(x - y) < 1e-4 for b in both for x, y in zip(b["a"], b["onnx"], strict=True))
+    with pytest.raises(ValueError):
+        portable.to_onnx(object())
+
+
+def test_counts_of_lines(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), ("b", "x")], "k string, v string")
+    assert sinks.write_json_lines(df, str(tmp_path / "o")) == 2 and sinks.write_json_lines(df.limit(0), str(tmp_path / "e")) == 0
+    (tmp_path / "f.jsonl").write_text("{}\n\n{}\n")
+    assert mail.count_lines(spark, str(tmp_path / "f.jsonl")) == 2 and mail.count_lines(spark, str(tmp_path / "no.jsonl")) == 0
+
+
+def test_atomic_batches(spark, tmp_path):
+    rows = [{"source": m, "seed_idx": i, "body": "b", "is_valid": not (m == "x" and i == 3)} for m in "xy" for i in range(6)] + [{"source": "z", "seed_idx": 0, "body": "b"}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    stream = spark.readStream.schema("source string, seed_idx int, body string, is_valid boolean").json(str(tmp_path / "in"))
+    ingest.atomic_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), batch=2).awaitTermination()
+    got = sorted((r["source"], r["seed_idx"]) for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert got == [("x", 0), ("x", 1), ("x", 4), ("x", 5)] + [("y", i) for i in range(6)]
+    ingest.atomic_batches(stream, str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
+    assert not (tmp_path / "out2").exists()
+
+
 def test_generation():
     client = Fake()
-    batches = list(generation.generate(generation.Job("m", 20, batch=5), [{"subject": "a", "body": "b"}] * 7, client, 2, sleep=lambda s: None))
+    batches = list(generation.generate(generation.Job("m", 20, batch=5), [{"subject": "a", "body": "b"}] * 7, client, 1, sleep=lambda s: None))
     assert sum(map(len, batches)) == 20 and {len(b) for b in batches} == {5}
     assert generation.objects_in('{"subject": "a", "body": "b"}') == [{"subject": "a", "body": "b"}] and generation.objects_in("none") is None
     assert generation.api_key(None, "c", "X") == "c"
@@ -361,7 +432,8 @@ def test_heads(spark):
 
     df = spark.createDataFrame([(Vectors.dense([float(c == k) + 0.01 * i for k in range(4)]), c) for c in range(4) for i in range(10)], "features vector, label int") if False else spark.createDataFrame([(Vectors.dense([float(c == k) + 0.01 * i for k in range(4)]), c) for c in range(4) for i in range(10)], ["features", "label"])
     got = heads.compare(df, df, ["logistic", "rf"], {"rf": {"numTrees": 5, "maxDepth": 4}})
-    assert {r["head"]: r["accuracy"] for r in got.collect()} == {"logistic": 1.0, "rf": 1.0}
+    rows = got.collect()
+    assert {r["head"]: r["accuracy"] for r in rows} == {"logistic": 1.0, "rf": 1.0} and all(r["model_bytes"] > 0 and 0 < r["median_s"] <= r["slowest_s"] for r in rows)
     with pytest.raises(ValueError):
         heads.head("nope", 3)
 
