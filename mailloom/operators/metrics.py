@@ -18,6 +18,11 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(top.cast("double") / bottom)
 
 
+def scored(truth: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, y_true, y_pred of the records that both tables have."""
+    return truth.select(key, "y_true").join(predicted.select(key, "y_pred"), key)
+
+
 def confusion_matrix(df: DataFrame) -> DataFrame:
     """y_true and a column for each predicted class, all classes, zeros filled in."""
     counts = df.groupBy("y_true").pivot("y_pred", list(CLASSES)).count()

@@ -51,6 +51,7 @@ def mask_sql(c: str, name: str) -> str:
         "bare_url": (r"(^|[^\w@])" + body.removeprefix(r"(?<![\w@])").replace(r"(?:/[^\s<>\"'\\]*)(?<![.,;:!?)\]}])", r"/(?:[^\s<>\"'\\]*[^\s<>\"'\\.,;:!?)\]}])?"), r"\1" + token),
         "phone": (r"(^|[^\d])" + body.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)") + r"($|[^\d])", r"\1" + token + r"\2"),
         "unix_path": (r"(^|[^\w])" + body.removeprefix(r"(?<!\w)"), r"\1" + token),
+        "reference": (body.removeprefix("(?:").removesuffix(")").replace(r"(?=[\w\-]*\d[\w\-]*)", r"([\w\-]*\d[\w\-]*)").replace("(?<![A-Za-z0-9])", "(^|[^A-Za-z0-9])"), r"\2" + token + r"\1"),
     }
     body, token = rewritten.get(name, (body, token))
     literal = "'" + _q(token).replace("\n", "' || chr(10) || '") + "'"
@@ -60,24 +61,23 @@ def mask_sql(c: str, name: str) -> str:
 
 # ---- flagship -------------------------------------------------------------------
 
-CORE_MASKS = ("email", "ip", "card")
-
-
-def _masked(c: str) -> str:
-    for name in CORE_MASKS:
+def _chain_sql(c: str) -> str:
+    for name in mk.NAMES:
         c = mask_sql(c, name)
     return c
 
 
 @query("clean_corpus_counts", f""", s AS (SELECT doc_id, source, label, subject, {SLICE_SQL} AS body FROM emails WHERE length(body) >= 50),
 d AS (SELECT *, row_number() OVER (PARTITION BY source, md5(concat(subject, body)) ORDER BY doc_id) AS k FROM s WHERE length(body) >= 50),
-m AS (SELECT label, source, {_masked('body')} AS body FROM d WHERE k = 1)
+m AS (SELECT label, source, {_chain_sql('body')} AS body FROM d WHERE k = 1)
 SELECT label, source, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM m GROUP BY label, source""", E)
 def clean_corpus_counts(spark, d):
+    """Cleaned, deduplicated and masked; bodies are done with before rows are shuffled, so that only fingerprints and lengths move."""
     e = emails(spark, d).filter(tx.long_enough(F.col("body"))).withColumn("body", tx.slice_thread(F.col("body"), unicode=False))
-    one = dedup.by_fingerprint(e.filter(tx.long_enough(F.col("body"))))
-    m = one.withColumn("body", mk.mask(F.col("body"), CORE_MASKS, unicode=False))
-    return m.groupBy("label", "source").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+    masked = F.length(mk.mask(F.col("body"), unicode=False)).alias("chars")
+    rows = e.filter(tx.long_enough(F.col("body"))).select("doc_id", "label", "source", fx.fingerprint(F.col("subject"), F.col("body")).alias("fp"), masked)
+    one = dedup.first_of_each(rows, ["source", "fp"], ["doc_id"])
+    return one.groupBy("label", "source").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 # ---- cleaning --------------------------------------------------------------------
@@ -344,7 +344,15 @@ def mime_round_trip(spark, d):
     return e.select("doc_id", mail.read_message("raw").alias("m")).select("doc_id", "m.subject", "m.body")
 
 
-@query("mime_parse")
+# a part that is coded is decoded whole; in a part that is not, the parser drops Latin-1 letters and escapes others
+_PLAIN = r"regexp_replace(regexp_replace(body, '\r\n?', chr(10), 'g'), '([^\n])\z', '\1' || chr(10))"
+_MIME = r""", l AS (SELECT doc_id, trim(regexp_replace(subject, '\s+', ' ', 'g')) AS subject, """ + _PLAIN + r""" AS body FROM emails),
+m AS (SELECT *, list_max([strlen(x) FOR x IN string_split(body, chr(10))]) > 78 AS coded FROM l)
+SELECT doc_id, subject, 'user@example.com' AS sender, 'Thu, 10 Sep 2026 12:00:00 +0000' AS date, ['text/plain'] AS content_types, 0 AS attachment_count, NULL::VARCHAR AS parse_error,
+CASE WHEN coded THEN body ELSE array_to_string([CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 256 THEN '' WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) ELSE printf('\U%08x', unicode(c)) END FOR c IN string_split(body, '')], '') END AS plain FROM m"""
+
+
+@query("mime_parse", _MIME, E)
 def mime_parse(spark, d):
     e = bodies(spark, d).select("doc_id", mail.mime_message(F.col("doc_id").cast("string"), "subject", "body").alias("raw"))
     return mail.parsed(e).select("doc_id", "subject", "sender", "date", "plain", "content_types", "attachment_count", "parse_error")
@@ -360,16 +368,15 @@ def json_input(spark, d):
 # ---- masking -------------------------------------------------------------------------
 
 for _name in mk.NAMES:
-    _sql = None if _name == "reference" else f"SELECT doc_id, {mask_sql('body', _name)} AS body FROM emails"
-    query(f"mask_{_name}", _sql, E if _sql else "")(lambda spark, d, name=_name: bodies(spark, d).select("doc_id", mk.mask_one(F.col("body"), name, unicode=False).alias("body")))
+    query(f"mask_{_name}", f"SELECT doc_id, {mask_sql('body', _name)} AS body FROM emails", E)(lambda spark, d, name=_name: bodies(spark, d).select("doc_id", mk.mask_one(F.col("body"), name, unicode=False).alias("body")))
 
 
-@query("mask_chain")
+@query("mask_chain", f"SELECT doc_id, {_chain_sql('subject')} AS subject, {_chain_sql('body')} AS body FROM emails", E)
 def mask_chain(spark, d):
-    return bodies(spark, d).select("doc_id", mk.mask(F.col("subject")).alias("subject"), mk.mask(F.col("body")).alias("body"))
+    return bodies(spark, d).select("doc_id", mk.mask(F.col("subject"), unicode=False).alias("subject"), mk.mask(F.col("body"), unicode=False).alias("body"))
 
 
-@query("mask_token_histogram")
+@query("mask_token_histogram", f", m AS (SELECT {_chain_sql('body')} AS body FROM emails) SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(body, '{mk.TOKEN}')) AS token FROM m) GROUP BY token", E)
 def mask_token_histogram(spark, d):
     m = bodies(spark, d).select(mk.mask(F.col("body"), unicode=False).alias("body"))
     return m.select(F.explode(F.regexp_extract_all("body", F.lit(mk.TOKEN), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -613,6 +620,14 @@ def four_class_report(spark, d):
     return metrics.class_report(predictions(spark, d))
 
 
+@query("prediction_join", ", t AS (SELECT doc_id, y_true FROM predictions WHERE doc_id % 5 > 0), p AS (SELECT doc_id, y_pred FROM predictions WHERE doc_id % 3 > 0) SELECT y_true, y_pred, count(*) AS n FROM t JOIN p USING (doc_id) GROUP BY ALL", P)
+def prediction_join(spark, d):
+    """Truth and predictions from two tables, by id."""
+    p = predictions(spark, d)
+    both = metrics.scored(p.select("doc_id", "y_true").filter("doc_id % 5 > 0"), p.select("doc_id", "y_pred").filter("doc_id % 3 > 0"))
+    return both.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
+
+
 @query("four_class_summary", _REPORT + "SELECT round(sum(recall * support) / sum(support), 9) AS accuracy, round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM report", P)
 def four_class_summary(spark, d):
     s = metrics.summary(predictions(spark, d))
@@ -699,10 +714,19 @@ def rspamd_parse(spark, d):
 # ---- prediction ------------------------------------------------------------------------------------
 
 
-@query("serve_clean")
+def _normal_sql(c: str) -> str:
+    return _lookalike_sql(rf"regexp_replace(replace(nfc_normalize({c}), chr(160), ' '), '\p{{Cf}}', '', 'g')")
+
+
+_SERVED = f""", c AS (SELECT doc_id, subject, {HTML_SQL.format(c="body")} AS is_html, CASE WHEN {HTML_SQL.format(c="body")} THEN {_NORMAL.format(_normal_sql(_entities(_PIECES.replace("(html,", "(body,"))))} ELSE body END AS body FROM emails),
+s AS (SELECT *, {SLICE_SQL} AS sliced FROM c), m AS (SELECT *, {_chain_sql(_normal_sql("sliced"))} AS masked, {_chain_sql(_normal_sql("subject"))} AS title FROM s)
+SELECT doc_id, is_html, {_URLS} AS urls, sliced AS clean_body, masked AS masked_body, length(sliced) < length({_STRIP.format("body")}) AS thread_sliced, 'Subject: ' || {_STRIP.format("title")} || '. Body: ' || {_STRIP.format("masked")} AS text FROM m"""
+
+
+@query("serve_clean", _SERVED, E)
 def serve_clean(spark, d):
     e = bodies(spark, d)
-    return e.select("doc_id", *(c.alias(k) for k, c in flows.served(F.col("subject"), F.col("body")).items()))
+    return e.select("doc_id", *(c.alias(k) for k, c in flows.served(F.col("subject"), F.col("body"), unicode=False).items()))
 
 
 _COUNTS = ", e AS (SELECT doc_id, " + ", ".join(f"CAST(length(body) - length(replace(body, '{v}', '')) AS DOUBLE) AS e{k}" for k, v in enumerate("aeiou")) + " FROM emails)"

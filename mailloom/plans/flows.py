@@ -100,7 +100,7 @@ def preprocess(spark: SparkSession, config: Config, only: str | None = None) ->
     return records.exported(valid, config.mode, config.fields), records.status_counts(e)
 
 
-def served(subject: Column, body: Column, native: bool = False, masking: bool = True) -> dict[str, Column]:
+def served(subject: Column, body: Column, native: bool = False, masking: bool = True, unicode: bool = True) -> dict[str, Column]:
     """What the prediction service makes of a message: clean, sliced, masked and classifier text, links, flags.
 
     ``thread_sliced`` says that a quoted thread was cut off; white space alone doesn't count.
@@ -108,11 +108,11 @@ def served(subject: Column, body: Column, native: bool = False, masking: bool =
     markup = tx.is_html(tx.text(body))
     clean = html.clean_native(body) if native else html.clean_payload(tx.text(body))
     clean = F.when(markup, clean).otherwise(tx.text(body))
-    sliced = tx.slice_thread(clean)
+    sliced = tx.slice_thread(clean, unicode)
     normal = sliced if native else normalise_unicode(sliced)
-    masked = mk.mask(normal, enabled=masking)
-    title = mk.mask(tx.text(subject) if native else normalise_unicode(tx.text(subject)), enabled=masking)
-    return {"is_html": markup, "urls": fx.urls(clean), "clean_body": sliced, "masked_body": masked, "thread_sliced": F.length(sliced) < F.length(tx.strip(clean)), "text": tx.classifier_text(title, masked)}
+    masked = mk.mask(normal, unicode=unicode, enabled=masking)
+    title = mk.mask(tx.text(subject) if native else normalise_unicode(tx.text(subject)), unicode=unicode, enabled=masking)
+    return {"is_html": markup, "urls": fx.urls(clean), "clean_body": sliced, "masked_body": masked, "thread_sliced": F.length(sliced) < F.length(tx.strip(clean, unicode)), "text": tx.classifier_text(title, masked, unicode)}
 
 
 def features_for(mode: str) -> list[str]:
@@ -123,6 +123,13 @@ def features_for(mode: str) -> list[str]:
     return modes[mode]
 
 
+def with_features(df: DataFrame, mode: str) -> DataFrame:
+    """Adds the column features that an inference mode's heads read: the blocks of its branches side by side."""
+    from mailloom.operators.heads import fused
+
+    return fused(df, features_for(mode))
+
+
 def predict(df: DataFrame, model, rule: str = "service") -> DataFrame:
     """Adds class, probabilities by name, the phishing verdict of a rule and a preview of the text."""
     from pyspark.ml.functions import vector_to_array

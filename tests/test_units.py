@@ -372,6 +372,11 @@ def test_semantic(spark, tmp_path):
     model = semantic.fit(e.filter("text is not null"))
     got = semantic.probabilities(e, model).filter("text is not null").collect()
     assert all(max(range(4), key=r["probs"].__getitem__) == r["label"] and abs(sum(r["probs"]) - 1) < 1e-9 for r in got)
+    both = tfidf.Stylometric(20, 20).fit(df, "text").transform(e, "text", "stylo")
+    sizes = {mode: flows.with_features(both, mode).first()["features"].size for mode in ("fusion", "semantic", "stylometric")}
+    assert sizes["semantic"] == 64 and sizes["fusion"] == 64 + sizes["stylometric"]
+    with pytest.raises(ValueError):
+        flows.features_for("other")
     for n in (5, 40, 7):
         (tmp_path / f"checkpoint-{n}").mkdir()
     assert semantic.latest_checkpoint(spark, str(tmp_path)).endswith("checkpoint-40") and semantic.latest_checkpoint(spark, str(tmp_path / "no")) is None
