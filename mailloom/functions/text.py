@@ -84,10 +84,17 @@ def long_enough(body: Column, least: int = MIN_BODY) -> Column:
     return F.length(text(body)) >= least
 
 
+def _may_quote(x: Column, unicode: bool) -> Column:
+    """A cheap test that every text passes in which a quoted thread starts: some sign or word of each pattern."""
+    words = ("(?iU)" if unicode else "(?i)") + r"transcript|original|forwarded|(?:from|to)\s*:"
+    return x.contains("--") | x.contains(">") | x.contains("_____") | x.contains("***") | x.contains("wrote") | x.rlike(words)
+
+
 def slice_thread(body: Column, unicode: bool = True) -> Column:
     """What stands above the earliest start of a quoted thread, stripped; all of it without one."""
-    flags = "(?dU)" if unicode else "(?d)"
-    return strip(F.split(text(body), flags + "|".join(THREAD_STARTS), 2)[0], unicode)
+    pattern = ("(?dU)" if unicode else "(?d)") + "|".join(THREAD_STARTS)
+    above = lambda x: F.when(_may_quote(x, unicode), F.split(x, pattern, 2)[0]).otherwise(x)
+    return strip(F.element_at(F.transform(F.array(text(body)), above), 1), unicode)
 
 
 def normalise_space(c: Column, unicode: bool = True) -> Column:

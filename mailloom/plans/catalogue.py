@@ -19,7 +19,7 @@ from mailloom.sources import mail
 from mailloom.streaming import ingest
 
 from . import flows
-from .fixtures import EMAILS_SQL, PREDICTIONS_SQL, bodies, emails, predictions
+from .fixtures import EMAILS_SQL, PREDICTIONS_SQL, bodies, emails, labelled, predictions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,12 +72,15 @@ d AS (SELECT *, row_number() OVER (PARTITION BY source, md5(concat(subject, body
 m AS (SELECT label, source, {_chain_sql('body')} AS body FROM d WHERE k = 1)
 SELECT label, source, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM m GROUP BY label, source""", E)
 def clean_corpus_counts(spark, d):
-    """Cleaned, deduplicated and masked; bodies are done with before rows are shuffled, so that only fingerprints and lengths move."""
-    e = emails(spark, d).filter(tx.long_enough(F.col("body"))).withColumn("body", tx.slice_thread(F.col("body"), unicode=False))
-    masked = F.length(mk.mask(F.col("body"), unicode=False)).alias("chars")
-    rows = e.filter(tx.long_enough(F.col("body"))).select("doc_id", "label", "source", fx.fingerprint(F.col("subject"), F.col("body")).alias("fp"), masked)
-    one = dedup.first_of_each(rows, ["source", "fp"], ["doc_id"])
-    return one.groupBy("label", "source").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    """Cleaned, deduplicated and masked. All that is made of a body is made at once, while it is scanned: only fingerprints and lengths move. Short bodies have no fingerprint and go last, as a filter on what is made would make it twice."""
+
+    def made(b):
+        return F.when(tx.long_enough(b), F.struct(fx.fingerprint(F.col("subject"), b).alias("fp"), F.length(mk.mask(b, unicode=False)).alias("chars")))
+
+    sliced = F.when(tx.long_enough(F.col("body")), tx.slice_thread(F.col("body"), unicode=False))
+    rows = bodies(spark, d).select("doc_id", "source", F.transform(F.array(sliced), made)[0].alias("m")).select("doc_id", "source", "m.fp", "m.chars")
+    one = dedup.first_of_each(rows, ["source", "fp"], ["doc_id"]).filter("chars is not null")
+    return labelled(one, spark, d).groupBy("label", "source").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 # ---- cleaning --------------------------------------------------------------------

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.sources.tables import table
+
 BODY = """CASE doc_id % 16
 WHEN 0 THEN concat(text, chr(10), '-----Original Message-----', chr(10), 'From: a@b.example')
 WHEN 1 THEN concat(text, chr(10), 'On Mon, Jan 1, 2001 at 12:00 PM, Jane Roe wrote:', chr(10), '> quoted')
@@ -38,7 +40,7 @@ WEIGHT = "((doc_id * 37 + {k} * 11) % 10 + 1 + CASE WHEN cohort = {k} AND doc_id
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, subject, body, label, cohort, sender, path, box."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     body = BODY.replace("\\u200b", "\u200b").replace("\\u00a0", "\u00a0")
     d = docs.join(labels, "doc_id", "left")
@@ -48,10 +50,16 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, subject, body, sender, path, box: what needs no label, from one scan."""
     body = BODY.replace("\\u200b", "\u200b").replace("\\u00a0", "\u00a0")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return docs.selectExpr("doc_id", "lang", "source", f"{SUBJECT} as subject", f"{body} as body", f"{SENDER} as sender", f"{PATH} as path", f"{BOX} as box")
 
 
+def labelled(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with doc_id and their label."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return rows.join(labels, "doc_id", "left").withColumn("label", F.expr(LABEL)).drop("toxic")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, y_true, y_pred, p0..p3, latency_ms."""
     e = emails(spark, sf_dir).select("doc_id", "cohort")
