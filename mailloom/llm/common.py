@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailloom.ship import shipped
+from mailloom.sources.tables import table
 
 DOC_COLUMNS = ("doc_id", "text")
 
@@ -23,10 +24,11 @@ BATCH_BYTES = "8m"
 """Texts that a Python worker gets at a time; the default of 64 MB is too much beside what is made of them."""
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's Arrow batches are limited to BATCH_BYTES from then on."""
     shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
