@@ -38,10 +38,10 @@ def exact_sample(n: int, k: int, seed: int) -> list[int]:
     return random.Random(seed).sample(range(n), k) if k < n else list(range(n))
 
 
-def quotas(total: int, models: list[str]) -> dict[str, int]:
-    """Equal shares; the first ones take the rest."""
+def quotas(total: int, models: list[str], remainder: bool = True) -> dict[str, int]:
+    """Equal shares; the first ones take the rest. Without ``remainder`` nobody does, as in older tracers, whose pools then lack the last seeds of the first models."""
     share, rest = divmod(total, len(models))
-    return {m: share + (i < rest) for i, m in enumerate(models)}
+    return {m: share + (remainder and i < rest) for i, m in enumerate(models)}
 
 
 def quota_column(total: int, models: DataFrame, order: str = "model") -> DataFrame:

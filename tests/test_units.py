@@ -316,7 +316,7 @@ def test_dedup_idempotent(spark):
 
 
 def test_sampling(spark):
-    assert sampling.quotas(10, ["a", "b", "c"]) == {"a": 4, "b": 3, "c": 3}
+    assert sampling.quotas(10, ["a", "b", "c"]) == {"a": 4, "b": 3, "c": 3} and sampling.quotas(10, ["a", "b", "c"], False) == {"a": 3, "b": 3, "c": 3}
     long, short = sampling.pool_positions(100, 20, "m"), sampling.pool_positions(100, 10, "m")
     assert long[: len(short)] == short
     assert sampling.exact_sample(3, 5, 1) == [0, 1, 2] and len(set(sampling.exact_sample(100, 10, 1))) == 10
