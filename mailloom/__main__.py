@@ -98,7 +98,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def generate(spark: SparkSession, a: argparse.Namespace) -> int:
-    """A cohort from seeds; --provider is module:class, or a registered name."""
+    """A cohort from seeds; --provider is http, with --url, or module:class."""
     import importlib
 
     from mailloom.operators import generation
@@ -106,7 +106,8 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> int:
     if ":" in a.provider:
         module, cls = a.provider.split(":")
         generation.register_provider(a.provider, getattr(importlib.import_module(module), cls))
-    client = generation.provider(a.provider)
+    options = {"url": a.url, "model": a.model, "key": generation.api_key(a.key, None, "MAILLOOM_KEY"), "form": a.form} if a.provider == "http" else {}
+    client = generation.provider(a.provider, **options)
     seeds = [r.asDict() for r in mail.cohort_lines(spark, a.seeds, 0).select("subject", "body").collect()]  # the seeds of one job
     done = mail.json_lines(spark, a.out).filter(F.col("source") == a.model) if mail.count_lines(spark, a.out) else None
     written = done.count() if done is not None else 0
@@ -183,7 +184,7 @@ def main(argv: list[str] | None = None) -> int:
     rule = ("--rule", {"default": "service", "choices": ["service", "baseline", "exported"]})
     verb(compare, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf", "logistic"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
     verb(export, ("--model", needed), ("--out", needed))
-    verb(generate, ("--seeds", needed), ("--provider", needed), ("--model", needed), ("--samples", {"type": int, "default": 14_000}), ("--kind", {"default": "benign", "choices": ["benign", "phishing"]}), ("--version", {"default": "v2", "choices": list(VERSIONS)}), ("--batch", {"type": int, "default": 10}), ("--seed", {"type": int, "default": 42}), ("--out", needed))
+    verb(generate, ("--seeds", needed), ("--provider", needed), ("--url", {}), ("--key", {}), ("--form", {"default": "chat", "choices": ["chat", "messages"]}), ("--model", needed), ("--samples", {"type": int, "default": 14_000}), ("--kind", {"default": "benign", "choices": ["benign", "phishing"]}), ("--version", {"default": "v2", "choices": list(VERSIONS)}), ("--batch", {"type": int, "default": 10}), ("--seed", {"type": int, "default": 42}), ("--out", needed))
     verb(predict, ("--input", {}), ("--form", {"default": "lines", "choices": ["lines", "one", "raw"]}), ("--subject", {"default": ""}), ("--body", {"default": ""}), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
     verb(serve, ("--input", needed), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
     verb(baseline, ("--input", needed), ("--engine", {"default": "spamd", "choices": ["spamd", "rspamd"]}))

@@ -422,6 +422,46 @@ def test_atomic_batches(spark, tmp_path):
     assert not (tmp_path / "out2").exists()
 
 
+def test_http_provider():
+    """Both forms against a server of our own; it is busy first, then answers, and refuses a wrong key."""
+    import threading
+    import urllib.error
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            code = 401 if "bad" in (self.headers.get("Authorization") or "") else 429 if len(seen) == 1 else 200
+            text = json.dumps([{"subject": "s", "body": "b"}])
+            answer = {"choices": [{"message": {"content": text}}]} if "system" not in body else {"content": [{"type": "text", "text": text}]}
+            self.send_response(code)
+            self.send_header("Retry-After", "0.5")
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url, waits = f"http://127.0.0.1:{server.server_port}/", []
+        for form in ("chat", "messages"):
+            client = generation.provider("http", url=url, model="m", key="k", form=form)
+            reply = generation.with_retries(lambda c=client: c.complete("sys", "user"), sleep=waits.append)
+            assert generation.objects_in(reply) == [{"subject": "s", "body": "b"}]
+        assert waits == [0.5] and seen[-1]["system"] == "sys" and [x["role"] for x in seen[1]["messages"]] == ["system", "user"]
+        with pytest.raises(urllib.error.HTTPError):
+            generation.HttpChat(url, "m", "bad").complete("s", "u")
+    finally:
+        server.shutdown()
+    with pytest.raises(generation.Retry):
+        generation.HttpChat(url, "m", timeout=0.5).complete("s", "u")
+
+
 def test_generation():
     client = Fake()
     batches = list(generation.generate(generation.Job("m", 20, batch=5), [{"subject": "a", "body": "b"}] * 7, client, 1, sleep=lambda s: None))
