@@ -146,10 +146,16 @@ def predict(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def serve(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Raw messages that arrive in a folder to predictions, each once; run again, it takes what is new."""
+    """Raw messages that arrive in a folder to predictions, each once (run again, it takes what is new); or with --port, an HTTP server."""
+    from mailloom import serving
     from mailloom.streaming import ingest
 
     vectors, model = _models(a)
+    if a.port:
+        serving.server(serving.Service(spark, {"stylometric": (vectors, model)}, rule=a.rule), a.port, a.host).serve_forever()
+        return 0
+    if not (a.input and a.out):
+        raise ValueError("give --input and --out, or --port")
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(a.input)
     ingest.predictions(raw, a.out, f"{a.out}/_checkpoint", lambda part: flows.predict_messages(mail.raw_messages(part), vectors, model, a.rule)).awaitTermination()
     return 0
@@ -186,7 +192,7 @@ def main(argv: list[str] | None = None) -> int:
     verb(export, ("--model", needed), ("--out", needed))
     verb(generate, ("--seeds", needed), ("--provider", needed), ("--url", {}), ("--key", {}), ("--form", {"default": "chat", "choices": ["chat", "messages"]}), ("--model", needed), ("--samples", {"type": int, "default": 14_000}), ("--kind", {"default": "benign", "choices": ["benign", "phishing"]}), ("--version", {"default": "v2", "choices": list(VERSIONS)}), ("--batch", {"type": int, "default": 10}), ("--seed", {"type": int, "default": 42}), ("--out", needed))
     verb(predict, ("--input", {}), ("--form", {"default": "lines", "choices": ["lines", "one", "raw"]}), ("--subject", {"default": ""}), ("--body", {"default": ""}), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
-    verb(serve, ("--input", needed), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
+    verb(serve, ("--input", {}), ("--stylo", needed), ("--model", needed), rule, ("--out", {}), ("--port", {"type": int}), ("--host", {"default": "127.0.0.1"}))
     verb(baseline, ("--input", needed), ("--engine", {"default": "spamd", "choices": ["spamd", "rspamd"]}))
     a = top.parse_args(argv)
     return a.run(SparkSession.builder.appName("mailloom").getOrCreate(), a)

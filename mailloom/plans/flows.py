@@ -115,6 +115,9 @@ def served(subject: Column, body: Column, native: bool = False, masking: bool =
     return {"is_html": markup, "urls": fx.urls(clean), "clean_body": sliced, "masked_body": masked, "thread_sliced": F.length(sliced) < F.length(tx.strip(clean, unicode)), "text": tx.classifier_text(title, masked, unicode)}
 
 
+CLASSES = ("human_benign", "human_phishing", "generated_benign", "generated_phishing")
+
+
 def features_for(mode: str) -> list[str]:
     """Vector columns of an inference mode."""
     modes = {"fusion": ["stylo", "sem"], "semantic": ["sem"], "stylometric": ["stylo"]}
@@ -136,20 +139,19 @@ def predict(df: DataFrame, model, rule: str = "service") -> DataFrame:
 
     out = model.transform(df).withColumn("probs", vector_to_array("probability"))
     rules = metrics.decision_rules(F.col("probs"))
-    names = ("human_benign", "human_phishing", "generated_benign", "generated_phishing")
-    probabilities = F.map_from_arrays(F.array(*map(F.lit, names)), F.col("probs"))
+    probabilities = F.map_from_arrays(F.array(*map(F.lit, CLASSES)), F.col("probs"))
     return out.withColumns({"predicted_class": rules["predicted_class"], "is_phishing": rules[rule], "probabilities": probabilities, "preview": tx.preview(F.col("text"))}).drop("probs")
 
 
 def predict_messages(messages: DataFrame, vectors, model, rule: str = "service") -> DataFrame:
-    """id, predicted_class, is_phishing, probabilities, preview, thread_sliced of messages (id, subject, body) without any cleaning yet.
+    """id, predicted_class, is_phishing, probabilities, preview, is_html, n_urls, thread_sliced of messages (id, subject, body) that are not cleaned yet.
 
     ``vectors`` adds the column features to a frame with text. A message without subject and body has an error and nothing else.
     """
     m = messages.select("id", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("body", F.lit("")).alias("body"))
     blank = (F.col("subject") == "") & (F.col("body") == "")
     cleaned = served(F.col("subject"), F.col("body"))
-    ready = m.filter(~blank).select(F.col("id").alias("doc_id"), cleaned["text"].alias("text"), cleaned["thread_sliced"].alias("thread_sliced"))
-    out = predict(vectors(ready), model, rule).select(F.col("doc_id").alias("id"), "predicted_class", "is_phishing", "probabilities", "preview", "thread_sliced", F.lit(None).cast("string").alias("error"))
+    ready = m.filter(~blank).select(F.col("id").alias("doc_id"), cleaned["text"].alias("text"), cleaned["is_html"].alias("is_html"), F.size(cleaned["urls"]).alias("n_urls"), cleaned["thread_sliced"].alias("thread_sliced"))
+    out = predict(vectors(ready), model, rule).select(F.col("doc_id").alias("id"), "predicted_class", "is_phishing", "probabilities", "preview", "is_html", "n_urls", "thread_sliced", F.lit(None).cast("string").alias("error"))
     bad = m.filter(blank).select("id", F.lit("subject and body are empty").alias("error"))
     return out.unionByName(bad, allowMissingColumns=True)

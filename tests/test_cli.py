@@ -35,6 +35,43 @@ def test_preprocess(spark, tmp_path):
         main(["preprocess", "--config", "nope.yaml"])
 
 
+def http(spark, stylo, head):
+    """The server's answers and refusals."""
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from pyspark.ml import PipelineModel
+
+    from mailloom import serving
+    from mailloom.operators.tfidf import Stylometric
+
+    blocks, service = Stylometric.load(spark, stylo), serving.Service(spark)
+    server = serving.server(service, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(path, data=None):
+        try:
+            with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/api/v1/{path}", data) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as x:
+            return x.code, json.load(x)
+
+    try:
+        assert ask("health")[1]["status"] == "initializing" and ask("predict", b'{"body": "x"}')[0] == ask("predict/raw", b"x")[0] == 503
+        service.modes["stylometric"] = (lambda df: blocks.transform(df, "text", "features"), PipelineModel.load(head))
+        assert ask("health")[1] == {"status": "healthy", "version": "1.0.0", "classifier": "rf", "device": "cpu", "available_modes": ["stylometric"], "models_loaded": {"fusion": False, "semantic": False, "stylometric": True}}
+        status, got = ask("predict", json.dumps({"subject": "bravo", "body": "bravo <b>text</b> 1 http://a.b/c"}).encode())
+        assert status == 200 and got["prediction"] == "Human Phishing" and got["is_phishing"] and not got["is_llm_generated"] and abs(sum(got["confidence_scores"].values()) - 1) < 1e-6
+        assert got["metadata"]["html_stripped"] and got["metadata"]["detected_urls"] == 1 and got["phishing_probability"] > 0.5
+        assert ask("predict/raw", b"Subject: charlie\n\ncharlie text 2")[1]["prediction"] == "LLM Benign"
+        assert [ask("predict", b"{}")[0], ask("predict", b"[")[0], ask("predict?mode=fusion", b'{"body": "x"}')[0], ask("predict/raw", b"")[0], ask("other")[0]] == [422, 422, 422, 400, 404]
+        service.modes["stylometric"] = (None, None)
+        assert ask("predict", b'{"body": "x"}')[0] == 500
+    finally:
+        server.shutdown()
+
+
 def test_train_predict(spark, tmp_path, capsys):
     words = ["alpha", "bravo", "charlie", "delta"]
     files = [lines(tmp_path / f"c{c}.jsonl", [{"subject": words[c], "body": f"{words[c]} text {k}"} for k in range(20)]) for c in range(4)]
@@ -62,6 +99,9 @@ def test_train_predict(spark, tmp_path, capsys):
         assert main(["serve", "--input", str(tmp_path / "inbox"), *models, str(tmp_path / "served")]) == 0
     rows = {r["id"]: r for r in spark.read.json(str(tmp_path / "served")).collect()}
     assert len(rows) == 3 and rows["0.eml"]["predicted_class"] == 1 and rows["2.eml"]["predicted_class"] == 0 and rows["1.eml"]["error"]
+    with pytest.raises(ValueError):
+        main(["serve", "--stylo", stylo, "--model", head])
+    http(spark, stylo, head)
     assert main(["export", "--model", head, "--out", str(tmp_path / "head.onnx")]) == 0 and (tmp_path / "head.onnx").stat().st_size > 100
     assert main(["compare", "--cohorts", *files, "--head", "logistic", "--out", str(tmp_path / "t")]) == 0
     assert spark.read.json(str(tmp_path / "t" / "comparison")).first()["accuracy"] == 1.0
