@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +46,28 @@ def fused(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=columns, outputCol=out).transform(df)
 
 
-def train(df: DataFrame, name: str, **parameters) -> Model:
+def train(df: DataFrame, name: str, validation: str | None = None, **parameters) -> Model:
+    """A fitted head. Rows that ``validation`` (a condition) picks are not learned from; boosted trees stop once they get no better on them."""
     n = df.select("features").head()["features"].size
-    return head(name, n, **parameters).fit(df.withColumn("label", F.col("label").cast("double")))
+    df = df.withColumn("label", F.col("label").cast("double"))
+    estimator = head(name, n, **parameters)
+    if validation is None:
+        return estimator.fit(df)
+    if isinstance(estimator, OneVsRest) and isinstance(estimator.getClassifier(), GBTClassifier):
+        return _stopped_early(df, estimator, validation)
+    return estimator.fit(df.filter(f"NOT ({validation})"))
+
+
+def _stopped_early(df: DataFrame, estimator: OneVsRest, validation: str) -> OneVsRestModel:
+    """One boosted classifier for each class, each with its own stop."""
+    trees = estimator.getClassifier().copy()
+    trees.setValidationIndicatorCol("__held").setLabelCol("__own")
+    classes = int(df.agg(F.max("label")).first()[0]) + 1
+    held = df.withColumn("__held", F.expr(validation))
+    models = [trees.fit(held.withColumn("__own", (F.col("label") == c).cast("double"))) for c in range(classes)]
+    out = OneVsRestModel(models)
+    out.setFeaturesCol("features").setPredictionCol("prediction").setRawPredictionCol("rawPrediction")
+    return out
 
 
 def compare(train_df: DataFrame, test_df: DataFrame, names: list[str], parameters: dict[str, dict] | None = None, repeats: int = 5) -> DataFrame:

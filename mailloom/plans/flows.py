@@ -134,10 +134,18 @@ def with_features(df: DataFrame, mode: str) -> DataFrame:
 
 
 def predict(df: DataFrame, model, rule: str = "service") -> DataFrame:
-    """Adds class, probabilities by name, the phishing verdict of a rule and a preview of the text."""
+    """Adds class, probabilities by name, the phishing verdict of a rule and a preview of the text.
+
+    One-against-the-rest heads have margins only; their logistic values, made to sum to one, are the probabilities.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df).withColumn("probs", vector_to_array("probability"))
+    out = model.transform(df)
+    if "probability" in out.columns:
+        out = out.withColumn("probs", vector_to_array("probability"))
+    else:
+        out = out.withColumn("probs", F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x))))
+        out = out.withColumn("probs", F.transform("probs", lambda x: x / F.aggregate("probs", F.lit(0.0), lambda a, b: a + b)))
     rules = metrics.decision_rules(F.col("probs"))
     probabilities = F.map_from_arrays(F.array(*map(F.lit, CLASSES)), F.col("probs"))
     return out.withColumns({"predicted_class": rules["predicted_class"], "is_phishing": rules[rule], "probabilities": probabilities, "preview": tx.preview(F.col("text"))}).drop("probs")

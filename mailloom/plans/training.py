@@ -66,7 +66,7 @@ def train(records: DataFrame, t: Training, folder: str, key: str = "doc_id", res
     if resume and _exists(spark, f"{path}/metadata/_SUCCESS"):
         model = PipelineModel.load(path)
     else:
-        model = PipelineModel([heads.train(rows.filter("split = 'train'"), t.head)])
+        model = PipelineModel([heads.train(rows.filter("split <> 'test'"), t.head, "split = 'val'")])
         model.write().overwrite().save(path)
     scored = model.transform(rows.filter("split = 'test'")).select(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
     return model, metrics.summary(scored)
