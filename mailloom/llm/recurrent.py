@@ -45,6 +45,7 @@ CLASSES, CLASS_WORDS = 32, 32
 TAIL_CLASSES = 32
 LEXICON = 1 << 18
 """Words whose counts every worker holds; the rest are joined."""
+BUCKET_BITS = 20
 EMBED, HIDDEN = 24, 32
 BPTT = 20
 ROUNDS = (0.01, 0.005, 0.002)
@@ -118,6 +119,27 @@ class Lexicon:
     tokens: int
     distinct: int
     discount: float
+    begins: np.ndarray | None = None
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place, or -1: from where its first bits begin, a few places on."""
+        n = len(self.hashes)
+        if not n:
+            return np.full(len(h), -1)
+        if self.begins is None:
+            self.begins = np.searchsorted(self.hashes >> _U(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        bucket = (h >> _U(64 - BUCKET_BITS)).astype(np.int64)
+        at, end = self.begins[bucket], self.begins[bucket + 1]
+        out = np.full(len(h), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            place = at[left]
+            hit = self.hashes[place] == h[left]
+            out[left[hit]] = place[hit]
+            at[left] += 1
+            left = left[~hit]
+            left = left[at[left] < end[left]]
+        return out
 
     @property
     def end(self) -> int:
@@ -299,17 +321,23 @@ class Network:
         x = symbols[: b * length].reshape(b, length)
         y = symbols[1 : b * length + 1].reshape(b, length)
         h = np.zeros((b, HIDDEN), np.float32)
+        flat, at = np.concatenate([v.ravel() for v in self.p.values()]), 0  # all weights in one array, so that a step is few operations
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        m, s = (moments.setdefault(k, np.zeros_like(flat)) for k in "ms")
         for i in range(0, length, BPTT):
             g, h = self.gradients(x[:, i : i + BPTT], y[:, i : i + BPTT], h)
-            size = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
-            clip = min(1.0, 1.0 / max(size, 1e-9))
+            d = np.concatenate([g[k].ravel() for k in self.p])
+            d *= min(1.0, 1.0 / max(float(np.sqrt(d @ d)), 1e-9))
             done += 1
-            for k, v in g.items():
-                m, s = moments.setdefault(k, (np.zeros_like(v), np.zeros_like(v)))
-                v *= clip
-                m += 0.1 * (v - m)
-                s += 0.01 * (v * v - s)
-                self.p[k] -= rate * (m / (1 - 0.9**done)) / (np.sqrt(s / (1 - 0.99**done)) + 1e-6)
+            m *= 0.9
+            m += 0.1 * d
+            d *= d
+            s *= 0.99
+            s += 0.01 * d
+            root = float(np.sqrt(1 - 0.99**done))
+            flat -= rate * root / (1 - 0.9**done) * m / (np.sqrt(s) + 1e-6 * root)
         return done
 
     def score(self, symbols: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -344,11 +372,7 @@ class Network:
 def _symbols(w: ws.Words, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: hash, tail class, place in the lexicon (-1: none), and the symbols with ends, and where each document's begin."""
     h, g = w.hashes(), tail_class(w)
-    if len(lex.hashes):
-        at = np.minimum(np.searchsorted(lex.hashes, h), len(lex.hashes) - 1)
-        at = np.where(lex.hashes[at] == h, at, -1)
-    else:
-        at = np.full(len(h), -1)
+    at = lex.find(h)
     sym = np.append(lex.symbols, -1)[at]
     k = len(lex.head)
     sym = np.where(sym >= 0, sym, k + g)
