@@ -4,9 +4,11 @@ Vectors are quantised to integers and dealt to blocks. A block's index holds, fo
 each dimension, postings in segments of falling quantised impact (one list for positive
 query weights; read backwards it serves negative ones). Each query processes the segments
 in its own order, by falling gain; a segment adds its lower bound to the accumulators of its
-vectors, and what is left to gain bounds every vector from above. After each batch of
-segments the proof is tried: processing stops only once the bounds show that all but a few
-vectors lie below the k-th best lower bound; these few are rescored exactly.
+vectors, and what is left to gain bounds every vector from above. After a sixteenth, an
+eighth and a quarter of the postings the proof is tried: processing stops only once the bounds
+show that all but a few vectors lie below the k-th best lower bound. Where it has not held by
+then, as with dense vectors, all segments that are left are added at once: the sum of their
+lower bounds is a matrix product. What the bounds leave possible is rescored exactly.
 
 Scores are exact at any size. Components whose products could leave the whole numbers that
 a double holds are kept out of the index: their vectors are always rescored, in Python's
@@ -46,8 +48,8 @@ QUERY_ROWS = 512
 QUERY_GROUP = 64
 """Query blocks that stream past one copy of a block's index."""
 LEVELS = 64
-CHECKS = 16
-"""Times that the proof is tried."""
+CHECKS = (1 / 16, 1 / 8, 1 / 4)
+"""Shares of the postings after which the proof is tried before the rest is added at once."""
 RESCORE = 64
 """Candidates of a block that are few enough to be rescored before all segments are done; or a 64th of it."""
 Best = tuple[int, int, int]
@@ -104,6 +106,7 @@ class ImpactIndex:
         self.postings, self.begin, self.dim = joined(postings, np.int32), joined(begin, np.int64), joined(dim, np.int64)
         self.least, self.most = joined(least, float), joined(most, float)
         self.size = np.diff(np.append(self.begin, len(self.postings)))
+        self.bounds: tuple[np.ndarray, np.ndarray] | None = None  # made where the index is searched
 
     def possible(self, q: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, float]:
         """Places in the index that may be among the query's k best, and the share of postings that this took."""
@@ -117,25 +120,40 @@ class ImpactIndex:
         order = np.argsort(-high, kind="stable")
         size = self.size[order]
         upto = np.cumsum(size)
-        edges = np.unique(np.searchsorted(upto, np.arange(1, CHECKS + 1) * (upto[-1] / CHECKS)) + 1)
         starts = np.flatnonzero(np.append(True, self.dim[1:] != self.dim[:-1]))
         acc, left, done = np.zeros(n), high.copy(), 0
-        if own is not None:
-            acc[own] = -np.inf
-        for end in edges.tolist():
-            part = order[done:end]
+
+        def proved() -> tuple[np.ndarray, bool]:
+            """What may be among the best, and whether that is few enough. A vector may have beyond its accumulator, in each dimension, an open segment or a done one's width."""
+            if own is not None:
+                acc[own] = -np.inf
+            bound = np.maximum.reduceat(left, starts).sum()
+            found = np.flatnonzero(acc >= np.partition(acc, n - k)[n - k] - bound)
+            return found, len(found) <= max(RESCORE, n // 64) or bound <= 0
+
+        for share in CHECKS:
+            part = order[done : int(np.searchsorted(upto, share * upto[-1])) + 1]
             lens = self.size[part]
             shift = np.repeat(self.begin[part] - (np.cumsum(lens) - lens), lens)
             acc += np.bincount(self.postings[np.arange(len(shift)) + shift], np.repeat(low[part], lens), n)
-            # what a vector may have beyond its accumulator: in each dimension, an open segment or a done one's width
             left[part] -= low[part]
-            bound = np.maximum.reduceat(left, starts).sum()
-            kth = np.partition(acc, n - k)[n - k]
-            found = np.flatnonzero(acc >= kth - bound)
-            done = end
-            if len(found) <= max(RESCORE, n // 64) or bound <= 0:
-                break
-        return found, float(upto[min(done, len(upto)) - 1] / upto[-1])
+            done += len(part)
+            found, enough = proved()
+            if enough:
+                return found, float(upto[done - 1] / upto[-1])
+        least, most = self.cells()
+        acc = least @ np.maximum(q, 0) + most @ np.minimum(q, 0) - np.minimum(q * self.low, q * self.high).sum()
+        left = high - low
+        return proved()[0], 1.0
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's components as their segments' least and greatest values [rows, dimensions]."""
+        if self.bounds is None:
+            at = self.postings, np.repeat(self.dim, self.size)
+            self.bounds = np.empty((len(self.rows), self.x.shape[1])), np.empty((len(self.rows), self.x.shape[1]))
+            for cells, values in zip(self.bounds, (self.least, self.most), strict=True):
+                cells[at] = np.repeat(values, self.size)
+        return self.bounds
 
     def search(self, q: np.ndarray | list[int], own_uid: int, k: int = K) -> tuple[list[Best], float]:
         """The k best (score, id, uid) for a query in whole numbers (a list: in integers of any size), its own row left out, ties to smaller ids; and the share of postings processed."""

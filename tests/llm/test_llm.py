@@ -174,6 +174,22 @@ def test_top_k_huge(spark, size):
     assert got == best_of(rows) and len(got) == 15
 
 
+def test_rest_at_once():
+    """The rest as a matrix product leaves the same vectors possible as segment after segment would, for any signs."""
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (900, 12))
+    index = topk.ImpactIndex(np.arange(900), np.arange(900), list(x), 12)
+    for i in range(0, 900, 90):
+        q = np.floor(r.normal(0, 1, 12) * 256)
+        some, share = index.possible(q, i, 5)
+        low = np.zeros(900)
+        for a, n, j, least, most in zip(index.begin, index.size, index.dim, index.least, index.most):
+            low[index.postings[a : a + n]] += min(q[j] * least, q[j] * most)
+        exact = index.x[index.rows] @ q
+        best = np.argsort(-np.delete(exact, i), kind="stable")[:5]
+        assert share == 1.0 and set(np.delete(np.arange(900), i)[best]) <= set(some.tolist()) and len(some) < 400 and (low <= exact).all()
+
+
 def test_top_k_proof(spark):
     """Skewed vectors are proved long before all postings are processed; the share is told."""
     r = np.random.default_rng(1)
@@ -333,6 +349,15 @@ def test_scores_step_by_step(monkeypatch, window):
     assert np.allclose(net.score(symbols, ptr), want, rtol=1e-4)
 
 
+def test_lexicon_finds_words():
+    rng = np.random.default_rng(4)
+    h = np.unique(np.concatenate([rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2), np.arange(200, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(9, dtype=np.uint64)]))
+    lex = recurrent.Lexicon(h, h, h, h, h, h, h, 1, 1, 0.5)
+    ask = np.concatenate([h, h + np.uint64(1), rng.integers(0, 2**63, 500).astype(np.uint64)])
+    want = np.where(h[np.minimum(np.searchsorted(h, ask), len(h) - 1)] == ask, np.searchsorted(h, ask), -1)
+    assert (lex.find(ask) == want).all() and recurrent.Lexicon(h[:0], h, h, h, h, h, h, 1, 1, 0.5).find(ask).max() == -1
+
+
 def test_network_gradients():
     lex = recurrent.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.append(np.arange(1, 40, dtype=np.uint64), recurrent.END), np.arange(40, 0, -1), np.ones(recurrent.TAIL_CLASSES), np.ones(recurrent.TAIL_CLASSES), 100, 50, 0.5)
     net, rng = recurrent.Network(lex), np.random.default_rng(0)
