@@ -15,5 +15,7 @@ QUERIES = {
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
+    "secret_counts": secretscan.secret_counts,
+    "quality_counts": quality.quality_counts,
 }
-SQL = {"op5_jaccard_join": jaccard.SQL, "op2_topk": topk.SQL, "op7_chat_format": chat.SQL}
+SQL = {"op5_jaccard_join": jaccard.SQL, "op2_topk": topk.SQL, "op7_chat_format": chat.SQL, "secret_counts": secretscan.COUNTS_SQL, "quality_counts": quality.COUNTS_SQL}

@@ -186,3 +186,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
     links = F.array_join(F.transform("links", lambda x: F.concat_ws("+", place(x["access"]), place(x["secret"]), place(x["endpoint"]))), ",")
     return secret_spans(load(spark, sf_dir, "documents")).select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), links.alias("links"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of base spans: the part of operator 1 that SQL can express."""
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secret_spans(load(spark, sf_dir, "documents")).select("doc_id", *map(count, BASE_KINDS))
+
+
+_NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+COUNTS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CAST(len([x FOR x IN regexp_extract_all(text, '(?:{_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(x) >= 6]) AS BIGINT) AS n_assign,
+       CAST(len([x FOR x IN regexp_extract_all(text, 'AKIA[A-Z0-9]+') IF length(x) >= 20]) AS BIGINT) AS n_access,
+       CAST(len([x FOR x IN regexp_extract_all(text, '[0-9a-f]+') IF length(x) >= 24]) AS BIGINT) AS n_hex
+FROM d
+"""
