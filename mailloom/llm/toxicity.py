@@ -273,7 +273,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         return Crf(prior=prior)
 
     def presence(only: np.ndarray | None):
+        """bad, good: in how many toxic and other documents of a run each feature occurs; all features of the toxic ones, or only some."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if only is not None:
+                likely = np.zeros(1 << 24, bool)
+                likely[(only >> _U(40)).astype(np.int64)] = True
             for b in batches:
                 toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 for i, j, t in tokens(b.column(0)):
@@ -283,13 +288,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
                     f, d = t.features[use], np.repeat(doc[use], t.features.shape[1])
                     f = f.ravel()
                     if only is not None:
-                        hit = np.isin(f, only)
+                        hit = np.flatnonzero(likely[(f >> _U(40)).astype(np.int64)])
+                        hit = hit[only[np.minimum(np.searchsorted(only, f[hit]), len(only) - 1)] == f[hit]]
                         f, d = f[hit], d[hit]
                     if len(f):
-                        both = np.unique(np.stack([f, d.astype(np.uint64)]), axis=1)
-                        u, first, c = np.unique(both[0], return_index=True, return_counts=True)
-                        bad = np.add.reduceat(toxic[i:j][both[1].astype(np.int64)].astype(np.int64), first)
-                        yield pa.RecordBatch.from_arrays([pa.array(ws.signed(u)), pa.array(bad), pa.array(c.astype(np.int64) - bad)], ["f", "bad", "good"])
+                        order = np.argsort(f, kind="stable")  # within a feature by document, as they come
+                        f, d = f[order], d[order]
+                        new = np.append(True, (f[1:] != f[:-1]) | (d[1:] != d[:-1]))
+                        f, d = f[new], d[new]
+                        first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+                        bad = np.add.reduceat(toxic[i:j][d].astype(np.int64), first)
+                        yield pa.RecordBatch.from_arrays([pa.array(ws.signed(f[first])), pa.array(bad), pa.array(np.diff(np.append(first, len(f))) - bad)], ["f", "bad", "good"])
 
         return run
 
