@@ -25,8 +25,9 @@ _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+SEPARATORS = (0x20, *range(0x09, 0x0E))
 _SEP = np.zeros(256, bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
+_SEP[[*SEPARATORS]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -188,3 +189,29 @@ def scan(column: pa.Array, lower: bool, most: int = RUN) -> Iterator[tuple[int,
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def word_blocks(text: memoryview | bytes, size: int = SLICE) -> Iterator[list[bytes]]:
+    """The words of one text as bytes, a list for so many bytes of it; a word that goes on beyond a block comes with the block that ends it."""
+    held: list[bytes] = []
+    for k in range(0, len(text), size):
+        part = bytes(text[k : k + size])
+        if k + size >= len(text):
+            held.append(part)
+            break
+        at = max(part.rfind(bytes([c])) for c in SEPARATORS)
+        if at < 0:
+            held.append(part)
+            continue
+        yield b"".join([*held, part[:at]]).split()
+        held = [part[at:]]
+    if held:
+        yield b"".join(held).split()
+
+
+def texts(column: pa.Array) -> Iterator[memoryview]:
+    """The UTF-8 bytes of each text of a column; a null is an empty text."""
+    data, offsets = buffers(column)
+    view, ends = memoryview(data), offsets.tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield view[a:b]
