@@ -35,8 +35,10 @@ from .common import load, merge_tree, stored
 
 SCALE = 256
 COMPONENTS = 4
-GUARD = 12
+GUARD = 20
 """Columns beside the wanted ones."""
+DIRECT = 64
+"""So many tasks' sums, each of a fixed size, go to the driver as they are; those of more are summed in a tree first."""
 TOLERANCE = 1e-13
 ROUNDING = 1e-11
 """Residuals that no longer fall are accepted up to here, times the largest eigenvalue."""
@@ -103,7 +105,9 @@ def _gathered(fit: DataFrame, make: Callable[[Iterator[np.ndarray]], np.ndarray]
         columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([0], pa.int32()), pa.array([out.astype(dtype).tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["task", "part", "data"])
 
-    return np.frombuffer(merge_tree(fit.select("x").mapInArrow(run, "task int, part int, data binary"), _sum(dtype))[0][1], dtype)
+    parts, add = fit.select("x").mapInArrow(run, "task int, part int, data binary"), _sum(dtype)
+    total = add([r.data for r in parts.collect()]) if fit.rdd.getNumPartitions() <= DIRECT else merge_tree(parts, add)[0][1]
+    return np.frombuffer(total, dtype)
 
 
 def centre_of(fit: DataFrame, d: int) -> Centre:
