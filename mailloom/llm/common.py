@@ -86,6 +86,33 @@ def byte_tokenizer(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
+LONG_BLANK = 100_000
+"""White space from this length on is cut out before the pattern sees it; tiktoken's pattern gives up on runs of a million."""
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def byte_ids(encoding, text: str | None) -> list[int]:
+    """A text's ids; a null text has none.
+
+    A run of white space begins a pre-token, and one of two or more is a pre-token but for its last
+    character where something but a special token follows (the pattern's look-ahead gives that one back). So the
+    text before the run, the run without its last character, and the rest with it are encoded on their own.
+    """
+    if not text:
+        return []
+    if len(text) < LONG_BLANK:
+        return encoding.encode(text, allowed_special="all")
+    out, at, specials = [], 0, tuple(encoding.special_tokens_set)
+    for m in _BLANK.finditer(text):
+        if m.end() - m.start() >= LONG_BLANK:
+            ends = m.end() == len(text) or text.startswith(specials, m.end())
+            cut = m.end() - (not ends)
+            out += encoding.encode(text[at : m.start()], allowed_special="all")
+            out += encoding._encode_single_piece(text[m.start() : cut])  # one pre-token: no pattern
+            at = cut
+    return out + encoding.encode(text[at:], allowed_special="all")
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_bpe_path, byte_tokenizer, doc_rows, load, stored
+from .common import byte_bpe_path, byte_ids, byte_tokenizer, doc_rows, load, stored
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
@@ -106,13 +106,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
     path = tokenizer_path or byte_bpe_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_tokenizer(path).encode
+        encoding = byte_tokenizer(path)
         salt = TaskContext.get().partitionId() << 32
         for b in batches:
             rows: list[list] = [[] for _ in range(7)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
-                ids = np.array([*(encode(text, allowed_special="all") if text else ()), END_ID], "<u4")
+                ids = np.array([*byte_ids(encoding, text.as_py()), END_ID], "<u4")
                 salt += 1
                 for start in range(0, len(ids), capacity):
                     salt += start > 0 and start % (DEALT_PIECES * capacity) == 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_bpe_path, byte_tokenizer, doc_rows, load, stored
+from .common import byte_bpe_path, byte_ids, byte_tokenizer, doc_rows, load, stored
 
 BLOCK = 1024
 
@@ -30,9 +30,9 @@ def token_lengths(docs: DataFrame, tokenizer_path: str | None = None, id_col: st
     path = tokenizer_path or byte_bpe_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_tokenizer(path).encode
+        encoding = byte_tokenizer(path)
         for b in batches:
-            n = np.fromiter((len(encode(x, allowed_special="all")) if (x := t.as_py()) else 0 for t in b.column(1)), np.int64, b.num_rows)
+            n = np.fromiter((len(byte_ids(encoding, t.as_py())) for t in b.column(1)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
     return doc_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
