@@ -34,6 +34,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import numpy as np
@@ -51,6 +52,10 @@ MEMO_WORDS, MEMO_CHARS = 150_000, 64
 LONG_RUN = 1024
 """Characters of a pre-token without an end from which on its symbols are handed over as they come."""
 NO_MERGE = 1 << 60
+WINDOW = 4096
+"""Symbols beside the lookahead that a transducer holds before it merges them."""
+SHORT = 48
+"""Symbols up to which a plain scan for the smallest rank is faster than a heap."""
 
 
 @lru_cache(maxsize=1)
@@ -89,7 +94,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], width: dict[str, int] |
 class Transducer:
     """Token ids of one pre-token, fed with the bytes of its text piece by piece; holds the lookahead, a block of symbols and the tokens among them."""
 
-    def __init__(self, encoder: Encoder, block: int = 512):
+    def __init__(self, encoder: Encoder, block: int = WINDOW):
         self.encoder, self.limit = encoder, encoder.lookahead + encoder.longest + block
         self.held: list[int] = []
         self.byte = -1  # the last byte so far: only the end tells whether it carries the end-of-word mark
@@ -208,6 +213,8 @@ class Encoder:
     def merge(self, ids: list[int]) -> list[int]:
         """All merges within a list of symbol ids, which is changed: by rank, then from the left."""
         get = self.ranks.get
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         pairs = [get(p, NO_MERGE) for p in pairwise(ids)]
         while pairs:
             best = min(pairs)
@@ -222,6 +229,32 @@ class Encoder:
                 pairs[i] = get((ids[i], ids[i + 1]), NO_MERGE)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs (rank, place) and linked neighbours, in n log n."""
+        get, made, n = self.ranks.get, self.made, len(ids)
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [rank << bits | i for i, p in enumerate(pairwise(ids)) if (rank := get(p)) is not None]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            i = top & mask
+            j = after[i]
+            if j >= n or get((ids[i], ids[j])) != top >> bits:  # one of the two is gone or another by now
+                continue
+            token = ids[i] = made[top >> bits]
+            ids[j] = -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (rank := get((token, ids[k]))) is not None:
+                    heappush(heap, rank << bits | i)
+            k = before[i]
+            if k >= 0 and (rank := get((ids[k], token))) is not None:
+                heappush(heap, rank << bits | k)
+        return [x for x in ids if x >= 0]
+
     def sections(self, blocks: Iterable[str]) -> Iterator[tuple[str, bool] | int]:
         """Ids of special tokens, and between them pieces of text, each with whether a pre-token may go on beyond it; pieces may be normalised on their own."""
         held, longest = "", max(map(len, self.special_starts), default=0)
