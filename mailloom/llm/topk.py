@@ -1,14 +1,14 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
 Vectors are quantised to integers and dealt to blocks. A block's index holds, for
-each dimension, postings in segments of falling quantised impact (one list for positive
-query weights; read backwards it serves negative ones). Each query processes the segments
-in its own order, by falling gain; a segment adds its lower bound to the accumulators of its
-vectors, and what is left to gain bounds every vector from above. After a sixteenth, an
-eighth and a quarter of the postings the proof is tried: processing stops only once the bounds
-show that all but a few vectors lie below the k-th best lower bound. Where it has not held by
-then, as with dense vectors, all segments that are left are added at once: the sum of their
-lower bounds is a matrix product. What the bounds leave possible is rescored exactly.
+each dimension, postings in segments of falling quantised impact. Each query processes
+the segments of all dimensions in its own order, by the greatest impact that one of their
+postings may have on a score, either way. A posting adds its product to the vector's accumulator and takes its
+square, and the query's, off what is left of the two. After each thirty-second of the postings the proof is tried:
+the vector's score lies within the product of the norms of what is left of it and of the
+query (Cauchy and Schwarz), and within the greatest and least gains of the open segments. Processing
+stops only when these bounds show that all but a few vectors lie below the k-th best lower
+bound; these few are rescored exactly. Where the proof never holds, all postings are processed.
 
 Scores are exact at any size. Components whose products could leave the whole numbers that
 a double holds are kept out of the index: their vectors are always rescored, in Python's
@@ -48,10 +48,10 @@ QUERY_ROWS = 512
 QUERY_GROUP = 64
 """Query blocks that stream past one copy of a block's index."""
 LEVELS = 64
-CHECKS = (1 / 16, 1 / 8, 1 / 4)
-"""Shares of the postings after which the proof is tried before the rest is added at once."""
-RESCORE = 64
-"""Candidates of a block that are few enough to be rescored before all segments are done; or a 64th of it."""
+STEP = 1 / 32
+"""The share of the postings after which the proof is tried again."""
+RESCORE, RESCORE_SHARE = 64, 1 / 8
+"""Candidates of a block, or the share of it, that are few enough to be rescored: by rows that costs less than another step by postings."""
 Best = tuple[int, int, int]
 
 
@@ -92,21 +92,21 @@ class ImpactIndex:
         self.low, self.high = (x.min(0), x.max(0)) if n else (np.zeros(d), np.zeros(d))
         step = np.maximum((self.high - self.low) / levels, 1e-9)
         level = np.minimum(((x - self.low) / step).astype(np.int64), levels - 1)
-        postings, begin, least, most, dim = [], [], [], [], []
+        postings, begin, least, most, dim, exact = [], [], [], [], [], []
         for j in range(d if n else 0):
             rows_ = np.argsort(-level[:, j], kind="stable").astype(np.int32)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(level[rows_, j])) + 1])
             values = x[rows_, j]
             postings.append(rows_)
+            exact.append(values)
             begin.append(edges + j * n)
             least.append(np.minimum.reduceat(values, edges))
             most.append(np.maximum.reduceat(values, edges))
             dim.append(np.full(len(edges), j))
         joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         self.postings, self.begin, self.dim = joined(postings, np.int32), joined(begin, np.int64), joined(dim, np.int64)
-        self.least, self.most = joined(least, float), joined(most, float)
+        self.least, self.most, self.values, self.norm = joined(least, float), joined(most, float), joined(exact, float), (x * x).sum(1)
         self.size = np.diff(np.append(self.begin, len(self.postings)))
-        self.bounds: tuple[np.ndarray, np.ndarray] | None = None  # made where the index is searched
 
     def possible(self, q: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, float]:
         """Places in the index that may be among the query's k best, and the share of postings that this took."""
@@ -114,46 +114,35 @@ class ImpactIndex:
         if n <= k + 1:
             return np.arange(n), 0.0
         w = q[self.dim]
-        floor = np.minimum(q * self.low, q * self.high)[self.dim]
         a, b = w * self.least, w * self.most
-        low, high = np.minimum(a, b) - floor, np.maximum(a, b) - floor
-        order = np.argsort(-high, kind="stable")
+        low, high = np.minimum(np.minimum(a, b), 0), np.maximum(np.maximum(a, b), 0)
+        order = np.argsort(-np.maximum(high, -low), kind="stable")
         size = self.size[order]
         upto = np.cumsum(size)
         starts = np.flatnonzero(np.append(True, self.dim[1:] != self.dim[:-1]))
-        acc, left, done = np.zeros(n), high.copy(), 0
-
-        def proved() -> tuple[np.ndarray, bool]:
-            """What may be among the best, and whether that is few enough. A vector may have beyond its accumulator, in each dimension, an open segment or a done one's width."""
-            if own is not None:
-                acc[own] = -np.inf
-            bound = np.maximum.reduceat(left, starts).sum()
-            found = np.flatnonzero(acc >= np.partition(acc, n - k)[n - k] - bound)
-            return found, len(found) <= max(RESCORE, n // 64) or bound <= 0
-
-        for share in CHECKS:
-            part = order[done : int(np.searchsorted(upto, share * upto[-1])) + 1]
+        score, squares, weights = np.zeros(n), self.norm.copy(), np.full(n, float(q @ q))
+        done = 0
+        while True:
+            end = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + STEP * upto[-1])) + 1
+            part = order[done:end]
             lens = self.size[part]
-            shift = np.repeat(self.begin[part] - (np.cumsum(lens) - lens), lens)
-            acc += np.bincount(self.postings[np.arange(len(shift)) + shift], np.repeat(low[part], lens), n)
-            left[part] -= low[part]
+            at = np.arange(int(lens.sum())) + np.repeat(self.begin[part] - (np.cumsum(lens) - lens), lens)
+            who, x, by = self.postings[at], self.values[at], np.repeat(w[part], lens)
+            score += np.bincount(who, by * x, n)
+            squares -= np.bincount(who, x * x, n)
+            weights -= np.bincount(who, by * by, n)
+            low[part] = high[part] = 0
             done += len(part)
-            found, enough = proved()
-            if enough:
+            # what a vector may have beyond its accumulator: by the norms of what is left of it and of
+            # the query beside it, and by the greatest and least gain of each dimension's open segments
+            rest = np.sqrt(np.maximum(squares, 0) * np.maximum(weights, 0)) * (1 + 1e-9)
+            gain, loss = np.maximum.reduceat(high, starts).sum(), np.minimum.reduceat(low, starts).sum()
+            above, below = score + np.minimum(rest, gain), score + np.maximum(-rest, loss)
+            if own is not None:
+                above[own] = below[own] = -np.inf
+            found = np.flatnonzero(above >= np.partition(below, n - k)[n - k])
+            if len(found) <= max(RESCORE, int(n * RESCORE_SHARE)) or gain <= loss:
                 return found, float(upto[done - 1] / upto[-1])
-        least, most = self.cells()
-        acc = least @ np.maximum(q, 0) + most @ np.minimum(q, 0) - np.minimum(q * self.low, q * self.high).sum()
-        left = high - low
-        return proved()[0], 1.0
-
-    def cells(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's components as their segments' least and greatest values [rows, dimensions]."""
-        if self.bounds is None:
-            at = self.postings, np.repeat(self.dim, self.size)
-            self.bounds = np.empty((len(self.rows), self.x.shape[1])), np.empty((len(self.rows), self.x.shape[1]))
-            for cells, values in zip(self.bounds, (self.least, self.most), strict=True):
-                cells[at] = np.repeat(values, self.size)
-        return self.bounds
 
     def search(self, q: np.ndarray | list[int], own_uid: int, k: int = K) -> tuple[list[Best], float]:
         """The k best (score, id, uid) for a query in whole numbers (a list: in integers of any size), its own row left out, ties to smaller ids; and the share of postings processed."""
