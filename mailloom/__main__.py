@@ -52,12 +52,19 @@ def stats(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def trace(spark: SparkSession, a: argparse.Namespace) -> int:
-    seeds = mail.cohort_lines(spark, a.seeds, 0).select("id", "subject", "body")
-    seeds = seeds.withColumn("position", F.regexp_extract("id", r"_(\d+)$", 1).try_cast("int"))
-    made = mail.json_lines(spark, a.input).select("source", "seed_idx")
-    models = sorted(r["source"] for r in made.select("source").distinct().collect())
-    share = sampling.quotas(a.samples, models)
-    sampling.trace(made, sampling.seed_pool(spark, seeds, seeds.count(), share, a.seed)).show(a.show, False)
+    """Generated rows, in any of the forms that replies come in, with their seeds. --samples is the quota that each model was generated with; --share divides it among the models, as jobs that share one quota do."""
+    from mailloom.operators.generation import parsed_lines
+
+    seeds = mail.seed_rows(spark, a.seeds)
+    made = parsed_lines(spark, a.input).select("source", "seed_idx")
+    models = sorted(r["source"] for r in made.filter("source is not null").select("source").distinct().collect())
+    quota = sampling.quotas(a.samples, models) if a.share and models else dict.fromkeys(models, a.samples)
+    n = seeds.count()
+    sampling.check_traceable(made, {m: int(q * (1 + sampling.BUFFER)) if n else 0 for m, q in quota.items()})
+    found = sampling.trace(made, sampling.seed_pool(spark, seeds, n, quota, a.seed))
+    if a.out:
+        sinks.write_json_lines(found, a.out, "overwrite")
+    found.orderBy("source", "seed_idx").show(a.show, False)
     return 0
 
 
@@ -108,7 +115,7 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> int:
         generation.register_provider(a.provider, getattr(importlib.import_module(module), cls))
     options = {"url": a.url, "model": a.model, "key": generation.api_key(a.key, None, "MAILLOOM_KEY"), "form": a.form} if a.provider == "http" else {}
     client = generation.provider(a.provider, **options)
-    seeds = [r.asDict() for r in mail.cohort_lines(spark, a.seeds, 0).select("subject", "body").collect()]  # the seeds of one job
+    seeds = [r.asDict() for r in mail.seed_rows(spark, a.seeds).orderBy("position").select("subject", "body").collect()]  # the seeds of one job
     done = mail.json_lines(spark, a.out).filter(F.col("source") == a.model) if mail.count_lines(spark, a.out) else None
     written = done.count() if done is not None else 0
     start = sampling.resume_at(done, a.batch, "source").first() if written else None
@@ -185,7 +192,7 @@ def main(argv: list[str] | None = None) -> int:
     verb(mask, ("--input", needed), ("--out", needed), ("--resume", {"action": "store_true"}))
     verb(validate, ("--input", needed))
     verb(stats, ("--input", needed))
-    verb(trace, ("--input", needed), ("--seeds", needed), ("--samples", {"type": int, "default": 14_000}), ("--seed", {"type": int, "default": 42}), ("--show", {"type": int, "default": 20}))
+    verb(trace, ("--input", needed), ("--seeds", needed), ("--samples", {"type": int, "default": 14_000}), ("--share", {"action": "store_true"}), ("--seed", {"type": int, "default": 42}), ("--out", {}), ("--show", {"type": int, "default": 20}))
     verb(train, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
     rule = ("--rule", {"default": "service", "choices": ["service", "baseline", "exported"]})
     verb(compare, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf", "logistic"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))

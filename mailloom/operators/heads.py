@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model
@@ -12,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.sources.shared import new_path
+
 from . import metrics
 
 _HEADS: dict[str, Callable[..., Estimator]] = {}
@@ -72,8 +73,6 @@ def _stopped_early(df: DataFrame, estimator: OneVsRest, validation: str) -> OneV
 
 def compare(train_df: DataFrame, test_df: DataFrame, names: list[str], parameters: dict[str, dict] | None = None, repeats: int = 5) -> DataFrame:
     """A row for each head: the four-class summary, the phishing scores, the time to fit, the spread of some runs of prediction, and the size of what is saved."""
-    import tempfile
-
     rows = []
     spark = train_df.sparkSession
     for name in names:
@@ -88,8 +87,7 @@ def compare(train_df: DataFrame, test_df: DataFrame, names: list[str], parameter
             times.append(time.perf_counter() - t1)
         times.sort()
         four, two = metrics.summary(scored).first().asDict(), metrics.binary_metrics(scored).first()
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-        path = f"{folder.rstrip('/')}/head-{uuid.uuid4().hex}"
+        path = new_path(spark, "head")
         model.write().save(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = at.getFileSystem(spark._jsc.hadoopConfiguration())

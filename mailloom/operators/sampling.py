@@ -52,20 +52,34 @@ def quota_column(total: int, models: DataFrame, order: str = "model") -> DataFra
     return models.select(order, (share + F.when(rank <= F.lit(total) % n, 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def pool_positions(n_seeds: int, quota: int, model: str, seed: int = 42, buffer: float = 0.5) -> list[int]:
+BUFFER = 0.5
+"""The share by which a pool is longer than its quota."""
+
+
+def pool_positions(n_seeds: int, quota: int, model: str, seed: int = 42, buffer: float = BUFFER) -> list[int]:
     """Positions of a model's seeds, drawn with replacement; a longer pool begins with a shorter one."""
     rng = random.Random(seed + model_hash(model))
     return rng.choices(range(n_seeds), k=int(quota * (1 + buffer))) if n_seeds else []
 
 
-def seed_pool(spark: SparkSession, seeds: DataFrame, n_seeds: int, models: dict[str, int], seed: int = 42, buffer: float = 0.5, position: str = "position") -> DataFrame:
+def seed_pool(spark: SparkSession, seeds: DataFrame, n_seeds: int, models: dict[str, int], seed: int = 42, buffer: float = BUFFER, position: str = "position") -> DataFrame:
     """model, seed_idx and the seed's columns: drawn positions joined to the seeds."""
     drawn = [(m, i, p) for m, quota in models.items() for i, p in enumerate(pool_positions(n_seeds, quota, m, seed, buffer))]
     return spark.createDataFrame(drawn, f"model string, seed_idx int, {position} int").join(seeds, position)
 
 
+def check_traceable(generated: DataFrame, lengths: dict[str, int], model: str = "source", index: str = "seed_idx") -> None:
+    """Fails, with the models' counts, if a row's index isn't within its model's pool."""
+    pools = generated.sparkSession.createDataFrame([(m, int(n)) for m, n in lengths.items()], "__model string, __length long")
+    rows = generated.join(pools, F.col(model) == F.col("__model"), "left")
+    inside = F.coalesce(F.col(index).between(0, F.col("__length") - 1), F.lit(False))
+    bad = rows.filter(~inside).groupBy(model).agg(F.count("*").alias("n"), F.max(index).alias("most")).collect()
+    if bad:
+        raise ValueError("rows without a seed: " + ", ".join(f"{r[0]}: {r['n']} (largest index {r['most']}, pool of {lengths.get(r[0], 0)})" for r in bad))
+
+
 def trace(generated: DataFrame, pool: DataFrame) -> DataFrame:
-    """Generated rows with the seed that each came from; rows out of the pool's range are left out."""
+    """Generated rows with the seed that each came from; rows out of the pool's range are left out: see :func:`check_traceable`."""
     return generated.join(pool, [generated["source"] == pool["model"], generated["seed_idx"] == pool["seed_idx"]]).drop(pool["model"]).drop(pool["seed_idx"])
 
 

@@ -16,6 +16,8 @@ from mailloom.operators import dedup, heads, metrics, portable, records, samplin
 from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
 from mailloom.sources import mail
+from mailloom.sources.shared import new_path
+from mailloom.sources.tables import table
 from mailloom.streaming import ingest
 
 from . import flows
@@ -319,6 +321,22 @@ def year_prune(spark, d):
     return bodies(spark, d).filter(year.isNull() | (year <= 2022)).groupBy("box").agg(F.count("*").alias("n"))
 
 
+@query("mailbox_round_trip", "SELECT doc_id, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS digest, (SELECT count(*) FROM documents) AS messages FROM documents")
+def mailbox_round_trip(spark, d):
+    """Documents written as mailbox files and read back in splits: every text as it was, and as many messages as the files' last numbers say."""
+    docs = table(spark, d, "documents")
+    path = new_path(spark, "mailbox")
+    message = F.concat(F.lit("X-Id: "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    mail.write_mbox(docs.select(message.alias("raw")), path)
+    found = mail.mbox(spark, path, glob="*.txt").select("path", "ordinal", mail.unquoted(F.col("raw")).alias("raw"))
+    total = found.groupBy("path").agg((F.max("ordinal") + 1).alias("k")).agg(F.sum("k").alias("messages"))
+    head = F.substring_index("raw", "\n\n", 1)
+    body = F.expr("substring(raw, length(substring_index(raw, '\n\n', 1)) + 3)")
+    text = F.regexp_replace(body, r"\n\z", "")
+    rows = found.select(F.regexp_extract(head, r"X-Id: (\d+)", 1).cast("long").alias("doc_id"), F.length(text).alias("n"), F.md5(text).alias("digest"))
+    return rows.crossJoin(F.broadcast(total))
+
+
 _INDEX = ", idx AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'spam' WHEN 1 THEN 'HAM' WHEN 2 THEN 'ham' WHEN 3 THEN 'Spam' ELSE 'junk' END || ' ../data/inmail.' || CAST(doc_id AS VARCHAR) AS value FROM emails), lines AS (SELECT lower(string_split(value, ' ')[1]) AS w, string_split(value, '/')[-1] AS name FROM idx WHERE lower(string_split(value, ' ')[1]) IN ('spam', 'ham')), files AS (SELECT doc_id, 'inmail.' || CAST(doc_id AS VARCHAR) AS name FROM emails) "
 
 
@@ -816,12 +834,6 @@ def ext_cube(spark, d):
     return emails(spark, d).cube("label", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-@query("ext_hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
-def ext_hourly_events(spark, d):
-    ev = spark.read.parquet(f"{d}/events.parquet")
-    return ev.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
-
-
 @query("ext_pricing_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def ext_pricing_summary(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")

@@ -1,25 +1,25 @@
 """Scans of raw mail: folders of messages, mailbox files, labelled folders, indexed corpora, JSON lines.
 
 Each scan reads files with Spark's ``binaryFile`` or ``text`` reader and gives one
-row per message; messages are parsed in Arrow batches.
+row per message; messages are parsed in Arrow batches. Mailbox and cohort files are read in splits.
 """
 
 from __future__ import annotations
 
 import email
 import email.policy
-import re
 from collections.abc import Iterator
 from email.header import decode_header
 from email.message import EmailMessage, Message
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailloom.functions.lookalikes import normal_text
 from mailloom.operators.dedup import by_file_name
+from mailloom.sources.lines import numbered
 
 PARSED = "subject string, subject_raw string, sender string, receiver string, date string, plain string, html string, content_types array<string>, attachment_count int, attachment_types array<string>, parse_error string"
 PARSED_NAMES = tuple(x.strip().split(" ")[0] for x in PARSED.split(","))
@@ -44,28 +44,37 @@ def year_of_file(path: Column) -> Column:
     return F.regexp_extract(name, r"^[^-]*-(\d{4})\.(?i:mbox)$", 1).try_cast("int")
 
 
-def split_mbox(content: bytes) -> Iterator[bytes]:
-    """Messages of a mailbox file: each begins with a line ``From ``, which isn't part of it."""
-    starts = [m.start() for m in re.finditer(rb"^From ", content, re.MULTILINE)]
-    for a, b in zip(starts, [*starts[1:], len(content)], strict=True):
-        body = content[a:b]
-        yield body[body.find(b"\n") + 1 :] if b"\n" in body else b""
+FROM_LINE = "\nFrom "
+"""What separates the messages of a mailbox file."""
 
 
 def mbox(spark: SparkSession, path: str, label: int = 1, last_year: int | None = None, glob: str = "*.mbox") -> DataFrame:
-    """path, ordinal, raw, label: the messages of mailbox files, files of later years left out before they are read."""
-    boxes = files(spark, path, glob)
+    """path, ordinal, raw, label: the messages of mailbox files, files of later years left out before they are read.
+
+    Files are read in splits, messages numbered as in one pass, and their bytes are kept as they are. What stands
+    before a file's first message is left out. A file that ends with ``From `` and nothing more has no message there.
+    """
+    early = None
     if last_year is not None:
-        year = year_of_file(F.col("path"))
-        boxes = boxes.filter(year.isNull() | (year <= last_year))
+        early = lambda name: year_of_file(name).isNull() | (year_of_file(name) <= last_year)
+    rows = numbered(spark, path, FROM_LINE, glob, early, FROM_LINE[1:])  # no line end stands before a file's first line
+    rows = rows.filter("headed or place > 0")
+    skip = F.octet_length(F.substring_index("value", "\n", 1)) + 2  # bytes, whatever the encoding
+    rest = F.substring(F.col("value").cast("binary"), skip, F.lit((1 << 31) - 1))
+    ended = ~F.col("last") & F.col("value").contains("\n")  # the line end that the separator took
+    ordinal = F.col("place") - F.when(F.col("headed"), 0).otherwise(1)
+    return rows.select("path", ordinal.cast("int").alias("ordinal"), F.when(ended, F.concat(rest, F.lit(b"\n"))).otherwise(rest).alias("raw"), F.lit(label).alias("label"))
+
+
+def write_mbox(messages: DataFrame, path: str, raw: str = "raw", sender: str = "MAILER-DAEMON", date: str = "Thu Jan  1 00:00:00 1970") -> None:
+    """Texts of messages as mailbox files, one for each task; lines that begin with ``From ``, quoted or not, are quoted once more."""
+    quoted = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"(?md)^(>*From )", ">$1")
+    messages.select(F.concat(F.lit(f"From {sender} {date}\n"), quoted).alias("value")).write.text(path)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(enumerate(split_mbox(content)))
-                yield pd.DataFrame({"path": [p] * len(rows), "ordinal": [i for i, _ in rows], "raw": [r for _, r in rows]})
 
-    return boxes.mapInPandas(run, "path string, ordinal int, raw binary").withColumn("label", F.lit(label))
+def unquoted(raw: Column) -> Column:
+    """A message's text as it was before it was written to a mailbox."""
+    return F.regexp_replace(F.decode(raw, "UTF-8"), r"(?md)^>(>*From )", "$1")
 
 
 # Folder names and their labels.
@@ -139,14 +148,28 @@ def raw_messages(files_: DataFrame) -> DataFrame:
 
 
 def cohort_lines(spark: SparkSession, path: str, cohort: int) -> DataFrame:
-    """id, subject, body, cohort, text, metadata of a cohort file; id is the record's own, or the file's stem and the physical line number from 0. A bad line fails the read."""
+    """id, subject, body, cohort, text, metadata of a cohort file, read in splits; id is the record's own, or the file's stem and the physical line number from 0. A bad line fails the read."""
+    return _cohort(numbered(spark, path), cohort).drop("path", "place")
+
+
+def seed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """position, id, subject, body of a cohort file's records, numbered from 0 as they stand, blank lines left out."""
+    from mailloom.operators.ranking import ranked
+
+    rows = _cohort(numbered(spark, path), 0).select("path", "place", "id", "subject", "body")
+    # files of a folder one after the other
+    files_ = rows.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")))
+    block = F.col("file") * F.lit(1 << 40) + F.floor(F.col("place") / 4096)
+    return ranked(rows.join(files_, "path"), [], block, ["place"]).select((F.col("__n") - 1).cast("int").alias("position"), "id", "subject", "body")
+
+
+def _cohort(rows: DataFrame, cohort: int) -> DataFrame:
     from mailloom.functions.text import classifier_text
 
-    whole = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "value"))
-    lines = whole.filter(F.col("value").rlike(r"\S"))
+    lines = rows.filter(F.col("value").rlike(r"\S")).withColumn("stem", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
     rec = F.from_json("value", "id string, subject string, body string", {"mode": "FAILFAST"})
     all_ = F.from_json("value", "map<string,string>")
-    out = lines.select(F.coalesce(rec["id"], F.concat_ws("_", "stem", F.col("line").cast("string"))).alias("id"), F.coalesce(rec["subject"], F.lit("")).alias("subject"), F.coalesce(rec["body"], F.lit("")).alias("body"), F.lit(cohort).alias("cohort"), F.map_filter(all_, lambda k, v: ~k.isin("id", "subject", "body")).alias("metadata"))
+    out = lines.select("path", "place", F.coalesce(rec["id"], F.concat_ws("_", "stem", F.col("place").cast("string"))).alias("id"), F.coalesce(rec["subject"], F.lit("")).alias("subject"), F.coalesce(rec["body"], F.lit("")).alias("body"), F.lit(cohort).alias("cohort"), F.map_filter(all_, lambda k, v: ~k.isin("id", "subject", "body")).alias("metadata"))
     return out.withColumn("text", classifier_text(F.col("subject"), F.col("body")))
 
 

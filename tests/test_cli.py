@@ -132,6 +132,33 @@ def test_generate_and_trace(spark, tmp_path, capsys):
     assert "seeds_" in capsys.readouterr().out
 
 
+def test_trace_of_two_models(spark, tmp_path, capsys):
+    """Every row of both models has the seed that it was made from, with blank lines and own ids among the seeds; a row beyond its pool is an error."""
+    seeds = lines(tmp_path / "seeds.jsonl", [{"subject": f"a{k}", "body": f"b{k}", **({"id": f"own{k}"} if k % 3 == 0 else {})} for k in range(7)])
+    text = (tmp_path / "seeds.jsonl").read_text().splitlines()
+    (tmp_path / "seeds.jsonl").write_text("\n" + "\n\n".join(text) + "\n")
+    out = tmp_path / "g.jsonl"
+    for model in ("m1", "m2"):
+        assert main(["generate", "--seeds", seeds, "--provider", f"{Parrot.__module__}:Parrot", "--model", model, "--batch", "4", "--samples", "20", "--out", str(out)]) == 0
+    rows = [json.loads(x) for x in out.read_text().splitlines()]
+    out.write_text("".join((repr(r) if k % 2 else json.dumps(r)) + "\n" for k, r in enumerate(rows)))  # Python's own form as well
+    args = ["trace", "--input", str(out), "--seeds", seeds, "--out", str(tmp_path / "t")]
+    assert main([*args, "--samples", "20"]) == 0
+    found = {(r["source"], r["seed_idx"]): (r["subject"], r["body"]) for r in spark.read.json(str(tmp_path / "t")).collect()}
+    assert found == {(r["source"], r["seed_idx"]): (r["subject"].removeprefix("re "), r["body"]) for r in rows} and len(found) == 40
+    with pytest.raises(ValueError, match="m1: "):
+        main([*args, "--samples", "4"])
+
+
+class Parrot:
+    """A provider that gives the seeds back."""
+
+    def complete(self, system, user):
+        import re
+
+        return json.dumps([{"subject": "re " + s, "body": b} for s, b in re.findall(r"Subject: (.*)\n\n(b\d+)", user)])
+
+
 def test_baseline(spark, tmp_path, capsys):
     rows = [{"record_id": "1", "y_true": 1, "reply": "Spam: True ; 9 / 5", "latency_ms": 2.0}, {"record_id": "2", "y_true": 0, "reply": "Spam: False ; 1 / 5", "latency_ms": 4.0}]
     assert main(["baseline", "--input", lines(tmp_path / "r.jsonl", rows)]) == 0

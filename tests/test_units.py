@@ -1,6 +1,8 @@
 """Golden cases, worked out by hand."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,6 +263,60 @@ def test_mbox_scan(spark, tmp_path):
     assert got.count() == 6 and got.filter("ordinal = 1").count() == 3
 
 
+def split_mbox(content):
+    """Messages of a mailbox file in one pass: each begins with a line ``From ``, which isn't part of it."""
+    starts = [m.start() for m in re.finditer(rb"^From ", content, re.MULTILINE)]
+    for a, b in zip(starts, [*starts[1:], len(content)], strict=bool(starts)):
+        body = content[a:b]
+        yield body[body.find(b"\n") + 1 :] if b"\n" in body else b""
+
+
+def awkward_boxes():
+    r = random.Random(3)
+    pieces = [b"From a\n", b"From ", b"\n", b"text line\n", b">From q\n", b"\xff\xfe\n", "wörld 日\r\n".encode(), b"FromX\n", b" From y\n", b"Subject: s\n\n"]
+    yield b"preamble\n\nFrom x\nSubject: a\n\none\n\nFrom y\nb"
+    yield b"From only the line\n"
+    yield b"no message\n"
+    for _ in range(25):
+        yield b"".join(r.choice(pieces) for _ in range(r.randrange(300))) + b"end"
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 27])
+def test_mbox_in_splits(spark, tmp_path, split):
+    """More tasks than files; the messages and their numbers are those of one pass over each file's bytes."""
+    want = set()
+    for k, content in enumerate(awkward_boxes()):
+        (tmp_path / f"b{k}.mbox").write_bytes(content)
+        want |= {(f"b{k}.mbox", i, m) for i, m in enumerate(split_mbox(content))}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        df = mail.mbox(spark, str(tmp_path))
+        got = [(r["path"].rsplit("/", 1)[1], r["ordinal"], bytes(r["raw"])) for r in df.collect()]
+        if split < 1000:
+            assert spark.read.option("lineSep", mail.FROM_LINE).text(str(tmp_path)).rdd.getNumPartitions() > len(list(tmp_path.iterdir()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_mbox_years_are_not_opened(spark, tmp_path):
+    for name in ("box-2021.mbox", "box-2023.mbox"):
+        (tmp_path / name).write_bytes(b"From x\nS: a\n\none\n")
+    df = mail.mbox(spark, str(tmp_path), last_year=2022)
+    assert df.count() == 1 and "box-2021" in df.first()["path"]
+    assert len(df.inputFiles()) == 2 and "file_name" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seed_rows(spark, tmp_path):
+    """Positions are places among the records, whatever blank lines and ids of their own stand between them."""
+    (tmp_path / "s.jsonl").write_text("\n".join(["", '{"subject": "a"}', " ", '{"id": "own", "subject": "b"}', *('{"subject": "c%d"}' % k for k in range(9000)), ""]))
+    got = sorted((r["position"], r["id"], r["subject"]) for r in mail.seed_rows(spark, str(tmp_path / "s.jsonl")).collect())
+    assert [g[0] for g in got] == list(range(9002)) and got[:3] == [(0, "s_1", "a"), (1, "own", "b"), (2, "s_4", "c0")] and got[-1][2] == "c8999"
+
+
 def test_labelled_and_indexed(spark, tmp_path):
     md5 = "0" * 32
     for folder, name in (("spam", f"0001.{md5}"), ("easy_ham", "0001." + "1" * 32), ("hard_ham", f"0002.{md5}"), ("other", "0003.x")):
