@@ -28,20 +28,38 @@ def register_head(name: str, make: Callable[..., Estimator], *aliases: str) -> N
 def head(name: str, n_features: int, **parameters) -> Estimator:
     name = _ALIASES.get(name, name)
     if name not in _HEADS:
-        raise ValueError(f"unknown head {name!r}; there are {sorted(_HEADS)}")
+        raise ValueError(f"unknown head {name!r}; there are {heads()}")
     return _HEADS[name](n_features, **parameters)
 
 
 def heads() -> list[str]:
-    return sorted(_HEADS)
+    return sorted({*_HEADS, *_OWN})
 
 
 register_head("rf", lambda n, numTrees=150, maxDepth=30, minInstancesPerNode=2, seed=42, **p: RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, featureSubsetStrategy="sqrt", seed=seed, **p), "random_forest")
-register_head("xgboost", lambda n, maxIter=500, maxDepth=6, stepSize=0.08, subsamplingRate=0.8, seed=42, **p: OneVsRest(classifier=GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate, seed=seed, **p)), "gbt")
+register_head("gbt", lambda n, maxIter=500, maxDepth=6, stepSize=0.08, subsamplingRate=0.8, seed=42, **p: OneVsRest(classifier=GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate, seed=seed, **p)), "one_vs_rest")
 register_head("mlp", lambda n, layers=(256, 64), maxIter=50, seed=42, **p: MultilayerPerceptronClassifier(layers=[n, *layers, 4], maxIter=maxIter, seed=seed, **p))
 register_head("logistic", lambda n, maxIter=50, **p: LogisticRegression(maxIter=maxIter, family="multinomial", **p))
 
 
+_OWN: dict[str, Callable[[DataFrame, str | None, dict], Model]] = {}
+
+
+def register_fit(name: str, fit: Callable[[DataFrame, str | None, dict], Model], *aliases: str) -> None:
+    """A head that is no estimator: fit(rows with features and label, condition of held rows or None, parameters) gives its model."""
+    _OWN[name] = fit
+    _ALIASES.update(dict.fromkeys(aliases, name))
+
+
+def _boosted(df: DataFrame, held: str | None, p: dict) -> Model:
+    from . import boosting
+
+    return boosting.fit(df, p.pop("classes", 4), held, boosting.Boosting(**p))
+
+
+register_fit("boosted", _boosted, "xgboost")
+
+
 def fused(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     """Sparse and dense blocks side by side."""
     return VectorAssembler(inputCols=columns, outputCol=out).transform(df)
@@ -49,6 +67,8 @@ def fused(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame
 
 def train(df: DataFrame, name: str, validation: str | None = None, **parameters) -> Model:
     """A fitted head. Rows that ``validation`` (a condition) picks are not learned from; boosted trees stop once they get no better on them."""
+    if (own := _OWN.get(_ALIASES.get(name, name))) is not None:
+        return own(df, validation, parameters)
     n = df.select("features").head()["features"].size
     df = df.withColumn("label", F.col("label").cast("double"))
     estimator = head(name, n, **parameters)

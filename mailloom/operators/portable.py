@@ -118,9 +118,40 @@ def _forest(model) -> bytes:
     return _model([_node("TreeEnsembleClassifier", ["features"], ["class", "probabilities"], "ai.onnx.ml", tuple(attributes))], {}, model.numFeatures, len(classes))
 
 
+def _boosted(model) -> bytes:
+    """One tree for each round and class; a leaf gives its value to its class, and the softmax is over the sums."""
+    a = model.arrays
+    feature, border, value = a["feature"], a["border"], a["value"]
+    n = {k: [] for k in ("nodes_treeids", "nodes_nodeids", "nodes_featureids", "nodes_truenodeids", "nodes_falsenodeids", "class_treeids", "class_nodeids", "class_ids")}
+    values, modes, votes = [], [], []
+    for tree, (t, c) in enumerate(np.ndindex(feature.shape[:2])):
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            f, inner = int(feature[t, c, node]), feature[t, c, node] >= 0
+            children = (2 * node + 1, 2 * node + 2) if inner else (0, 0)
+            for k, x in zip(("nodes_treeids", "nodes_nodeids", "nodes_featureids", "nodes_truenodeids", "nodes_falsenodeids"), (tree, node, max(f, 0), *children), strict=True):
+                n[k].append(x)
+            modes.append("BRANCH_LEQ" if inner else "LEAF")
+            values.append(float(border[t, c, node]) if inner else 0.0)
+            if inner:
+                todo += children
+            else:
+                for k, x in zip(("class_treeids", "class_nodeids", "class_ids"), (tree, node, c), strict=True):
+                    n[k].append(x)
+                votes.append(float(value[t, c, node]))
+    classes = list(range(feature.shape[1]))
+    attributes = [_attribute(k, "ints", v) for k, v in n.items()]
+    attributes += [_attribute("nodes_values", "floats", values), _attribute("nodes_modes", "strings", modes), _attribute("class_weights", "floats", votes), _attribute("base_values", "floats", a["base"].tolist())]
+    attributes += [_attribute("classlabels_int64s", "ints", classes), _attribute("post_transform", "string", "SOFTMAX")]
+    return _model([_node("TreeEnsembleClassifier", ["features"], ["class", "probabilities"], "ai.onnx.ml", tuple(attributes))], {}, model.numFeatures, len(classes))
+
+
 def to_onnx(model: Model) -> bytes:
-    """A logistic head, a perceptron or a random forest as an ONNX file: features [n, d] in, probabilities [n, classes] out."""
+    """A head as an ONNX file: features [n, d] in, probabilities [n, classes] out. Heads of arrays, logistic heads, perceptrons and random forests have one."""
     kind = type(model).__name__
+    if kind == "BoostedModel":
+        return _boosted(model)
     if kind == "LogisticRegressionModel":
         return _dense([(model.coefficientMatrix.toArray().T, model.interceptVector.toArray())])
     if kind == "MultilayerPerceptronClassificationModel":

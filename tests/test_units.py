@@ -538,8 +538,8 @@ def test_heads(spark):
     with pytest.raises(ValueError):
         heads.head("nope", 3)
     split = df.withColumn("text", F.lit("t")).withColumn("split", F.when(F.monotonically_increasing_id() % 5 == 0, "val").otherwise("train"))
-    model = heads.train(split, "xgboost", "split = 'val'", maxIter=30, maxDepth=2)
-    noise = heads.train(split.withColumn("label", (F.monotonically_increasing_id() * 7 % 11 % 4).cast("int")), "xgboost", "split = 'val'", maxIter=30, maxDepth=2)
+    model = heads.train(split, "gbt", "split = 'val'", maxIter=30, maxDepth=2)
+    noise = heads.train(split.withColumn("label", (F.monotonically_increasing_id() * 7 % 11 % 4).cast("int")), "gbt", "split = 'val'", maxIter=30, maxDepth=2)
     assert min(m.getNumTrees for m in noise.models) < 30  # nothing gets better on held rows
     out = flows.predict(split, model).collect()
     assert all(r["predicted_class"] == r["label"] and abs(sum(r["probabilities"].values()) - 1) < 1e-9 for r in out)
