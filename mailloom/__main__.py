@@ -78,14 +78,14 @@ def _cohorts(spark: SparkSession, paths: list[str]):
 
 def train(spark: SparkSession, a: argparse.Namespace) -> int:
     for head in a.head:
-        _, scores = training.train(_cohorts(spark, a.cohorts), training.Training(head=head, per_cohort=a.samples), a.out, resume=not a.fresh)
+        _, scores = training.train(_cohorts(spark, a.cohorts), training.Training(head=head, per_cohort=a.samples, mode=a.mode, size=a.size), a.out, resume=not a.fresh)
         print(json.dumps({"head": head} | scores.first().asDict()))
     return 0
 
 
 def compare(spark: SparkSession, a: argparse.Namespace) -> int:
     """Heads side by side on the split that training left."""
-    t = training.Training(per_cohort=a.samples)
+    t = training.Training(per_cohort=a.samples, mode=a.mode, size=a.size)
     vectors = training.vectors(_cohorts(spark, a.cohorts), t, a.out, resume=not a.fresh)[0].persist()
     found = heads.compare(vectors.filter("split = 'train'"), vectors.filter("split = 'test'"), a.head)
     sinks.write_report(found, f"{a.out}/comparison")
@@ -133,8 +133,13 @@ def _models(a: argparse.Namespace):
     from pyspark.ml import PipelineModel
 
     spark = SparkSession.getActiveSession()
-    stylo = Stylometric.load(spark, a.stylo)
-    return lambda df: stylo.transform(df, "text", "features"), PipelineModel.load(a.model)
+    stylo, model = Stylometric.load(spark, a.stylo), PipelineModel.load(a.model)
+    if a.mode == "stylometric":
+        return lambda df: stylo.transform(df, "text", "features"), model
+    if not a.latent:
+        raise ValueError(f"mode {a.mode} needs --latent")
+    dense = PipelineModel.load(a.latent)
+    return lambda df: flows.with_features(dense.transform(stylo.transform(df, "text", "stylo")), a.mode), model
 
 
 def predict(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -159,7 +164,7 @@ def serve(spark: SparkSession, a: argparse.Namespace) -> int:
 
     vectors, model = _models(a)
     if a.port:
-        serving.server(serving.Service(spark, {"stylometric": (vectors, model)}, rule=a.rule), a.port, a.host).serve_forever()
+        serving.server(serving.Service(spark, {a.mode: (vectors, model)}, rule=a.rule, default_mode=a.mode), a.port, a.host).serve_forever()
         return 0
     if not (a.input and a.out):
         raise ValueError("give --input and --out, or --port")
@@ -193,13 +198,15 @@ def main(argv: list[str] | None = None) -> int:
     verb(validate, ("--input", needed))
     verb(stats, ("--input", needed))
     verb(trace, ("--input", needed), ("--seeds", needed), ("--samples", {"type": int, "default": 14_000}), ("--share", {"action": "store_true"}), ("--seed", {"type": int, "default": 42}), ("--out", {}), ("--show", {"type": int, "default": 20}))
-    verb(train, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
+    mode = ("--mode", {"default": "stylometric", "choices": ["stylometric", "semantic", "fusion"]})
+    size = ("--size", {"type": int, "default": 64})
+    verb(train, mode, size, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
     rule = ("--rule", {"default": "service", "choices": ["service", "baseline", "exported"]})
-    verb(compare, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf", "logistic"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
+    verb(compare, mode, size, ("--cohorts", many), ("--head", {"nargs": "+", "default": ["rf", "logistic"]}), ("--samples", {"type": int, "default": 16_000}), ("--out", needed), ("--fresh", {"action": "store_true"}))
     verb(export, ("--model", needed), ("--out", needed))
     verb(generate, ("--seeds", needed), ("--provider", needed), ("--url", {}), ("--key", {}), ("--form", {"default": "chat", "choices": ["chat", "messages"]}), ("--model", needed), ("--samples", {"type": int, "default": 14_000}), ("--kind", {"default": "benign", "choices": ["benign", "phishing"]}), ("--version", {"default": "v2", "choices": list(VERSIONS)}), ("--batch", {"type": int, "default": 10}), ("--seed", {"type": int, "default": 42}), ("--out", needed))
-    verb(predict, ("--input", {}), ("--form", {"default": "lines", "choices": ["lines", "one", "raw"]}), ("--subject", {"default": ""}), ("--body", {"default": ""}), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
-    verb(serve, ("--input", {}), ("--stylo", needed), ("--model", needed), rule, ("--out", {}), ("--port", {"type": int}), ("--host", {"default": "127.0.0.1"}))
+    verb(predict, mode, ("--latent", {}), ("--input", {}), ("--form", {"default": "lines", "choices": ["lines", "one", "raw"]}), ("--subject", {"default": ""}), ("--body", {"default": ""}), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
+    verb(serve, mode, ("--latent", {}), ("--input", {}), ("--stylo", needed), ("--model", needed), rule, ("--out", {}), ("--port", {"type": int}), ("--host", {"default": "127.0.0.1"}))
     verb(baseline, ("--input", needed), ("--engine", {"default": "spamd", "choices": ["spamd", "rspamd"]}))
     a = top.parse_args(argv)
     return a.run(SparkSession.builder.appName("mailloom").getOrCreate(), a)

@@ -12,11 +12,11 @@ from mailloom.functions import features as fx
 from mailloom.functions import lookalikes as la
 from mailloom.functions import masking as mk
 from mailloom.functions import text as tx
-from mailloom.operators import dedup, heads, metrics, portable, records, sampling, semantic, tfidf
+from mailloom.operators import dedup, heads, latent, metrics, portable, records, sampling, semantic, tfidf
 from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
 from mailloom.sources import mail
-from mailloom.sources.shared import new_path
+from mailloom.sources.shared import new_path, stored
 from mailloom.sources.tables import table
 from mailloom.streaming import ingest
 
@@ -778,6 +778,14 @@ def semantic_proba(spark, d):
     return _embedded(spark, d).select("doc_id", *(F.round(p, 9).alias(f"p{c}") for c, p in enumerate(probs)))
 
 
+@query("latent_vectors")
+def latent_vectors(spark, d):
+    """The learned dense branch over whole texts: how much of each text's term vector its singular vectors hold."""
+    texts = stored(_texts(spark, d), "texts")
+    rows = stored(tfidf.Stylometric().fit(texts).transform(texts).select("doc_id", "stylo"), "style")
+    return latent.held_shares(rows, latent.fit(rows)).select("doc_id", F.round("held", 6).alias("held"))
+
+
 def _vectors(spark, d):
     """Dense vectors with classes, from the embeddings."""
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") % 4).alias("label"))

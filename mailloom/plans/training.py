@@ -10,8 +10,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.operators import heads, metrics, sampling
+from mailloom.operators import heads, latent, metrics, sampling
 from mailloom.operators.tfidf import MAX_TERMS, Stylometric
+from mailloom.plans import flows
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,8 @@ class Training:
     word_terms: int = MAX_TERMS
     char_terms: int = MAX_TERMS
     head: str = "rf"
+    mode: str = "stylometric"
+    size: int = latent.SIZE
 
     def key(self, *names: str) -> str:
         chosen = {k: v for k, v in asdict(self).items() if not names or k in names}
@@ -45,7 +48,7 @@ def splits(records: DataFrame, t: Training, folder: str, key: str = "doc_id", re
 
 
 def vectors(records: DataFrame, t: Training, folder: str, key: str = "doc_id", resume: bool = True) -> tuple[DataFrame, Stylometric]:
-    """Records with split, features and label; blocks fitted on the training split are read again if a run with these parameters has left them."""
+    """Records with split, features (of the mode's branches) and label; blocks, and the dense branch's singular vectors, fitted on the training split are read again if a run with these parameters has left them."""
     spark = records.sparkSession
     s = splits(records, t, folder, key, resume)
     style = f"{folder}/stylo-{t.key('per_cohort', 'ratios', 'seed', 'word_terms', 'char_terms')}"
@@ -55,7 +58,14 @@ def vectors(records: DataFrame, t: Training, folder: str, key: str = "doc_id", r
         stylo = Stylometric(t.word_terms, t.char_terms).fit(s.filter("split = 'train'"), "text", key)
         stylo.save(style)
         stylo = Stylometric.load(spark, style)
-    return stylo.transform(s, "text", "features", key).withColumn("label", F.col("cohort")), stylo
+    if t.mode == "stylometric":
+        return stylo.transform(s, "text", "features", key).withColumn("label", F.col("cohort")), stylo
+    rows = stylo.transform(s, "text", "stylo", key).withColumn("label", F.col("cohort"))
+    path = f"{folder}/latent-{t.key('per_cohort', 'ratios', 'seed', 'word_terms', 'char_terms', 'size')}"
+    if not (resume and _exists(spark, f"{path}/metadata/_SUCCESS")):
+        model = latent.fit(rows.filter("split = 'train'"), t.size, seed=t.seed)
+        PipelineModel([model]).write().overwrite().save(path)
+    return flows.with_features(PipelineModel.load(path).transform(rows), t.mode), stylo
 
 
 def train(records: DataFrame, t: Training, folder: str, key: str = "doc_id", resume: bool = True) -> tuple[PipelineModel, DataFrame]:

@@ -75,6 +75,15 @@ def http(spark, stylo, head):
 def test_train_predict(spark, tmp_path, capsys):
     words = ["alpha", "bravo", "charlie", "delta"]
     files = [lines(tmp_path / f"c{c}.jsonl", [{"subject": words[c], "body": f"{words[c]} text {k}"} for k in range(20)]) for c in range(4)]
+    for mode in ("fusion",):
+        t = tmp_path / mode
+        assert main(["train", "--mode", mode, "--size", "6", "--cohorts", *files, "--head", "logistic", "--out", str(t)]) == 0
+        assert json.loads(capsys.readouterr().out.splitlines()[-1])["accuracy"] == 1.0
+        stylo, dense, head = (next(str(p) for p in t.iterdir() if p.name.startswith(n)) for n in ("stylo", "latent", "head"))
+        args = ["predict", "--mode", mode, "--input", files[3], "--stylo", stylo, "--model", head, "--out", str(t / "p")]
+        assert main([*args, "--latent", dense]) == 0 and spark.read.json(str(t / "p")).filter("predicted_class = 3").count() == 20
+        with pytest.raises(ValueError, match="--latent"):
+            main(args)
     args = ["train", "--cohorts", *files, "--head", "logistic", "--out", str(tmp_path / "t")]
     assert main(args) == 0 and main(args) == 0  # the second run resumes
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from mailloom.operators import boosting, heads, portable
+from mailloom.operators import boosting, heads, latent, portable, tfidf
 from mailloom.operators.learned import softmax
 
 
@@ -91,3 +91,44 @@ def test_boosted(spark, tmp_path, monkeypatch):
     moved = heads.train(train.repartition(7), "xgboost", "id % 5 = 0", rounds=2, depth=3, eta=0.4)
     same = heads.train(train.coalesce(1), "xgboost", "id % 5 = 0", rounds=2, depth=3, eta=0.4)
     assert np.array_equal(moved.arrays["feature"], same.arrays["feature"]) and np.allclose(moved.arrays["value"], same.arrays["value"])
+
+
+def low_rank(seed=0, n=120, d=40, rank=6, noise=0.01):
+    r = np.random.default_rng(seed)
+    x = (r.standard_normal((n, rank)) * np.geomspace(8, 1, rank)) @ r.standard_normal((rank, d)) + noise * r.standard_normal((n, d))
+    x[r.random((n, d)) < 0.3] = 0
+    x[5] = 0
+    return x
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_latent(spark, tmp_path, parts):
+    """The subspace and the singular values are numpy's; dense vectors have length 1 and don't depend on how rows are dealt."""
+    x = low_rank()
+    vector = lambda i, v: Vectors.sparse(40, np.flatnonzero(v).tolist(), v[v != 0].tolist()) if i % 2 else Vectors.dense(v.tolist())
+    df = spark.createDataFrame([(i, vector(i, v), "t") for i, v in enumerate(x)] , ["doc_id", "stylo", "text"])
+    df = df.repartition(parts)
+    model = latent.fit(df, size=5, extra=8, passes=20)
+    u, s, vt = np.linalg.svd(x.astype(np.float32).astype(float), full_matrices=False)
+    a = model.arrays
+    assert np.allclose(a["values"], s[:5], rtol=1e-6)
+    assert np.abs(a["base"] @ a["base"].T - vt[:5].T @ vt[:5]).max() < 1e-5
+    PipelineModel([model]).write().save(str(tmp_path / "m"))
+    got = {r["doc_id"]: r["sem"].toArray() for r in PipelineModel.load(str(tmp_path / "m")).transform(df).collect()}
+    y = x @ a["base"]
+    for i in range(len(x)):
+        assert np.allclose(got[i], y[i] / max(np.linalg.norm(y[i]), 1e-12), atol=1e-5)
+    held = {r["doc_id"]: r["held"] for r in latent.held_shares(df, model).collect()}
+    assert held[5] == 0 and all(abs(held[i] - (y[i] @ y[i]) / (x[i] @ x[i])) < 1e-5 for i in range(len(x)) if i != 5)
+    rank1 = latent.fit(df.filter("doc_id = 7"), size=5)
+    assert rank1.arrays["base"].shape == (40, 1)
+
+
+def test_latent_of_texts(spark):
+    """Texts that share no word but share their words' company are near each other."""
+    groups = [["river boat water fish", "boat fish net", "water river"], ["stock price market", "market trade stock", "price trade"]]
+    rows = [(3 * g + i, t) for g, texts in enumerate(groups) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    style = tfidf.Stylometric(50, 50).fit(df).transform(df)
+    sem = {r["doc_id"]: r["sem"].toArray() for r in latent.fit(style, size=2).transform(style).collect()}
+    assert sem[1] @ sem[2] > 0.5 > abs(sem[1] @ sem[5]) and not sem[99].any()
