@@ -17,8 +17,8 @@ both classes there is nothing to learn and every score is the share of toxic lab
 (0 without labels). Other columns take no part; an empty table gives no rows.
 
 The field is learned from bounded samples, chosen by hashes: MAX_LABELLED documents and
-MAX_WINDOWS of their windows; and it has at most MAX_FEATURES features, the strongest ones.
-Counting, making windows and scoring the calibration sample happen on executors.
+MAX_WINDOWS of their windows. Its features are all that pass the tests of support and odds; as each
+is in a fixed share of the sample's toxic documents, their number is bounded by the sample's tokens. Counting, making windows and scoring the calibration sample happen on executors.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ from .common import crc_remainder, doc_rows, labelled_sample, load, stored, with
 
 MAX_LABELLED = 20_000
 """Bound on the labelled documents that the field is learned from."""
-MAX_FEATURES = 4096
-"""Bound on the features that it may use."""
 MAX_WINDOWS = 1 << 16
 """Bound on the windows that it is trained on."""
 PREFIXES = (4, 5, 6)
@@ -262,7 +260,7 @@ def windows_of(places: np.ndarray, tag: np.ndarray, gap: np.ndarray, ptr: np.nda
     return p, y, np.arange(LENGTH) < used[:, None]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, max_windows: int = MAX_WINDOWS) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_windows: int = MAX_WINDOWS) -> Crf:
     """Learns from a bounded sample of labelled rows outside the held-out fold. The driver gets candidate features, a bounded number of windows and two numbers for each document."""
     sample = labelled_sample(labels.filter(crc_remainder(FOLDS) != HELD_OUT), "toxic", max_labelled)
     rows = doc_rows(docs).join(F.broadcast(sample), "doc_id").select("text", (F.col("label") > 0).alias("toxic"), F.xxhash64("text").alias("h"))
@@ -313,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     error = np.sqrt(1 / (counts["bad"] + 0.5) + 1 / (counts["good"] + 0.5))
     counts = counts.assign(odds=odds, z=odds / error)
     # far more common in toxic documents; of a document's words only such are evidence for a tag
-    counts = counts[(counts["odds"] > 2.5) & (counts["bad"] > counts["good"])].sort_values(["z", "f"], ascending=[False, True]).head(max_features)
+    counts = counts[(counts["odds"] > 2.5) & (counts["bad"] > counts["good"])].sort_values(["z", "f"], ascending=[False, True])
     if not len(counts):
         return Crf(prior=prior)
     hashes = counts["f"].to_numpy(np.int64).view(np.uint64)
