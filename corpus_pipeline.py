@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from mailloom.llm import jaccard, packing, quality, secretscan, toxicity
 from mailloom.llm.common import load, stored
+from mailloom.operators.dedup import first_of_each
 
 SHINGLE, PERCENT = 5, 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,12 +38,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, null ids last, ties by a hash of the text.
 
-    Of rows that repeat the id and the text of the one that stays, one stays. Texts without
+    Of rows that repeat the id and the text of the one that stays, one stays, the first by a hash of all columns. Texts without
     words are near duplicates of nothing: of these only repeated rows go.
     """
     row = {"__mailloom_id": F.coalesce("doc_id", F.lit(0)), "__mailloom_none": F.col("doc_id").isNull(), "__mailloom_th": jaccard.text_hash()}
     keep = jaccard.representatives(docs, PERCENT, SHINGLE).select(F.coalesce("doc_id", F.lit(0)).alias("__mailloom_id"), F.col("doc_id").isNull().alias("__mailloom_none"), F.col("th").alias("__mailloom_th"))
-    return docs.withColumns(row).join(keep, list(row), "left_semi").dropDuplicates(list(row)).select(*docs.columns)
+    rows = docs.withColumns(row).join(keep, list(row), "left_semi").withColumn("__mailloom_all", F.xxhash64(*docs.columns))
+    return first_of_each(rows, list(row), ["__mailloom_all"]).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
