@@ -4,7 +4,7 @@ Vectors are quantised to integers and dealt to blocks. A block's index holds, fo
 each dimension, postings in segments of falling quantised impact. Each query processes
 the segments of all dimensions in its own order, by the greatest impact that one of their
 postings may have on a score, either way. A posting adds its product to the vector's accumulator and takes its
-square, and the query's, off what is left of the two. After each thirty-second of the postings the proof is tried:
+square, and the query's, off what is left of the two. After each sixteenth of the postings the proof is tried:
 the vector's score lies within the product of the norms of what is left of it and of the
 query (Cauchy and Schwarz), and within the greatest and least gains of the open segments. Processing
 stops only when these bounds show that all but a few vectors lie below the k-th best lower
@@ -48,9 +48,9 @@ QUERY_ROWS = 512
 QUERY_GROUP = 64
 """Query blocks that stream past one copy of a block's index."""
 LEVELS = 64
-STEP = 1 / 32
+STEP = 1 / 16
 """The share of the postings after which the proof is tried again."""
-RESCORE, RESCORE_SHARE = 64, 1 / 8
+RESCORE, RESCORE_SHARE = 64, 1 / 3
 """Candidates of a block, or the share of it, that are few enough to be rescored: by rows that costs less than another step by postings."""
 Best = tuple[int, int, int]
 
@@ -107,12 +107,15 @@ class ImpactIndex:
         self.postings, self.begin, self.dim = joined(postings, np.int32), joined(begin, np.int64), joined(dim, np.int64)
         self.least, self.most, self.values, self.norm = joined(least, float), joined(most, float), joined(exact, float), (x * x).sum(1)
         self.size = np.diff(np.append(self.begin, len(self.postings)))
+        self.places: np.ndarray | None = None  # the postings as they are counted by, made where the index is searched
 
     def possible(self, q: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, float]:
         """Places in the index that may be among the query's k best, and the share of postings that this took."""
         n = len(self.rows)
         if n <= k + 1:
             return np.arange(n), 0.0
+        if self.places is None:
+            self.places = self.postings.astype(np.intp)
         w = q[self.dim]
         a, b = w * self.least, w * self.most
         low, high = np.minimum(np.minimum(a, b), 0), np.maximum(np.maximum(a, b), 0)
@@ -124,13 +127,16 @@ class ImpactIndex:
         done = 0
         while True:
             end = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + STEP * upto[-1])) + 1
-            part = order[done:end]
-            lens = self.size[part]
-            at = np.arange(int(lens.sum())) + np.repeat(self.begin[part] - (np.cumsum(lens) - lens), lens)
-            who, x, by = self.postings[at], self.values[at], np.repeat(w[part], lens)
-            score += np.bincount(who, by * x, n)
-            squares -= np.bincount(who, x * x, n)
-            weights -= np.bincount(who, by * by, n)
+            part = np.sort(order[done:end])
+            # of a dimension's list a step takes a run at either end, or what is left between them
+            cut = np.flatnonzero((part[1:] != part[:-1] + 1) | (self.dim[part[1:]] != self.dim[part[:-1]]))
+            first, last = part[np.append(0, cut + 1)], part[np.append(cut, len(part) - 1)]
+            runs = list(zip(self.begin[first].tolist(), (self.begin[last] + self.size[last]).tolist(), strict=True))
+            lens, by = np.array([hi - lo for lo, hi in runs]), q[self.dim[first]]
+            who, x = (np.concatenate([c[lo:hi] for lo, hi in runs]) for c in (self.places, self.values))
+            score += np.bincount(who, np.repeat(by, lens) * x, n)
+            squares -= np.bincount(who, np.square(x, out=x), n)
+            weights -= np.bincount(who, np.repeat(by * by, lens), n)
             low[part] = high[part] = 0
             done += len(part)
             # what a vector may have beyond its accumulator: by the norms of what is left of it and of

@@ -184,7 +184,7 @@ def test_proof_on_dense_vectors():
         some, share = index.possible(q, i, 5)
         exact = np.delete(index.x[index.rows] @ q, i)
         best = np.delete(np.arange(900), i)[exact >= np.sort(exact)[-5]]
-        assert set(best.tolist()) <= set(some.tolist()) and len(some) <= 900 // 8
+        assert set(best.tolist()) <= set(some.tolist()) and len(some) <= 900 * topk.RESCORE_SHARE
         shares.append(share)
     assert max(shares) < 1
 
