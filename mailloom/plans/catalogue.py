@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailloom.functions import features as fx
+from mailloom.functions import gazetteer
 from mailloom.functions import lookalikes as la
 from mailloom.functions import masking as mk
 from mailloom.functions import text as tx
-from mailloom.operators import dedup, heads, latent, metrics, portable, records, sampling, semantic, tfidf
+from mailloom.operators import dedup, heads, intervals, language, latent, metrics, portable, records, sampling, semantic, tfidf
 from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
 from mailloom.sources import mail
@@ -281,6 +282,53 @@ def detect_language(spark, d):
     return bodies(spark, d).select("doc_id", fx.language_native(F.col("body")).alias("language"))
 
 
+_LANG_GRAMS = r"""WITH t AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\A\s+|\s+\z', '', 'g') AS s FROM documents),
+p AS (SELECT doc_id, lang, length(s) AS len, ' ' || regexp_replace(lower(substr(s, 1, 1000)), '\s+', ' ', 'g') || ' ' AS s FROM t),
+g AS (SELECT doc_id, lang, unnest([substr(s, i, 3) FOR i IN range(1, greatest(length(s) - 2, 1) + 1)]) AS gram FROM p WHERE len >= 15 OR (lang IS NOT NULL AND doc_id % 3 <> 1)),
+c AS (SELECT lang, gram, count(*) AS c FROM g WHERE lang IS NOT NULL AND doc_id % 3 <> 1 GROUP BY lang, gram),
+k AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(c) DESC, gram LIMIT 50000),
+ck AS (SELECT * FROM c JOIN k USING (gram)),
+n AS (SELECT lang, sum(c) AS total, (SELECT count(DISTINCT gram) FROM ck) AS v FROM ck GROUP BY lang),
+u AS (SELECT lang, CAST(round(ln(1.0 / CAST(total + v + 1 AS DOUBLE)) * 1048576) AS BIGINT) AS u FROM n),
+w AS (SELECT lang, gram, CAST(round(ln(CAST(c + 1 AS DOUBLE) / CAST(total + v + 1 AS DOUBLE)) * 1048576) AS BIGINT) AS w FROM ck JOIN n USING (lang)),
+d AS (SELECT g.doc_id, u.lang, sum(coalesce(w.w, u.u)) AS s FROM g JOIN p USING (doc_id) CROSS JOIN u LEFT JOIN w ON w.lang = u.lang AND w.gram = g.gram WHERE p.len >= 15 GROUP BY g.doc_id, u.lang),
+b AS (SELECT doc_id, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM d) WHERE r = 1)
+SELECT doc_id, coalesce(language, 'unknown') AS language FROM p LEFT JOIN b USING (doc_id)"""
+
+
+@query("language_ngrams", _LANG_GRAMS)
+def language_ngrams(spark, d):
+    """Every text's language by a model of the rows that a third of the ids, which are judged only, are not among."""
+    docs = table(spark, d, "documents")
+    return language.detect(docs, language.fit(docs.filter("doc_id % 3 <> 1")))
+
+
+@query("gazetteer_counts", r"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark),
+n AS (SELECT w, CASE length(w) % 3 WHEN 0 THEN 'GPE' WHEN 1 THEN 'ORG' ELSE 'PERSON' END AS label FROM b WHERE regexp_full_match(w, '[A-Z][a-z]{3,}')),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)
+SELECT doc_id, label, count(*) AS n FROM t JOIN n USING (w) GROUP BY doc_id, label""")
+def gazetteer_counts(spark, d):
+    """Names are the capitalised words of the benchmark's items; how many of each label every text has."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name")).distinct()
+    label = F.when(F.length("name") % 3 == 0, "GPE").when(F.length("name") % 3 == 1, "ORG").otherwise("PERSON")
+    names = words.filter(F.col("name").rlike("^[A-Z][a-z]{3,}$")).withColumn("label", label)
+    return gazetteer.entities(table(spark, d, "documents"), gazetteer.Tagger(names)).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+_SPANS = "SELECT event_id, user_id, CAST(epoch_us(ts) AS BIGINT) AS a, CAST(epoch_us(ts) + floor(value * 60000000) + 1 AS BIGINT) AS b FROM events WHERE event_type {} 'error' AND value >= 0"
+
+
+@query("interval_overlap", f"WITH l AS ({_SPANS.format('=')}), r AS ({_SPANS.format('<>')}) SELECT l.event_id, r.event_id AS other_id, CAST(least(l.b, r.b) - greatest(l.a, r.a) AS BIGINT) AS shared FROM l JOIN r ON l.user_id = r.user_id AND l.a < r.b AND r.a < l.b")
+def interval_overlap(spark, d):
+    """Errors and other events of a user whose times, as long as their values in minutes, overlap."""
+    ev = spark.read.parquet(f"{d}/events.parquet").filter("value >= 0")
+    begin = F.unix_micros(F.col("ts").cast("timestamp"))
+    finish = begin + F.floor(F.col("value") * 60_000_000) + 1
+    l = ev.filter("event_type = 'error'").select("event_id", "user_id", begin.alias("a"), finish.alias("b"))  # noqa: E741
+    r = ev.filter("event_type <> 'error'").select(F.col("event_id").alias("other_id"), "user_id", begin.alias("c"), finish.alias("e"))
+    return intervals.overlapping(l, r, ["user_id"], "a", "b", "c", "e").select("event_id", "other_id", (F.least("b", "e") - F.greatest("a", "c")).alias("shared"))
+
+
 @query("fingerprints", "SELECT doc_id, md5(concat(subject, body)) AS fp FROM emails", E)
 def fingerprints(spark, d):
     return bodies(spark, d).select("doc_id", fx.fingerprint(F.col("subject"), F.col("body")).alias("fp"))
