@@ -19,7 +19,7 @@ from mailloom.sources import html as hx
 from mailloom.sources import mail
 from mailloom.sources.shared import new_path, stored
 from mailloom.sources.tables import table
-from mailloom.streaming import ingest
+from mailloom.streaming import ingest, keyed
 
 from . import flows
 from .fixtures import EMAILS_SQL, PREDICTIONS_SQL, bodies, emails, labelled, predictions
@@ -891,6 +891,37 @@ def event_sessions(spark, d):
     return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def _event_stream(spark, d):
+    """The events as a stream, times in whole milliseconds."""
+    path = f"{d}/events.parquet"
+    ev = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern may name a file, a plain path only a folder
+    return ev.select("event_id", "user_id", "event_type", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"))
+
+
+def _ran(df: DataFrame, name: str) -> DataFrame:
+    """What a stream has written once it has read all there is."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CLOSED = _GAPS.replace("user_id, ts, CASE", "user_id, date_trunc('millisecond', ts) AS ts, CASE").replace("ts < lag(ts)", "date_trunc('millisecond', ts) < lag(date_trunc('millisecond', ts))")
+
+
+@query("stream_silent_users", _CLOSED + "SELECT user_id, min(ts) AS begin, max(ts) AS last, count(*) AS n FROM k GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 10 MINUTE")
+def stream_silent_users(spark, d):
+    """Keyed state and timers: the stretches of users' events that the watermark has closed."""
+    out = _ran(keyed.silent_keys(_event_stream(spark, d), "user_id", "ts"), "silent")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("begin", "last")), "n")
+
+
+@query("stream_first_of_key", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY date_trunc('millisecond', ts), event_id) AS k FROM events) WHERE k = 1")
+def stream_first_of_key(spark, d):
+    """Streaming duplicates by keyed state: each user's first event of each type."""
+    return _ran(keyed.first_of_stream(_event_stream(spark, d), ["user_id", "event_type"], "ts", "event_id", "3650 days", 10**11), "first").select("user_id", "event_type", "event_id")
+
+
 # ---- extensions: what the data has and the inventory does not ask for --------------------------------
 
 
