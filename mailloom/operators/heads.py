@@ -60,6 +60,19 @@ def _boosted(df: DataFrame, held: str | None, p: dict) -> Model:
 register_fit("boosted", _boosted, "xgboost")
 
 
+def _net(kind: str) -> Callable[[DataFrame, str | None, dict], Model]:
+    def fit(df: DataFrame, held: str | None, p: dict) -> Model:
+        from . import networks
+
+        return networks.fit(df, kind, p.pop("classes", 4), held, networks.Options(**p))
+
+    return fit
+
+
+register_fit("perceptron", _net("perceptron"))
+register_fit("cnn", _net("convolution"), "convolution")
+
+
 def fused(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     """Sparse and dense blocks side by side."""
     return VectorAssembler(inputCols=columns, outputCol=out).transform(df)

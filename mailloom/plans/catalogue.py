@@ -864,6 +864,22 @@ def head_boosted(spark, d):
     return out.select("vec_id", *(F.round(F.col("probs")[c].cast("double"), 4).alias(f"p{c}") for c in range(4)))
 
 
+def _net_query(spark, d, name):
+    v = _vectors(spark, d)
+    model = heads.train(v.filter("split <> 'test'"), name, "split = 'val'", epochs=8, patience=2)
+    return model.transform(v.filter("split = 'test'")).select("vec_id", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+@query("head_perceptron")
+def head_perceptron(spark, d):
+    return _net_query(spark, d, "perceptron")
+
+
+@query("head_convolution")
+def head_convolution(spark, d):
+    return _net_query(spark, d, "cnn")
+
+
 @query("head_portable")
 def head_portable(spark, d):
     """The logistic head's probabilities as its ONNX file gives them."""

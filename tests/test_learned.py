@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from mailloom.operators import boosting, heads, latent, portable, tfidf
+from mailloom.operators import boosting, heads, latent, networks, portable, tfidf
 from mailloom.operators.learned import softmax
 
 
@@ -132,3 +132,43 @@ def test_latent_of_texts(spark):
     style = tfidf.Stylometric(50, 50).fit(df).transform(df)
     sem = {r["doc_id"]: r["sem"].toArray() for r in latent.fit(style, size=2).transform(style).collect()}
     assert sem[1] @ sem[2] > 0.5 > abs(sem[1] @ sem[5]) and not sem[99].any()
+
+
+@pytest.mark.parametrize("kind", ["perceptron", "convolution"])
+def test_gradients(kind):
+    """Every kind of layer against differences."""
+    r = np.random.default_rng(0)
+    net = networks.layers(kind, 6, 4, 0.0, 1)
+    p = {k: v + 0.01 * r.standard_normal(v.shape) for layer in net for k, v in layer.init.items()}
+    x, y = r.standard_normal((9, 6)), r.integers(0, 4, 9)
+    g = networks.gradient(net, p, x, y, r)[1]
+    for k in g:
+        for at in r.integers(0, p[k].size, 6):
+            old, e = p[k].flat[at], 1e-6
+            both = []
+            for s in (e, -e):
+                p[k].flat[at] = old + s
+                both.append(networks.gradient(net, p, x, y, r)[0])
+            p[k].flat[at] = old
+            assert abs((both[0] - both[1]) / (2 * e) - g[k].flat[at]) < 1e-4 * max(1, abs(g[k].flat[at])), (k, at)
+    assert {k for k in p if not k.endswith((".mean", ".var"))} == set(g)
+
+
+@pytest.mark.parametrize(("name", "epochs"), [("perceptron", 25), ("cnn", 8)])
+def test_nets(spark, tmp_path, name, epochs):
+    """Learns what lines can't; rows dealt otherwise give the same; saved and loaded; held rows stop it."""
+    df, test = spiral(spark, 600).persist(), spiral(spark, 200, 9)
+    options = {"epochs": epochs, "batch": 64, "rate": 5e-3}
+    model = heads.train(df, name, "id % 5 = 0", **options)
+    scored = model.transform(test)
+    assert scored.filter("prediction = label").count() > 150
+    again = heads.train(df.repartition(7), name, "id % 5 = 0", **options | {"epochs": 2})
+    same = heads.train(df.coalesce(1), name, "id % 5 = 0", **options | {"epochs": 2})
+    assert all(np.array_equal(again.arrays[k], v) for k, v in same.arrays.items())
+    PipelineModel([model]).write().save(str(tmp_path / "m"))
+    loaded = PipelineModel.load(str(tmp_path / "m")).transform(test)
+    assert loss(loaded) == loss(scored)
+    noise = heads.train(df.withColumn("label", (F.xxhash64("id") % 4 + 4) % 4), name, "id % 5 = 0", **options | {"epochs": 40})
+    assert len(noise.arrays["losses"]) < 40
+    with pytest.raises(ValueError, match="parameters"):
+        networks.fit(spark.createDataFrame([(Vectors.sparse(10**6, [1], [1.0]), 0)], ["features", "label"]), "perceptron")
