@@ -14,7 +14,7 @@ from mailloom.operators import heads, metrics, records, sampling
 from mailloom.operators.generation import VERSIONS
 from mailloom.operators.tfidf import Stylometric
 from mailloom.plans import flows, training
-from mailloom.sources import mail, sinks
+from mailloom.sources import mail, runs, sinks
 
 COHORTS = ("human_benign", "human_phishing", "generated_benign", "generated_phishing")
 
@@ -22,7 +22,10 @@ COHORTS = ("human_benign", "human_phishing", "generated_benign", "generated_phis
 def preprocess(spark: SparkSession, a: argparse.Namespace) -> int:
     config = flows.Config.load(a.config)
     kept, counts = flows.preprocess(spark, config, a.source)
-    sinks.write_by_label(kept, a.out or config.out)
+    if a.run_name:  # whole or not at all, and the same run again replaces itself
+        runs.write_run(kept, a.out or config.out, a.source or "all", a.run_name, "json", ("label",), ignoreNullFields=True)
+    else:
+        sinks.write_by_label(kept, a.out or config.out)
     counts.show(100, False)
     return 0
 
@@ -193,7 +196,7 @@ def main(argv: list[str] | None = None) -> int:
         p.set_defaults(run=f)
 
     needed, many = {"required": True}, {"required": True, "nargs": "+"}
-    verb(preprocess, ("--config", needed), ("--source", {}), ("--out", {}))
+    verb(preprocess, ("--config", needed), ("--source", {}), ("--out", {}), ("--run-name", {}))
     verb(mask, ("--input", needed), ("--out", needed), ("--resume", {"action": "store_true"}))
     verb(validate, ("--input", needed))
     verb(stats, ("--input", needed))

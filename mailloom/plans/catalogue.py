@@ -16,7 +16,7 @@ from mailloom.functions import text as tx
 from mailloom.operators import dedup, heads, intervals, language, latent, metrics, portable, records, sampling, semantic, tfidf
 from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
-from mailloom.sources import mail
+from mailloom.sources import mail, runs
 from mailloom.sources.shared import new_path, stored
 from mailloom.sources.tables import table
 from mailloom.streaming import ingest, keyed
@@ -615,6 +615,28 @@ def batch_atomic(spark, d):
     return sampling.whole_batches(docs, 10, [], "doc_id").select("doc_id")
 
 
+@query("published_runs", "SELECT doc_id, length(text) AS n, md5(text) AS digest, lang FROM documents")
+def published_runs(spark, d):
+    """Documents published in two runs, by whether they have a language. The first is written again with other rows, and a third one is never published: what is read has each document once, as it was written last."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text", "lang"), new_path(spark, "runs")
+    known = docs.filter("lang is not null")
+    runs.write_run(known.withColumn("text", F.upper("text")), path, "documents", "known")
+    runs.write_run(docs.filter("lang is null"), path, "documents", "unknown")
+    runs.stage(docs, path)
+    runs.write_run(known, path, "documents", "known")
+    return runs.read_runs(spark, path).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"), "lang")
+
+
+@query("batches_published", "SELECT doc_id FROM documents JOIN (SELECT doc_id // 10 AS b FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 10 AND min(CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END) = 1) ON doc_id // 10 = b")
+def batches_published(spark, d):
+    """Batches of ten documents whose rows come in several micro-batches, published once they are whole and all long enough."""
+    docs, path = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("n_chars") >= 200).alias("is_valid")), new_path(spark, "batches")
+    docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(3))).repartition(3, "part").write.partitionBy("part").parquet(f"{path}/in")
+    rows = spark.readStream.schema(docs.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest.published_batches(rows, f"{path}/out", f"{path}/checkpoint", 10, (), "doc_id").awaitTermination()
+    return runs.read_runs(spark, f"{path}/out")
+
+
 @query("split_lookup_join", ", r AS (SELECT doc_id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM emails) SELECT r.doc_id, e.label, e.source FROM r JOIN emails e ON e.doc_id = r.doc_id WHERE r.i >= floor(r.n * 0.8) + floor(r.n * 0.1)", E)
 def split_lookup_join(spark, d):
     """The test split's unmasked rows, by id."""
