@@ -177,11 +177,30 @@ def serve(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def baseline(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Replies of an external filter (record_id, y_true, reply, latency_ms as JSON lines) to its metrics."""
-    rows = spark.read.schema("record_id string, y_true int, reply string, latency_ms double").json(a.input)
-    verdict = (metrics.daemon_verdict if a.engine == "spamd" else metrics.service_verdict)(F.col("reply"))
-    scored = rows.select("y_true", "latency_ms", F.when(verdict["is_spam"], 1).otherwise(0).alias("y_pred"))
-    print(json.dumps(metrics.binary_metrics(scored).first().asDict() | metrics.latency_stats(scored).first().asDict()))
+    """Replies of external filters (record_id, y_true, reply, latency_ms as JSON lines), one --input for each --engine, to their metrics; with several, or with --predictions of our own, side by side over the same records."""
+    if len(a.input) != len(a.engine):
+        raise ValueError("give an --engine for each --input")
+    systems = []
+    for path, engine in zip(a.input, a.engine, strict=True):
+        rows = spark.read.schema("record_id string, y_true int, reply string, latency_ms double").json(path)
+        verdict = (metrics.daemon_verdict if engine == "spamd" else metrics.service_verdict)(F.col("reply"))
+        systems.append(rows.select(F.lit(engine).alias("system"), "record_id", "y_true", F.when(F.col("reply").isNotNull(), verdict["is_spam"]).alias("flagged"), "latency_ms"))
+    if len(systems) == 1 and not a.predictions and not a.out:
+        scored = systems[0].select("y_true", "latency_ms", F.coalesce(F.col("flagged").cast("int"), F.lit(0)).alias("y_pred"))
+        print(json.dumps(metrics.binary_metrics(scored).first().asDict() | metrics.latency_stats(scored).first().asDict()))
+        return 0
+    if a.predictions:
+        ours = spark.read.schema("doc_id string, is_phishing boolean, latency_ms double").json(a.predictions)
+        truth = systems[0].select("record_id", "y_true").dropDuplicates(["record_id"])
+        found = truth.join(ours, F.col("record_id") == F.col("doc_id"), "left")
+        systems.append(found.select(F.lit("classifier").alias("system"), "record_id", "y_true", F.col("is_phishing").alias("flagged"), "latency_ms"))
+    every = systems[0]
+    for s in systems[1:]:
+        every = every.unionByName(s)
+    report = metrics.side_by_side(every).persist()  # a row for each system
+    if a.out:
+        sinks.write_report(report, a.out)
+    metrics.transposed(report).show(100, False)
     return 0
 
 
@@ -210,7 +229,7 @@ def main(argv: list[str] | None = None) -> int:
     verb(generate, ("--seeds", needed), ("--provider", needed), ("--url", {}), ("--key", {}), ("--form", {"default": "chat", "choices": ["chat", "messages"]}), ("--model", needed), ("--samples", {"type": int, "default": 14_000}), ("--kind", {"default": "benign", "choices": ["benign", "phishing"]}), ("--version", {"default": "v2", "choices": list(VERSIONS)}), ("--batch", {"type": int, "default": 10}), ("--seed", {"type": int, "default": 42}), ("--out", needed))
     verb(predict, mode, ("--latent", {}), ("--input", {}), ("--form", {"default": "lines", "choices": ["lines", "one", "raw"]}), ("--subject", {"default": ""}), ("--body", {"default": ""}), ("--stylo", needed), ("--model", needed), rule, ("--out", needed))
     verb(serve, mode, ("--latent", {}), ("--input", {}), ("--stylo", needed), ("--model", needed), rule, ("--out", {}), ("--port", {"type": int}), ("--host", {"default": "127.0.0.1"}))
-    verb(baseline, ("--input", needed), ("--engine", {"default": "spamd", "choices": ["spamd", "rspamd"]}))
+    verb(baseline, ("--input", many), ("--engine", {"nargs": "+", "default": ["spamd"], "choices": ["spamd", "rspamd"]}), ("--predictions", {}), ("--out", {}))
     a = top.parse_args(argv)
     return a.run(SparkSession.builder.appName("mailloom").getOrCreate(), a)
 

@@ -157,3 +157,38 @@ def service_verdict(reply: Column) -> dict[str, Column]:
         "action": action,
         "symbols": F.array_sort(F.coalesce(F.map_keys(j["symbols"]), F.array().cast("array<string>"))),
     }
+
+
+def side_by_side(df: DataFrame, system: str = "system") -> DataFrame:
+    """A row for each system over rows of (system, y_true of four classes, flagged, latency_ms): counts, scores, catch and bypass rates of phishing by origin, false alarms by origin, latencies.
+
+    A null flag is no alarm, as of an engine that gave no answer; ``unanswered`` counts them. A row without y_true is left out, one without a system is the system null.
+    """
+    rows = df.filter("y_true is not null").select(F.col(system).alias("system"), "y_true", F.coalesce("flagged", F.lit(False)).alias("flagged"), F.col("flagged").isNull().alias("none"), "latency_ms")
+    t, hit = F.col("y_true").isin(*PHISHING), F.col("flagged")
+    count = lambda c, name: F.count_if(c).alias(name)
+    sums = rows.groupBy("system").agg(
+        F.count("*").alias("n"), count(t & hit, "tp"), count(~t & hit, "fp"), count(~t & ~hit, "tn"), count(t & ~hit, "fn"), count(F.col("none"), "unanswered"),
+        *(count(F.col("y_true") == c, f"n{c}") for c in CLASSES), *(count((F.col("y_true") == c) & hit, f"hit{c}") for c in CLASSES),
+        F.avg(F.when(F.col("latency_ms") > 0, F.col("latency_ms"))).alias("mean_ms"),
+    )
+    spread = quantiles(rows.filter("latency_ms > 0"), "latency_ms", {"median_ms": 0.5, "p95_ms": 0.95}, ["system"]).withColumnRenamed("system", "__s")
+    both = sums.join(spread, sums["system"].eqNullSafe(spread["__s"]), "left")  # a row for each system
+    c = {k: F.col(k) for k in (*sums.columns,)}
+    ms = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in ("mean_ms", "median_ms", "p95_ms")}
+    return both.select(
+        "system", "n", "unanswered", "tp", "fp", "tn", "fn",
+        ratio(c["tp"] + c["tn"], c["n"]).alias("accuracy"), ratio(c["tp"], c["tp"] + c["fp"]).alias("precision"), ratio(c["tp"], c["tp"] + c["fn"]).alias("recall"),
+        ratio(2 * c["tp"], 2 * c["tp"] + c["fp"] + c["fn"]).alias("f1"), ratio(c["fp"], c["fp"] + c["tn"]).alias("fpr"),
+        ratio(c["hit1"], c["n1"]).alias("human_phishing_recall"), ratio(c["hit3"], c["n3"]).alias("generated_phishing_recall"), (1 - ratio(c["hit3"], c["n3"])).alias("generated_phishing_bypass"),
+        c["hit0"].alias("human_benign_alarms"), c["n0"].alias("human_benign"), c["hit2"].alias("generated_benign_alarms"), c["n2"].alias("generated_benign"),
+        *(v.alias(k) for k, v in ms.items()), ratio(F.lit(1000.0), ms["mean_ms"]).alias("per_second"),
+    )
+
+
+def transposed(report: DataFrame, label: str = "system") -> DataFrame:
+    """A few systems' report with a row for each measure and a column for each system, as tables for people are."""
+    names = [c for c in report.columns if c != label]
+    long = report.select(label, F.posexplode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in names))).alias("at", "x"))
+    wide = long.select(F.coalesce(F.col(label).cast("string"), F.lit("unknown")).alias(label), "at", "x.*").groupBy("at", "measure").pivot(label).agg(F.first("value"))
+    return wide.orderBy("at").drop("at")

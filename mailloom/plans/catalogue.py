@@ -16,7 +16,7 @@ from mailloom.functions import text as tx
 from mailloom.operators import dedup, heads, intervals, language, latent, metrics, portable, records, sampling, semantic, tfidf
 from mailloom.operators.ranking import ranked
 from mailloom.sources import html as hx
-from mailloom.sources import mail, runs
+from mailloom.sources import mail, parts, runs
 from mailloom.sources.shared import new_path, stored
 from mailloom.sources.tables import table
 from mailloom.streaming import ingest, keyed
@@ -427,6 +427,27 @@ def mime_parse(spark, d):
     return mail.parsed(e).select("doc_id", "subject", "sender", "date", "plain", "content_types", "attachment_count", "parse_error")
 
 
+def _letter(c: str, kind: str, extra: str = "") -> str:
+    return f"'--=-x\\nContent-Type: {kind}\\nContent-Transfer-Encoding: base64\\n{extra}\\n', base64(encode({c}, 'UTF-8')), '\\n'"
+
+
+@query("mime_parts", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(doc_id AS VARCHAR) AS id FROM documents), p AS (
+SELECT doc_id, 0 AS part, 2 AS depth, 'text/plain' AS content_type, NULL AS file_name, false AS is_attachment, text AS content FROM d UNION ALL
+SELECT doc_id, 1, 2, 'text/html', NULL, false, concat('<p>', text, '</p>') FROM d UNION ALL
+SELECT doc_id, 2, 1, 'application/json', concat(id, '.json'), true, concat('{"id": ', id, '}') FROM d)
+SELECT doc_id, part, depth, content_type, file_name, is_attachment, strlen(content) AS size, md5(content) AS digest FROM p""")
+def mime_parts(spark, d):
+    """Each document as a message of a text in two forms and an attachment; its parts by the table function beside the table."""
+    inner = "Content-Type: multipart/alternative; boundary=\"=-y\"\\n\\n"
+    two = [_letter("coalesce(text, '')", "text/plain; charset=utf-8"), _letter("concat('<p>', coalesce(text, ''), '</p>')", "text/html; charset=utf-8")]
+    two = [x.replace("--=-x", "--=-y") for x in two]
+    file = _letter("""concat('{"id": ', doc_id, '}')""", "application/json", "Content-Disposition: attachment; filename=\"@.json\"\\n").replace("@", "', doc_id, '")
+    raw = f"concat('Subject: s\\nMIME-Version: 1.0\\nContent-Type: multipart/mixed; boundary=\"=-x\"\\n\\n--=-x\\n{inner}', {two[0]}, {two[1]}, '--=-y--\\n', {file}, '--=-x--\\n')"
+    parts.register(spark)
+    mails = table(spark, d, "documents").selectExpr("doc_id", f"{raw} AS raw")
+    return spark.sql("SELECT doc_id, part, depth, content_type, file_name, is_attachment, size, md5(content) AS digest FROM {mails}, LATERAL mail_parts(raw, body => 'bytes')", mails=mails)
+
+
 @query("json_input", "SELECT doc_id, body FROM emails WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, body FROM emails WHERE doc_id % 2 = 1", E)
 def json_input(spark, d):
     e = bodies(spark, d).withColumn("line", F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("body"))).otherwise(F.col("body")))
@@ -739,6 +760,30 @@ def ai_metrics(spark, d):
     return metrics.binary_metrics(predictions(spark, d), metrics.GENERATED)
 
 
+_SYSTEMS = ", w AS (SELECT *, CAST(floor(10 * (p1 + p3)) AS INT) AS s FROM predictions), r AS (SELECT 'classifier' AS system, y_true, y_pred IN (1, 3) AS flagged, latency_ms FROM w UNION ALL SELECT 'daemon', y_true, CASE WHEN doc_id % 41 > 0 THEN s >= 5 END, CAST(doc_id % 31 AS DOUBLE) / 8 FROM w UNION ALL SELECT 'service', y_true, s >= 4, CAST(doc_id % 17 AS DOUBLE) / 2 FROM w)"
+
+
+@query("systems_side_by_side", _SYSTEMS + """, f AS (SELECT *, coalesce(flagged, false) AS hit FROM r), c AS (SELECT system, count(*) AS n, count(*) FILTER (WHERE flagged IS NULL) AS unanswered,
+count(*) FILTER (WHERE y_true IN (1, 3) AND hit) AS tp, count(*) FILTER (WHERE y_true IN (0, 2) AND hit) AS fp, count(*) FILTER (WHERE y_true IN (0, 2) AND NOT hit) AS tn, count(*) FILTER (WHERE y_true IN (1, 3) AND NOT hit) AS fn,
+count(*) FILTER (WHERE y_true = 0 AND hit) AS human_benign_alarms, count(*) FILTER (WHERE y_true = 0) AS human_benign, count(*) FILTER (WHERE y_true = 2 AND hit) AS generated_benign_alarms, count(*) FILTER (WHERE y_true = 2) AS generated_benign,
+CAST(count(*) FILTER (WHERE y_true = 1 AND hit) AS DOUBLE) / count(*) FILTER (WHERE y_true = 1) AS human_phishing_recall, CAST(count(*) FILTER (WHERE y_true = 3 AND hit) AS DOUBLE) / count(*) FILTER (WHERE y_true = 3) AS generated_phishing_recall,
+round(avg(latency_ms) FILTER (WHERE latency_ms > 0), 6) AS mean_ms, round(median(latency_ms) FILTER (WHERE latency_ms > 0), 6) AS median_ms, round(quantile_cont(latency_ms, 0.95) FILTER (WHERE latency_ms > 0), 6) AS p95_ms, round(1000 / avg(latency_ms) FILTER (WHERE latency_ms > 0), 6) AS per_second FROM f GROUP BY system)
+SELECT *, 1 - generated_phishing_recall AS generated_phishing_bypass, CAST(tp + tn AS DOUBLE) / n AS accuracy, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / (tp + fn) AS recall, 2.0 * tp / (2 * tp + fp + fn) AS f1, CAST(fp AS DOUBLE) / (fp + tn) AS fpr FROM c""", P)
+def systems_side_by_side(spark, d):
+    """A classifier and two filters, whose replies are texts, over the same records."""
+    w = predictions(spark, d).withColumn("s", F.floor(10 * (F.col("p1") + F.col("p3"))).cast("int"))
+    daemon = F.expr("CASE WHEN doc_id % 41 > 0 THEN concat('Spam: ', CASE WHEN s >= 5 THEN 'True' ELSE 'False' END, ' ; ', s, ' / 5') END")
+    service = F.expr("""concat('{"score": ', s, ', "action": "', CASE WHEN s >= 7 THEN 'reject' WHEN s >= 4 THEN 'add header' ELSE 'no action' END, '"}')""")
+    systems = {
+        "classifier": (F.col("y_pred").isin(*metrics.PHISHING), F.col("latency_ms")),
+        "daemon": (F.when(daemon.isNotNull(), metrics.daemon_verdict(daemon)["is_spam"]), F.expr("cast(doc_id % 31 as double) / 8")),
+        "service": (metrics.service_verdict(service)["is_spam"], F.expr("cast(doc_id % 17 as double) / 2")),
+    }
+    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("system"), f.alias("flagged"), ms.alias("latency_ms")) for k, (f, ms) in systems.items())))
+    out = metrics.side_by_side(w.select("y_true", rows))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_ms", "median_ms", "p95_ms", "per_second")})
+
+
 @query("cohort_fpr", "SELECT y_true AS cohort, avg(CASE WHEN y_pred IN (1, 3) THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM predictions GROUP BY y_true", P)
 def cohort_fpr(spark, d):
     return metrics.cohort_rates(predictions(spark, d))

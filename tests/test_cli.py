@@ -5,6 +5,7 @@ import json
 import pytest
 
 from mailloom.__main__ import main
+from mailloom.sources import runs
 
 
 def lines(path, rows):
@@ -31,6 +32,9 @@ def test_preprocess(spark, tmp_path):
     (tmp_path / "c.yaml").write_text(f"sources:\n  enron:\n    enabled: true\n    path: {tmp_path}/in\nout: {tmp_path}/out\n")
     assert main(["preprocess", "--config", str(tmp_path / "c.yaml")]) == 0
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+    for _ in range(2):  # a run again replaces itself
+        assert main(["preprocess", "--config", str(tmp_path / "c.yaml"), "--out", str(tmp_path / "runs"), "--run-name", "r1"]) == 0
+    assert runs.read_runs(spark, str(tmp_path / "runs")).count() == 1
     with pytest.raises(FileNotFoundError):
         main(["preprocess", "--config", "nope.yaml"])
 
