@@ -3,9 +3,10 @@
 A hash deals the rows to a fixed number of workers, who hold them for an epoch. Each goes through its own in mixed order with AdamW (cosine
 rate), from the same parameters and moments; after the epoch these are averaged by rows. (Exchanging gradients in every step would need a barrier,
 whose calls take a second each.) The loss of held rows tells the best parameters and, with patience, the end. The result
-depends on the seed and the number of workers, not on how the rows came; a lost worker repeats its epoch.
+depends on the seed and the number of workers, not on how the rows came (but for copies of very frequent rows); a lost worker repeats its epoch.
 
-For dense vectors: parameters go to the driver after every epoch, so that there is a bound on their number, and a worker's rows fit in its memory.
+For dense vectors: averaged parameters go to the driver after every epoch, so that there is a bound on their number. There are as many workers as it
+takes for none to have many more than ``Options.rows`` rows; they are averaged in a tree.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ class Options:
     patience: int = 3
     dropout: float = 0.3
     workers: int = 2
+    """At least so many."""
+    rows: int = 100_000
+    """Rows of a worker, about."""
     seed: int = 42
 
 
@@ -196,6 +200,31 @@ class NetModel(ArrayModel):
         return lambda x: softmax(scores(net, arrays, x.astype(np.float64)))
 
 
+def _dealt(rows: DataFrame, workers: int, o: Options) -> DataFrame:
+    """Rows with their worker: by their hash, and copies of frequent rows in turn."""
+    often = rows.groupBy("id").agg(F.count("*").alias("__n")).filter(F.col("__n") > o.rows // 8)  # at most 8 for each worker
+    turn = F.when(F.col("__n").isNotNull(), F.floor(F.rand(o.seed) * workers)).otherwise(0)
+    return rows.join(F.broadcast(often), "id", "left").withColumn("worker", F.pmod(F.col("id") + turn, F.lit(workers)).cast("int")).drop("__n")
+
+
+FAN_IN = 8
+"""Workers whose parameters are averaged at once."""
+
+
+def averaged(told: DataFrame, workers: int) -> DataFrame:
+    """The workers' rows (worker, n, loss, held, data) as at most FAN_IN: losses summed, data weighted by n; no task holds more than FAN_IN of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("worker")
+        total = max(1, int(pdf["n"].sum()))
+        data = sum(np.frombuffer(d) * (n / total) for d, n in zip(pdf["data"], pdf["n"], strict=True))
+        return pd.DataFrame({"worker": [int(pdf["worker"].iloc[0]) // FAN_IN], "n": [int(pdf["n"].sum())], "loss": [float(pdf["loss"].sum())], "held": [int(pdf["held"].sum())], "data": [data.tobytes()]})
+
+    while workers > FAN_IN:
+        told, workers = told.groupBy(F.floor(F.col("worker") / FAN_IN)).applyInPandas(run, told.schema), -(-workers // FAN_IN)
+    return told
+
+
 def fit(df: DataFrame, kind: str = "perceptron", classes: int = 4, held: str | None = None, options: Options | None = None) -> NetModel:
     """A net on columns features and label; of rows that ``held`` (a condition) picks only the loss is looked at."""
     o = options or Options()
@@ -206,7 +235,9 @@ def fit(df: DataFrame, kind: str = "perceptron", classes: int = 4, held: str | N
     names = sorted(start)
     rows = df.select(F.xxhash64("features", "label").alias("id"), F.col("label").cast("int").alias("label"), (F.expr(held) if held else F.lit(False)).alias("held"), vector_to_array("features", "float32").alias("x"))
 
-    rows = stored(rows.withColumn("worker", F.pmod("id", F.lit(o.workers)).cast("int")), "rows")
+    rows = stored(rows, "rows")
+    workers = max(o.workers, -(-rows.count() // o.rows))
+    rows = stored(_dealt(rows, workers, o), "dealt")
     flat = lambda *states: np.concatenate([s[k].ravel() for s in states for k in names])
 
     def apart(x: np.ndarray) -> list[Arrays]:
@@ -234,7 +265,7 @@ def fit(df: DataFrame, kind: str = "perceptron", classes: int = 4, held: str | N
             for k in range(0, len(val), 4096):
                 q = np.concatenate([q, softmax(scores(net, p, x[val[k : k + 4096]]))])
             loss = float(-np.log(np.maximum(q[np.arange(len(val)), y[val]], 1e-15)).sum())
-            rng, size = np.random.default_rng([o.seed, worker, epoch]), max(1, o.batch // o.workers)
+            rng, size = np.random.default_rng([o.seed, worker, epoch]), max(1, o.batch // min(workers, 16))
             mixed, steps = rng.permutation(train), -(-len(train) // size)
             for s in range(steps if epoch < o.epochs else 0):
                 at = mixed[s * size : (s + 1) * size]
@@ -249,7 +280,8 @@ def fit(df: DataFrame, kind: str = "perceptron", classes: int = 4, held: str | N
                     p[k] = p[k] - rate * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + o.decay * p[k])
             return pd.DataFrame({"worker": [worker], "n": [len(train)], "loss": [loss], "held": [len(val)], "data": [flat(p, m, v).tobytes()]})
 
-        told = sorted(rows.groupBy("worker").applyInPandas(run, "worker int, n long, loss double, held long, data binary").collect(), key=lambda r: r["worker"])
+        told = averaged(rows.groupBy("worker").applyInPandas(run, "worker int, n long, loss double, held long, data binary"), workers)
+        told = sorted(told.collect(), key=lambda r: r["worker"])  # at most FAN_IN rows
         if sum(r["held"] for r in told):
             losses.append(sum(r["loss"] for r in told) / sum(r["held"] for r in told))
             best, best_loss, since = (p, losses[-1], 0) if losses[-1] < best_loss else (best, best_loss, since + 1)

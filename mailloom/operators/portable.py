@@ -9,12 +9,15 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailloom.sources.shared import new_path
+
 OPSET, ML_OPSET, IR = 14, 3, 8
 FLOAT, INT64 = 1, 7
 _ATTRIBUTE = {"ints": (8, 7), "floats": (7, 6), "strings": (9, 8), "string": (4, 3), "int": (3, 2)}
@@ -40,7 +43,8 @@ def _bytes(field: int, data: bytes | str) -> bytes:
 
 def _tensor(name: str, x: np.ndarray) -> bytes:
     dims = b"".join(_number(1, n) for n in x.shape)
-    return dims + _number(2, FLOAT) + _bytes(8, name) + _bytes(9, np.ascontiguousarray(x, "<f4").tobytes())
+    kind, form = (INT64, "<i8") if x.dtype.kind == "i" else (FLOAT, "<f4")
+    return dims + _number(2, kind) + _bytes(8, name) + _bytes(9, np.ascontiguousarray(x, form).tobytes())
 
 
 def _value(name: str, kind: int, dims: list[int | str]) -> bytes:
@@ -83,39 +87,45 @@ def _dense(layers: list[tuple[np.ndarray, np.ndarray]], hidden: str = "Sigmoid")
     return _model(nodes, weights, layers[0][0].shape[0], layers[-1][0].shape[1])
 
 
+def _border(x: float) -> float:
+    """The largest single that isn't above a double: singles lie on the same side of both."""
+    y = np.float32(x)
+    return float(np.nextafter(y, np.float32(-np.inf)) if y > x else y)
+
+
+def _saved_nodes(model) -> pa.Table:
+    """The node table that a forest of Spark's is saved as: a model's size, one trip to the driver. Needs the shared folder on a cluster."""
+    spark = SparkSession.getActiveSession()
+    path = new_path(spark, "forest")
+    model.write().save(path)
+    found = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").toArrow()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return found
+
+
 def _forest(model) -> bytes:
     """Trees of node arrays; a leaf's votes are its class shares, divided by the number of trees."""
-    n = {k: [] for k in ("nodes_treeids", "nodes_nodeids", "nodes_featureids", "nodes_truenodeids", "nodes_falsenodeids", "class_treeids", "class_nodeids", "class_ids")}
-    values, modes, votes = [], [], []
-    for tree, t in enumerate(model.trees):
-        todo, number = [t._call_java("rootNode")], 0
-        while todo:  # breadth first; children are numbered as they are queued
-            node = todo.pop(0)
-            here, number = number, number + 1
-            n["nodes_treeids"].append(tree)
-            n["nodes_nodeids"].append(here)
-            if node.getClass().getSimpleName() == "LeafNode":
-                stats = np.array(list(node.impurityStats().stats()))
-                modes.append("LEAF")
-                values.append(0.0)
-                for k in ("nodes_featureids", "nodes_truenodeids", "nodes_falsenodeids"):
-                    n[k].append(0)
-                for c, share in enumerate(stats / stats.sum() / len(model.trees)):
-                    n["class_treeids"].append(tree)
-                    n["class_nodeids"].append(here)
-                    n["class_ids"].append(c)
-                    votes.append(share)
-            else:
-                modes.append("BRANCH_LEQ")
-                values.append(node.split().threshold())
-                n["nodes_featureids"].append(node.split().featureIndex())
-                n["nodes_truenodeids"].append(here + len(todo) + 1)
-                n["nodes_falsenodeids"].append(here + len(todo) + 2)
-                todo += [node.leftChild(), node.rightChild()]
-    classes = list(range(model.numClasses))
-    attributes = [_attribute(k, "ints", v) for k, v in n.items()]
-    attributes += [_attribute("nodes_values", "floats", values), _attribute("nodes_modes", "strings", modes), _attribute("class_weights", "floats", votes), _attribute("classlabels_int64s", "ints", classes), _attribute("post_transform", "string", "NONE")]
-    return _model([_node("TreeEnsembleClassifier", ["features"], ["class", "probabilities"], "ai.onnx.ml", tuple(attributes))], {}, model.numFeatures, len(classes))
+    t = _saved_nodes(model)
+    column = lambda c: t.column(c).to_numpy()
+    tree, node, left, right = (column(c) for c in ("treeID", "id", "leftChild", "rightChild"))
+    split = t.column("split").combine_chunks()
+    feature, kinds, borders = split.field("featureIndex").to_numpy(), split.field("numCategories").to_numpy(), split.field("leftCategoriesOrThreshold").to_pylist()
+    leaf = left < 0
+    if (kinds[~leaf] >= 0).any():
+        raise ValueError("a forest with categories has no portable form")
+    zero = lambda v: np.where(leaf, 0, v).tolist()
+    stats = np.array(t.column("impurityStats").to_pylist(), float)[leaf]
+    votes, classes = stats / stats.sum(1, keepdims=True) / model.getNumTrees, model.numClasses
+    attributes = [
+        _attribute("nodes_treeids", "ints", tree.tolist()), _attribute("nodes_nodeids", "ints", node.tolist()), _attribute("nodes_featureids", "ints", zero(feature)),
+        _attribute("nodes_truenodeids", "ints", zero(left)), _attribute("nodes_falsenodeids", "ints", zero(right)),
+        _attribute("nodes_values", "floats", [0.0 if x else _border(b[0]) for x, b in zip(leaf, borders, strict=True)]), _attribute("nodes_modes", "strings", np.where(leaf, "LEAF", "BRANCH_LEQ").tolist()),
+        _attribute("class_treeids", "ints", np.repeat(tree[leaf], classes).tolist()), _attribute("class_nodeids", "ints", np.repeat(node[leaf], classes).tolist()),
+        _attribute("class_ids", "ints", np.tile(np.arange(classes), len(votes)).tolist()), _attribute("class_weights", "floats", votes.ravel().tolist()),
+        _attribute("classlabels_int64s", "ints", list(range(classes))), _attribute("post_transform", "string", "NONE"),
+    ]
+    return _model([_node("TreeEnsembleClassifier", ["features"], ["class", "probabilities"], "ai.onnx.ml", tuple(attributes))], {}, model.numFeatures, classes)
 
 
 def _boosted(model) -> bytes:
@@ -133,7 +143,7 @@ def _boosted(model) -> bytes:
             for k, x in zip(("nodes_treeids", "nodes_nodeids", "nodes_featureids", "nodes_truenodeids", "nodes_falsenodeids"), (tree, node, max(f, 0), *children), strict=True):
                 n[k].append(x)
             modes.append("BRANCH_LEQ" if inner else "LEAF")
-            values.append(float(border[t, c, node]) if inner else 0.0)
+            values.append(_border(border[t, c, node]) if inner else 0.0)
             if inner:
                 todo += children
             else:
@@ -147,11 +157,69 @@ def _boosted(model) -> bytes:
     return _model([_node("TreeEnsembleClassifier", ["features"], ["class", "probabilities"], "ai.onnx.ml", tuple(attributes))], {}, model.numFeatures, len(classes))
 
 
+def _net(model) -> bytes:
+    """A net's layers one after the other; batch norms by their running figures, dropout left out."""
+    from . import networks
+
+    a = model.arrays
+    n_features, n_classes = int(a["n_features"]), int(a["classes"])
+    nodes, weights, at = [], {}, "features"
+
+    def step(op: str, *more: str, attributes: tuple[bytes, ...] = (), on: str | None = None) -> str:
+        nonlocal at
+        nodes.append(_node(op, [on or at, *more], [f"x{len(nodes)}"], attributes=attributes))
+        at = f"x{len(nodes) - 1}"
+        return at
+
+    def constant(name: str, x: np.ndarray) -> str:
+        weights[name] = x
+        return name
+
+    mean = lambda axis, keep: (_attribute("axes", "ints", [axis]), _attribute("keepdims", "int", keep))
+    for k, layer in enumerate(networks.layers(str(a["kind"]), n_features, n_classes, 0.0, 0)):
+        match layer:
+            case networks.Linear():
+                step("MatMul", constant(layer.w, a[layer.w]))
+                step("Add", constant(layer.b, a[layer.b]))
+            case networks.Norm(batch=True):
+                scale = a[layer.g] / np.sqrt(a[layer.var] + networks.EPS)
+                step("Mul", constant(layer.g, scale.reshape(layer.shape)))
+                step("Add", constant(layer.b, (a[layer.b] - a[layer.mean] * scale).reshape(layer.shape)))
+            case networks.Norm():
+                x = at
+                middle = step("ReduceMean", attributes=mean(1, 1))
+                centred = step("Sub", middle, on=x)
+                step("Mul", centred)
+                step("ReduceMean", attributes=mean(1, 1))
+                step("Add", constant(f"eps{k}", np.array([networks.EPS])))
+                step("Div", step("Sqrt"), on=centred)
+                step("Mul", constant(layer.g, a[layer.g]))
+                step("Add", constant(layer.b, a[layer.b]))
+            case networks.Relu():
+                step("Relu")
+            case networks.Channels():
+                step("Reshape", constant(f"shape{k}", np.array([0, layer.n, -1])))
+            case networks.Conv():
+                step("Conv", constant(layer.w, a[layer.w]), constant(layer.b, a[layer.b]), attributes=(_attribute("kernel_shape", "ints", [3]), _attribute("pads", "ints", [1, 1])))
+            case networks.MaxPool():
+                step("MaxPool", attributes=(_attribute("kernel_shape", "ints", [2]), _attribute("strides", "ints", [2])))
+            case networks.Average():
+                step("ReduceMean", attributes=mean(2, 0))
+            case networks.Dropout():
+                pass
+            case _:
+                raise ValueError(f"{type(layer).__name__} has no portable form")
+    nodes.append(_node("Softmax", [at], ["probabilities"], attributes=(_attribute("axis", "int", -1),)))
+    return _model(nodes, weights, n_features, n_classes)
+
+
 def to_onnx(model: Model) -> bytes:
-    """A head as an ONNX file: features [n, d] in, probabilities [n, classes] out. Heads of arrays, logistic heads, perceptrons and random forests have one."""
+    """A head as an ONNX file: features [n, d] in, probabilities [n, classes] out. Boosted trees, nets, logistic heads, Spark's perceptrons and random forests have one."""
     kind = type(model).__name__
     if kind == "BoostedModel":
         return _boosted(model)
+    if kind == "NetModel":
+        return _net(model)
     if kind == "LogisticRegressionModel":
         return _dense([(model.coefficientMatrix.toArray().T, model.interceptVector.toArray())])
     if kind == "MultilayerPerceptronClassificationModel":

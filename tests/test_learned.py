@@ -168,7 +168,28 @@ def test_nets(spark, tmp_path, name, epochs):
     PipelineModel([model]).write().save(str(tmp_path / "m"))
     loaded = PipelineModel.load(str(tmp_path / "m")).transform(test)
     assert loss(loaded) == loss(scored)
+    both = portable.score(scored, portable.to_onnx(model), out="onnx").select(vector_to_array("probability").alias("a"), "onnx").collect()
+    assert len(both) == 200 and all(abs(x - y) < 1e-4 for b in both for x, y in zip(b["a"], b["onnx"], strict=True))
     noise = heads.train(df.withColumn("label", (F.xxhash64("id") % 4 + 4) % 4), name, "id % 5 = 0", **options | {"epochs": 40})
     assert len(noise.arrays["losses"]) < 40
     with pytest.raises(ValueError, match="parameters"):
         networks.fit(spark.createDataFrame([(Vectors.sparse(10**6, [1], [1.0]), 0)], ["features", "label"]), "perceptron")
+
+
+def test_many_workers_and_copies(spark):
+    """A worker has about as many rows as it may, though half of all are copies of one; averaging in a tree is averaging."""
+    few = networks.Options(epochs=3, batch=32, rows=40, rate=5e-3)
+    df = spiral(spark, 400)
+    one = df.limit(1).select("features", "label")
+    hot = df.select("features", "label").unionByName(one.crossJoin(spark.range(400)).select("features", "label")).persist()
+    dealt = networks._dealt(hot.withColumn("id", F.xxhash64("features", "label")), 20, few).groupBy("worker").count().collect()
+    assert len(dealt) == 20 and sum(r["count"] for r in dealt) == 800 and max(r["count"] for r in dealt) <= 80
+    model = networks.fit(hot, "perceptron", options=few)
+    assert np.isfinite(model.transform(df).select(F.max(vector_to_array("probability")[0])).first()[0])
+    r = np.random.default_rng(3)
+    data, n = r.normal(size=(150, 6)), r.integers(0, 9, 150)
+    told = spark.createDataFrame([(k, int(n[k]), 0.5, 1, data[k].tobytes()) for k in range(150)], "worker int, n long, loss double, held long, data binary")
+    got = networks.averaged(told, 150).collect()
+    assert len(got) == 3 and sum(x["n"] for x in got) == n.sum() and sum(x["held"] for x in got) == 150
+    mean = sum(np.frombuffer(x["data"]) * x["n"] for x in got) / n.sum()
+    assert np.allclose(mean, (data * n[:, None]).sum(0) / n.sum())

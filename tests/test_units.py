@@ -415,7 +415,14 @@ def test_records_of_generated_rows(spark):
         generation.parsed_record("[1, 2]")
     with pytest.raises(TypeError):
         generation.parsed_record(3)
-    assert generation.prompt("benign", [row], "v2") != generation.prompt("benign", [row], "v3")
+    made = {(k, v): generation.prompt(k, [row, {"subject": None, "body": "x" * 2000}], v) for k in ("benign", "phishing") for v in generation.VERSIONS}
+    assert len({u for _, u in made.values()}) == 4 and len({s for s, _ in made.values()}) == 2
+    for (kind, version), (_, user) in made.items():
+        assert "exactly 2 objects" in user and user.endswith("--- Email 2 ---\nSubject: \n\n" + "x" * 1500) and "--- Email 1 ---\nSubject: Hi\n\nsee" in user
+        assert ("[URL]" in user) == (version == "v3") and ("[ACTION_LINK]" in user) == ((kind, version) == ("phishing", "v2")) and "[SENDER]" in user
+    for bad in (("x", "v2"), ("benign", "v9")):
+        with pytest.raises(ValueError):
+            generation.prompt(bad[0], [row], bad[1])
 
 
 def test_semantic(spark, tmp_path):
