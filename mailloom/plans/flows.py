@@ -103,10 +103,10 @@ def preprocess(spark: SparkSession, config: Config, only: str | None = None) ->
 def served(subject: Column, body: Column, native: bool = False, masking: bool = True, unicode: bool = True) -> dict[str, Column]:
     """What the prediction service makes of a message: clean, sliced, masked and classifier text, links, flags.
 
-    ``thread_sliced`` says that a quoted thread was cut off; white space alone doesn't count.
+    ``thread_sliced`` says that a quoted thread was cut off; white space alone doesn't count. Without ``unicode`` classes, edges and references are those of the SQL.
     """
     markup = tx.is_html(tx.text(body))
-    clean = html.clean_native(body) if native else html.clean_payload(tx.text(body))
+    clean = html.clean_native(body) if native else (html.clean_payload if unicode else html.clean_payload_known)(tx.text(body))
     clean = F.when(markup, clean).otherwise(tx.text(body))
     sliced = tx.slice_thread(clean, unicode)
     normal = sliced if native else normalise_unicode(sliced)
