@@ -73,3 +73,36 @@ def test_one_timer_for_a_key():
     out = list(s.handleExpiredTimer((7,), Now(4000), Now(10)))
     assert [tuple(r) for r in out] == [(7, 100 * k, 100 * k, 1) for k in range(40)]
     assert h.reads == 2 and h.timers == {4010} and len(h.rows) == 10
+
+
+def test_terms_of_repeated_keys(spark):
+    """Rows of one key, or of null, in several batches count as one text; terms themselves are not moved."""
+    from collections import Counter
+
+    from mailloom.operators import tfidf
+
+    rows = [(k, t) for k in (1, 2, None) for t in ("a b a", "", "b a b", None, "a b c d")] + [(3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        out = tfidf.term_counts(df, tfidf.pieces("word", F.col("text")), "word")
+        got = {(r.doc_id, r.term): r.tf for r in out.collect()}
+        totals = {r.term: (r.df, r.total) for r in tfidf.document_counts(df, tfidf.pieces("word", F.col("text")), "word").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = Counter()
+    for k, t in rows:
+        w = (t or "").split()
+        want.update((k, x) for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+    assert got == want
+    assert totals == {t: (sum(k[1] == t for k in want), sum(n for k, n in want.items() if k[1] == t)) for t in {k[1] for k in want}}
+    assert "hashpartitioning(term" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_limited(spark):
+    from mailloom.sources.tables import table
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    table(spark, "/root/testdata/sf0.001", "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
