@@ -1,6 +1,6 @@
 """Overlapping pairs of intervals from two tables, without a nested loop.
 
-An interval's class is the power of two that its length does not exceed. A pair meets at the class of the longer of the
+An interval's class is the power of four that its length does not exceed (powers of two would post it to twice as many cells). A pair meets at the class of the longer of the
 two: in cells of that width either touches two at most. So every interval is posted to its own class and
 to those longer classes that the other table has, and the join is by equality of (keys, class, cell). A
 pair counts only at the right class and in the cell where the later of the two begins: once.
@@ -19,8 +19,9 @@ CROWDED = 4096
 
 
 def _class(length: Column) -> Column:
-    """The least c with length <= 2^c, in whole numbers."""
-    return F.length(F.bin(length - 1)) - F.when(length == 1, 1).otherwise(0)
+    """The least even c with length <= 2^c, in whole numbers; 63 at most."""
+    c = F.length(F.bin(length - 1)) - F.when(length == 1, 1).otherwise(0)
+    return F.least(c + c % 2, F.lit(63))
 
 
 def _posted(df: DataFrame, keys: list[str], side: str, start: str, end: str) -> DataFrame:
