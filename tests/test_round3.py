@@ -106,3 +106,16 @@ def test_batches_are_limited(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     table(spark, "/root/testdata/sf0.001", "documents")
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_language_grams_of_short_and_repeated_rows(spark):
+    """N-grams come from Arrow batches: fewer characters than an n-gram has are one, and rows of a key count together."""
+    import pyarrow as pa
+
+    from mailloom.operators import language
+
+    term, row = language.grams(pa.array([list(" ab "), list("  "), None, [], list("   ")]), 3)
+    assert sorted(zip(row.tolist(), term.to_pylist())) == [(0, " ab"), (0, "ab "), (1, "  "), (3, ""), (4, "   ")]
+    docs = spark.createDataFrame([(1, "aaaa bbbb aaaa bbbb", "x"), (2, "cccc dddd cccc dddd", "y"), (3, "aaaa bbbb aaaa bbbb", None), (3, "cccc dddd cccc dddd cccc dddd", None), (4, "short", None), (5, None, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in language.detect(docs, language.fit(docs)).collect()}
+    assert got == {1: "x", 2: "y", 3: "y", 4: "unknown", 5: "unknown"}
