@@ -79,6 +79,37 @@ def quantise(rows: Sequence[np.ndarray], scale: int, d: int) -> tuple[np.ndarray
     return y, narrow, wide
 
 
+class Sums:
+    """Of each vector of a block, over the postings so far: its products with the query, its squares and the query's.
+
+    All three are whole numbers. Where they fit in a double's whole numbers side by side, they are counted as one number:
+    squares + a * products + b * the query's squares, with powers of two a and b; the products lie within the two norms (Cauchy and Schwarz).
+    """
+
+    def __init__(self, n: int, norm: float, query: float):
+        self.n, self.most = n, math.isqrt(int(norm) * int(query)) + 1
+        self.a = 2.0 ** int(norm).bit_length()
+        self.b = self.a * 2.0 ** (2 * self.most).bit_length()
+        self.joint = self.b * (query + 1) <= 2.0**53
+        self.sums = np.zeros(n) if self.joint else np.zeros((3, n))
+
+    def add(self, who: np.ndarray, x: np.ndarray, by: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Adds postings: the vectors' places and values, and of each run of them the query's value and length. x is changed. The three sums."""
+        if not self.joint:
+            for row, w in enumerate((np.repeat(by, lens) * x, np.square(x, out=x), np.repeat(by * by, lens))):
+                self.sums[row] += np.bincount(who, w, self.n)
+            return tuple(self.sums)
+        w = np.repeat(self.a * by, lens)
+        w += x
+        w *= x
+        w += np.repeat(self.b * by * by, lens)
+        self.sums += np.bincount(who, w, self.n)
+        weights = np.floor((self.sums + self.a * self.most) * (1 / self.b))
+        rest = self.sums - self.b * weights
+        score = np.floor(rest * (1 / self.a))
+        return score, rest - self.a * score, weights
+
+
 class ImpactIndex:
     """The vectors of one block by dimension and falling quantised impact."""
 
@@ -123,7 +154,7 @@ class ImpactIndex:
         size = self.size[order]
         upto = np.cumsum(size)
         starts = np.flatnonzero(np.append(True, self.dim[1:] != self.dim[:-1]))
-        score, squares, weights = np.zeros(n), self.norm.copy(), np.full(n, float(q @ q))
+        sums = Sums(n, float(self.norm.max()), float(q @ q))
         done = 0
         while True:
             end = int(np.searchsorted(upto, (upto[done - 1] if done else 0) + STEP * upto[-1])) + 1
@@ -134,14 +165,12 @@ class ImpactIndex:
             runs = list(zip(self.begin[first].tolist(), (self.begin[last] + self.size[last]).tolist(), strict=True))
             lens, by = np.array([hi - lo for lo, hi in runs]), q[self.dim[first]]
             who, x = (np.concatenate([c[lo:hi] for lo, hi in runs]) for c in (self.places, self.values))
-            score += np.bincount(who, np.repeat(by, lens) * x, n)
-            squares -= np.bincount(who, np.square(x, out=x), n)
-            weights -= np.bincount(who, np.repeat(by * by, lens), n)
+            score, squares, weights = sums.add(who, x, by, lens)
             low[part] = high[part] = 0
             done += len(part)
             # what a vector may have beyond its accumulator: by the norms of what is left of it and of
             # the query beside it, and by the greatest and least gain of each dimension's open segments
-            rest = np.sqrt(np.maximum(squares, 0) * np.maximum(weights, 0)) * (1 + 1e-9)
+            rest = np.sqrt(np.maximum(self.norm - squares, 0) * np.maximum(float(q @ q) - weights, 0)) * (1 + 1e-9)
             gain, loss = np.maximum.reduceat(high, starts).sum(), np.minimum.reduceat(low, starts).sum()
             above, below = score + np.minimum(rest, gain), score + np.maximum(-rest, loss)
             if own is not None:

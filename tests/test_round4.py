@@ -35,3 +35,20 @@ def test_product_adds_slices(spark, monkeypatch):
     x = np.array([r["stylo"].toArray() for r in rows.collect()], np.float32).astype(float)
     z = np.random.default_rng(1).standard_normal((x.shape[1], 3))
     assert np.allclose(latent.table_product(rows, z), x.T @ (x @ z), atol=1e-9)
+
+
+def test_sums_side_by_side_are_exact():
+    """op2: products, squares and the query's squares counted as one number, and apart where they do not fit."""
+    from mailloom.llm.topk import Sums
+
+    rng = np.random.default_rng(5)
+    for high, joint in ((32, True), (1 << 14, False)):
+        x, q = rng.integers(-high, high, (50, 16)).astype(float), rng.integers(-high, high, 16).astype(float)
+        norm = (x * x).sum(1)
+        sums = Sums(50, float(norm.max()), float(q @ q))
+        assert sums.joint is joint
+        for j in range(0, 16, 4):
+            who = np.tile(np.arange(50), 4)
+            score, squares, weights = sums.add(who, x[:, j : j + 4].T.ravel().copy(), q[j : j + 4], np.full(4, 50))
+            done = j + 4
+            assert (score == x[:, :done] @ q[:done]).all() and (squares == (x[:, :done] ** 2).sum(1)).all() and (weights == (q[:done] ** 2).sum()).all()
