@@ -31,6 +31,7 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -103,6 +104,12 @@ class Transducer:
         """What can't change any more."""
         out: list[int] = []
         inner, held = self.encoder.inner, self.held
+        if data and len(held) + len(data) < self.limit:  # nothing is stable yet
+            if self.byte >= 0:
+                held.append(inner[self.byte])
+            held += [inner[b] for b in data[:-1]]
+            self.byte = data[-1]
+            return out
         for b in data:
             if self.byte >= 0:
                 held.append(inner[self.byte])
@@ -134,11 +141,12 @@ class Memo(dict):
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.machine = Transducer(encoder)  # begins anew whenever it has finished
 
     def __missing__(self, word: str) -> bytes:
-        machine = Transducer(self.encoder)
-        ids = packed(machine.feed(word.encode("utf-8", "surrogatepass")) + machine.finish())
+        machine = self.machine
+        ids = machine.feed(word.encode("utf-8", "surrogatepass"))
+        ids = packed(ids + machine.finish())
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
@@ -147,7 +155,7 @@ class Memo(dict):
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def normaliser(spec: dict | None, spaces_matter: bool) -> Callable[[str], str]:
@@ -212,21 +220,23 @@ class Encoder:
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges within a list of symbol ids, which is changed: by rank, then from the left."""
-        get = self.ranks.get
-        if len(ids) > SHORT:
+        get, made = self.ranks.get, self.made
+        n = len(ids) - 1
+        if n >= SHORT:
             return self._merge_long(ids)
         pairs = [get(p, NO_MERGE) for p in pairwise(ids)]
-        while pairs:
+        while n > 0:
             best = min(pairs)
             if best == NO_MERGE:
                 break
             i = pairs.index(best)
-            ids[i : i + 2] = (self.made[best],)
-            del pairs[i]
+            ids[i] = token = made[best]
+            del ids[i + 1], pairs[i]
+            n -= 1
             if i:
-                pairs[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
-            if i < len(pairs):
-                pairs[i] = get((ids[i], ids[i + 1]), NO_MERGE)
+                pairs[i - 1] = get((ids[i - 1], token), NO_MERGE)
+            if i < n:
+                pairs[i] = get((token, ids[i + 1]), NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:

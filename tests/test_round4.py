@@ -52,3 +52,20 @@ def test_sums_side_by_side_are_exact():
             score, squares, weights = sums.add(who, x[:, j : j + 4].T.ravel().copy(), q[j : j + 4], np.full(4, 50))
             done = j + 4
             assert (score == x[:, :done] @ q[:done]).all() and (squares == (x[:, :done] ** 2).sum(1)).all() and (weights == (q[:done] ** 2).sum()).all()
+
+
+def test_machine_takes_short_words_whole():
+    """op10: a word that is handed over whole, one byte by byte, and one beyond the limit give the same ids."""
+    from mailloom.llm import bpe
+    from mailloom.llm.common import word_bpe_path
+
+    enc = bpe.encoder(word_bpe_path())
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 47, 48, 49, 300, enc.lookahead + enc.longest + 3 * bpe.WINDOW):
+        word = bytes(rng.integers(97, 123, n).tolist())
+        whole, single = bpe.Transducer(enc), bpe.Transducer(enc)
+        one = whole.feed(word) + whole.finish()
+        many = [i for b in word for i in single.feed(bytes([b]))] + single.finish()
+        assert one == many
+        assert bpe.packed(one) == np.array(one, "<u4").tobytes()
+        assert len(whole.held) == 0 and whole.byte == -1
