@@ -54,7 +54,8 @@ WORKER_TOKENS, MAX_WORKERS = 4 << 20, 8192
 """Training tokens for one worker; from so many workers on, each gets more."""
 STREAMS, UPDATES = (16, 512), 800
 """A worker's parallel streams, within these bounds so many that it makes about UPDATES updates."""
-WINDOW = 1 << 14
+WINDOW = 1 << 13
+"""States whose outputs are worked out together: more of them leave the cache."""
 RUN_BYTES = 4 << 20
 RUN_SYMBOLS = 1 << 21
 """Symbols of the documents that are scored side by side, longer ones alone: the longest of them sets the number of steps."""
@@ -250,12 +251,16 @@ class Network:
         out = s[cls, np.arange(len(y))] - np.log(np.exp(s).sum(0))
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        order = order[: edges[-1]]  # states by class, gathered and given back at once
+        ranked, word, more, every = h[order], y[order] % CLASS_WORDS, np.empty(len(order), out.dtype), np.arange(len(order))
         for c in range(self.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                s = p["ww"][c].T @ h[at].T + p["bw"][c][:, None]
+            lo, hi = edges[c], edges[c + 1]
+            if lo < hi:
+                s = p["ww"][c].T @ ranked[lo:hi].T + p["bw"][c][:, None]
                 s -= s.max(0)
-                out[at] += s[y[at] % CLASS_WORDS, np.arange(len(at))] - np.log(np.exp(s).sum(0))
+                more[lo:hi] = s[word[lo:hi], every[: hi - lo]]
+                more[lo:hi] -= np.log(np.exp(s, out=s).sum(0))
+        out[order] += more
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:

@@ -83,3 +83,22 @@ def test_weights_move_no_row_for_a_term(spark):
     assert out.count() == len(want)
     assert "hashpartitioning(term" not in _plan(out)
     assert tfidf.chunk_weights(df.limit(0), "text", 0, "word").count() == 0
+
+
+def test_log_probs_by_class():
+    """op4: what is gathered by class equals each symbol's own softmax, with and without words of the head; probabilities add up to one."""
+    from mailloom.llm import recurrent as rc
+
+    rng = np.random.default_rng(4)
+    head = np.append(np.arange(1, 40, dtype=np.uint64), rc.END)
+    counts = np.arange(40, 0, -1)
+    lex = rc.Lexicon(np.sort(head), counts, np.arange(40), head, counts, np.full(rc.TAIL_CLASSES, 5.0), np.full(rc.TAIL_CLASSES, 2.0), 2000, 200, 0.5)
+    net = rc.Network(lex)
+    net.p = {k: (v + rng.normal(0, 0.3, v.shape) * (v > -1e3)).astype(np.float32) for k, v in net.p.items()}
+    h = rng.normal(0, 1, (1, rc.HIDDEN)).astype(np.float32)
+    every = np.arange(net.k + rc.TAIL_CLASSES, dtype=np.int16)
+    got = net.log_probs(np.repeat(h, len(every), 0), every)
+    assert abs(np.exp(got).sum() - 1) < 1e-4
+    assert np.allclose([net.log_probs(h, every[i : i + 1])[0] for i in range(len(every))], got, atol=1e-4)
+    assert np.allclose(net.log_probs(np.repeat(h, 3, 0), every[-3:]), got[-3:], atol=1e-4)
+    assert rc.WINDOW * (rc.CLASSES + rc.TAIL_CLASSES) * 4 <= 1 << 21  # outputs of a window stay in the cache
