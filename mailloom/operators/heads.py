@@ -84,6 +84,8 @@ def train(df: DataFrame, name: str, validation: str | None = None, **parameters)
         return own(df, validation, parameters)
     n = df.select("features").head()["features"].size
     df = df.withColumn("label", F.col("label").cast("double"))
+    if _ALIASES.get(name, name) == "rf" and (model := _large_forest(df if validation is None else df.filter(f"NOT ({validation})"), n, parameters)) is not None:
+        return model
     estimator = head(name, n, **parameters)
     if validation is None:
         return estimator.fit(df)
@@ -92,6 +94,16 @@ def train(df: DataFrame, name: str, validation: str | None = None, **parameters)
     return estimator.fit(df.filter(f"NOT ({validation})"))
 
 
+def _large_forest(df: DataFrame, n: int, parameters: dict) -> Model | None:
+    """The forest of rows whose trees would be too many for the driver and for Spark's passes; none for few rows, wide vectors and parameters that only Spark's forest has."""
+    from . import forest
+
+    o = forest.Forest(**parameters) if set(parameters) <= forest.KNOWN else None
+    if o is None or n > forest.WIDEST or df.count() * o.numTrees < forest.LEAST_DRAWS:
+        return None
+    return forest.fit(df, o)
+
+
 def _stopped_early(df: DataFrame, estimator: OneVsRest, validation: str) -> OneVsRestModel:
     """One boosted classifier for each class, each with its own stop."""
     trees = estimator.getClassifier().copy()

@@ -106,21 +106,27 @@ def _saved_nodes(model) -> pa.Table:
 
 def _forest(model) -> bytes:
     """Trees of node arrays; a leaf's votes are its class shares, divided by the number of trees."""
-    t = _saved_nodes(model)
-    column = lambda c: t.column(c).to_numpy()
-    tree, node, left, right = (column(c) for c in ("treeID", "id", "leftChild", "rightChild"))
-    split = t.column("split").combine_chunks()
-    feature, kinds, borders = split.field("featureIndex").to_numpy(), split.field("numCategories").to_numpy(), split.field("leftCategoriesOrThreshold").to_pylist()
-    leaf = left < 0
-    if (kinds[~leaf] >= 0).any():
-        raise ValueError("a forest with categories has no portable form")
+    if type(model).__name__ == "ForestModel":
+        tree, node, feature, value, left, right, counts = model.nodes()
+        leaf = left < 0
+        stats, values = counts[leaf].astype(float), [_border(x) for x in value.tolist()]
+    else:
+        t = _saved_nodes(model)
+        column = lambda c: t.column(c).to_numpy()
+        tree, node, left, right = (column(c) for c in ("treeID", "id", "leftChild", "rightChild"))
+        split = t.column("split").combine_chunks()
+        feature, kinds, borders = split.field("featureIndex").to_numpy(), split.field("numCategories").to_numpy(), split.field("leftCategoriesOrThreshold").to_pylist()
+        leaf = left < 0
+        if (kinds[~leaf] >= 0).any():
+            raise ValueError("a forest with categories has no portable form")
+        stats = np.array(t.column("impurityStats").to_pylist(), float)[leaf]
+        values = [0.0 if x else _border(b[0]) for x, b in zip(leaf, borders, strict=True)]
     zero = lambda v: np.where(leaf, 0, v).tolist()
-    stats = np.array(t.column("impurityStats").to_pylist(), float)[leaf]
     votes, classes = stats / stats.sum(1, keepdims=True) / model.getNumTrees, model.numClasses
     attributes = [
         _attribute("nodes_treeids", "ints", tree.tolist()), _attribute("nodes_nodeids", "ints", node.tolist()), _attribute("nodes_featureids", "ints", zero(feature)),
         _attribute("nodes_truenodeids", "ints", zero(left)), _attribute("nodes_falsenodeids", "ints", zero(right)),
-        _attribute("nodes_values", "floats", [0.0 if x else _border(b[0]) for x, b in zip(leaf, borders, strict=True)]), _attribute("nodes_modes", "strings", np.where(leaf, "LEAF", "BRANCH_LEQ").tolist()),
+        _attribute("nodes_values", "floats", values), _attribute("nodes_modes", "strings", np.where(leaf, "LEAF", "BRANCH_LEQ").tolist()),
         _attribute("class_treeids", "ints", np.repeat(tree[leaf], classes).tolist()), _attribute("class_nodeids", "ints", np.repeat(node[leaf], classes).tolist()),
         _attribute("class_ids", "ints", np.tile(np.arange(classes), len(votes)).tolist()), _attribute("class_weights", "floats", votes.ravel().tolist()),
         _attribute("classlabels_int64s", "ints", list(range(classes))), _attribute("post_transform", "string", "NONE"),
@@ -228,7 +234,7 @@ def to_onnx(model: Model) -> bytes:
             layers.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
             at += a * b + b
         return _dense(layers)
-    if kind == "RandomForestClassificationModel":
+    if kind in ("RandomForestClassificationModel", "ForestModel"):
         return _forest(model)
     raise ValueError(f"{kind} has no portable form")
 
