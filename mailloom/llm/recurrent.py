@@ -64,6 +64,11 @@ _U = np.uint64
 END = np.array([0x2545F4914F6CDD1D], np.uint64)
 
 
+def keep_memory() -> None:
+    """Called by a task before many arrays of some MB: the C library holds on to freed memory of sizes that it has seen freed at once, instead of getting cleared pages anew for each."""
+    np.empty(24 << 20, np.uint8)
+
+
 def tail_class(w: ws.Words) -> np.ndarray:
     """A word's class by its last two bytes."""
     last = w.data[w.ends - 1].astype(np.uint64) if len(w) else np.zeros(0, np.uint64)
@@ -76,6 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, held = [], [], 0
+        keep_memory()
 
         def combined() -> tuple[np.ndarray, np.ndarray]:
             key, c = np.concatenate(words), np.concatenate(counts)
@@ -228,18 +234,35 @@ class Network:
             "bw": inside.astype(f),
         }
 
+    def thirds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input gates [3, symbols, h] and weights of the state [3, h, h] for reset, update and new state, each in one piece. The signs of the first two are turned, as their sigmoids want them."""
+        gates = np.ascontiguousarray((self.p["emb"] @ self.p["wx"] + self.p["bx"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+        w = np.ascontiguousarray(self.p["wh"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+        gates[:2] *= -1
+        w[:2] *= -1
+        return gates, w
+
+    @staticmethod
+    def advance(x: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """New state from input gates x [3, n, h], state h and its weights, as thirds gives them; and what backpropagation needs."""
+        g = h @ w
+        rz = x[:2] + g[:2]
+        np.exp(np.minimum(rz, 80, out=rz), out=rz)  # a sigmoid this small is zero as a single as well
+        rz += 1
+        r, z = np.reciprocal(rz, out=rz)
+        n = r * g[2]
+        n += x[2]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, r, z, n, g[2]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state from input gates x [n, 3h] and state h; and what backpropagation needs."""
-        g = h @ self.p["wh"]
-        rz = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-        rz *= 0.5
-        np.tanh(rz, out=rz)
-        rz += 1.0
-        rz *= 0.5
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        gn = g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-        return n + z * (h - n), r, z, n, gn
+        x = x.reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
+        x[:2] *= -1
+        return self.advance(x, h, self.thirds()[1])
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(symbol y | state h): its class, and in the head the word inside."""
@@ -248,7 +271,8 @@ class Network:
         cls = np.where(tail, self.classes + y - self.k, y // CLASS_WORDS)
         s = p["wc"].T @ h.T + p["bc"][:, None]
         s -= s.max(0)
-        out = s[cls, np.arange(len(y))] - np.log(np.exp(s).sum(0))
+        out = s[cls, np.arange(len(y))]
+        out -= np.log(np.exp(s, out=s).sum(0))
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
         order = order[: edges[-1]]  # states by class, gathered and given back at once
@@ -266,13 +290,15 @@ class Network:
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean loss of a window: inputs x, targets y [streams, steps], state h at its start. An end as input resets the state."""
         p, (b, t) = self.p, x.shape
-        gates = p["emb"] @ p["wx"] + p["bx"]
-        hs, kept, saved = [], [], []
+        gates, w = self.thirds()
+        hs, begun, saved = [], [], []
         for i in range(t):
-            keep = (x[:, i] != self.end).astype(np.float32)[:, None]
-            h = h * keep
-            new, r, z, n, gn = self.step(gates[x[:, i]], h)
-            kept.append(keep)
+            fresh = np.flatnonzero(x[:, i] == self.end)
+            if len(fresh):
+                h = h.copy()
+                h[fresh] = 0
+            new, r, z, n, gn = self.advance(gates.take(x[:, i], 1), h, w)
+            begun.append(fresh)
             saved.append((h, r, z, n, gn))
             hs.append(new)
             h = new
@@ -286,36 +312,54 @@ class Network:
         s[cls, np.arange(m)] -= 1 / m
         g["wc"], g["bc"] = flat.T @ s.T, s.sum(1)
         dh = s.T @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        order = order[: edges[-1]]  # states by class, gathered and given back at once
+        ranked, word, more, every = flat[order], target[order] % CLASS_WORDS, np.empty((len(order), HIDDEN), dh.dtype), np.arange(len(order))
         for c in range(self.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                own = flat[at]
+            lo, hi = edges[c], edges[c + 1]
+            if lo < hi:
+                own = ranked[lo:hi]
                 s = falling_exp(p["ww"][c].T @ own.T + p["bw"][c][:, None])
                 s *= (1 / m) / s.sum(0)
-                s[target[at] % CLASS_WORDS, np.arange(len(at))] -= 1 / m
+                s[word[lo:hi], every[: hi - lo]] -= 1 / m
                 g["ww"][c], g["bw"][c] = own.T @ s.T, s.sum(1)
-                dh[at] += s.T @ p["ww"][c].T
-        dx = np.zeros((t, b, 3 * HIDDEN), np.float32)
+                more[lo:hi] = s.T @ p["ww"][c].T
+        dh[order] += more
+        dx, dg = np.empty((3, t, b, HIDDEN), dh.dtype), np.empty((t, b, HIDDEN), dh.dtype)  # of the gates; and of the state's part in the third
+        w = [v.T.copy() for v in (-w[0], -w[1], w[2])]
         back = np.zeros((b, HIDDEN), np.float32)
         for i in range(t - 1, -1, -1):
             prev, r, z, n, gn = saved[i]
             d = dh[i * b : (i + 1) * b] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (prev - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[i] = np.concatenate([dr, dz, dn], 1)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            g["wh"] += prev.T @ dg
-            back = (d * z + dg @ p["wh"].T) * kept[i]
-        dx, inputs = dx.reshape(-1, 3 * HIDDEN), x.T.ravel()
-        g["bx"] = dx.sum(0)
-        g["wx"] = p["emb"][inputs].T @ dx
-        order = np.argsort(inputs, kind="stable")
+            dr, dz, dn = dx[:, i]
+            np.multiply(d, 1 - z, out=dn)
+            dn *= 1 - n * n
+            np.subtract(prev, n, out=dz)
+            d *= z
+            dz *= d
+            dz *= 1 - z
+            np.multiply(dn, r, out=dg[i])
+            np.multiply(dg[i], gn, out=dr)
+            dr *= 1 - r
+            d += dr @ w[0]
+            d += dz @ w[1]
+            d += dg[i] @ w[2]
+            d[begun[i]] = 0
+            back = d
+        dx, dg, prev = dx.reshape(3, -1, HIDDEN), dg.reshape(-1, HIDDEN), np.concatenate([v[0] for v in saved]).T
+        g["wh"] = np.concatenate([prev @ dx[0], prev @ dx[1], prev @ dg], 1)
+        inputs = x.T.ravel()
+        thirds = [slice(k * HIDDEN, (k + 1) * HIDDEN) for k in range(3)]
+        g["bx"] = np.concatenate([v.sum(0) for v in dx])
+        taken = p["emb"].take(inputs, 0).T
+        for k, v in zip(thirds, dx, strict=True):
+            g["wx"][:, k] = taken @ v
+        own = sum(v @ p["wx"][:, k].T for k, v in zip(thirds, dx, strict=True))
+        order = np.argsort(inputs.astype(np.int16), kind="stable")
         ranked = inputs[order]
         new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        g["emb"][ranked[new]] = np.add.reduceat((dx @ p["wx"].T)[order], new, axis=0)
+        g["emb"][ranked[new]] = np.add.reduceat(own[order], new, axis=0)
         return g, h
 
     def train(self, symbols: np.ndarray, streams: int, rate: float, moments: dict, done: int) -> int:
@@ -347,28 +391,28 @@ class Network:
 
     def score(self, symbols: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """Natural log probability of each document's symbols (its end included), step by step side by side, the state carried; outputs WINDOW states at a time."""
-        p = self.p
-        gates = (p["emb"] @ p["wx"] + p["bx"]).astype(np.float32)
+        gates, w = self.thirds()
+        gates, w = gates.astype(np.float32), w.astype(np.float32)
         counts = np.diff(ptr)
         order = np.argsort(-counts, kind="stable")
         lens, first = counts[order], ptr[:-1][order]
         total = np.zeros(len(order))
         steps = int(lens[0]) if len(lens) else 0
         alive = np.searchsorted(-lens, -np.arange(steps), "left").tolist()  # documents longer than t
-        every = np.arange(len(order))
-        h = np.zeros((len(order), HIDDEN), np.float32)
-        states, at, who, held = [], [], [], 0
+        h, y = np.zeros((len(order), HIDDEN), np.float32), np.full(len(order), self.end)
+        states, targets, held = [], [], 0
         for t, m in enumerate(alive):
-            x = gates[symbols[first[:m] + t - 1]] if t else gates[np.full(m, self.end)]
-            h = self.step(x, h[:m])[0]
+            h = self.advance(gates.take(y[:m], 1), h[:m], w)[0]
+            y = symbols[first[:m] + t]
             states.append(h)
-            at.append(first[:m] + t)
-            who.append(every[:m])
+            targets.append(y)
             held += m
             if held >= WINDOW or t == steps - 1:
-                s, y, w = np.concatenate(states), symbols[np.concatenate(at)], np.concatenate(who)
-                total += np.bincount(w, self.log_probs(s, y), len(total))
-                states, at, who, held = [], [], [], 0
+                found, at = self.log_probs(np.concatenate(states), np.concatenate(targets)), 0
+                for x in targets:
+                    total[: len(x)] += found[at : at + len(x)]
+                    at += len(x)
+                states, targets, held = [], [], 0
         out = np.empty(len(order))
         out[order] = total
         return out
@@ -401,6 +445,7 @@ def coded(docs: DataFrame, lex: Lexicon) -> DataFrame:
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail", "symbols", "word", "g", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         lex = shared.value
         uid, k = TaskContext.get().partitionId() << 32, len(lex.head)
         end_count = int(lex.head_counts[lex.end])
@@ -448,6 +493,7 @@ def trained(code: DataFrame, lex: Lexicon, rates: tuple[float, ...] = ROUNDS, wo
         now = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             start, worker, own = now.value, None, None
             held, n, seen, moments, done = [], 0, 0, {}, 0
 
@@ -503,6 +549,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     shared = d.sparkSession.sparkContext.broadcast(trained(code, lex))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         net = shared.value
         for b in batches:
             ends = np.concatenate([[0], np.cumsum(b.column(7).to_numpy())])

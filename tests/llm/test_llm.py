@@ -878,3 +878,25 @@ def test_long_documents_are_spread(spark, monkeypatch):
     pieces = packing.token_pieces(d, 16).groupBy("doc_id", "salt").count().collect()
     assert max(r["count"] for r in pieces) == 2 and len(pieces) > 10
     assert packing.pack(d, 16, 4).groupBy("doc_id").agg(F.sum("length").alias("n")).filter("doc_id = 1").first()["n"] == 2 * packing.token_pieces(d).filter("doc_id = 1").first()["doc_tokens"]
+
+
+def test_network_keeps_its_memory():
+    """Updates and scores don't get their arrays' pages from the system again and again."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from mailloom.llm import recurrent as R
+lex = R.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.append(np.arange(1, 1024, dtype=np.uint64), R.END), np.arange(1024, 0, -1), np.ones(R.TAIL_CLASSES), np.ones(R.TAIL_CLASSES), 100, 50, 0.5)
+net, x = R.Network(lex), np.random.default_rng(1).integers(0, 1056, 262 * 20 * 20 + 1).astype(np.int16)
+R.keep_memory()
+faults = []
+for _ in range(3):
+    net.train(x, 262, 0.01, {}, 0)
+    net.score(x[:40_000], np.arange(0, 40_001, 100))
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print(faults[2] - faults[1])
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 5000
