@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,11 +59,18 @@ def normal_text(s: str | None) -> str:
         return ""
     if s.isascii():
         return s
-    s = "".join(ch for ch in unicodedata.normalize("NFKC", s) if unicodedata.category(ch) != "Cf")
-    s = s.translate(str.maketrans(lookalikes()))
-    if any("\u0400" <= ch <= "\u058f" for ch in s):
-        s = "".join(_named(ch) if "\u0400" <= ch <= "\u058f" else ch for ch in s)
-    return s
+    s = unicodedata.normalize("NFKC", s)
+    made = {ch: new for ch in set(s) if not ch.isascii() and (new := _made(ch)) != ch}
+    return s.translate(str.maketrans(made)) if made else s
+
+
+@lru_cache(1 << 16)
+def _made(ch: str) -> str:
+    """What one normalised character becomes."""
+    if unicodedata.category(ch) == "Cf":
+        return ""
+    new = lookalikes().get(ch, ch)
+    return _named(ch) if new == ch and "\u0400" <= ch <= "\u058f" else new
 
 
 def _named(ch: str) -> str:
@@ -76,3 +84,9 @@ def _named(ch: str) -> str:
 @F.pandas_udf(T.StringType())
 def normalise_unicode(s: pd.Series) -> pd.Series:
     return s.map(normal_text)
+
+
+@F.pandas_udf(T.StructType([T.StructField("given", T.StringType()), T.StructField("normal", T.StringType())]))
+def with_normal(s: pd.Series) -> pd.DataFrame:
+    """A text as it came and normalised: what it is made of is worked out for this function alone, where Spark would do so again for each other use."""
+    return pd.DataFrame({"given": s, "normal": s.map(normal_text)})

@@ -6,13 +6,13 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import features as fx
 from mailloom.functions import masking as mk
 from mailloom.functions import text as tx
-from mailloom.functions.lookalikes import normalise_unicode
+from mailloom.functions.lookalikes import normalise_unicode, with_normal
 from mailloom.operators import dedup, metrics, records
 from mailloom.sources import html, mail
 
@@ -100,19 +100,27 @@ def preprocess(spark: SparkSession, config: Config, only: str | None = None) ->
     return records.exported(valid, config.mode, config.fields), records.status_counts(e)
 
 
-def served(subject: Column, body: Column, native: bool = False, masking: bool = True, unicode: bool = True) -> dict[str, Column]:
-    """What the prediction service makes of a message: clean, sliced, masked and classifier text, links, flags.
+def served(df: DataFrame, subject: str = "subject", body: str = "body", native: bool = False, masking: bool = True, unicode: bool = True) -> DataFrame:
+    """Adds what the prediction service makes of a message: is_html, urls, clean_body, masked_body, thread_sliced, text.
 
     ``thread_sliced`` says that a quoted thread was cut off; white space alone doesn't count. Without ``unicode`` classes, edges and references are those of the SQL.
+    Each step is a column that the next ones read, so that no text is worked out twice; only markup goes to the parser.
     """
-    markup = tx.is_html(tx.text(body))
-    clean = html.clean_native(body) if native else (html.clean_payload if unicode else html.clean_payload_known)(tx.text(body))
-    clean = F.when(markup, clean).otherwise(tx.text(body))
+    given, names = tx.text(body), ("__clean", "__title", "__sliced")
+    df = df.withColumn("is_html", tx.is_html(given))
+    markup = F.when(F.col("is_html"), given)
+    parsed = html.clean_native(markup) if native else (html.clean_payload if unicode else html.clean_payload_known)(markup)
+    df = df.withColumn("__clean", F.when(F.col("is_html"), parsed).otherwise(given))
+    clean = F.col("__clean")
     sliced = tx.slice_thread(clean, unicode)
-    normal = sliced if native else normalise_unicode(sliced)
-    masked = mk.mask(normal, unicode=unicode, enabled=masking)
-    title = mk.mask(tx.text(subject) if native else normalise_unicode(tx.text(subject)), unicode=unicode, enabled=masking)
-    return {"is_html": markup, "urls": fx.urls(clean), "clean_body": sliced, "masked_body": masked, "thread_sliced": F.length(sliced) < F.length(tx.strip(clean, unicode)), "text": tx.classifier_text(title, masked, unicode)}
+    if native:
+        df, normal, title = df.withColumn("clean_body", sliced), F.col("clean_body"), tx.text(subject)
+    else:
+        df = df.withColumn("__sliced", with_normal(sliced)).withColumn("clean_body", F.col("__sliced.given"))
+        normal, title = F.col("__sliced.normal"), normalise_unicode(tx.text(subject))
+    df = df.withColumns({"urls": fx.urls(clean), "thread_sliced": F.length("clean_body") < F.length(tx.strip(clean, unicode))})
+    df = df.withColumns({"masked_body": mk.mask(normal, unicode=unicode, enabled=masking), "__title": mk.mask(title, unicode=unicode, enabled=masking)})
+    return df.withColumn("text", tx.classifier_text(F.col("__title"), F.col("masked_body"), unicode)).drop(*names)
 
 
 CLASSES = ("human_benign", "human_phishing", "generated_benign", "generated_phishing")
@@ -158,8 +166,7 @@ def predict_messages(messages: DataFrame, vectors, model, rule: str = "service")
     """
     m = messages.select("id", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("body", F.lit("")).alias("body"))
     blank = (F.col("subject") == "") & (F.col("body") == "")
-    cleaned = served(F.col("subject"), F.col("body"))
-    ready = m.filter(~blank).select(F.col("id").alias("doc_id"), cleaned["text"].alias("text"), cleaned["is_html"].alias("is_html"), F.size(cleaned["urls"]).alias("n_urls"), cleaned["thread_sliced"].alias("thread_sliced"))
+    ready = served(m.filter(~blank)).select(F.col("id").alias("doc_id"), "text", "is_html", F.size("urls").alias("n_urls"), "thread_sliced")
     out = predict(vectors(ready), model, rule).select(F.col("doc_id").alias("id"), "predicted_class", "is_phishing", "probabilities", "preview", "is_html", "n_urls", "thread_sliced", F.lit(None).cast("string").alias("error"))
     bad = m.filter(blank).select("id", F.lit("subject and body are empty").alias("error"))
     return out.unionByName(bad, allowMissingColumns=True)
